@@ -1,0 +1 @@
+"""Column expressions: windows with minimum counts, returns, scalar rules of the risk stack."""

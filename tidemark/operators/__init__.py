@@ -1,0 +1 @@
+"""Table operators: DataFrames in, a DataFrame out, nothing collected."""

@@ -1,9 +1,17 @@
 """Registered queries: compositions of the operators over the given tables, each with its SQL."""
 
+from __future__ import annotations
+
+
+def _loaded():
+    from . import market, registry  # noqa: F401
+
+    return registry
+
 
 def queries() -> dict:
-    return {}
+    return dict(_loaded().QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_loaded().SQL)

@@ -1,0 +1 @@
+"""Scans, sinks, incremental tables and payload shapes."""
