@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _loaded():
-    from . import market, registry  # noqa: F401
+    from . import book, market, registry  # noqa: F401
 
     return registry
 

@@ -42,7 +42,7 @@ SIGNALS = f"""{B4}, signals AS (
   SELECT symbol, ts, close, close / nullif(CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END, 0) - 1 AS alpha
   FROM b4 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))"""
 
-WEIGHTS = f"""{SIGNALS}, sg AS (SELECT symbol, ts, close, coalesce(sign(alpha), 0) * 0.25 AS sig FROM signals),
+WEIGHTS = f"""{SIGNALS}, sg AS (SELECT symbol, ts, close + 1000 AS close, coalesce(sign(alpha), 0)::DOUBLE * 0.25::DOUBLE AS sig FROM signals),
 weights AS (
   SELECT 'lag1' AS run_id, symbol, ts, close, coalesce(lag(sig, 1) OVER (PARTITION BY symbol ORDER BY ts), 0) AS w FROM sg
   UNION ALL

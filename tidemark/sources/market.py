@@ -79,10 +79,13 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs that trade the sign of the signal with a lag of one and two bars: (run_id, ts, symbol, close, w)."""
+    """Two runs that trade the sign of the signal with a lag of one and two bars: (run_id, ts, symbol, close, w).
+
+    Traded prices are the ticks' plus 1000, so that a bar's return is a few per cent, not a multiple.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("ts")
     s = signals(spark, sf_dir).withColumn("sig", F.coalesce(F.signum("alpha"), F.lit(0.0)) * 0.25)
     lags = s.withColumns({"lag1": F.coalesce(F.lag("sig", 1).over(w), F.lit(0.0)), "lag2": F.coalesce(F.lag("sig", 2).over(w), F.lit(0.0))})
-    return lags.unpivot(["symbol", "ts", "close"], ["lag1", "lag2"], "run_id", "w")
+    return lags.withColumn("close", F.col("close") + 1000).unpivot(["symbol", "ts", "close"], ["lag1", "lag2"], "run_id", "w")
