@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.rolling import series, trailing
 
-BY_RUN = Window.partitionBy("run_id").orderBy("ts")
-SO_FAR = BY_RUN.rowsBetween(Window.unboundedPreceding, 0)
-NULL = F.lit(None).cast("double")
+
+def by_run() -> WindowSpec:
+    return Window.partitionBy("run_id").orderBy("ts")
+
+
+def so_far() -> WindowSpec:
+    return by_run().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def unknown() -> Column:
+    return F.lit(None).cast("double")
 
 
 def normalised(w: DataFrame) -> DataFrame:
@@ -32,12 +40,12 @@ def pnl(w: DataFrame, lag: int = 1, fee: float = 0.0015, slippage: float = 0.0,
     """(run_id, ts, turnover, cost, ret, nav): lagged weights times returns less turnover costs, compounded."""
     by_ts = held(w, lag).groupBy("run_id", "ts").agg(F.sum(F.col("actual") * F.col("asset_return")).alias("gross"), F.sum(F.abs(F.col("actual") - F.col("before"))).alias("turnover"))
     out = by_ts.withColumn("cost", F.col("turnover") * (fee + slippage)).withColumn("ret", F.col("gross") - F.col("cost"))
-    return out.select("run_id", "ts", "turnover", "cost", "ret", (cash * F.product(1 + F.col("ret")).over(SO_FAR)).alias("nav"))
+    return out.select("run_id", "ts", "turnover", "cost", "ret", (cash * F.product(1 + F.col("ret")).over(so_far())).alias("nav"))
 
 
 def trades(w: DataFrame, lag: int = 1, fee: float = 0.0015, cash: float = 1e6) -> DataFrame:
     """A row for each change of actual weight, valued at the portfolio before it."""
-    p = pnl(w, lag, fee, 0.0, cash).select("run_id", "ts", F.coalesce(F.lag("nav").over(BY_RUN), F.lit(cash)).alias("value_before"), F.lag("ts", lag).over(BY_RUN).alias("signal_ts"))
+    p = pnl(w, lag, fee, 0.0, cash).select("run_id", "ts", F.coalesce(F.lag("nav").over(by_run()), F.lit(cash)).alias("value_before"), F.lag("ts", lag).over(by_run()).alias("signal_ts"))
     moved = held(w, lag).withColumn("delta", F.col("actual") - F.col("before")).where(F.abs("delta") > 1e-12).join(p, ["run_id", "ts"])
     amount = F.col("delta") * F.col("value_before")
     return moved.where("close > 0").select(
@@ -75,7 +83,7 @@ def metrics(returns: DataFrame, bars: float = 2190) -> DataFrame:
 
 def max_drawdown(navs: DataFrame) -> DataFrame:
     """Depth, peak, trough and recovery by run from (run_id, ts, nav). Ties go to the earliest time."""
-    x = navs.withColumn("top", F.max("nav").over(SO_FAR)).withColumn("dd", F.col("nav") / F.col("top") - 1)
+    x = navs.withColumn("top", F.max("nav").over(so_far())).withColumn("dd", F.col("nav") / F.col("top") - 1)
     trough = x.groupBy("run_id").agg(F.min(F.struct("dd", "ts", "top")).alias("t"), F.max("ts").alias("end"))
     both = x.join(trough, "run_id")
     at = both.groupBy("run_id", F.col("t.dd").alias("max_drawdown"), F.col("t.ts").alias("trough"), "end").agg(
@@ -186,11 +194,11 @@ def overlay(w: DataFrame, clusters: DataFrame, per_symbol: float = 0.25, cluster
 
 def breaker(returns: DataFrame, peak_rows: int = 540, day_rows: int = 6, mean_days: int = 120) -> DataFrame:
     """(run_id, ts, drawdown, daily_loss, level, multiplier) from trailing P&L up to each bar."""
-    x = returns.withColumn("nav", F.product(1 + F.col("ret")).over(SO_FAR))
-    peak = F.max("nav").over(trailing(BY_RUN, peak_rows))
-    frame = trailing(BY_RUN, day_rows)
+    x = returns.withColumn("nav", F.product(1 + F.col("ret")).over(so_far()))
+    peak = F.max("nav").over(trailing(by_run(), peak_rows))
+    frame = trailing(by_run(), day_rows)
     x = x.withColumns({"drawdown": 1 - F.col("nav") / peak, "daily": F.when(F.count("ret").over(frame) >= day_rows, F.product(1 + F.col("ret")).over(frame) - 1)})
-    x = x.withColumns({"daily_loss": F.greatest(F.lit(0.0), -F.coalesce("daily", F.lit(0.0))), "typical": F.avg(F.abs("daily")).over(trailing(BY_RUN, mean_days))})
+    x = x.withColumns({"daily_loss": F.greatest(F.lit(0.0), -F.coalesce("daily", F.lit(0.0))), "typical": F.avg(F.abs("daily")).over(trailing(by_run(), mean_days))})
     level = risk.breaker_level(F.col("drawdown"), F.col("daily_loss"), risk.soft_daily_loss(F.col("typical")))
     return x.withColumn("level", level).select("run_id", "ts", "drawdown", "daily_loss", "level", (risk.breaker_multiplier(level) * risk.drawdown_scaler(F.col("drawdown"))).alias("multiplier"))
 

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def unescape(s: pd.Series) -> pd.Series:
-    """Named and numeric character references; Spark has no built-in for them."""
+def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
 
 
+def unescape(x: Column) -> Column:
+    """Named and numeric character references; Spark has no built-in for them."""
+    return F.pandas_udf(_unescaped, "string", F.PandasUDFType.SCALAR)(x)
+
+
 def without_markup(x: Column) -> Column:
     for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"<[^>]+>"):
         x = F.regexp_replace(x, pattern, " ")
@@ -138,6 +141,12 @@ def consensus(df: DataFrame, key: str, kind: str, score: str) -> DataFrame:
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
+def length_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The simplest scorer: (key, score) with the number of characters."""
+    for b in batches:
+        yield pd.DataFrame({"key": b["key"], "score": [float(len(t)) if isinstance(t, str) else 0.0 for t in b["text"]]})
+
+
 def score_distinct(df: DataFrame, text: str, scorer: Scorer, schema: str, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with scores, new cache): each distinct text is scored once, and only if the cache lacks its hash.
 

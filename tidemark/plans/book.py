@@ -150,7 +150,7 @@ def yearly_sharpe(s, d):
 
 @query("rolling_sharpe", f"""WITH {S.PNL} SELECT run_id, ts, round(CASE WHEN count(ret) OVER w >= 60 THEN avg(ret) OVER w * sqrt(2190.0) / nullif(stddev_samp(ret) OVER w, 0) END, 4) AS sharpe FROM pnl WINDOW w AS (PARTITION BY run_id ORDER BY ts ROWS 59 PRECEDING)""")
 def rolling_sharpe(s, d):
-    by = P.BY_RUN
+    by = P.by_run()
     return pnl(s, d).select("run_id", "ts", F.round(F.try_divide(R.roll(F.avg, "ret", by, 60) * F.sqrt(F.lit(2190.0)), R.roll(F.stddev_samp, "ret", by, 60)), 4).alias("sharpe"))
 
 
@@ -222,15 +222,15 @@ y AS (SELECT *, (dq + 1 + 0) / 3.0 AS conf, sign(alpha) AS sg, least(greatest(ab
 SELECT symbol, decision_time, round(coalesce(least(greatest(0.25 * edge * sg * CASE WHEN rv > 1e-12 THEN least(0.3 / rv, 3) ELSE 0 END * least(1, conf / 0.8), -0.25), 0.25), 0), 6)::DOUBLE AS position FROM y""")
 def risk_sizing(s, d):
     x = pit_table(s, d).select("symbol", "decision_time", F.coalesce("ret_24h", F.lit(0.0)).alias("alpha"), F.col("vol_96h").alias("vol"), (1 - F.col("funding_rate").isNull().cast("int") * 0.5).alias("dq"))
-    sure = risk.confidence(F.col("dq"), F.col("alpha"), P.NULL, P.NULL)
-    return r6(x.select("symbol", "decision_time", risk.sized(F.col("alpha"), P.NULL, F.col("vol"), sure, F.lit(0), use_meta=False).alias("position")), "position")
+    sure = risk.confidence(F.col("dq"), F.col("alpha"), P.unknown(), P.unknown())
+    return r6(x.select("symbol", "decision_time", risk.sized(F.col("alpha"), P.unknown(), F.col("vol"), sure, F.lit(0), use_meta=False).alias("position")), "position")
 
 
 @query("regime_flags", f"""WITH {MARKET_SQL}, z AS (SELECT symbol, decision_time, vol_96h AS v, CASE WHEN count(ret_24h) OVER w >= 6 THEN (ret_24h - avg(ret_24h) OVER w) / (stddev_samp(ret_24h) OVER w + 1e-12) END AS m FROM mf WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING))
 SELECT symbol, decision_time, CASE WHEN v IS NOT NULL AND m IS NOT NULL THEN (CASE WHEN v > 0.02 AND m > 0.5 THEN 'high_volatility_uptrend' WHEN v > 0.02 AND m < -0.5 THEN 'panic_selloff' WHEN m > 0.5 THEN 'low_volatility_uptrend' WHEN m < -0.5 THEN 'low_volatility_downtrend' ELSE 'range_bound' END) ELSE 'range_bound' END AS regime FROM z""")
 def regime_flags(s, d):
     x = market_features(s, d).withColumn("m", R.zscore("ret_24h", R.series("symbol", "ts"), 30, 6))
-    return x.select("symbol", "decision_time", risk.regime(F.col("vol_96h"), F.col("m"), P.NULL).alias("regime"))
+    return x.select("symbol", "decision_time", risk.regime(F.col("vol_96h"), F.col("m"), P.unknown()).alias("regime"))
 
 
 IC_SQL = f"{S.SIGNALS}, fx AS (SELECT symbol, ts, alpha, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS fwd FROM signals)"

@@ -13,8 +13,10 @@ from ..sources import market as M
 from . import base_sql as S
 from .registry import query, r6
 
-W = Window
-BY = R.series("symbol", "ts")
+
+def by_symbol():
+    return R.series("symbol", "ts")
+
 
 query("kline_range_scan", f"WITH {S.B1} SELECT symbol, ts, close, volume FROM b1 WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND symbol IN ('click', 'error')")(
     lambda s, d: M.bars_1h(s, d).where("symbol in ('click', 'error') and ts >= timestamp'2024-01-05' and ts < timestamp'2024-01-20'").select("symbol", "ts", "close", "volume")
@@ -102,12 +104,12 @@ def chain_daily_metrics(s, d):
 
 def market_features(s, d) -> DataFrame:
     bars = B.decision_grid(M.bars_4h(s, d), M.FOUR_HOURS)
-    ret = bars.withColumns({"ret_4h": R.pct_change("close", BY), "ret_24h": R.pct_change("close", BY, 6), "ret_96h": R.pct_change("close", BY, 24)})
+    ret = bars.withColumns({"ret_4h": R.pct_change("close", by_symbol()), "ret_24h": R.pct_change("close", by_symbol(), 6), "ret_96h": R.pct_change("close", by_symbol(), 24)})
     net = 2 * F.col("taker_buy_vol") - F.col("volume")
     return ret.withColumns({
-        "vol_96h": R.roll(F.stddev_samp, "ret_4h", BY, 24, 6), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")),
+        "vol_96h": R.roll(F.stddev_samp, "ret_4h", by_symbol(), 24, 6), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")),
         "close_position": F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))),
-        "volume_z": R.zscore("volume", BY, 24, 6), "taker_z": R.zscore(net, BY, 24, 6), "proxy_cvd": F.sum(F.coalesce(net, F.lit(0.0))).over(BY.rowsBetween(W.unboundedPreceding, 0)),
+        "volume_z": R.zscore("volume", by_symbol(), 24, 6), "taker_z": R.zscore(net, by_symbol(), 24, 6), "proxy_cvd": F.sum(F.coalesce(net, F.lit(0.0))).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)),
     })
 
 
@@ -138,8 +140,8 @@ SELECT symbol, ts, round(ret_1h, 6) AS ret_1h, round(CASE WHEN count(ret_1h) OVE
   round(CASE WHEN count(volume) OVER w >= 6 THEN sum(volume) OVER w END, 6) AS volume_24h, round(CASE WHEN count(high) OVER w >= 6 THEN max(high) OVER w END, 6) AS high_24h,
   round({_z('volume', 'w', 6)}, 6) AS volume_z FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING)""")
 def short_horizon_1h(s, d):
-    x = M.clean_1h(s, d).withColumn("ret_1h", R.pct_change("close", BY))
-    out = x.select("symbol", "ts", "ret_1h", R.roll(F.stddev_samp, "ret_1h", BY, 24, 6).alias("vol_24h"), R.roll(F.sum, "volume", BY, 24, 6).alias("volume_24h"), R.roll(F.max, "high", BY, 24, 6).alias("high_24h"), R.zscore("volume", BY, 24, 6).alias("volume_z"))
+    x = M.clean_1h(s, d).withColumn("ret_1h", R.pct_change("close", by_symbol()))
+    out = x.select("symbol", "ts", "ret_1h", R.roll(F.stddev_samp, "ret_1h", by_symbol(), 24, 6).alias("vol_24h"), R.roll(F.sum, "volume", by_symbol(), 24, 6).alias("volume_24h"), R.roll(F.max, "high", by_symbol(), 24, 6).alias("high_24h"), R.zscore("volume", by_symbol(), 24, 6).alias("volume_z"))
     return r6(out, "ret_1h", "vol_24h", "volume_24h", "high_24h", "volume_z")
 
 
@@ -151,8 +153,8 @@ y AS (SELECT *, CASE WHEN count(ret_1d) OVER w >= 7 THEN stddev_samp(ret_1d) OVE
 SELECT symbol, ts, round(ret_1d, 6) AS ret_1d, round(ret_3d, 6) AS ret_3d, round(ret_7d, 6) AS ret_7d, round(vol_30d, 6) AS vol_30d, round(close / nullif(ma, 0) - 1, 6) AS ma_gap, round(close / nullif(top, 0) - 1, 6) AS drawdown_30d,
   CASE WHEN close > ma THEN 1.0 ELSE 0.0 END::DOUBLE AS daily_trend_up FROM y""")
 def regime_1d_features(s, d):
-    x = M.bars_1d(s, d).withColumns({f"ret_{n}d": R.pct_change("close", BY, n) for n in (1, 3, 7)})
-    x = x.withColumns({"vol_30d": R.roll(F.stddev_samp, "ret_1d", BY, 30, 7), "ma": R.roll(F.avg, "close", BY, 30, 7), "top": R.roll(F.max, "close", BY, 30, 7)})
+    x = M.bars_1d(s, d).withColumns({f"ret_{n}d": R.pct_change("close", by_symbol(), n) for n in (1, 3, 7)})
+    x = x.withColumns({"vol_30d": R.roll(F.stddev_samp, "ret_1d", by_symbol(), 30, 7), "ma": R.roll(F.avg, "close", by_symbol(), 30, 7), "top": R.roll(F.max, "close", by_symbol(), 30, 7)})
     x = x.withColumns({"ma_gap": F.try_divide("close", "ma") - 1, "drawdown_30d": F.try_divide("close", "top") - 1, "daily_trend_up": F.coalesce(F.col("close") > F.col("ma"), F.lit(False)).cast("double")})
     return r6(x.select("symbol", "ts", *REGIME, "daily_trend_up"), *REGIME)
 
@@ -179,7 +181,7 @@ def spot_perp_basis(s, d):
     one = lambda odd, name: t.where(f"seq % 2 = {odd}").groupBy("symbol", B.floor_to("ts", M.HOUR).alias("h")).agg(F.max_by("price", F.struct("ts", "seq")).alias(name))
     x = one(0, "spot").join(one(1, "perp"), ["symbol", "h"]).withColumnRenamed("h", "ts")
     x = x.withColumn("premium", F.try_divide("perp", "spot") - 1).withColumns({"premium_bps": F.col("premium") * 1e4, "discount": F.try_divide("spot", "perp") - 1})
-    x = x.withColumns({"premium_change": R.change("premium", BY), "premium_z": R.zscore("premium", BY, 24, 6), "availability_ts": J.shifted(F.col("ts"), 3630)})
+    x = x.withColumns({"premium_change": R.change("premium", by_symbol()), "premium_z": R.zscore("premium", by_symbol(), 24, 6), "availability_ts": J.shifted(F.col("ts"), 3630)})
     return r6(x.select("symbol", "ts", "spot", "perp", "premium", "premium_bps", "discount", "premium_change", "premium_z", "availability_ts"), "premium", "premium_bps", "discount", "premium_change", "premium_z")
 
 
@@ -191,7 +193,7 @@ SELECT symbol, ts, taker_buy, taker_sell, delta, cvd, round({_z('delta', 'w', 6)
 def cvd(s, d):
     h = M.ticks(s, d).groupBy("symbol", B.floor_to("ts", M.FOUR_HOURS).alias("bin")).agg(F.sum("qty").alias("volume"), F.sum("taker_buy_qty").alias("taker_buy"))
     x = B.on_grid(h, "4 hours", ["volume", "taker_buy"]).withColumnRenamed("bin", "ts").withColumn("taker_sell", F.col("volume") - F.col("taker_buy"))
-    x = x.withColumn("delta", F.col("taker_buy") - F.col("taker_sell")).withColumns({"cvd": F.sum("delta").over(BY.rowsBetween(W.unboundedPreceding, 0)), "delta_z": R.zscore("delta", BY, 24, 6)})
+    x = x.withColumn("delta", F.col("taker_buy") - F.col("taker_sell")).withColumns({"cvd": F.sum("delta").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), "delta_z": R.zscore("delta", by_symbol(), 24, 6)})
     return r6(B.without_newest(x).select("symbol", "ts", "taker_buy", "taker_sell", "delta", "cvd", "delta_z"), "delta_z")
 
 

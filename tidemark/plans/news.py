@@ -108,15 +108,10 @@ def consistency_vote(s, d):
     return r6(T.consensus(M.table(s, d, "events"), "user_id", "event_type", "value"), "agreement", "value")
 
 
-def _lengths(batches):
-    for b in batches:
-        yield b.assign(score=b["text"].fillna("").astype(str).str.len().astype("float64"))[["key", "score"]]
-
-
 @query("score_distinct", "SELECT doc_id, substr(text, 1, 80) AS title, length(substr(text, 1, 80))::DOUBLE AS score FROM documents")
 def score_distinct(s, d):
     """The scorer is the user's; here the length of the title."""
-    rows, _ = T.score_distinct(M.news(s, d), "title", _lengths, "key string, score double")
+    rows, _ = T.score_distinct(M.news(s, d), "title", T.length_scorer, "key string, score double")
     return rows.select("doc_id", "title", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
