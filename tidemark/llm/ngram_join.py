@@ -15,7 +15,8 @@ where frequent tokens are indexed by combination (k-wise signatures, Wang et al.
   depends on the octave of n; a set near an octave's lower end signs for the octave below as well.
 * A signature seen once can link nothing. A bitmap of fixed size (`bitmap_bits`) drops most rare tokens that only
   one document has before they are shuffled; its false positives cost rows, never links.
-* Sets sharing a signature are first compared with the smallest set of that signature (a star, not all pairs). Only
+* Sets sharing a signature are first compared with the most central set of that signature (a star, not all pairs): the
+  one with the largest share of frequent tokens, which in a group of edited copies is the one they derive from. Only
   signatures that still hold several components are then joined with themselves, between components only. A parity
   sketch bounds the symmetric difference from below within the join; what remains is verified on the exact sets.
 
@@ -192,12 +193,12 @@ def _sign(spec: SetSpec, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, key, count, bits = counts.value
         for batch in batches:
-            sizes, nodes, sketches, sigs = [], [], [], []
+            sizes, nodes, central, sketches, sigs = [], [], [], [], []
             for _, texts in chunks(batch.column(1).to_pylist()):
                 for s in shingle_sets(texts, spec.words):
                     sizes.append(len(s))
                     if not len(s):
-                        nodes.append(None), sketches.append(None), sigs.append(None)
+                        nodes.append(None), central.append(None), sketches.append(None), sigs.append(None)
                         continue
                     lead = s >> _U(32 - bits)
                     df = np.zeros(len(s), np.int64)
@@ -207,10 +208,11 @@ def _sign(spec: SetSpec, counts):
                     bit = (s >> _U(64 - spec.bitmap_bits)).astype(np.int64)
                     repeated = (seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
                     nodes.append(_node(s)), sketches.append(_sketch(s).tolist())
+                    central.append(int(1e6 * (df > 0).mean()))
                     sigs.append(signatures(s, df, repeated, spec.percent).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "sketch", "sigs"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(central, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                ["doc_id", "n", "node", "central", "sketch", "sigs"],
             )
 
     return run
@@ -271,13 +273,13 @@ def similarity_classes(documents: DataFrame, spec: SetSpec = SetSpec(), id_col:
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(token_counts(docs, spec))
-    signed = stored(docs.mapInArrow(_sign(spec, counts), "doc_id long, n long, node long, sketch array<long>, sigs array<long>"), "signed")
+    signed = stored(docs.mapInArrow(_sign(spec, counts), "doc_id long, n long, node long, central int, sketch array<long>, sigs array<long>"), "signed")
 
     nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("doc"))
     nodes = nodes.select("node", "doc", "x.n", "x.sketch")
-    own = signed.select("doc_id", "node", "sigs").join(nodes.select("node", F.col("doc").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    rows = own.select("node", F.explode("sigs").alias("sig"))
-    pivots = rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("sig", "pivot")
+    own = signed.select("doc_id", "node", "central", "sigs").join(nodes.select("node", F.col("doc").alias("doc_id")), ["node", "doc_id"], "left_semi")
+    rows = own.select("node", "central", F.explode("sigs").alias("sig"))
+    pivots = rows.groupBy("sig").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "pivot")
     members = stored(rows.join(pivots, "sig").select("sig", "pivot", "node"), "members")
 
     def described(pairs: DataFrame) -> DataFrame:
