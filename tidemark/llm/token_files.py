@@ -12,10 +12,10 @@ exceptions: their low bits are packed as well, and place and whole value stand i
 found by the index and decoded by itself.
 
 Files are made where Spark has put the documents in order: documents are range-partitioned by id (one shuffle of
-texts), each task encodes its own in order and cuts a file at `file_ids` ids. They are rows (part, file, first and last
-id, counts, content) of a Parquet table in a shared folder: any store that Spark writes to will do, a lost task is
-simply run again, and nobody opens local files. Starts are prefix sums: within a part over its files, over all parts in
-one small window (a row for each part).
+texts), each task encodes its own in order and cuts a file at `file_ids` ids. They are rows (part, file, start in
+the part, counts, ids, content) of a Parquet table in a shared folder: any store that Spark writes to will do, a lost task is
+simply run again, and nobody opens local files. A file knows its start within its part; those of parts are prefix sums
+in one small window (a row for each part), broadcast to the readers.
 
 Null and empty texts give the end id alone. A null id comes first. Rows that repeat an id follow each other, by text.
 """
@@ -36,7 +36,7 @@ from .shared import stored
 
 MAGIC = b"PFR1"
 BLOCK = 1024
-FILE_SCHEMA = "part int, file int, n_docs long, n_ids long, doc_ids array<long>, content binary"
+FILE_SCHEMA = "part int, file int, part_start long, n_docs long, n_ids long, doc_ids array<long>, content binary"
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -158,7 +158,7 @@ class CachedEncoder:
     #: ASCII punctuation that, after letters, is one pre-token (an apostrophe may begin another).
     TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
-    def __init__(self, path: str, size: int = 500_000):
+    def __init__(self, path: str, size: int = 1_000_000):
         import json
 
         from tokenizers import Tokenizer
@@ -183,6 +183,9 @@ class CachedEncoder:
 
     def _word(self, word: str) -> bytes:
         """A pre-token, given as text."""
+        if word.isascii() and word[1:].isalpha():
+            first = word[0]
+            return self._model((first if first.isalpha() else chr(self.stand_in[ord(first)])) + word[1:])
         return self._model(word.encode().decode("latin-1").translate(self.stand_in))
 
     def _piece(self, piece: str) -> bytes:
@@ -258,12 +261,12 @@ def _encode(path: str, end_id: int, file_ids: int):
         part, file, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         docs: list[int | None] = []
-        size = 0
+        size = before = 0
 
         def cut() -> pa.RecordBatch:
             blob = write_file([len(b) // 4 for b in ids], np.frombuffer(b"".join(ids), "<u4"))
-            row = {"part": part, "file": file, "n_docs": len(docs), "n_ids": size, "doc_ids": docs, "content": blob}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("content", pa.binary())]))
+            row = {"part": part, "file": file, "part_start": before, "n_docs": len(docs), "n_ids": size, "doc_ids": docs, "content": blob}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("file", pa.int32()), ("part_start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("content", pa.binary())]))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -272,7 +275,7 @@ def _encode(path: str, end_id: int, file_ids: int):
                 size += len(ids[-1]) // 4
                 if size >= file_ids:
                     yield cut()
-                    ids, docs, size, file = [], [], 0, file + 1
+                    ids, docs, size, file, before = [], [], 0, file + 1, before + size
         if docs:
             yield cut()
 
@@ -302,6 +305,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("total"))
     before = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = files.select("part", "file", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("own"))
-    starts = inside.join(before, "part").select("part", "file", (F.col("own") + F.col("base")).alias("start"))
-    return files.join(starts, ["part", "file"]).select("doc_ids", "content", "start").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row for each task that wrote: at most spark.sql.shuffle.partitions of them, 12 bytes each
+    return files.join(F.broadcast(before), "part").select("doc_ids", "content", (F.col("part_start") + F.col("base")).alias("start")).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
