@@ -41,7 +41,7 @@ def _windows(lines: int):
 
 
 def without_repeats(documents: DataFrame, lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `documents`, `text_col` without later occurrences, and `n_lines` and `n_removed` (longs)."""
+    """All columns of `documents`, `text_col` without later occurrences, and `n_lines` and `n_removed` (longs; they replace columns of these names)."""
     key = F.xxhash64(F.col(text_col))
     docs = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
     windows = docs.mapInArrow(_windows(lines), "id long, key long, hash long, places array<int>")
@@ -49,11 +49,13 @@ def without_repeats(documents: DataFrame, lines: int = 3, id_col: str = "doc_id"
     first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     later = windows.join(first, "hash").where(place > F.col("first"))
     covered = later.select("id", "key", F.explode("places").alias("place")).groupBy("id", "key").agg(F.collect_set("place").alias("gone"))
-    same = documents[id_col].cast("long").eqNullSafe(covered["id"]) & (F.xxhash64(documents[text_col]) == covered["key"])
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    joined = documents.join(covered, same, "left")
+    # input columns travel in one struct, so no name of theirs can clash
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_key"), F.split(F.col(text_col).cast("string"), "\n").alias("parts"))
+    joined = rows.join(covered, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left")
+    kept = F.array_join(F.filter("parts", lambda _, i: ~F.array_contains("gone", i)), "\n")
+    own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    value = lambda c: F.col("row").getField(c)
     return joined.select(
-        *(F.when(F.col("gone").isNull(), documents[c]).otherwise(kept).alias(c) if c == text_col else documents[c] for c in documents.columns),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.col("gone").isNull(), value(c)).otherwise(kept).alias(c) if c == text_col else value(c).alias(c) for c in own),
+        F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -179,8 +179,10 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, pool_rows
 
 
 def with_scores(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of `documents` and `quality_score` (0 to 1, probability of good quality)."""
+    """All columns of `documents` and `quality_score` (0 to 1, probability of good quality; it replaces a column of that name)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    inputs = documents.select("*", F.col("text").cast("string").alias("_text"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"))
+    kept = [c for c in documents.columns if c != "quality_score"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema.fields)
+    mark = "_" * (1 + max(len(c) for c in kept))  # longer than any name there is
+    inputs = documents.select(*kept, *(F.col(c).cast("string").alias(f"{c}{mark}") for c in ("text", "source", "lang")))
     return inputs.mapInArrow(_score(shared), f"{schema}, quality_score double")
