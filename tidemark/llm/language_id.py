@@ -78,8 +78,10 @@ class Model:
         for lang in self.languages:
             t = automaton(texts[lang], self.symbols, self.size)
             root = np.where(t[0] < 0, 0, t[0]) + base
-            # a missing edge begins a new phrase with this symbol; that is marked by a negative entry
-            tables.append(np.where(t < 0, -(root + 1)[None, :], t + base).astype(np.int32))
+            # negative entries begin a new phrase with this symbol: every step from the root, and every missing edge
+            t = np.where(t < 0, -(root + 1)[None, :], t + base)
+            t[0] = -(root + 1)
+            tables.append(t.astype(np.int32))
             self.roots.append(base)
             base += len(t)
         self.table = (np.concatenate(tables) if tables else np.zeros((0, self.size), np.int32)).ravel()
@@ -102,7 +104,7 @@ class Model:
         grid = np.ascontiguousarray(grid.T)
         n = len(self.languages)
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(lanes), 1)
-        count = np.ones((n, len(lanes)), np.int32)
+        count = np.zeros((n, len(lanes)), np.int32)
         alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
         width = np.int32(self.size)
         for step, m in enumerate(alive.tolist()):
