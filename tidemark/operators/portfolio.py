@@ -168,7 +168,7 @@ def no_trade_band(w: DataFrame, band: float) -> DataFrame:
 
 
 def hysteresis(scores: DataFrame, enter: float, leave: float, keys: list[str]) -> DataFrame:
-    """(keys, ts, position): 0 -> 1 at score >= enter, back at score < leave; mirrored for -1; no direct flip; a null score resets.
+    """(keys, ts, position): 0 -> 1 at score > enter, back at score < leave; mirrored for -1; no direct flip; a null score resets.
 
     A three-state automaton: each row is a map of states to states, and maps compose, so the fold runs over one array
     of a key's rows inside the JVM.
@@ -177,7 +177,7 @@ def hysteresis(scores: DataFrame, enter: float, leave: float, keys: list[str]) -
 
     def after(p: Column, x: Column) -> Column:
         s = x["score"]
-        return F.when(s.isNull(), 0).when(p == 0, F.when(s >= enter, 1).when(s <= -enter, -1).otherwise(0)).when(p == 1, F.when(s < leave, 0).otherwise(1)).otherwise(F.when(s > -leave, 0).otherwise(-1))
+        return F.when(s.isNull(), 0).when(p == 0, F.when(s > enter, 1).when(s < -enter, -1).otherwise(0)).when(p == 1, F.when(s < leave, 0).otherwise(1)).otherwise(F.when(s > -leave, 0).otherwise(-1))
 
     states = F.aggregate("r", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(after(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x))))
     return rows.select(*keys, F.explode(F.arrays_zip(F.col("r.ts").alias("ts"), states.alias("position"))).alias("z")).select(*keys, F.col("z.ts").alias("ts"), F.col("z.position").alias("position"))

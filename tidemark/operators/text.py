@@ -126,7 +126,10 @@ def occurrences(x: Column, words: list[str]) -> Column:
 
 def coerced(df: DataFrame, kinds: list[str]) -> DataFrame:
     """Extraction fields in range: unknown kinds are none, numbers are clamped, nulls and non-numbers take defaults."""
-    number = lambda c, lo, hi, default: F.coalesce(F.least(F.greatest(F.expr(f"try_cast({c} AS double)"), F.lit(float(lo))), F.lit(float(hi))), F.lit(default))
+    def number(c: str, lo: float, hi: float, default: float) -> Column:
+        x = F.expr(f"try_cast({c} AS double)")
+        return F.when(x.isNull(), default).otherwise(F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
+
     kind = F.lower("event_type")
     return df.withColumns({"event_type": F.when(kind.isin(kinds), kind).otherwise("none"), "sentiment": number("sentiment", -1, 1, 0.0), "severity": number("severity", 0, 1, 0.0), "confidence": number("confidence", 0, 1, 0.5)})
 

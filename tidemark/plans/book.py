@@ -187,8 +187,8 @@ def no_trade_band(s, d):
 
 
 @query("hysteresis_positions", f"""WITH RECURSIVE {S.SIGNALS}, rn AS (SELECT symbol, ts, alpha AS s, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM signals),
-h AS (SELECT symbol, ts, i, CASE WHEN s >= 0.02 THEN 1 WHEN s <= -0.02 THEN -1 ELSE 0 END AS p FROM rn WHERE i = 1 UNION ALL SELECT r.symbol, r.ts, r.i,
-  CASE WHEN s IS NULL THEN 0 WHEN p = 0 THEN (CASE WHEN s >= 0.02 THEN 1 WHEN s <= -0.02 THEN -1 ELSE 0 END) WHEN p = 1 THEN (CASE WHEN s < 0.005 THEN 0 ELSE 1 END) ELSE (CASE WHEN s > -0.005 THEN 0 ELSE -1 END) END FROM h JOIN rn r ON r.symbol = h.symbol AND r.i = h.i + 1)
+h AS (SELECT symbol, ts, i, CASE WHEN s > 0.02 THEN 1 WHEN s < -0.02 THEN -1 ELSE 0 END AS p FROM rn WHERE i = 1 UNION ALL SELECT r.symbol, r.ts, r.i,
+  CASE WHEN s IS NULL THEN 0 WHEN p = 0 THEN (CASE WHEN s > 0.02 THEN 1 WHEN s < -0.02 THEN -1 ELSE 0 END) WHEN p = 1 THEN (CASE WHEN s < 0.005 THEN 0 ELSE 1 END) ELSE (CASE WHEN s > -0.005 THEN 0 ELSE -1 END) END FROM h JOIN rn r ON r.symbol = h.symbol AND r.i = h.i + 1)
 SELECT symbol, ts, p::INT AS position FROM h""")
 def hysteresis_positions(s, d):
     return P.hysteresis(M.signals(s, d).withColumnRenamed("alpha", "score"), 0.02, 0.005, ["symbol"])

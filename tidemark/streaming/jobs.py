@@ -96,7 +96,7 @@ class HysteresisState(StatefulProcessor):
                 if pd.isna(s):
                     p = 0
                 elif p == 0:
-                    p = 1 if s >= self.enter else -1 if s <= -self.enter else 0
+                    p = 1 if s > self.enter else -1 if s < -self.enter else 0
                 elif p == 1:
                     p = 0 if s < self.leave else 1
                 else:
