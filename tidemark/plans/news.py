@@ -103,9 +103,9 @@ def keyword_events(s, d):
 
 
 @query("consistency_vote", """WITH c AS (SELECT user_id, event_type, count(*) AS c, sum(value) AS s FROM events GROUP BY 1, 2), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id) AS n, sum(s) OVER (PARTITION BY user_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) AS k FROM c)
-SELECT user_id, event_type, round(c / n, 6)::DOUBLE AS agreement, round(t / n, 6)::DOUBLE AS value, n::BIGINT AS n FROM r WHERE k = 1""")
+SELECT user_id, event_type, round(c / n, 6)::DOUBLE AS agreement, round(t / n, 9)::DOUBLE AS value, n::BIGINT AS n FROM r WHERE k = 1""")
 def consistency_vote(s, d):
-    return r6(T.consensus(M.table(s, d, "events"), "user_id", "event_type", "value"), "agreement", "value")
+    return r6(T.consensus(M.table(s, d, "events"), "user_id", "event_type", "value"), "agreement").withColumn("value", F.round("value", 9))
 
 
 @query("score_distinct", "SELECT doc_id, substr(text, 1, 80) AS title, length(substr(text, 1, 80))::DOUBLE AS score FROM documents")
