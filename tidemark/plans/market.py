@@ -19,7 +19,7 @@ def by_symbol():
 
 
 query("kline_range_scan", f"WITH {S.B1} SELECT symbol, ts, close, volume FROM b1 WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND symbol IN ('click', 'error')")(
-    lambda s, d: M.bars_1h(s, d).where("symbol in ('click', 'error') and ts >= timestamp'2024-01-05' and ts < timestamp'2024-01-20'").select("symbol", "ts", "close", "volume")
+    lambda s, d: B.from_ticks(M.ticks(s, d, ["click", "error"], "2024-01-05", "2024-01-20"), M.HOUR).select("symbol", "ts", "close", "volume")
 )
 
 query("symbols_present", "SELECT DISTINCT event_type AS symbol FROM events")(lambda s, d: M.table(s, d, "events").select(F.col("event_type").alias("symbol")).distinct())

@@ -15,9 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ticks(spark: SparkSession, sf_dir: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """All ticks, or those of some symbols and of a time range (start included, end not); filters are on stored columns, so the scan has them."""
+    rows = table(spark, sf_dir, "events")
+    kind = dict(rows.dtypes)["ts"]
+    if symbols is not None:
+        rows = rows.where(F.col("event_type").isin(symbols))
+    if start is not None:
+        rows = rows.where(F.col("ts") >= F.lit(start).cast(kind))
+    if end is not None:
+        rows = rows.where(F.col("ts") < F.lit(end).cast(kind))
     qty = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), qty.alias("qty"),
         F.when(F.col("user_id") % 2 == 0, qty).otherwise(0.0).alias("taker_buy_qty"), F.col("event_id").alias("seq"),
     )
