@@ -120,7 +120,7 @@ def _merge_counts(spec: SetSpec, bits: int):
 def token_counts(docs: DataFrame, spec: SetSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Over all texts: bitmap of repeated shingles, sorted frequent shingles (leading bits) and their counts, number of leading bits of a bucket."""
     spark = docs.sparkSession
-    bits = min(16, max(8, int(np.ceil(np.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))))
+    bits = min(20, max(8, int(np.ceil(np.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))))
     blocks = docs.select("text").mapInArrow(_count_blocks(spec, bits), "bucket long, keys binary, counts binary")
     merged = stored(blocks.groupBy("bucket").applyInArrow(_merge_counts(spec, bits), "bucket long, seen binary, keys array<long>, df array<long>"), "counts")
     pairs = merged.select("bucket", F.explode(F.arrays_zip("keys", "df")).alias("x")).select("bucket", "x.keys", "x.df")
