@@ -158,7 +158,7 @@ class CachedEncoder:
     #: ASCII punctuation that, after letters, is one pre-token (an apostrophe may begin another).
     TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
-    def __init__(self, path: str, size: int = 1_000_000):
+    def __init__(self, path: str, size: int = 600_000):
         import json
 
         from tokenizers import Tokenizer
