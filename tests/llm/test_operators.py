@@ -148,6 +148,29 @@ def test_reparameterised_questions(spark):
     assert [(r.doc_id, r.changed > 0) for r in got] == [(1, True)]
 
 
+def test_leaks_of_edited_short_and_numeric_items(spark):
+    base = [f"w{chr(97 + i)}x" for i in range(22)]
+    items = [
+        (1, " ".join(base)), (2, "Mary paid 3.50 for the bread and then she paid 3.75 for the milk."), (3, "what is the capital of peru"),
+        (4, "In Lima 12 Bob 13 Eve 14 Tom 15 Ann 16 Joe 17 Sam 18"), (5, " ".join(f"q{chr(97 + i)}z" for i in range(26)) + " rr ss tt uu vv"),
+    ]
+    long = items[4][1].split()
+    rows = [
+        (1, " ".join([*base[:11], "other", *base[12:]])), (2, "Mary paid 4.50 for the bread and then she paid 5.25 for the milk."), (3, "Once someone asked what is the capital of peru and left."),
+        (4, "Seen: In Lima 12 Bob 13 Eve 14 Tom 15 Ann 16 Joe 17 Sam 18 today."), (5, " ".join([*long[:15], "inserted", *long[15:]])), (6, "In Lima 22 Bob 23 Eve 24 Tom 25 Ann 26 Joe 27 Sam 28"), (7, "what is the capital of chile"),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.changed) for r in got) == [(1, 1, 0), (2, 2, 2), (3, 3, 0), (4, 4, 0), (5, 5, 0)]
+
+
+def test_inconsistent_slots_across_an_insertion(spark):
+    item = spark.createDataFrame([(1, "Today the old farmer Eve went out to sell some apples on the market and then the tired Eve came back home.")], "item_id long, text string")
+    text = "Today the old farmer {} went out to sell some apples really on the market and then the tired {} came back home."
+    rows = [(1, text.format("Anna", "Anna")), (2, text.format("Anna", "Tom"))]
+    got = {r.doc_id: (r.windows, r.changed) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), item).collect()}
+    assert got[1][0] > max(got.get(2, (0,))[0], 0) and got[1][1] == 1
+
+
 def test_tokens_equal_the_library(docs, texts):
     from tokenizers import Tokenizer
 

@@ -7,12 +7,16 @@ template words, at least half of them plain, are hashed in benchmark and documen
 
 Benchmark hashes make a bitmap of fixed size; documents send only windows that pass it to the join, so texts are never
 shuffled and the benchmark may be of any size. Joined windows are gathered by (document, item, shift between their
-positions): the share of an item's windows that one shift finds is its coverage. Slots must be consistent: within a
-match, equal item values stand for equal document values. A match of at least `coverage` with consistent slots is a
-leak; `changed` counts distinct slot values that differ, so 0 is a verbatim copy and more a re-parameterised question.
-
-Null and empty texts match nothing. A text of fewer than `words` words is one window by itself, and found only where a whole
-document is that window. Rows that repeat a doc_id are one document here; null ids are left out.
+positions). Slots must be consistent: within a match, equal item values stand for equal document values. A match is made
+of all shifts whose slots are consistent in themselves and with each other, so inserted and dropped words do not end it.
+Its coverage is the share of the item's words, among those in any of its windows, that the found windows cover. A match
+of at least `coverage` is a leak; `changed` counts distinct slot values that differ, so 0 is a verbatim copy and more a
+re-parameterised question.
+
+An item without a window that is half plain has windows of its words as they are, and is found as a copy only. An item of
+fewer than `words` words is one window of its own length, by template and by its words as they are, and is found wherever
+a document holds it. Null and empty texts match nothing. Rows that repeat a doc_id are one document here; null ids are
+left out.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, Pieces, chunks, mix
+from .bytewords import LOWER, MULTIPLIERS, Pieces, chunks, mix
 from .shared import bitmap
 
 #: Units that count as slots after a number.
@@ -36,17 +40,20 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 59, 63]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
 _UNIT_HASHES = np.sort(Pieces([" ".join(UNITS).encode()], _BREAK).hash)
-_WINDOW = "item long, at long, total long, hash long, slots array<struct<kind:int,place:int,value:long>>"
+_SLOTS = "array<struct<kind:int,value:long>>"
+_WINDOW = f"item long, at long, size int, total long, hash long, slots {_SLOTS}"
+_ARROW = pa.schema([("item", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("total", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.int64())])))])
+_LITERAL = np.uint64(0x5EED0004)
 
 
 class _Templates(Pieces):
-    """Words of a run with `kind` (0 plain, 1 number, 2 name, 3 unit) and `template` (hash)."""
+    """Words of a run with `kind` (0 plain, 1 number, 2 name, 3 unit), `hash` (of the template word) and `value`."""
 
     def __init__(self, run: list[bytes]):
         super().__init__(run, _BREAK, LOWER)
         if not len(self.start):
             self.kind = np.zeros(0, np.int64)
-            self.template = np.zeros(0, np.uint64)
+            self.value = np.zeros(0, np.uint64)
             return
         first = self.raw[self.start]
         second = self.raw[np.minimum(self.start + 1, len(self.raw) - 1)]
@@ -62,38 +69,115 @@ class _Templates(Pieces):
         kind = np.where(number, 1, np.where(unit, 3, np.where(capital & ~begins, 2, 0)))
         keep = np.flatnonzero(~(number & follows))
         self.start, self.end, self.doc, kind = self.start[keep], self.end[keep], self.doc[keep], kind[keep]
-        self.value = self.hash[keep]
+        # the value of numbers in a row ("3.50", "1,000,000") is that of all their pieces in order
+        place = np.arange(len(number)) - np.repeat(keep, np.diff(np.append(keep, len(number))))
+        self.value = np.add.reduceat(self.hash * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)), keep)
+        self.value = np.where(kind == 1, mix(self.value), self.hash[keep])
         self.count = np.bincount(self.doc, minlength=len(run))
         self.first = np.cumsum(self.count) - self.count
         self.kind = kind
         self.hash = np.select([kind == 1, kind == 2, kind == 3], [_NUMBER, _NAME, _UNIT], self.value)
 
 
-def _windows(words: int, filled: np.ndarray | None):
-    """Template windows of (id, text); those outside the bitmap `filled` are left out."""
+def _hashed(t: _Templates, size: int, literal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of each window of `size` words: by template if at least half plain, or of the words as they are."""
+    own = t.hash
+    if literal:
+        t.hash = t.value
+    h, _, at = t.windows(size, short=False)
+    t.hash = own
+    if not literal:
+        plain = np.concatenate([[0], np.cumsum(t.kind == 0)])
+        ok = 2 * (plain[at + size] - plain[at]) >= size
+        h, at = h[ok], at[ok]
+    return mix(h + np.uint64(size) * MULTIPLIERS[0] + (_LITERAL if literal else np.uint64(0))), at
+
+
+def _row(t: _Templates, item: int, a: int, size: int, total: int, h: np.uint64, literal: bool) -> dict:
+    slots = [] if literal else [{"kind": int(t.kind[j]), "value": int(t.value[j].astype(np.int64))} for j in range(a, a + size) if t.kind[j]]
+    return {"item": item, "at": a - int(t.first[t.doc[a]]), "size": size, "total": total, "hash": int(h.astype(np.int64)), "slots": slots}
+
+
+def _item_windows(words: int):
+    """Windows of benchmark items; `total` is the number of words in any window of the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = _Templates([text.encode("utf-8", "surrogatepass")] if isinstance(text, str) else [b""])
+                n = len(t.kind)
+                if not n:
+                    continue
+                size = min(words, n)
+                kinds = [False, True] if n < words else [False] if len(_hashed(t, size, False)[1]) else [True]
+                for literal in kinds:
+                    h, at = _hashed(t, size, literal)
+                    total = len(np.unique(at[:, None] + np.arange(size)))
+                    rows += [_row(t, item, a, size, total, h[i], literal) for i, a in enumerate(at.tolist())]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return run
+
+
+def _windows(sizes: list[int], filled):
+    """Windows of (id, text), for each of the items' sizes, that are in the broadcast bitmap `filled`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = filled if filled is None or isinstance(filled, np.ndarray) else filled.value
+        wanted = filled.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for base, texts in chunks(batch.column(1).to_pylist()):
                 t = _Templates(texts)
-                h, doc, at = t.windows(words)
-                if not len(h):
-                    continue
-                plain = np.concatenate([[0], np.cumsum(t.kind == 0)])
-                size = np.minimum(words, t.count[doc])
-                ok = 2 * (plain[at + size] - plain[at]) >= size
-                if wanted is not None:
-                    ok &= wanted[(h & np.uint64(len(wanted) - 1)).astype(np.int64)]
                 rows = []
-                total = np.maximum(1, t.count - words + 1)
-                for i in np.flatnonzero(ok).tolist():
-                    a, d = int(at[i]), int(doc[i])
-                    slots = [(int(t.kind[j]), int(j - a), int(t.value[j].astype(np.int64))) for j in range(a, a + int(size[i])) if t.kind[j]]
-                    rows.append({"item": ids[base + d], "at": a - int(t.first[d]), "total": int(total[d]), "hash": int(h[i].astype(np.int64)), "slots": [dict(zip(("kind", "place", "value"), s)) for s in slots]})
+                for size in sizes:
+                    for literal in (False, True):
+                        h, at = _hashed(t, size, literal)
+                        ok = np.flatnonzero(wanted[(h & np.uint64(len(wanted) - 1)).astype(np.int64)])
+                        rows += [_row(t, ids[base + int(t.doc[a])], a, size, 0, h[i], literal) for i, a in zip(ok.tolist(), at[ok].tolist())]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.int64()), ("at", pa.int64()), ("total", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("place", pa.int32()), ("value", pa.int64())])))]))
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return run
+
+
+def _best(units: list[tuple[frozenset, dict]], size: int, total: int) -> tuple[int, int, int, int]:
+    """(words, -changed, windows, slots) of the match that covers most: each shift in turn, joined by all that agree with it."""
+
+    def rank(windows, bound):
+        words = len({w + j for w in windows for j in range(size)})
+        return words, -sum(k[1] != v for k, v in bound.items()), len(windows), len(bound)
+
+    units = sorted(units, key=lambda u: rank(*u), reverse=True)
+    best = rank(*units[0])
+    for seed in units if best[0] < total else []:
+        windows, bound = set(seed[0]), dict(seed[1])
+        for more, theirs in units:
+            if not more <= windows and all(bound.get(k, v) == v for k, v in theirs.items()):
+                windows |= more
+                bound |= theirs
+        best = max(best, rank(windows, bound))
+    return best
+
+
+def _matches(coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                units = []
+                for u in r["units"]:
+                    bound = {(b["kind"], b["value"]): b["theirs"] for b in u["bound"]}
+                    if len(bound) == len(u["bound"]):
+                        units.append((frozenset(u["windows"]), bound))
+                if units:
+                    words, same, windows, slots = _best(units, r["size"], r["total"])
+                    if words >= coverage * r["total"]:
+                        rows.append((r["doc_id"], r["item_id"], windows, words / r["total"], slots, -same))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "windows", "coverage", "slots", "changed"])
 
     return run
 
@@ -104,25 +188,19 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, windows, coverage, slots, changed): a row for each document and benchmark item that it holds."""
     spark = documents.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_windows(words, None), _WINDOW)
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_item_windows(words), _WINDOW)
+    sizes = sorted(r.size for r in items.select("size").distinct().collect())
     filled = spark.sparkContext.broadcast(bitmap(items.select("hash"), "hash", bits, hashed=True))
-    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(_windows(words, filled), _WINDOW)
+    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(_windows(sizes, filled), _WINDOW)
     pairs = docs.select(F.col("item").alias("doc_id"), "at", "hash", F.col("slots").alias("theirs")).join(
-        items.select(F.col("item").alias("item_id"), F.col("at").alias("item_at"), "total", "hash", "slots"), "hash"
+        items.select(F.col("item").alias("item_id"), F.col("at").alias("item_at"), "size", "total", "hash", "slots"), "hash"
     )
-    shift = F.col("at") - F.col("item_at")
-    found = pairs.select("doc_id", "item_id", shift.alias("shift"), "item_at", "total", F.explode_outer(F.arrays_zip("slots", "theirs")).alias("z"))
-    slot = F.struct(F.col("z.slots.kind"), F.col("z.slots.value"))
-    both = F.struct(F.col("z.slots.kind"), F.col("z.slots.value"), F.col("z.theirs.value").alias("theirs"))
-    has = F.col("z").isNotNull() & F.col("z.slots").isNotNull()
-    by_shift = found.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("item_at").alias("windows"), F.max("total").alias("total"),
-        F.count_distinct(F.when(has, slot)).alias("slots"), F.count_distinct(F.when(has, both)).alias("bound"),
-        F.count_distinct(F.when(has & (F.col("z.slots.value") != F.col("z.theirs.value")), both)).alias("changed"),
+    bound = F.zip_with("slots", "theirs", lambda s, t: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), t["value"].alias("theirs")))
+    by_shift = pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.sort_array(F.collect_set("item_at")).alias("windows"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(bound)))).alias("bound"), F.max("total").alias("total"), F.max("size").alias("size"),
     )
-    good = by_shift.where((F.col("slots") == F.col("bound")) & (F.col("windows") >= F.col("total") * coverage))
-    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("windows", "total", "slots", "changed"), F.struct("windows", -F.col("changed"), -F.col("shift"))).alias("x"))
-    return best.select("doc_id", "item_id", "x.windows", (F.col("x.windows") / F.col("x.total")).alias("coverage"), "x.slots", "x.changed")
+    units = by_shift.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("windows", "bound")).alias("units"), F.max("total").alias("total"), F.max("size").alias("size"))
+    return units.select("doc_id", "item_id", "units", "total", "size").mapInArrow(_matches(coverage), "doc_id long, item_id long, windows long, coverage double, slots long, changed long")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
