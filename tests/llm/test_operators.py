@@ -281,6 +281,34 @@ def test_line_dedup_equals_brute_force(docs, texts):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == want
 
 
+def test_passages_equal_brute_force(docs, texts):
+    seen, want = set(), {}
+    for i in sorted(texts):
+        found = [(m.start(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i] or "")]
+        starts, w, gone = [a for a, _ in found], [b for _, b in found], set()
+        for a in range(len(w) - 49):
+            gone |= set(range(a, a + 50)) if tuple(w[a : a + 50]) in seen else set()
+            seen.add(tuple(w[a : a + 50]))
+        at, full = 0, []
+        for line in (texts[i] or "").split("\n"):
+            full += [(line, {k for k, s in enumerate(starts) if at <= s < at + len(line)})] if line else []
+            at += len(line) + 1
+        for a in range(len(full) - 2):
+            key = ("lines", *(x for x, _ in full[a : a + 3]))
+            gone |= set.union(*(x for _, x in full[a : a + 3])) if key in seen else set()
+            seen.add(key)
+        want[i] = (len(w), len(gone), [x for k, x in enumerate(w) if k not in gone])
+    got = {r.doc_id: (r.n_words, r.n_removed, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in line_dedup.without_passages(docs).collect()}
+    assert got == want
+
+
+def test_passages_in_few_lines_and_inside_lines(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(1, f"Start {passage} end"), (2, passage), (3, f"one\ntwo {passage}\nthree"), (4, f"a b\n{passage}\nc d"), (5, " ".join(passage.split()[:49])), (6, None)]
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (50, ""), 3: (50, "one\ntwo\nthree"), 4: (50, "a b\nc d"), 5: (0, rows[4][1]), 6: (0, None)}
+
+
 def test_pipeline_equals_its_stages(spark, docs, texts):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:3]:

@@ -8,6 +8,10 @@ covered places of each document meet its text in one join by id.
 Null texts stay null. Documents of fewer than `lines` non-empty lines are left as they are. Empty lines count neither as
 lines nor as breaks, and stay. A line repeated in a row keeps its first. Rows that repeat id and text count as one
 occurrence. Null ids come first.
+
+`without_passages` also finds runs of `words` words wherever they begin and end, whatever the white space between them. The
+least hash of the shorter runs inside such a run is its anchor: equal runs have equal anchors, so only runs whose anchor
+occurs again (by a bitmap of fixed size without false negatives) are shuffled, and no repeat is lost.
 """
 
 from __future__ import annotations
@@ -18,8 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .bytewords import NEWLINE, SPACE, Pieces, chunks, mix
+from .shared import bitmap
 
-from .bytewords import NEWLINE, Pieces, chunks
+_RATE = 0x9E3779B97F4A7C15
+_BACK = pow(_RATE, -1, 2**64)
 
 
 def _windows(lines: int):
@@ -59,3 +68,116 @@ def without_repeats(documents: DataFrame, lines: int = 3, id_col: str = "doc_id"
         *(F.when(F.col("gone").isNull(), value(c)).otherwise(kept).alias(c) if c == text_col else value(c).alias(c) for c in own),
         F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of k pieces, as differences of one polynomial's prefix sums modulo 2**64."""
+    n = len(h)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = (np.cumprod(np.full(n, x, np.uint64)) for x in (_RATE, _BACK))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
+    return mix((total[k:] - total[:-k]) * down[: n - k + 1])
+
+
+def _sliding(pick, x: np.ndarray, width: int) -> np.ndarray:
+    """`pick` (np.minimum or np.maximum) of every `width` values in a row."""
+    out, size = x, 1
+    while 2 * size <= width:
+        out, size = pick(out[:-size], out[size:]), 2 * size
+    return pick(out[: len(x) - width + 1], out[width - size :])
+
+
+def _word_runs(p: Pieces, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each run of `words` words is in one document, its anchor's hash, and the hashes of all places that are anchors."""
+    short = max(1, words // 3)
+    grams, width = _runs(p.hash, short), words - short + 1
+    if len(p.hash) < words:
+        return np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    own = p.doc[: len(p.doc) - words + 1] == p.doc[words - 1 :]
+    least = np.where(own, _sliding(np.minimum, grams, width), np.uint64(0))
+    none = np.zeros(width - 1, np.uint64)
+    return own, least, grams[grams == _sliding(np.maximum, np.concatenate([none, least, none]), width)]
+
+
+def _anchors(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in chunks(batch.column(2).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_word_runs(Pieces(texts, SPACE, None), words)[2].astype(np.int64))], ["hash"])
+
+    return run
+
+
+def _places(words: int, lines: int, repeated):
+    """Word ranges (at, size) of runs of lines, and of runs of words with a repeated anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = repeated.value
+        for batch in batches:
+            for base, texts in chunks(batch.column(2).to_pylist()):
+                w, p = Pieces(texts, SPACE, None), Pieces(texts, NEWLINE, None)
+                own, least, _ = _word_runs(w, words)
+                i = np.flatnonzero(own)
+                i = i[wanted[(least[i] & np.uint64(len(wanted) - 1)).astype(np.int64)]]
+                line_hash, doc, first = p.windows(lines, short=False)
+                begin = np.searchsorted(w.start, p.start[first])
+                size = np.searchsorted(w.start, p.end[first + lines - 1]) - begin
+                full = size > 0
+                h = np.concatenate([_runs(w.hash, words)[i], mix(line_hash[full] + np.uint64(_RATE))])
+                at = np.concatenate([i - w.first[w.doc[i]], begin[full] - w.first[doc[full]]])
+                rows = pa.array(np.concatenate([w.doc[i], doc[full]]) + base)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(np.concatenate([np.full(len(i), words), size[full]]).astype(np.int32))],
+                    ["id", "key", "hash", "at", "size"],
+                )
+
+    return run
+
+
+def _cut(raw: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text without some words; where words go, the white space with more line ends on either side of them stays."""
+    keep = np.flatnonzero(~gone)
+    if not len(keep):
+        return b""
+    out, before = [], -1
+    for k in keep.tolist():
+        left = raw[end[before] if before >= 0 else 0 : start[before + 1]]
+        right = raw[end[k - 1] : start[k]] if k else left
+        out += [right if before >= 0 and right.count(b"\n") > left.count(b"\n") else left, raw[start[k] : end[k]]]
+        before = k
+    return b"".join([*out, raw[end[-1] :]])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, counts, removed = [], [], []
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+            p = Pieces([raw], SPACE, None)
+            n = len(p.start)
+            step = np.zeros(n + 1, np.int64)
+            for g in gone or []:
+                step[g["at"]] += 1
+                step[g["at"] + g["size"]] -= 1
+            covered = np.cumsum(step)[:n] > 0
+            texts.append(_cut(raw, p.start, p.end, covered).decode("utf-8", "surrogatepass") if covered.any() else text)
+            counts.append(n), removed.append(int(covered.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_words", "n_removed"])
+
+
+def without_passages(documents: DataFrame, words: int = 50, lines: int = 3, bits: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of `documents`, `text_col` without later occurrences of runs of lines or words, and `n_words` and `n_removed` (words; they replace columns of these names)."""
+    docs = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    again = docs.mapInArrow(_anchors(words), "hash long").groupBy("hash").count().where("count > 1")
+    repeated = documents.sparkSession.sparkContext.broadcast(bitmap(again, "hash", bits, hashed=True))
+    places = docs.mapInArrow(_places(words, lines, repeated), "id long, key long, hash long, at int, size int")
+    place = F.struct("id", "key", "at")
+    first = places.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    later = places.join(first, "hash").where(place > F.col("first"))
+    covered = later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_key"), F.col(text_col).cast("string").alias("own_text"))
+    joined = rows.join(covered, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left").select("row", "own_text", "gone")
+    out = joined.mapInArrow(_without, StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+    own = [c for c in documents.columns if c not in ("n_words", "n_removed")]
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own), "n_words", "n_removed")

@@ -66,12 +66,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_ngram_jaccard_join, op3_media_columns, op4_benchmark_decontamination, op5_token_files, op6_quality_classifier, op7_source_mixing, op8_lm_scoring, op9_language_id, op10_line_dedup, pipeline]
+    own = [op1_license_scan, op2_ngram_jaccard_join, op3_media_columns, op4_benchmark_decontamination, op5_token_files, op6_quality_classifier, op7_source_mixing, op8_lm_scoring, op9_language_id, op10_line_dedup, op10_passage_dedup, pipeline]
     return {f.__name__: f for f in own}
 
 
