@@ -258,6 +258,17 @@ def test_language_on_held_out_documents(spark):
     assert r.acc > 0.98 and 0 <= r.lo and r.hi <= 1
 
 
+def test_language_with_little_text(spark):
+    d = spark.read.parquet(f"{SF2}/documents.parquet").where("text is not null and lang is not null")
+    train, test = d.where(~language_id.held_out()), d.where(language_id.held_out())
+    few = train.where("lang = 'en'").orderBy("doc_id").limit(20).withColumn("text", F.substring("text", 1, 100))
+    model = language_id.fit(train.where("lang <> 'en'").unionByName(few))
+    rows = language_id.predict_languages(test, model).join(test.select("doc_id", "lang"), "doc_id").select("lang", "lang_pred").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r.lang_pred == lang for r in rows if r.lang == lang]
+        assert own and sum(own) >= 0.9 * len(own), lang
+
+
 def test_licenses(spark, docs, texts):
     got = {(r.doc_id, r.license) for r in license_scan.license_blocks(docs).collect()}
     names = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0-line", "Released under the MIT License.": "MIT-line", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-line", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}

@@ -8,8 +8,10 @@ language that needs the fewest phrases, each language's number divided by what i
 Text is lower case; every run of characters that are not letters is one space. A whole document is parsed, in segments of
 `SEGMENT` bytes, all segments of a batch and all languages in step, as array look-ups in one transition table.
 
-The table is fitted on a bounded sample: for each language the documents with the smallest hash of their id, up to
-`sample_bytes` of normalised text in automaton and `own_bytes` held back (documents are cut there). Languages beyond
+The table is fitted on a bounded sample: for each language, documents in the order of their id's hash until `sample_bytes`
+of normalised text in automaton and `own_bytes` held back are reached. A document gives a sixteenth of that at first, and
+more only where the first parts of all documents are too few. Copies of a part count once, so held-back text is never in
+the automaton; where text is scarce, both get their proportion of it. Languages beyond
 `max_languages` (the most frequent are kept) raise an error rather than being dropped.
 
 Null texts and texts without a letter are `und` with score 0. Ties go to the language first in code point order. Rows
@@ -129,26 +131,29 @@ class Model:
 def fit(labelled: DataFrame, sample_bytes: int = 24_000, own_bytes: int = 8_000, max_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows with text and language. At most `sample_bytes` + `own_bytes` of text a language reach the driver."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().limit(max_languages + 1).collect()
+    total = sample_bytes + own_bytes
+    part = max(1, total // 16)
+    letters = lambda text: F.octet_length(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")))
+    text = F.col(text_col).cast("string")
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.sum(letters(F.substring(text, 1, part)).cast("long")).alias("n")).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    # The smallest hashes: a threshold by language that leaves about twice the rows needed, then a rank among those.
-    total = sample_bytes + own_bytes
-    need = max(16, total // 400)
+    # The smallest hashes: a threshold by language that leaves about four times the bytes needed, then a running sum over those.
     rank = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 30))
     near = F.lit(False)
     for lang, n in counts:
-        near = near | ((F.col(lang_col) == lang) & (rank < int(2**30 * min(1.0, 4 * need / n))))
-    order = Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"))
-    sample = rows.where(near).select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(F.col(text_col), 1, total).alias("text"))
-    sample = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= need).select("lang", "place", "text").collect()
+        near = near | ((F.col(lang_col) == lang) & (rank < int(2**30 * min(1.0, 4 * total / max(n, 1)))))
+    parts = F.transform(F.sequence(F.lit(0), F.least(F.lit(15), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / part)).cast("int")), lambda i: F.substring(text, i * part + 1, F.lit(part)))
+    sample = rows.where(near).select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.posexplode(parts).alias("part", "text"))
+    sample = sample.groupBy("lang", "text").agg(F.min(F.struct("part", "rank")).alias("place")).withColumn("size", letters(F.col("text")).cast("long")).where("size > 0")
+    order = Window.partitionBy("lang").orderBy("place", F.xxhash64("text"), "text")
+    sample = sample.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).where(F.col("before") < total).select("lang", "before", "text").collect()
     texts: dict[str, bytes] = {}
     own: dict[str, bytes] = {}
     for lang, _ in counts:
-        got = b" ".join(normalised(r.text) for r in sorted((r for r in sample if r.lang == lang), key=lambda r: r.place))
-        texts[lang], own[lang] = got[own_bytes:total], got[:own_bytes]
-        if len(texts[lang]) < own_bytes:
-            texts[lang] = got[:total]
+        got = b" ".join(normalised(r.text) for r in sorted((r for r in sample if r.lang == lang), key=lambda r: r.before))[:total]
+        held = min(own_bytes, len(got) * own_bytes // total)
+        texts[lang], own[lang] = got[held:], got[:held]
     return Model({k: v for k, v in texts.items() if v}, own)
 
 
