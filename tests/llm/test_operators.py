@@ -278,6 +278,19 @@ def test_licenses(spark, docs, texts):
     assert {i: r.license for i, r in found.items() if i != 2} == {3: "MIT", 5: "GPL-2.0"} and "rent" in found[3].differences
 
 
+def test_wrapped_and_several_licenses(spark):
+    import textwrap
+
+    wrapped = lambda name: "\n".join(textwrap.wrap(license_scan.TEMPLATES[name][0], 75))
+    full = ("GPL-3.0", "MIT", "BSD-3-Clause", "Apache-2.0", "ISC", "Unlicense", "MPL-2.0")
+    rows = [(i, "Some prose of the author before.\n\n" + wrapped(n) + "\n\nAnd more prose after it.") for i, n in enumerate(full)]
+    rows += [(20, "Released under CC BY-SA 4.0."), (21, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (22, wrapped("MIT") + "\n\n" + wrapped("GPL-2.0") + "\n\n" + wrapped("GPL-3.0") + "\n" + wrapped("MIT"))]
+    got = {}
+    for r in license_scan.license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "block_start").collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got == {i: [n] for i, n in enumerate(full)} | {20: ["CC-BY-SA-4.0"], 21: ["MIT-line", "Apache-2.0-line"], 22: ["MIT", "GPL-2.0", "GPL-3.0", "MIT"]}
+
+
 def test_line_dedup_equals_brute_force(docs, texts):
     seen, want = set(), {}
     for i in sorted(texts):
