@@ -235,6 +235,15 @@ def test_lm_gradient_and_learning(spark, docs):
     assert r.s / r.n > -7.0 + 0.5
 
 
+def test_lm_trains_on_every_token(spark):
+    d = spark.createDataFrame([(i, "one two three four " * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
+    vocabulary, v = masked_lm.train(d)
+    ids = vocabulary.ids(bytewords.Pieces([b"one two three four"]).hash)
+    untrained = masked_lm.initial(np.ones(masked_lm.VOCABULARY))["member_w"]
+    moved = np.abs(masked_lm.shaped(v)["member_w"] - untrained).reshape(masked_lm.VOCABULARY, -1).max(1)
+    assert np.array_equal(v, masked_lm.train(d, rounds=1, stride=1)[1]) and not np.array_equal(v, masked_lm.train(d, rounds=1, stride=4)[1]) and moved[ids].min() > 0
+
+
 def test_phrases_equal_greedy_parsing():
     model = language_id.Model({"a": b"the cat sat on the mat", "b": b"der hund lag im haus"}, {})
 

@@ -8,7 +8,7 @@ masked; the mean makes documents of different lengths comparable.
 
 Everything the model has comes from the whole corpus: word counts are summed over all documents, and training runs as
 data-parallel rounds. In a round each task goes once over its documents, from the parameters of the last round (every token is
-context, every `stride`-th a target, with another offset in each round), and the tasks' parameters are averaged by
+context, every `stride`-th a target: all of them by default, with another offset in each round if there are more), and the tasks' parameters are averaged by
 their numbers of targets. Parameters are summed by index in one shuffle whose size is tasks times parameters; the
 driver only holds one set of parameters (about 1 MB), whatever the corpus.
 
@@ -216,7 +216,7 @@ def _score(shared):
     return run
 
 
-def train(documents: DataFrame, rounds: int = 1, stride: int = 4, rate: float = 0.1, flush: int = 1 << 22, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
+def train(documents: DataFrame, rounds: int = 1, stride: int = 1, rate: float = 0.1, flush: int = 1 << 22, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and parameters from all texts."""
     texts = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     context = documents.sparkSession.sparkContext
