@@ -41,6 +41,7 @@ def jobs(benchmark, labels):
     return {
         "license": lambda d: license_scan.license_blocks(d),
         "join": lambda d: ngram_join.similarity_classes(d),
+        "one_each": lambda d: ngram_join.one_of_each_class(d),
         "media": lambda d: media.described(media.texts_as_images(d)),
         "leaks": lambda d: decontaminate.leaks(d, benchmark),
         "clean": lambda d: decontaminate.without_leaks(d, benchmark),
@@ -57,7 +58,7 @@ def jobs(benchmark, labels):
 ONE_A_ROW = ("join", "media", "tokens", "quality", "mix", "lm", "language", "lines")
 
 
-@pytest.mark.parametrize("name", ["license", "join", "media", "leaks", "clean", "tokens", "quality", "mix", "lm", "language", "lines", "mix_stage"])
+@pytest.mark.parametrize("name", ["license", "join", "one_each", "media", "leaks", "clean", "tokens", "quality", "mix", "lm", "language", "lines", "mix_stage"])
 def test_odd_rows_and_no_rows(odd, nothing, benchmark, labels, name):
     run = jobs(benchmark, labels)[name]
     rows = run(odd).collect()
@@ -82,3 +83,14 @@ def test_results_of_odd_rows(odd, benchmark, labels):
     assert all(a[1] + a[2] == b[1] for a, b in zip(tokens, tokens[1:]))
     images = {r.doc_id: r for r in run["media"](odd).collect()}
     assert (images[1].n_bytes, images[1].payload_bytes) == (0, 64) and images[5].feature == images[6].feature
+
+
+def test_one_of_each_class_stays(odd, spark):
+    got = ngram_join.one_of_each_class(odd)
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(None, PROSE), (3, PROSE), (2, other), (2, PROSE), (2, PROSE), (9, other + " more"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id or 0), (r.text or "")) for r in ngram_join.one_of_each_class(df).collect())
+    assert got == sorted([(0, ""), (2, other), (2, PROSE)])

@@ -36,17 +36,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of whole texts as UTF-8 with about `limit` bytes (a longer text is a run of its own), and where each starts."""
+def chunks(texts, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of whole texts as UTF-8 with about `limit` bytes (a longer text is a run of its own), and where each starts.
+
+    `texts` is a list or an Arrow column; of a column, 256 values at a time become Python strings.
+    """
     run: list[bytes] = []
     size, first = 0, 0
-    for i, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
-        if run and size + len(b) > limit:
-            yield first, run
-            run, size, first = [], 0, i
-        run.append(b)
-        size += len(b)
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256] if isinstance(texts, list) else texts.slice(at, 256).to_pylist()
+        for i, t in enumerate(part, at):
+            b = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
+            if run and size + len(b) > limit:
+                yield first, run
+                run, size, first = [], 0, i
+            run.append(b)
+            size += len(b)
     if run:
         yield first, run
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, MULTIPLIERS, Pieces, chunks, mix
-from .shared import bitmap
+from .shared import bitmap, has
 
 #: Units that count as slots after a number.
 UNITS = "kg g mg lb oz t km m cm mm mi ft in yd l ml gal h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months year years percent dollar dollars euro euros usd eur gbp cent cents mph kmh hz khz mhz ghz kb mb gb tb w kw v a k c f".split()
@@ -128,13 +128,13 @@ def _windows(sizes: list[int], filled):
         wanted = filled.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for base, texts in chunks(batch.column(1).to_pylist()):
+            for base, texts in chunks(batch.column(1)):
                 t = _Templates(texts)
                 rows = []
                 for size in sizes:
                     for literal in (False, True):
                         h, at = _hashed(t, size, literal)
-                        ok = np.flatnonzero(wanted[(h & np.uint64(len(wanted) - 1)).astype(np.int64)])
+                        ok = np.flatnonzero(has(wanted, (h & np.uint64(8 * len(wanted) - 1)).astype(np.int64)))
                         rows += [_row(t, ids[base + int(t.doc[a])], a, size, 0, h[i], literal) for i, a in zip(ok.tolist(), at[ok].tolist())]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)

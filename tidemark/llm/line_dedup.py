@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .bytewords import NEWLINE, SPACE, Pieces, chunks, mix
-from .shared import bitmap
+from .shared import bitmap, has
 
 _RATE = 0x9E3779B97F4A7C15
 _BACK = pow(_RATE, -1, 2**64)
@@ -34,7 +34,7 @@ _BACK = pow(_RATE, -1, 2**64)
 def _windows(lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, texts in chunks(batch.column(2).to_pylist()):
+            for base, texts in chunks(batch.column(2)):
                 p = Pieces(texts, NEWLINE, None)
                 h, doc, at = p.windows(lines, short=False)
                 breaks = np.cumsum(NEWLINE[p.raw])
@@ -103,7 +103,7 @@ def _word_runs(p: Pieces, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _anchors(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column(2).to_pylist()):
+            for _, texts in chunks(batch.column(2)):
                 yield pa.RecordBatch.from_arrays([pa.array(_word_runs(Pieces(texts, SPACE, None), words)[2].astype(np.int64))], ["hash"])
 
     return run
@@ -115,11 +115,11 @@ def _places(words: int, lines: int, repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = repeated.value
         for batch in batches:
-            for base, texts in chunks(batch.column(2).to_pylist()):
+            for base, texts in chunks(batch.column(2)):
                 w, p = Pieces(texts, SPACE, None), Pieces(texts, NEWLINE, None)
                 own, least, _ = _word_runs(w, words)
                 i = np.flatnonzero(own)
-                i = i[wanted[(least[i] & np.uint64(len(wanted) - 1)).astype(np.int64)]]
+                i = i[has(wanted, (least[i] & np.uint64(8 * len(wanted) - 1)).astype(np.int64))]
                 line_hash, doc, first = p.windows(lines, short=False)
                 begin = np.searchsorted(w.start, p.start[first])
                 size = np.searchsorted(w.start, p.end[first + lines - 1]) - begin

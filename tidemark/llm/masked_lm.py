@@ -136,7 +136,7 @@ def _word_counts(flush: int):
             return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["word", "n"])
 
         for batch in batches:
-            for _, run_ in chunks(batch.column(0).to_pylist()):
+            for _, run_ in chunks(batch.column(0)):
                 held.append(Pieces(run_).hash)
                 size += len(held[-1])
                 if size >= flush:
@@ -181,7 +181,7 @@ def _train(shared, stride: int, offset: int, rate: float):
             kept, size = [(ctx[:, end:], target[end:])], len(target) - end
 
         for batch in batches:
-            for _, run_ in chunks(batch.column(0).to_pylist()):
+            for _, run_ in chunks(batch.column(0)):
                 w = Pieces(run_)
                 ids = vocabulary.ids(w.hash)
                 at = np.arange(offset, len(ids), stride)
@@ -203,7 +203,7 @@ def _score(shared):
         p = shaped(v)
         for batch in batches:
             sums, sizes = [], []
-            for _, run_ in chunks(batch.column(1).to_pylist(), 256 << 10):
+            for _, run_ in chunks(batch.column(1), 256 << 10):
                 w = Pieces(run_)
                 ids = vocabulary.ids(w.hash)
                 around = Context(ids, w.doc)

@@ -15,10 +15,12 @@ where frequent tokens are indexed by combination (k-wise signatures, Wang et al.
   depends on the octave of n; a set near an octave's lower end signs for the octave below as well.
 * A signature seen once can link nothing. A bitmap of fixed size (`bitmap_bits`) drops most rare tokens that only
   one document has before they are shuffled; its false positives cost rows, never links.
+* Signatures with the same member sets are one: what two documents share is compared once, not once for each signature.
 * Sets sharing a signature are first compared with the most central set of that signature (a star, not all pairs): the
-  one with the largest share of frequent tokens, which in a group of edited copies is the one they derive from. Only
-  signatures that still hold several components are then joined with themselves, between components only. A parity
-  sketch bounds the symmetric difference from below within the join; what remains is verified on the exact sets.
+  one with the largest share of frequent tokens, which in a group of edited copies is the one they derive from. Only in
+  signatures that still hold several components, the sets outside the largest one are then compared with all others.
+* A parity sketch of one to two bits a token bounds the symmetric difference from below within the join. What remains
+  is verified on the exact sets, which are sent once for each `batch` partners of a set, not once for each pair.
 
 Equal sets are one node from the start, so copies never meet each other. No step collects documents, links or
 components to the driver.
@@ -37,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import chunks, mix, shingle_sets
-from .shared import bitmap, components, forget, stored
+from .shared import bitmap, components, forget, has, stored
 
-SKETCH_WORDS = 8
+#: 64-bit words of the short sketch, and of the longest one
+SHORT, LONGEST = 8, 256
 _U = np.uint64
 
 
@@ -53,7 +56,9 @@ class SetSpec:
     frequent_bound: int = 1 << 19
     bitmap_bits: int = 27
     #: shingles sorted at once in a task
-    flush: int = 1 << 21
+    flush: int = 1 << 20
+    #: partners for which a set is sent once
+    batch: int = 64
 
 
 def _count_blocks(spec: SetSpec, bits: int):
@@ -76,7 +81,7 @@ def _count_blocks(spec: SetSpec, bits: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts"])
 
         for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist()):
+            for _, texts in chunks(batch.column(0)):
                 for s in shingle_sets(texts, spec.words):
                     held.append(s)
                     size += len(s)
@@ -183,10 +188,19 @@ def _node(s: np.ndarray) -> int:
     return int(mix((mix(x) * np.array([1, 3, 5], np.uint64)).sum(keepdims=True))[0].astype(np.int64))
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens in each of 512 cells: two sets differ in at least as many tokens as cells."""
-    odd = (np.bincount((s >> _U(7)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+def sketch(s: np.ndarray) -> list[int]:
+    """Parity of the number of tokens in each of a power of two of cells: two sets differ in at least as many tokens as cells.
+
+    The short form (SHORT words) comes first; sets above 64 * SHORT tokens have a long form of at least a cell a token after it.
+    """
+    words = SHORT
+    while words * 64 < len(s) and words < LONGEST:
+        words *= 2
+    odd = np.bincount((s >> _U(7)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
+    full = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    if words == SHORT:
+        return full.tolist()
+    return np.concatenate([np.bitwise_xor.reduce(full.reshape(-1, SHORT)), full]).tolist()
 
 
 def _sign(spec: SetSpec, counts):
@@ -194,7 +208,7 @@ def _sign(spec: SetSpec, counts):
         seen, key, count, bits = counts.value
         for batch in batches:
             sizes, nodes, central, sketches, sigs = [], [], [], [], []
-            for _, texts in chunks(batch.column(1).to_pylist()):
+            for _, texts in chunks(batch.column(2)):
                 for s in shingle_sets(texts, spec.words):
                     sizes.append(len(s))
                     if not len(s):
@@ -207,38 +221,27 @@ def _sign(spec: SetSpec, counts):
                         df = np.where(key[at] == lead, count[at], 0)
                     bit = (s >> _U(64 - spec.bitmap_bits)).astype(np.int64)
                     repeated = (seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
-                    nodes.append(_node(s)), sketches.append(_sketch(s).tolist())
+                    nodes.append(_node(s)), sketches.append(sketch(s))
                     central.append(int(1e6 * (df > 0).mean()))
                     sigs.append(signatures(s, df, repeated, spec.percent).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(central, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "central", "sketch", "sigs"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(central, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n", "node", "central", "sketch", "sigs"],
             )
 
     return run
 
 
-def _verified(spec: SetSpec):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = (batch.column(i) for i in range(4))
-            keep = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= spec.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _sets_of(spec: SetSpec, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            b = batch.filter(pa.array(wanted.value[batch.column(1).to_numpy()]))
-            for _, texts in chunks(b.column(0).to_pylist()):
-                sets = [s for s in shingle_sets(texts, spec.words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+            b = batch.filter(pa.array(has(wanted.value, batch.column(1).to_numpy())))
+            for _, texts in chunks(b.column(0)):
+                sets = {_node(s): s for s in shingle_sets(texts, spec.words) if len(s)}
+                fresh = [x for x in sets if x not in done]
+                done.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([sets[x].view(np.int64) for x in fresh], pa.list_(pa.int64()))], ["node", "tokens"])
 
     return run
 
@@ -246,14 +249,19 @@ def _sets_of(spec: SetSpec, wanted):
 def _links(pairs: DataFrame, docs: DataFrame, spec: SetSpec) -> DataFrame:
     """Those of the stored `pairs` (a, b, doc_a, doc_b) whose exact sets link. Reads the texts once, through a bitmap of the ids that occur."""
     bits = 1 << 24
-    ids = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")), "doc_id", bits))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id", bits))
-    sets = docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("cell")).mapInArrow(_sets_of(spec, wanted), "node long, tokens binary")
+    sets = docs.where("doc_id is not null").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("cell")).mapInArrow(_sets_of(spec, wanted), "node long, tokens array<long>")
     sets = stored(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"))
-    full = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "tokens_a", "tokens_b")
-    links = stored(full.mapInArrow(_verified(spec), "a long, b long"), "verified")
+    wanted.destroy()
+    # the partners of a set are dealt to groups of about `batch`, and each group gets the set once
+    partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    grouped = pairs.select("a", "b").join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / spec.batch)).alias("g"))
+    left = grouped.select("a", "g").distinct().join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    right = grouped.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    links = right.join(left, ["a", "g"]).withColumn("both", both).where(100 * F.col("both") >= spec.percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    links = stored(links, "verified")
     forget(sets)
     return links
 
@@ -261,8 +269,20 @@ def _links(pairs: DataFrame, docs: DataFrame, spec: SetSpec) -> DataFrame:
 def _close(spec: SetSpec) -> F.Column:
     """False only for pairs that cannot link, by size or by sketch (columns n_a, n_b, sketch_a, sketch_b)."""
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    cells = sum((F.bit_count(F.expr(f"sketch_a[{i}] ^ sketch_b[{i}]")) for i in range(SKETCH_WORDS)), F.lit(0))
-    return (low * 100 >= high * spec.percent) & (cells * (100 + spec.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - spec.percent))
+    may = lambda cells: cells * (100 + spec.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - spec.percent)
+    short = sum((F.bit_count(F.expr(f"sketch_a[{i}] ^ sketch_b[{i}]")) for i in range(SHORT)), F.lit(0))
+
+    def halved(x: F.Column) -> F.Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def cells(x: F.Column, y: F.Column) -> F.Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+
+    a, b = (F.slice(F.col(f"sketch_{x}"), F.lit(SHORT + 1), F.greatest(F.size(f"sketch_{x}") - SHORT, F.lit(0))) for x in "ab")
+    long = F.when(F.size(a) == F.size(b), cells(a, b)).when(F.size(a) > F.size(b), cells(halved(a), b)).otherwise(cells(a, halved(b)))
+    has_long = (F.size("sketch_a") > SHORT) & (F.size("sketch_b") > SHORT)
+    return F.when((low * 100 < high * spec.percent) | ~may(short), False).when(has_long, may(long)).otherwise(True)
 
 
 def similarity_classes(documents: DataFrame, spec: SetSpec = SetSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,49 +290,75 @@ def similarity_classes(documents: DataFrame, spec: SetSpec = SetSpec(), id_col:
 
     `id_col` is a long. A null id is a document of its own value; a null component is possible only for null ids.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(token_counts(docs, spec))
-    signed = stored(docs.mapInArrow(_sign(spec, counts), "doc_id long, n long, node long, central int, sketch array<long>, sigs array<long>"), "signed")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return _classes(docs, spec).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    nodes = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("doc"))
-    nodes = nodes.select("node", "doc", "x.n", "x.sketch")
-    own = signed.select("doc_id", "node", "central", "sigs").join(nodes.select("node", F.col("doc").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    rows = own.select("node", "central", F.explode("sigs").alias("sig"))
-    pivots = rows.groupBy("sig").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "pivot")
-    members = stored(rows.join(pivots, "sig").select("sig", "pivot", "node"), "members")
 
-    def described(pairs: DataFrame) -> DataFrame:
-        of = lambda side: nodes.select(F.col("node").alias(side), F.col("doc").alias(f"doc_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-        return stored(pairs.join(of("b"), "b").join(of("a"), "a").where(_close(spec)).select("a", "b", "doc_a", "doc_b"), "pairs")
+def _classes(rows: DataFrame, spec: SetSpec) -> DataFrame:
+    """(doc_id, mark, n_shingles, class, component_id) of the rows (doc_id, mark, text); class: a node that stands for the component."""
+    docs = rows.select("doc_id", "text")
+    counts = docs.sparkSession.sparkContext.broadcast(token_counts(docs, spec))
+    signed = stored(rows.mapInArrow(_sign(spec, counts), "doc_id long, mark long, n long, node long, central int, sketch array<long>, sigs array<long>"), "signed")
+    counts.destroy()
+
+    first = signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    own = signed.join(first, ["node", "doc_id"], "left_semi")
+    nodes = stored(own.select("node", F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["node"]), "nodes")
+    rows = own.select("node", "central", F.explode("sigs").alias("sig"))
+    members = stored(_members(rows), "members")
 
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("doc").alias(f"doc_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     star = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _links(described(star), docs, spec)
-    labels = stored(components(links), "labels")
-
-    # Signatures that still hold several components: all pairs between components, none within one.
-    held = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    open_sigs = held.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    rest = stored(held.join(open_sigs, "sig").distinct().join(nodes.select("node", "n", "sketch"), "node"), "open")
-    left = rest.select("sig", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "sketch")))
-    right = rest.select("sig", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "sketch")))
-    tried = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    across = left.join(right, "sig").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _close(spec))
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(described(across), docs, spec)
+    close = stored(star.join(of("b"), "b").join(of("a"), "a").where(_close(spec)).select("a", "b", "doc_a", "doc_b"), "pairs")
+    labels = stored(components(_links(close, docs, spec)), "labels")
+
+    # Signatures that still hold several components: their sets outside the largest one with all others.
+    held = members.join(labels, "node", "left").select("sig", "pivot", "node", F.coalesce("label", "node").alias("label"))
+    parts = held.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
+    opened = parts.groupBy("sig").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", "largest")
+    rest = stored(held.join(opened, "sig").join(nodes, "node").select("sig", "pivot", "node", "doc", "label", "n", "sketch", (F.col("label") == F.col("largest")).alias("inside")).distinct(), "open")
+    left, right = (rest.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("pivot", "node", "doc", "label", "n", "sketch", "inside"))) for x in "ab")
+    once = F.col("inside_b") | (F.col("node_a") < F.col("node_b"))
+    untried = (F.col("node_a") != F.col("pivot_a")) & (F.col("node_b") != F.col("pivot_b"))
+    across = left.where("not inside_a").join(right, "sig").where((F.col("label_a") != F.col("label_b")) & once & untried & _close(spec))
+    more = _links(stored(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("doc_a"), F.col("doc_b")).distinct(), "pairs"), docs, spec)
     lifted = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(lifted.select(F.coalesce("la", "a"), F.coalesce("lb", "b"))))
 
-    tagged = signed.select("doc_id", "n", "node").join(joined, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    least = tagged.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (
-        tagged.join(least, "label", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = nodes.select("node", "doc").join(joined, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
+    least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
+    classes = classes.join(least, "label").select("node", F.col("label").alias("class"), "component_id")
+    tagged = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
+    return tagged.select("doc_id", "mark", "n_shingles", F.coalesce("class", "node").alias("class"), "component_id")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """(sig, pivot, node) of the signatures (node, central, sig) with several nodes; of signatures with equal members, one."""
+    by_sig = rows.groupBy("sig").agg(
+        F.max_by("node", F.struct("central", "node")).alias("pivot"), F.count(F.lit(1)).alias("k"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.expr("bit_xor(xxhash64(node))").alias("mark"), F.expr("bit_xor(xxhash64(node, 1))").alias("mark2"),
     )
+    several = by_sig.where("low <> high").groupBy("k", "low", "high", "mark", "mark2").agg(F.min(F.struct("sig", "pivot")).alias("x")).select("x.sig", "x.pivot")
+    return rows.select("node", "sig").join(several, "sig").select("sig", "pivot", "node")
 
 
 def one_of_each_class(documents: DataFrame, spec: SetSpec = SetSpec()) -> DataFrame:
-    """Rows of `documents` (all columns) but those of a class with a smaller doc_id. Rows without words stay."""
-    classes = similarity_classes(documents, spec)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    """Rows of `documents` (all columns), one of each class: the one with the smallest doc_id (a null id comes last).
+
+    Of rows that repeat both doc_id and text, one stays. Rows without words are in no class and stay.
+    """
+    mark = F.xxhash64(F.col("text").cast("string"))
+    id_ = F.col("doc_id").cast("long")
+    keyed = documents.select(id_.alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text"))
+    rows = stored(_classes(keyed, spec), "classes").where("class is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    winners = rows.groupBy("class").agg(F.min(order).alias("w"))
+    keys = rows.join(winners, "class").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("k"), F.min(order == F.col("w")).alias("stays"))
+    out_of_place = stored(keys.where("not stays or k > 1"), "dropped")
+
+    own = documents.select(F.struct("*").alias("row"), id_.alias("own_id"), mark.alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark"))
+    single = own.join(out_of_place, same, "left_anti").select("row")
+    hashed = [f"row.`{f.name}`" for f in documents.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    again = own.join(out_of_place.where("stays"), same, "left_semi").groupBy("own_id", "own_mark").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row")).select("row")
+    return single.union(again).select("row.*")

@@ -146,7 +146,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for at, run in chunks(batch.column(1).to_pylist(), 1 << 20):
+        for at, run in chunks(batch.column(1)):
             both = np.concatenate([content_features(run), metadata_features(run, source[at : at + len(run)], lang[at : at + len(run)])], 1).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([x.tobytes() for x in both], pa.binary())], ["label", "features"])
 
@@ -155,7 +155,7 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, lang, scores = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), []
-            for at, texts in chunks(batch.column(batch.num_columns - 3).to_pylist(), 1 << 20):
+            for at, texts in chunks(batch.column(batch.num_columns - 3)):
                 scores.append(shared.value.score(content_features(texts), metadata_features(texts, source[at : at + len(texts)], lang[at : at + len(texts)])))
             keep = batch.columns[: batch.num_columns - 3]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*batch.schema.names[: len(keep)], "quality_score"])

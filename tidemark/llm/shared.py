@@ -42,7 +42,10 @@ def forget(df: DataFrame) -> None:
 
 
 def bitmap(ids: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = False) -> np.ndarray:
-    """A bit for each class of a long column (its xxhash64, or, if `hashed`, itself, modulo `bits`): a filter of fixed size without false negatives, made by SQL."""
+    """A bit for each class of a long column (its xxhash64, or, if `hashed`, itself, modulo `bits`): a filter of fixed size without false negatives, made by SQL.
+
+    Bits are packed, eight in a byte; `has` looks them up.
+    """
     at = f"pmod({column if hashed else f'xxhash64({column})'}, {bits})"
     words = (
         ids.select(F.expr(f"shiftright({at}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("bit"))
@@ -50,7 +53,12 @@ def bitmap(ids: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = Fals
     )
     out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places `at` are set in a bitmap."""
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def components(links: DataFrame) -> DataFrame:
