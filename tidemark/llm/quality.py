@@ -5,15 +5,18 @@ counts of length one. The metadata view knows the page, not its words: hashed so
 and number of lines, mean and variance of line lengths, and the shares of capitals, digits, punctuation and repeats
 among neighbouring words. Each has a logistic regression.
 
-Both start on labelled rows. In each round either gives the other its most confident pseudo-labels on an unlabelled pool
-(in the classes' proportions, at least `confidence` sure), and both are fitted again. Then each view's output is
-calibrated (Platt) on labelled rows kept out of fitting, and the mean of the calibrated log-odds scores every document.
+Both start on labelled rows. In each round both classify every unlabelled document; each gives the other `exchange`
+pseudo-labels, in the classes' proportions: of all documents that it is at least `confidence` sure of, those with the
+smallest hashes, an even sample of them. Then both are fitted again. At the end each view's output is calibrated (Platt)
+on labelled rows kept out of fitting, and the mean of the calibrated log-odds scores every document.
 
-The fit takes a bounded sample: the labelled rows with the `fit_rows` smallest hashes of their id, and a pool of
-`pool_rows` by the same rule; their features (about 2 KB a row) reach the driver. Scoring is by row, without a shuffle.
+The labelled rows that are fitted on are a bounded sample, those with the `fit_rows` smallest hashes of their id; features
+(about 2 KB a row) of these and of the exchanged rows reach the driver, nothing else. Rounds and scoring are by row, without
+a shuffle of texts.
 
 Null and empty texts have the features of an empty page. A null label is no label. Without labels of both classes every
-score is the share of good labels (1 without any). Rows with repeated ids are each scored.
+score is the share of good labels (1 without any). Rows with repeated ids are each scored; of those with a label, one is
+fitted on.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, NEWLINE, Pieces, chunks, mix
+from .bytewords import LOWER, NEWLINE, Pieces, chunks
 
 DIMENSIONS = 1024
 SOURCES, LANGUAGES = 16, 8
@@ -79,15 +82,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
-    """Weights (bias last) by accelerated gradient descent; the mean loss has a Lipschitz constant below max |x|^2 / 4."""
-    x, y = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1), y.astype(np.float32)
-    rate = 1 / (0.25 * float((x * x).sum(1).max()) + ridge)
-    w = ahead = np.zeros(x.shape[1], np.float32)
-    rate, ridge = np.float32(rate), np.float32(ridge)
+def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
+    """Weights (bias last) of the rows in `use`, by accelerated gradient descent; the mean loss has a Lipschitz constant below (1 + max |x|^2) / 4."""
+    share = use.astype(np.float32) / max(1, use.sum())
+    y, ridge = y.astype(np.float32), np.float32(ridge)
+    rate = np.float32(1 / (0.25 * (1 + float(np.einsum("ij,ij->i", x, x).max())) + ridge))
+    w = ahead = np.zeros(x.shape[1] + 1, np.float32)
     for i in range(steps):
-        grad = x.T @ (_sigmoid(x @ ahead) - y) / len(y) + ridge * ahead
-        fresh = ahead - rate * grad
+        off = (_sigmoid(x @ ahead[:-1] + ahead[-1]) - y) * share
+        fresh = ahead - rate * (np.append(off @ x, off.sum()) + ridge * ahead)
         ahead, w = fresh + np.float32(i / (i + 3)) * (fresh - w), fresh
     return w.astype(np.float64)
 
@@ -120,35 +123,99 @@ class Model:
         return _sigmoid((a * logit(self.content, content) + b + c * logit(self.metadata, metadata) + d) / 2)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, each: float = 0.1, confidence: float = 0.95) -> Model:
-    """views: [content, metadata] of labelled rows (y: 0, 1); pool: the same of unlabelled ones."""
-    held = np.arange(len(y)) % 5 == 4
-    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
-        p = float(y.mean()) if len(y) else 1.0
-        z = float(np.log((p + 1e-6) / (1 - p + 1e-6)))
-        return Model(np.append(np.zeros(DIMENSIONS), z), np.append(np.zeros(META), z), ((1.0, 0.0), (1.0, 0.0)))
-    given = [np.full(len(pool[0]), -1) for _ in views]  # pseudo-labels that each view has got from the other
-    share = y[~held].mean()
-    for r in range(rounds + 1):
-        weights = [logistic(np.concatenate([v[~held], u[g >= 0]]), np.concatenate([y[~held], g[g >= 0]])) for v, u, g in zip(views, pool, given)]
-        if r == rounds or not len(pool[0]):
-            break
-        for giver, taker in ((0, 1), (1, 0)):
-            p = _sigmoid(logit(weights[giver], pool[giver]))
-            free = given[taker] < 0
-            for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[: int(len(p) * each * part)]
-                given[taker][best[(sure[best] >= confidence) & free[best]]] = label
-    scales = tuple(platt(logit(w, v[held]), y[held]) for w, v in zip(weights, views))
-    return Model(weights[0], weights[1], scales)
+def _views(run: list[bytes], source: list[str | None], lang: list[str | None]) -> np.ndarray:
+    """Features of both views side by side, as they are kept."""
+    return np.concatenate([content_features(run), metadata_features(run, source, lang)], 1).astype(np.float16)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, source, lang) to (key, features)."""
     for batch in batches:
         source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for at, run in chunks(batch.column(1)):
-            both = np.concatenate([content_features(run), metadata_features(run, source[at : at + len(run)], lang[at : at + len(run)])], 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([x.tobytes() for x in both], pa.binary())], ["label", "features"])
+            both = _views(run, source[at : at + len(run)], lang[at : at + len(run)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([x.tobytes() for x in both], pa.binary())], ["key", "features"])
+
+
+def _confident(shared, confidence: float):
+    """(doc_id, key, text, source, lang) to a row for each view that is sure of a document whose place is below the bound of its label; features only where bounds are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bounds = shared.value
+        for batch in batches:
+            source, lang, place = batch.column(3).to_pylist(), batch.column(4).to_pylist(), _place(batch.column(1).to_numpy())
+            for at, texts in chunks(batch.column(2)):
+                part = slice(at, at + len(texts))
+                both = _views(texts, source[part], lang[part])
+                wide = both.astype(np.float32)
+                for giver, x in enumerate((wide[:, :DIMENSIONS], wide[:, DIMENSIONS:])):
+                    p = _sigmoid(logit(weights[giver], x))
+                    for label, sure in ((0, 1 - p), (1, p)):
+                        own = sure >= confidence
+                        rows = np.flatnonzero(own if bounds is None else own & (place[part] < bounds[giver][label]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(rows), giver, np.int32)), pa.array(np.full(len(rows), label, np.int32)), *(batch.column(c).take(pa.array(rows + at)) for c in (0, 1)),
+                             pa.array([None if bounds is None else both[i].tobytes() for i in rows], pa.binary())],
+                            ["giver", "label", "doc_id", "key", "features"],
+                        )
+
+    return run
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    """A 64-bit hash as a number from 0 to 1."""
+    return key / 2.0**64 + 0.5
+
+
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, rounds: int = 2, exchange: int = 600, confidence: float = 0.95, label_col: str = "quality") -> Model:
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null")
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).where("doc_id is not null")
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)  # bounded by a parameter, so it may be broadcast
+    rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_features, "key long, features binary")
+    rows = rows.groupBy(F.col("key").alias("doc_id")).agg(F.min("features").alias("features")).join(F.broadcast(chosen), "doc_id")
+    got = rows.select(F.xxhash64("doc_id", F.lit(5)).alias("place"), "doc_id", "label", "features").toPandas().sort_values(["place", "doc_id"])
+    n = len(got)
+    x = np.zeros((n + 2 * rounds * exchange, DIMENSIONS + META), np.float32)
+    for i, b in enumerate(got["features"]):
+        x[i] = np.frombuffer(b, np.float16)
+    y = np.zeros(len(x))
+    y[:n] = got["label"]
+    del got
+    views = (x[:, :DIMENSIONS], x[:, DIMENSIONS:])
+    held = np.arange(n) % 5 == 4
+    if len(np.unique(y[:n][~held])) < 2 or len(np.unique(y[:n][held])) < 2:
+        p = float(y[:n].mean()) if n else 1.0
+        z = float(np.log((p + 1e-6) / (1 - p + 1e-6)))
+        return Model(np.append(np.zeros(DIMENSIONS), z), np.append(np.zeros(META), z), ((1.0, 0.0), (1.0, 0.0)))
+    use = np.zeros((2, len(x)), bool)  # the rows that each view is fitted on
+    use[:, :n] = ~held
+    good = y[:n][~held].mean()
+    wanted = np.array([round(exchange * (1 - good)), round(exchange * good)])
+    every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "source", "lang")
+    form = "giver int, label int, doc_id long, key long, features binary"
+    for r in range(rounds + 1):
+        weights = [logistic(v, y, u) for v, u in zip(views, use)]
+        if r == rounds:
+            break
+        # how many documents each view is sure of: four numbers; then about twice the wanted number of them
+        shared = spark.sparkContext.broadcast((weights, None))
+        sizes = every.mapInArrow(_confident(shared, confidence), form).groupBy("giver", "label").count().collect()
+        shared.destroy()
+        bounds = np.zeros((2, 2))
+        for giver, label, k in sizes:
+            bounds[giver, label] = min(1.0, 2 * wanted[label] / k)
+        shared = spark.sparkContext.broadcast((weights, bounds))
+        sure = every.where(F.col("key") / 2.0**64 + 0.5 < float(bounds.max())).mapInArrow(_confident(shared, confidence), form)
+        given = sure.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("giver", "label", "key").agg(F.min("features").alias("features")).toPandas()
+        shared.destroy()
+        given["place"] = _place(given["key"].to_numpy(np.int64))
+        for (giver, label), rows in given.sort_values(["place", "key"]).groupby(["giver", "label"]):
+            for b in rows["features"].head(wanted[label]):
+                x[n], y[n], use[1 - giver, n] = np.frombuffer(b, np.float16), label, True
+                n += 1
+    scales = tuple(platt(logit(w, v[: len(held)][held]), y[: len(held)][held]) for w, v in zip(weights, views))
+    return Model(weights[0], weights[1], scales)
 
 
 def _score(shared):
@@ -163,21 +230,6 @@ def _score(shared):
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, pool_rows: int = 4000, label_col: str = "quality", **options) -> Model:
-    order = F.xxhash64(F.col("doc_id"), F.lit(5))
-    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null")
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = known.where("doc_id is not null").orderBy(order).limit(fit_rows)
-    pool = named.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(order).limit(pool_rows).select("doc_id", F.lit(-1).alias("label"))
-    # both are bounded by parameters, so they may be broadcast
-    rows = named.join(F.broadcast(chosen.union(pool)), "doc_id")
-    got = rows.orderBy(order, F.xxhash64("text")).limit(2 * (fit_rows + pool_rows)).select("label", "text", "source", "lang").mapInArrow(_features, "label int, features binary").toPandas()
-    label = got["label"].to_numpy(int)
-    x = np.stack([np.frombuffer(b, np.float16).astype(np.float32) for b in got["features"]]) if len(got) else np.zeros((0, DIMENSIONS + META), np.float32)
-    content, meta, free = x[:, :DIMENSIONS], x[:, DIMENSIONS:], label < 0
-    return co_train([content[~free], meta[~free]], label[~free].astype(float), [content[free], meta[free]], **options)
-
-
 def with_scores(documents: DataFrame, model: Model) -> DataFrame:
     """All columns of `documents` and `quality_score` (0 to 1, probability of good quality; it replaces a column of that name)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
