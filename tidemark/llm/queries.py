@@ -32,7 +32,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.described(media.texts_as_images(documents(spark, sf_dir))).drop("tile")
+    return media.described(media.texts_as_images(documents(spark, sf_dir)))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: The same targets and thresholds from full running sums: for each source, the hash up to which documents are taken.
+#: The same targets and thresholds from full running sums: for each source, the hash up to which documents are taken. Ids are unique.
 OP7_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
