@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, ngram_join, quality, token_files
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.shared import forget, stored
+from tidemark.llm.shared import stored
 
 #: Documents under this probability of good quality are rejected.
 KEEP_FROM = 0.5
@@ -35,10 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "source", "copies").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"))
-    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source"))
-    return rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return mixing.mixture(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
