@@ -181,3 +181,56 @@ def test_score_distinct_uses_the_cache(spark):
     _, cache = T.score_distinct(x.limit(1), "t", T.length_scorer, "key string, score double")
     rows, full = T.score_distinct(x, "t", T.length_scorer, "key string, score double", cache)
     assert sorted(r.score for r in rows.collect()) == [1, 1, 2] and full.count() == 2
+
+
+@pytest.mark.parametrize("seq, want", [(None, 10.0), ("n", 9.0)])
+def test_asof_ties_go_to_the_largest(spark, seq, want):
+    right = spark.createDataFrame([("A", hours(1), 9.0, 3), ("A", hours(1), 10.0, -20), ("A", hours(1), 9.5, -3)], "k string, t timestamp, v double, n long")
+    left = spark.createDataFrame([("A", hours(2))], "k string, at timestamp")
+    for bucket in (None, 1800):
+        assert J.asof(left, right, ["k"], "at", "t", ["v"], seq, bucket).first().v == want
+
+
+@pytest.mark.parametrize("bucket", [3600, 7 * 86400])
+def test_next_and_interval_sums_over_buckets(spark, bucket):
+    right = spark.createDataFrame([("A", hours(h), float(h)) for h in (1, 5, 5.5, 30)], "k string, t timestamp, v double")
+    left = spark.createDataFrame([("A", hours(a), hours(b)) for a, b in ((0, 1), (1, 5.5), (5, 40), (31, 50))] + [("B", hours(0), hours(9))], "k string, a timestamp, b timestamp")
+    got = {(r.k, r.a): r.v for r in J.next_after(left, right, ["k"], "a", "t", ["v"], bucket).collect()}
+    assert got == {("A", hours(0)): 1.0, ("A", hours(1)): 5.0, ("A", hours(5)): 5.5, ("A", hours(31)): None, ("B", hours(0)): None}
+    sums = {(r.k, r.a): r.s for r in J.interval_sum(left, right, ["k"], "a", "b", "t", "v", "s", bucket).collect()}
+    assert sums == {("A", hours(0)): 1.0, ("A", hours(1)): 10.5, ("A", hours(5)): 35.5, ("A", hours(31)): 0.0, ("B", hours(0)): 0.0}
+
+
+@pytest.mark.parametrize("block, depth", [(4, 0), (4, 3), (64, 2)])
+def test_hysteresis_equals_a_loop(spark, block, depth):
+    import random
+
+    rng = random.Random(3)
+    scores = [(k, hours(i), None if rng.random() < 0.02 else rng.uniform(-0.04, 0.04)) for k in "AB" for i in range(700)]
+    want, p = {}, {}
+    for k, t, s in scores:
+        q = p.get(k, 0)
+        if s is None:
+            q = 0
+        elif q == 0:
+            q = 1 if s > 0.02 else -1 if s < -0.02 else 0
+        elif q == 1:
+            q = 0 if s < 0.005 else 1
+        else:
+            q = 0 if s > -0.005 else -1
+        p[k] = want[k, t] = q
+    df = spark.createDataFrame(scores, "symbol string, ts timestamp, score double")
+    got = {(r.symbol, r.ts): r.position for r in P.hysteresis(df, 0.02, 0.005, ["symbol"], block, depth).collect()}
+    assert got == want
+
+
+def test_long_series_of_automata_stay_linear(spark):
+    import time
+
+    rows = spark.range(64_000).select(F.lit("r").alias("run_id"), F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.sin(F.col("id") / 50.0) * 0.03).alias("score"))
+    start = time.time()
+    got = P.hysteresis(rows, 0.02, 0.005, ["symbol"]).groupBy("position").count().collect()
+    assert sum(r["count"] for r in got) == 64_000 and len(got) == 3 and time.time() - start < 20
+    held = P.no_trade_band(rows.withColumnRenamed("score", "w"), 0.01)
+    moves = held.withColumn("m", F.col("w") != F.lag("w").over(R.series("symbol", "ts"))).agg(F.count_if("m").alias("m"), F.count("w").alias("n")).first()
+    assert moves.n == 64_000 and 0 < moves.m < 6_000

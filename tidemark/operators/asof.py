@@ -21,26 +21,24 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
 def asof_many(left: DataFrame, keys: list[str], left_ts: str, sources: list[tuple[DataFrame, str, list[str], str | None]], bucket_s: int | None = None) -> DataFrame:
     """Several sources at once: one union, one shuffle and one window, whatever their number."""
     kept = [c for c in left.columns if c not in keys]
-    types = {}
-    rows = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_l"), F.lit(None).cast("string").alias("_o"))
+    rows = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_l"))
     for i, (right, ts, values, seq) in enumerate(sources):
         body = F.struct(F.col(ts).alias(ts), *(v for v in values if v != ts))
-        order = F.lpad(F.col(seq).cast("string"), 20, "0") if seq else F.to_json(F.struct(*values))
-        part = right.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_side"), body.alias(f"_r{i}"), order.alias("_o")).where("_t is not null")
-        types[i] = part.schema[f"_r{i}"].dataType
+        order = F.struct(*([seq] if seq else values))
+        part = right.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_side"), body.alias(f"_r{i}"), order.alias(f"_o{i}")).where("_t is not null")
         rows = rows.unionByName(part, allowMissingColumns=True)
     # the newest of a source may not be hidden by rows of another one: one last-value column for each source
-    lasts = [f"_r{i}" for i in range(len(sources))]
+    lasts, orders = [f"_r{i}" for i in range(len(sources))], [f"_o{i}" for i in range(len(sources))]
     by = list(keys)
     if bucket_s:
         rows = rows.withColumn("_b", F.floor(F.unix_timestamp("_t") / bucket_s))
-        ends = rows.where("_side = 0").groupBy(*keys, "_b").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_t", "_o"))).alias(c) for c in lasts))
+        ends = rows.where("_side = 0").groupBy(*keys, "_b").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_t", o))).alias(c) for c, o in zip(lasts, orders)))
         buckets = rows.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "left")
         before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         carried = buckets.select(*keys, "_b", F.lit(-1).alias("_side"), *(F.last(c, ignorenulls=True).over(before).alias(c) for c in lasts))
         rows = rows.unionByName(carried, allowMissingColumns=True)
         by.append("_b")
-    w = Window.partitionBy(*by).orderBy(F.col("_side") >= 0, "_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(F.col("_side") >= 0, "_t", "_side", *orders).rowsBetween(Window.unboundedPreceding, 0)
     found = rows.select(*keys, "_side", "_l", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in lasts)).where("_side = 1")
     outputs = []
     for i, (_, ts, values, _) in enumerate(sources):
@@ -63,23 +61,31 @@ def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     return left.join(hit, left[left_ts] == hit["_t"], "left").select(*left.columns, *(F.col(f"_h.{v}").alias(v) for v in [*values, right_ts]))
 
 
-def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """Every left row with the first right row strictly after it."""
+def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], bucket_s: int = 30 * 86400) -> DataFrame:
+    """Every left row with the first right row strictly after it. A task sees a key's rows of one bucket and the first row of the next one that has any."""
     kept = [c for c in left.columns if c not in keys]
     rows = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_l")).unionByName(
         right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(right_ts, *values).alias("_r")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
+    ).withColumn("_b", F.floor(F.unix_timestamp("_t") / bucket_s))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
     found = rows.withColumn("_n", F.first("_r", ignorenulls=True).over(w)).where("_side = 1")
+    # the least row of each bucket, and for each bucket that of the next one
+    heads = rows.groupBy(*keys, "_b").agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_h"))
+    after = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.select(*keys, "_b", F.first("_h", ignorenulls=True).over(after).alias("_h"))
+    found = found.join(heads, [*keys, "_b"], "left").withColumn("_n", F.coalesce("_n", "_h"))
     return found.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in kept), *(F.col(f"_n.{v}").alias(v) for v in [right_ts, *values]))
 
 
-def interval_sum(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, right_ts: str, value: str, name: str) -> DataFrame:
-    """Sum of `value` over right rows in (start, end], as the difference of two as-of looked-up prefix sums."""
-    w = Window.partitionBy(*keys).orderBy(right_ts).rangeBetween(Window.unboundedPreceding, 0)
-    sums = right.select(*keys, F.col(right_ts).alias("_at"), F.sum(value).over(w).alias("_sum")).dropDuplicates([*keys, "_at"])
-    one = asof(left, sums, keys, start, "_at", ["_sum"]).withColumnRenamed("_sum", "_from").drop("_at")
-    two = asof(one, sums, keys, end, "_at", ["_sum"]).drop("_at")
+def interval_sum(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, right_ts: str, value: str, name: str, bucket_s: int = 30 * 86400) -> DataFrame:
+    """Sum of `value` over right rows in (start, end], as the difference of two as-of looked-up prefix sums (within buckets, plus those of earlier buckets)."""
+    own = right.select(*keys, F.col(right_ts).alias("_at"), F.col(value).alias("_v"), F.floor(F.unix_timestamp(right_ts) / bucket_s).alias("_b"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    sums = own.withColumn("_sum", F.sum("_v").over(inside)).join(base, [*keys, "_b"]).select(*keys, "_at", (F.coalesce("_sum", F.lit(0.0)) + F.col("_base")).alias("_sum")).dropDuplicates([*keys, "_at"])
+    one = asof(left, sums, keys, start, "_at", ["_sum"], bucket_s=bucket_s).withColumnRenamed("_sum", "_from").drop("_at")
+    two = asof(one, sums, keys, end, "_at", ["_sum"], bucket_s=bucket_s).drop("_at")
     return two.withColumn(name, F.coalesce("_sum", F.lit(0.0)) - F.coalesce("_from", F.lit(0.0))).drop("_sum", "_from")
 
 

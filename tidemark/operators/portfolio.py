@@ -151,36 +151,65 @@ def neutral(df: DataFrame, column: str, gross: float = 1.0) -> DataFrame:
 def no_trade_band(w: DataFrame, band: float) -> DataFrame:
     """The weight last traded is held until the target has moved by more than `band` from it, by (run_id, symbol).
 
-    The rule carries a real value from bar to bar, so each series (one run, one symbol, a row a bar) is one group.
+    The rule carries a real value from bar to bar, so a series is read in order, in batches, with the last weight carried
+    from batch to batch: a task holds one batch, however long the series.
     """
     import pyarrow as pa
 
-    def whole(table: pa.Table) -> pa.Table:
-        table, last, out = table.sort_by("ts"), None, []
-        for x in table.column("w").to_pylist():
-            x = 0.0 if x is None else x
-            if last is None or abs(x - last) > band:
-                last = x
-            out.append(last)
-        return table.set_column(table.schema.get_field_index("w"), "w", pa.array(out, pa.float64()))
+    def held_on(batches):
+        series_, last = None, None
+        for batch in batches:
+            out = []
+            for run, symbol, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                x = 0.0 if x is None else x
+                if series_ != (run, symbol) or abs(x - last) > band:
+                    series_, last = (run, symbol), x
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.float64())], batch.schema.names)
 
-    return w.select("run_id", "symbol", "ts", "w").groupBy("run_id", "symbol").applyInArrow(whole, "run_id string, symbol string, ts timestamp, w double")
+    rows = w.select(F.col("run_id").cast("string").alias("run_id"), F.col("symbol").cast("string").alias("symbol"), "ts", F.col("w").cast("double").alias("w"))
+    return rows.repartition("run_id", "symbol").sortWithinPartitions("run_id", "symbol", "ts").mapInArrow(held_on, rows.schema)
 
 
-def hysteresis(scores: DataFrame, enter: float, leave: float, keys: list[str]) -> DataFrame:
-    """(keys, ts, position): 0 -> 1 at score > enter, back at score < leave; mirrored for -1; no direct flip; a null score resets.
+#: States of a hysteresis position, in the order of a map's fields.
+STATES = {"m0": 0, "m1": 1, "m2": -1}
 
-    A three-state automaton: each row is a map of states to states, and maps compose, so the fold runs over one array
-    of a key's rows inside the JVM.
-    """
-    rows = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "score"))).alias("r"))
 
-    def after(p: Column, x: Column) -> Column:
-        s = x["score"]
-        return F.when(s.isNull(), 0).when(p == 0, F.when(s > enter, 1).when(s < -enter, -1).otherwise(0)).when(p == 1, F.when(s < leave, 0).otherwise(1)).otherwise(F.when(s > -leave, 0).otherwise(-1))
+def hysteresis(scores: DataFrame, enter: float, leave: float, keys: list[str], block: int = 64, depth: int = 2) -> DataFrame:
+    """(keys, ts, position): 0 -> 1 at score > enter, back at score < leave; mirrored for -1; no direct flip; a null score resets.
 
-    states = F.aggregate("r", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(after(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x))))
-    return rows.select(*keys, F.explode(F.arrays_zip(F.col("r.ts").alias("ts"), states.alias("position"))).alias("z")).select(*keys, F.col("z.ts").alias("ts"), F.col("z.position").alias("position"))
+    A three-state automaton: each row is a map of states to states, and maps compose. Blocks of `block` rows are composed
+    to one map each, blocks of blocks likewise (`depth` times), and the states at their starts are handed down again.
+    """
+    s = F.col("score")
+
+    def after(p: int) -> Column:
+        rules = {0: F.when(s > enter, 1).when(s < -enter, -1).otherwise(0), 1: F.when(s < leave, 0).otherwise(1), -1: F.when(s > -leave, 0).otherwise(-1)}
+        return F.when(s.isNull(), 0).otherwise(rules[p])
+
+    rows = scores.select(*keys, "ts", "score", (F.row_number().over(series(keys, "ts")) - 1).cast("long").alias("_i"))
+    maps = rows.select(*keys, "_i", *(after(p).alias(m) for m, p in STATES.items()))
+    states = _states(maps, keys, block, depth)
+    return rows.join(states, [*keys, "_i"]).select(*keys, "ts", F.col("_after").alias("position"))
+
+
+def _applied(p: Column, x: Column) -> Column:
+    return F.when(p == 0, x["m0"]).when(p == 1, x["m1"]).otherwise(x["m2"])
+
+
+def _states(maps: DataFrame, keys: list[str], block: int, depth: int) -> DataFrame:
+    """(keys, _i, _before, _after): the states before and after each of the maps numbered `_i`, from state 0 on."""
+    at = F.floor(F.col("_i") / block) if depth else F.lit(0).cast("long")
+    blocks = maps.groupBy(*keys, at.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", *STATES))).alias("_r"))
+    if depth:
+        ends = blocks.select(*keys, F.col("_b").alias("_i"), *(F.aggregate("_r", F.lit(p), _applied).alias(m) for m, p in STATES.items()))
+        begin = _states(ends, keys, block, depth - 1).select(*keys, F.col("_i").alias("_b"), F.col("_before").alias("_p"))
+        blocks = blocks.join(begin, [*keys, "_b"])
+    else:
+        blocks = blocks.withColumn("_p", F.lit(0))
+    path = F.aggregate("_r", F.array("_p"), lambda acc, x: F.concat(acc, F.array(_applied(F.element_at(acc, -1), x))))
+    both = F.zip_with("_r", F.arrays_zip(F.slice("_p", F.lit(1), F.size("_r")).alias("a"), F.slice("_p", F.lit(2), F.size("_r")).alias("b")), lambda x, y: F.struct(x["_i"].alias("_i"), y["a"].alias("_before"), y["b"].alias("_after")))
+    return blocks.withColumn("_p", path).select(*keys, F.explode(both).alias("x")).select(*keys, "x.*")
 
 
 def overlay(w: DataFrame, clusters: DataFrame, per_symbol: float = 0.25, cluster_cap: float = 0.50, gross: float = 1.0) -> DataFrame:

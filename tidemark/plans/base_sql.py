@@ -36,7 +36,7 @@ B4 = f"{F1}, {rolled('b4', '4 HOUR')}"
 BD = f"{F1}, {rolled('bd', '1 DAY')}"
 
 FUNDING = """funding AS (
-  SELECT event_type AS symbol, ts AS "timestamp", (value - 50) / 1e5 AS funding_rate, event_id AS seq FROM events WHERE user_id % 10 = 0)"""
+  SELECT event_type AS symbol, ts AS "timestamp", (value - 50) / 1e5 AS funding_rate, event_id AS seq FROM events)"""
 
 SIGNALS = f"""{B4}, signals AS (
   SELECT symbol, ts, close, close / nullif(CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END, 0) - 1 AS alpha

@@ -184,7 +184,7 @@ def articles_in_range(s, d):
     return M.news(s, d).select("doc_id", "published_at").where(F.col("published_at").isNull() | F.col("published_at").between(F.lit("2024-01-01 06:00:00").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")))
 
 
-@query("open_interest_features", """WITH x AS (SELECT event_type AS symbol, ts AS oi_time, value * 100 AS oi FROM events WHERE user_id % 10 = 1), y AS (SELECT *, oi / nullif(lag(oi) OVER (PARTITION BY symbol ORDER BY oi_time), 0) - 1 AS change FROM x)
+@query("open_interest_features", """WITH x AS (SELECT event_type AS symbol, ts AS oi_time, value * 100 AS oi FROM events), y AS (SELECT *, oi / nullif(lag(oi) OVER (PARTITION BY symbol ORDER BY oi_time), 0) - 1 AS change FROM x)
 SELECT symbol, oi_time, round(change, 6) AS oi_change, round(CASE WHEN count(oi) OVER w >= 10 THEN (oi - avg(oi) OVER w) / (stddev_samp(oi) OVER w + 1e-12) END, 6) AS oi_z FROM y WINDOW w AS (PARTITION BY symbol ORDER BY oi_time ROWS 29 PRECEDING)""")
 def open_interest_features(s, d):
     by = R.series("symbol", "oi_time")

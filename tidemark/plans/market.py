@@ -257,7 +257,7 @@ def funding_interval_sum(s, d):
     return out.select("symbol", "decision_time", F.round("funding_1d", 9).alias("funding_1d"))
 
 
-PIT_SQL = f"""{MARKET_SQL}, {S.FUNDING}, oi AS (SELECT event_type AS symbol, ts AS oi_time, value * 100 AS open_interest FROM events WHERE user_id % 10 = 1),
+PIT_SQL = f"""{MARKET_SQL}, {S.FUNDING}, oi AS (SELECT event_type AS symbol, ts AS oi_time, value * 100 AS open_interest FROM events),
 a AS (SELECT mf.*, f.funding_rate, f."timestamp" + INTERVAL 1 MINUTE AS funding_available_time FROM mf ASOF LEFT JOIN funding f ON mf.symbol = f.symbol AND mf.decision_time >= f."timestamp" + INTERVAL 1 MINUTE),
 pit AS (SELECT a.*, oi.open_interest, oi.oi_time + INTERVAL 1 MINUTE AS oi_available_time FROM a ASOF LEFT JOIN oi ON a.symbol = oi.symbol AND a.decision_time >= oi.oi_time + INTERVAL 1 MINUTE),
 pit2 AS (SELECT *, greatest(ts + INTERVAL 4 HOUR + INTERVAL 30 SECOND, funding_available_time, oi_available_time) AS max_feature_available_time FROM pit)"""
@@ -268,7 +268,7 @@ def pit_table(s, d) -> DataFrame:
     f = M.funding(s, d).withColumn("funding_available_time", J.shifted(F.col("timestamp"), 60))
     oi = M.open_interest(s, d).withColumn("oi_available_time", J.shifted(F.col("oi_time"), 60))
     base = market_features(s, d).select("symbol", "ts", "decision_time", "availability_ts", *FEATURES)
-    out = J.asof_many(base, ["symbol"], "decision_time", [(f, "funding_available_time", ["funding_rate"], "seq"), (oi, "oi_available_time", ["open_interest"], "seq")])
+    out = J.asof_many(base, ["symbol"], "decision_time", [(f, "funding_available_time", ["funding_rate"], "seq"), (oi, "oi_available_time", ["open_interest"], "seq")], bucket_s=30 * 86400)
     return out.withColumn("max_feature_available_time", F.greatest("availability_ts", "funding_available_time", "oi_available_time"))
 
 

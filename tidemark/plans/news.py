@@ -108,17 +108,19 @@ def consistency_vote(s, d):
     return r6(T.consensus(M.table(s, d, "events"), "user_id", "event_type", "value"), "agreement").withColumn("value", F.round("value", 9))
 
 
-@query("score_distinct", "SELECT doc_id, substr(text, 1, 80) AS title, length(substr(text, 1, 80))::DOUBLE AS score FROM documents")
+@query("score_distinct", "SELECT doc_id, sha256(text) AS body_hash, coalesce(length(text), 0)::DOUBLE AS score FROM documents")
 def score_distinct(s, d):
-    """The scorer is the user's; here the length of the title."""
-    rows, _ = T.score_distinct(M.news(s, d), "title", T.length_scorer, "key string, score double")
-    return rows.select("doc_id", "title", F.coalesce("score", F.lit(0.0)).alias("score"))
+    """The scorer is the user's; here the length of the whole body. Articles of one source fill the cache that the others use."""
+    x = M.news(s, d)
+    _, cache = T.score_distinct(x.where("source = 'src1'"), "body", T.length_scorer, "key string, score double")
+    rows, _ = T.score_distinct(x, "body", T.length_scorer, "key string, score double", cache)
+    return rows.select("doc_id", F.sha2("body", 256).alias("body_hash"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-@query("content_hashes", "SELECT doc_id, sha1(coalesce(substr(text, 1, 80), '') || chr(10) || coalesce(text, '')) AS content_key, sha256(text) AS body_hash FROM documents")
+@query("content_hashes", "SELECT doc_id, sha1(coalesce(split_part(text, chr(10), 1), '') || chr(10) || coalesce(text, '')) AS content_key, sha256(text) AS body_hash, sha1(split_part(text, chr(10), 1)) AS title_key FROM documents")
 def content_hashes(s, d):
     x = M.news(s, d)
-    return x.select("doc_id", F.sha1(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))).alias("content_key"), F.sha2("body", 256).alias("body_hash"))
+    return x.select("doc_id", F.sha1(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))).alias("content_key"), F.sha2("body", 256).alias("body_hash"), F.sha1("title").alias("title_key"))
 
 
 @query("news_corpus", "SELECT text_key AS body_hash, doc_id, n FROM (SELECT sha256(text) AS text_key, max(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1)")

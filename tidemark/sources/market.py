@@ -49,13 +49,13 @@ def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("user_id % 10 = 0").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("timestamp"), ((F.col("value") - 50) / 1e5).alias("funding_rate"), F.col("event_id").alias("seq")
     )
 
 
 def open_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("user_id % 10 = 1").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("oi_time"), (F.col("value") * 100).alias("open_interest"), F.col("event_id").alias("seq")
     )
 
@@ -70,7 +70,7 @@ def chain_tvl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"),
+        "doc_id", "source", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("body"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420).alias("published_at"),
     )
 
