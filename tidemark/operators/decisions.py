@@ -50,14 +50,14 @@ def directional(w: DataFrame, most: float = 0.25, net_cap: float = 1.5, gross_ca
     return x.join(F.broadcast(sd), "run_id").select("run_id", "ts", "symbol", "close", (F.col("w") * scale).alias("w"), F.lit(True).alias("uses_full_sample"))  # one row a run
 
 
-def neutral_stack(conviction: DataFrame, clusters: DataFrame, most: float = 0.25, gross: float = 1.0) -> DataFrame:
+def neutral_stack(conviction: DataFrame, clusters: DataFrame, most: float = 0.25, gross: float = 1.0, cluster_cap: float = 0.5) -> DataFrame:
     """(run_id, ts, symbol, w): demeaned, scaled to the gross, limited, demeaned, overlaid, and demeaned again, since limits break neutrality."""
     at = Window.partitionBy("run_id", "ts")
     demeaned = lambda x: x.withColumn("w", F.col("w") - F.avg("w").over(at))
     x = demeaned(conviction)
     x = x.withColumn("w", F.when(F.sum(F.abs("w")).over(at) > 1e-12, F.col("w") / F.sum(F.abs("w")).over(at) * gross).otherwise(0.0))
     x = demeaned(x.withColumn("w", risk.clip(F.col("w"), -most, most)))
-    return demeaned(P.overlay(x, clusters, most, 0.5, gross)).select("run_id", "ts", "symbol", "w")
+    return demeaned(P.overlay(x, clusters, most, cluster_cap, gross)).select("run_id", "ts", "symbol", "w")
 
 
 def breaker_returns(returns: DataFrame) -> DataFrame:

@@ -221,15 +221,55 @@ def overlay(w: DataFrame, clusters: DataFrame, per_symbol: float = 0.25, cluster
     return x.withColumn("w", risk.clip(F.col("w"), -per_symbol, per_symbol))
 
 
-def breaker(returns: DataFrame, peak_rows: int = 540, day_rows: int = 6, mean_days: int = 120) -> DataFrame:
-    """(run_id, ts, drawdown, daily_loss, level, multiplier) from trailing P&L up to each bar."""
+def correlation_penalty(w: DataFrame, returns: DataFrame, rows: int = 90, floor: float = 0.30, penalty: float = 0.50) -> DataFrame:
+    """(run_id, ts, symbol, penalty) of the active symbols with `rows` known returns: the more their returns go with the other active ones', the less is kept.
+
+    Correlations roll over pairs of symbols that meet by time; a book then reads those of its own pairs by equality.
+    """
+    known = returns.where("ret is not null")
+    full = F.count("ret").over(trailing(series("symbol", "ts"), rows)) == rows
+    active = w.where(F.abs("w") > 1e-12).join(returns.select("symbol", "ts", full.alias("full")), ["symbol", "ts"]).where("full").select("run_id", "ts", "symbol")
+    frame = trailing(series(["symbol", "other"], "ts"), rows)
+    pairs = known.select("ts", "symbol", F.col("ret").alias("x")).join(known.select("ts", F.col("symbol").alias("other"), F.col("ret").alias("y")), "ts").where("symbol <> other")
+    rolling = pairs.select("ts", "symbol", "other", F.when(F.count(F.lit(1)).over(frame) == rows, F.abs(F.try_divide(F.covar_samp("x", "y").over(frame), F.nullif(F.stddev_samp("x").over(frame) * F.stddev_samp("y").over(frame), F.lit(0.0))))).alias("c"))
+    mean = active.join(active.withColumnRenamed("symbol", "other"), ["run_id", "ts"]).where("symbol <> other").join(rolling, ["ts", "symbol", "other"]).groupBy("run_id", "ts", "symbol").agg(F.avg("c").alias("c"))
+    excess = F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.0)) - floor)
+    return mean.select("run_id", "ts", "symbol", (1 / (1 + penalty * excess / (1 - floor))).alias("penalty"))
+
+
+def full_overlay(w: DataFrame, clusters: DataFrame, returns: DataFrame, drawdowns: DataFrame, rows: int = 90, per_symbol: float = 0.25, cluster_cap: float = 0.50, gross: float = 1.0, target_vol: float = 0.25, most_scale: float = 1.0, bars: float = 2190) -> DataFrame:
+    """(run_id, ts, symbol, w): correlation penalty, cluster cap, gross cap, volatility target (only ever down), drawdown scaler and per-symbol limit.
+
+    returns: (symbol, ts, ret); drawdowns: (run_id, ts, drawdown) as known at the time.
+    """
+    least = correlation_penalty(w, returns, rows)
+    x = w.select("run_id", "ts", "symbol", "w").join(least, ["run_id", "ts", "symbol"], "left").withColumn("w", F.col("w") * F.coalesce("penalty", F.lit(1.0)))
+    x = overlay(x, clusters, 1e9, cluster_cap, gross)
+    times = returns.select("ts").distinct().withColumn("bar", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts")))  # one row a time
+    used = x.where("penalty is not null").join(times, "ts").select("run_id", "ts", "bar", "symbol", "w")
+    pv = ex_ante_vol(used, returns.join(times, "ts").select("symbol", "bar", "ret"), rows, bars).select("run_id", "ts", "pv")
+    scale = F.when(F.col("pv") > target_vol, F.least(F.lit(most_scale), F.lit(target_vol) / F.col("pv"))).otherwise(1.0)
+    x = x.join(pv, ["run_id", "ts"], "left").join(drawdowns, ["run_id", "ts"], "left")
+    down = risk.drawdown_scaler(F.coalesce("drawdown", F.lit(0.0)))
+    return x.select("run_id", "ts", "symbol", risk.clip(F.col("w") * scale * down, -per_symbol, per_symbol).alias("w"))
+
+
+def under_breaker(w: DataFrame, **options) -> DataFrame:
+    """Two passes: the book's own P&L gives a multiplier for each bar, which scales the weights of that bar (held from the next one on)."""
+    b = breaker(pnl(w).select("run_id", "ts", "ret"), **options).select("run_id", "ts", "multiplier")
+    return w.join(b, ["run_id", "ts"], "left").withColumn("w", F.col("w") * F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
+
+
+def breaker(returns: DataFrame, peak_rows: int = 540, day_rows: int = 6, mean_days: int | None = 120) -> DataFrame:
+    """(run_id, ts, drawdown, daily_loss, soft, level, multiplier) from trailing P&L up to each bar; without `mean_days` the soft loss is its least value."""
     x = returns.withColumn("nav", F.product(1 + F.col("ret")).over(so_far()))
     peak = F.max("nav").over(trailing(by_run(), peak_rows))
     frame = trailing(by_run(), day_rows)
     x = x.withColumns({"drawdown": 1 - F.col("nav") / peak, "daily": F.when(F.count("ret").over(frame) >= day_rows, F.product(1 + F.col("ret")).over(frame) - 1)})
-    x = x.withColumns({"daily_loss": F.greatest(F.lit(0.0), -F.coalesce("daily", F.lit(0.0))), "typical": F.avg(F.abs("daily")).over(trailing(by_run(), mean_days))})
-    level = risk.breaker_level(F.col("drawdown"), F.col("daily_loss"), risk.soft_daily_loss(F.col("typical")))
-    return x.withColumn("level", level).select("run_id", "ts", "drawdown", "daily_loss", "level", (risk.breaker_multiplier(level) * risk.drawdown_scaler(F.col("drawdown"))).alias("multiplier"))
+    x = x.withColumns({"daily_loss": F.greatest(F.lit(0.0), -F.coalesce("daily", F.lit(0.0))), "typical": F.avg(F.abs("daily")).over(trailing(by_run(), mean_days)) if mean_days else unknown()})
+    x = x.withColumn("soft", risk.soft_daily_loss(F.col("typical")))
+    level = risk.breaker_level(F.col("drawdown"), F.col("daily_loss"), F.col("soft"))
+    return x.withColumn("level", level).select("run_id", "ts", "drawdown", "daily_loss", "soft", "level", (risk.breaker_multiplier(level) * risk.drawdown_scaler(F.col("drawdown"))).alias("multiplier"))
 
 
 def sleeves(a: DataFrame, b: DataFrame) -> DataFrame:

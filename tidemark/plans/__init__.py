@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _loaded():
-    from . import book, decisions, learning, market, news, registry  # noqa: F401
+    from . import book, decisions, learning, market, news, registry, stack  # noqa: F401
 
     return registry
 

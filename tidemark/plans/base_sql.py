@@ -48,6 +48,28 @@ weights AS (
   UNION ALL
   SELECT 'lag2', symbol, ts, close, coalesce(lag(sig, 2) OVER (PARTITION BY symbol ORDER BY ts), 0) FROM sg)"""
 
+
+def pnl_of(source: str, p: str = "") -> str:
+    """P&L of the weights in the table `source` (run_id, symbol, ts, close, w), under names that begin with `p`."""
+    return f"""{p}wn AS (
+  SELECT run_id, symbol, ts, close, w / greatest(1, sum(abs(w)) OVER (PARTITION BY run_id, ts)) AS w FROM {source}
+), {p}lagged AS (
+  SELECT *, coalesce(lag(w, 1) OVER o, 0) AS actual, coalesce(lag(w, 2) OVER o, 0) AS held, coalesce(close / nullif(lag(close) OVER o, 0) - 1, 0) AS asset_return
+  FROM {p}wn WINDOW o AS (PARTITION BY run_id, symbol ORDER BY ts)
+), {p}sums AS (
+  SELECT run_id, ts, sum(actual * asset_return) AS gross, sum(abs(actual - held)) AS turnover FROM {p}lagged GROUP BY 1, 2
+), {p}pnl AS (SELECT run_id, ts, turnover, gross - turnover * 0.0015 AS ret FROM {p}sums)"""
+
+
+def breaker_of(p: str, soft: str = "0.02") -> str:
+    """Drawdown, daily loss, level and multiplier of each bar of the table `p`pnl, as `p`cb; `soft` may use avg(abs(daily)) as `typical`."""
+    return f"""{p}nv AS (SELECT run_id, ts, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY run_id ORDER BY ts)) AS nv, CASE WHEN count(ret) OVER w6 >= 6 THEN exp(sum(ln(1 + ret)) OVER w6) - 1 END AS daily FROM {p}pnl WINDOW w6 AS (PARTITION BY run_id ORDER BY ts ROWS 5 PRECEDING)
+), {p}dl AS (SELECT run_id, ts, 1 - nv / max(nv) OVER (PARTITION BY run_id ORDER BY ts ROWS 539 PRECEDING) AS dd, greatest(0, -coalesce(daily, 0)) AS loss, avg(abs(daily)) OVER (PARTITION BY run_id ORDER BY ts ROWS 119 PRECEDING) AS typical FROM {p}nv
+), {p}sf AS (SELECT *, {soft} AS soft FROM {p}dl
+), {p}lv AS (SELECT *, CASE WHEN loss > 3 * soft OR dd > 0.3 THEN 3 WHEN loss > 2 * soft OR dd > 0.25 THEN 2 WHEN loss > soft OR dd > 0.2 THEN 1 ELSE 0 END AS level FROM {p}sf
+), {p}cb AS (SELECT *, CASE WHEN level >= 3 THEN 0 WHEN level = 2 THEN 0.5 ELSE 1 END * least(greatest((0.2 - dd) / 0.1, 0), 1) AS multiplier FROM {p}lv)"""
+
+
 PNL = f"""{WEIGHTS}, wn AS (
   SELECT run_id, symbol, ts, close, w / greatest(1, sum(abs(w)) OVER (PARTITION BY run_id, ts)) AS w FROM weights
 ), lagged AS (

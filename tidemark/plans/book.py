@@ -226,13 +226,6 @@ def risk_sizing(s, d):
     return r6(x.select("symbol", "decision_time", risk.sized(F.col("alpha"), P.unknown(), F.col("vol"), sure, F.lit(0), use_meta=False).alias("position")), "position")
 
 
-@query("regime_flags", f"""WITH {MARKET_SQL}, z AS (SELECT symbol, decision_time, vol_96h AS v, CASE WHEN count(ret_24h) OVER w >= 6 THEN (ret_24h - avg(ret_24h) OVER w) / (stddev_samp(ret_24h) OVER w + 1e-12) END AS m FROM mf WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING))
-SELECT symbol, decision_time, CASE WHEN v IS NOT NULL AND m IS NOT NULL THEN (CASE WHEN v > 0.02 AND m > 0.5 THEN 'high_volatility_uptrend' WHEN v > 0.02 AND m < -0.5 THEN 'panic_selloff' WHEN m > 0.5 THEN 'low_volatility_uptrend' WHEN m < -0.5 THEN 'low_volatility_downtrend' ELSE 'range_bound' END) ELSE 'range_bound' END AS regime FROM z""")
-def regime_flags(s, d):
-    x = market_features(s, d).withColumn("m", R.zscore("ret_24h", R.series("symbol", "ts"), 30, 6))
-    return x.select("symbol", "decision_time", risk.regime(F.col("vol_96h"), F.col("m"), P.unknown()).alias("regime"))
-
-
 IC_SQL = f"{S.SIGNALS}, fx AS (SELECT symbol, ts, alpha, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS fwd FROM signals)"
 
 

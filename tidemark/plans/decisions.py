@@ -55,24 +55,6 @@ def decision_backtest(s, d):
     return r6(P.pnl(book).select("run_id", "ts", "turnover", "ret", F.round("nav", 2).alias("nav")), "turnover", "ret")
 
 
-@query("directional_book")
-def directional_book(s, d):
-    return r6(D.directional(w(s, d)).drop("close"), "w")
-
-
-@query("neutral_book", f"""WITH {S.WEIGHTS}, a AS (SELECT run_id, symbol, ts, w - avg(w) OVER (PARTITION BY run_id, ts) AS w FROM weights), b AS (SELECT run_id, symbol, ts, CASE WHEN sum(abs(w)) OVER t > 1e-12 THEN w / sum(abs(w)) OVER t ELSE 0 END AS w FROM a WINDOW t AS (PARTITION BY run_id, ts)),
-c AS (SELECT run_id, symbol, ts, least(greatest(w, -0.25), 0.25) AS w FROM b), e AS (SELECT run_id, symbol, ts, w - avg(w) OVER (PARTITION BY run_id, ts) AS w FROM c), f AS (SELECT run_id, symbol, ts, w / greatest(1, abs(w) / 0.5) AS w FROM e), g AS (SELECT run_id, symbol, ts, w / greatest(1, sum(abs(w)) OVER (PARTITION BY run_id, ts)) AS w FROM f),
-h AS (SELECT run_id, symbol, ts, least(greatest(w, -0.25), 0.25) AS w FROM g) SELECT run_id, symbol, ts, round(w - avg(w) OVER (PARTITION BY run_id, ts), 6) AS w FROM h""")
-def neutral_book(s, d):
-    x = w(s, d).select("run_id", "ts", "symbol", "w")
-    return r6(D.neutral_stack(x, x.select("symbol").distinct().withColumn("cluster", F.col("symbol"))), "w")
-
-
-@query("breaker_on_returns")
-def breaker_on_returns(s, d):
-    return r6(D.breaker_returns(pnl(s, d).select("run_id", "ts", "ret")), "ret")
-
-
 @query("regime_by_year")
 def regime_by_year(s, d):
     x = M.bars_4h(s, d).select("symbol", "ts", R.pct_change("close", R.series("symbol", "ts")).alias("ret")).where("ret is not null")
@@ -95,14 +77,6 @@ def event_risk_gate(s, d):
     return r6(x.select("ts", (1 - 0.5 * F.coalesce(rank, F.lit(0.5))).alias("multiplier")), "multiplier")
 
 
-@query("depth_slippage", f"""WITH {S.B4}, x AS (SELECT symbol, ts, volume, quantile_cont(volume, 0.5) OVER w AS med, count(volume) OVER w AS n FROM b4 WINDOW w AS (PARTITION BY symbol, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 SECOND PRECEDING))
-SELECT symbol, ts, round(CASE WHEN n >= 10 THEN 0.1 * med END, 6)::DOUBLE AS depth, round(3 + 10 * CASE WHEN n >= 10 AND med > 0 THEN 10 / (0.1 * med) ELSE 1 END, 6)::DOUBLE AS slippage_bps FROM x""")
-def depth_slippage(s, d):
-    past = Window.partitionBy("symbol", F.hour("ts")).orderBy(F.unix_timestamp("ts")).rangeBetween(-30 * 86400, -1)
-    x = M.bars_4h(s, d).select("symbol", "ts", F.when(F.count("volume").over(past) >= 10, 0.1 * F.percentile("volume", F.lit(0.5)).over(past)).alias("depth"))
-    return r6(x.withColumn("slippage_bps", risk.slippage_bps(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.col("depth"))), "depth", "slippage_bps")
-
-
 @query("vol_forward_label", f"""WITH {S.B4}, r AS (SELECT ts, avg(abs(ret)) AS a FROM (SELECT ts, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM b4) GROUP BY 1) SELECT ts, round(CASE WHEN count(a) OVER w = 6 THEN avg(a) OVER w END, 6) AS fwd_vol FROM r WINDOW w AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)""")
 def vol_forward_label(s, d):
     a = M.bars_4h(s, d).select("ts", R.pct_change("close", R.series("symbol", "ts")).alias("ret")).groupBy("ts").agg(F.avg(F.abs("ret")).alias("a"))
