@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, NEWLINE, Pieces, chunks
@@ -82,7 +82,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
     """Weights (bias last) of the rows in `use`, by accelerated gradient descent; the mean loss has a Lipschitz constant below (1 + max |x|^2) / 4."""
     share = use.astype(np.float32) / max(1, use.sum())
     y, ridge = y.astype(np.float32), np.float32(ridge)
@@ -137,36 +137,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array([x.tobytes() for x in both], pa.binary())], ["key", "features"])
 
 
-def _confident(shared, confidence: float):
-    """(doc_id, key, text, source, lang) to a row for each view that is sure of a document whose place is below the bound of its label; features only where bounds are given."""
+def _confident(weights, confidence: float, kinds: list[tuple[int, int]]):
+    """(doc_id, key, text, source, lang) to a row with features for each view that is sure of a document, for the given kinds (view, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bounds = shared.value
         for batch in batches:
-            source, lang, place = batch.column(3).to_pylist(), batch.column(4).to_pylist(), _place(batch.column(1).to_numpy())
+            source, lang = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for at, texts in chunks(batch.column(2)):
                 part = slice(at, at + len(texts))
                 both = _views(texts, source[part], lang[part])
                 wide = both.astype(np.float32)
                 for giver, x in enumerate((wide[:, :DIMENSIONS], wide[:, DIMENSIONS:])):
-                    p = _sigmoid(logit(weights[giver], x))
+                    p = _sigmoid(logit(weights.value[giver], x))
                     for label, sure in ((0, 1 - p), (1, p)):
-                        own = sure >= confidence
-                        rows = np.flatnonzero(own if bounds is None else own & (place[part] < bounds[giver][label]))
+                        rows = np.flatnonzero(sure >= confidence) if (giver, label) in kinds else []
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), giver, np.int32)), pa.array(np.full(len(rows), label, np.int32)), *(batch.column(c).take(pa.array(rows + at)) for c in (0, 1)),
-                             pa.array([None if bounds is None else both[i].tobytes() for i in rows], pa.binary())],
+                            [pa.array(np.full(len(rows), giver, np.int32)), pa.array(np.full(len(rows), label, np.int32)), *(batch.column(c).take(pa.array(np.asarray(rows, np.int64) + at)) for c in (0, 1)), pa.array([both[i].tobytes() for i in rows], pa.binary())],
                             ["giver", "label", "doc_id", "key", "features"],
                         )
 
     return run
 
 
-def _place(key: np.ndarray) -> np.ndarray:
-    """A 64-bit hash as a number from 0 to 1."""
-    return key / 2.0**64 + 0.5
-
-
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, rounds: int = 2, exchange: int = 600, confidence: float = 0.95, label_col: str = "quality") -> Model:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null")
@@ -193,31 +185,43 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, rounds: i
     good = y[:n][~held].mean()
     wanted = np.array([round(exchange * (1 - good)), round(exchange * good)])
     every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "source", "lang")
-    form = "giver int, label int, doc_id long, key long, features binary"
+    size = every.count()
     for r in range(rounds + 1):
         weights = [logistic(v, y, u) for v, u in zip(views, use)]
         if r == rounds:
             break
-        # how many documents each view is sure of: four numbers; then about twice the wanted number of them
-        shared = spark.sparkContext.broadcast((weights, None))
-        sizes = every.mapInArrow(_confident(shared, confidence), form).groupBy("giver", "label").count().collect()
-        shared.destroy()
-        bounds = np.zeros((2, 2))
-        for giver, label, k in sizes:
-            bounds[giver, label] = min(1.0, 2 * wanted[label] / k)
-        shared = spark.sparkContext.broadcast((weights, bounds))
-        sure = every.where(F.col("key") / 2.0**64 + 0.5 < float(bounds.max())).mapInArrow(_confident(shared, confidence), form)
-        given = sure.join(known.select("doc_id"), "doc_id", "left_anti").groupBy("giver", "label", "key").agg(F.min("features").alias("features")).toPandas()
-        shared.destroy()
-        given["place"] = _place(given["key"].to_numpy(np.int64))
-        for (giver, label), rows in given.sort_values(["place", "key"]).groupby(["giver", "label"]):
-            for b in rows["features"].head(wanted[label]):
-                x[n], y[n], use[1 - giver, n] = np.frombuffer(b, np.float16), label, True
+        for (giver, label), rows in _exchanged(spark, every, known, weights, confidence, wanted, size).items():
+            for features in rows:
+                x[n], y[n], use[1 - giver, n] = np.frombuffer(features, np.float16), label, True
                 n += 1
     scales = tuple(platt(logit(w, v[: len(held)][held]), y[: len(held)][held]) for w, v in zip(weights, views))
     return Model(weights[0], weights[1], scales)
 
 
+def _exchanged(spark, every: DataFrame, known: DataFrame, weights: list[np.ndarray], confidence: float, wanted: np.ndarray, size: int) -> dict[tuple[int, int], list[bytes]]:
+    """(giver, label) -> features of the `wanted` unlabelled documents with the smallest keys of which the view is sure of the label.
+
+    Documents are classified in ranges of keys, from the smallest on: the first range would do if a tenth of all documents
+    were sure. The ranges widen, for the kinds that still lack rows, until each has its number or has seen all documents.
+    """
+    place = F.col("key") / 2.0**64 + 0.5
+    shared = spark.sparkContext.broadcast(weights)
+    found: dict[tuple[int, int], dict[int, bytes]] = {(g, label): {} for g in (0, 1) for label in (0, 1)}
+    low, high = 0.0, min(1.0, 20 * float(wanted.max()) / max(1, size))
+    while kinds := [k for k in found if len(found[k]) < wanted[k[1]]]:
+        part = every.where((place >= low) & (place < high)) if high < 1 else every.where(place >= low)
+        sure = part.mapInArrow(_confident(shared, confidence, kinds), "giver int, label int, doc_id long, key long, features binary").join(known.select("doc_id"), "doc_id", "left_anti")
+        first = sure.groupBy("giver", "label", "key").agg(F.min("features").alias("features"))
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("giver", "label").orderBy("key"))).where("rank <= " + str(int(wanted.max())))
+        for r in ranked.toPandas().itertuples():  # four times the wanted number at most
+            found[r.giver, r.label].setdefault(r.key, r.features)
+        if high >= 1:
+            break
+        low, high = high, min(1.0, 8 * high)
+    shared.destroy()
+    return {(g, label): [rows[k] for k in sorted(rows)[: int(wanted[label])]] for (g, label), rows in found.items()}
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
