@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.rolling import carried, series
 
 
+def joined_once(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two tables with unique keys; a key that is repeated in either is an error when the rows are read, not a product."""
+    def unique(x: DataFrame, side: str) -> DataFrame:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return x.withColumn("_n", n).where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit(f"repeated key on the {side}")).cast("boolean"))).drop("_n")
+
+    return unique(left, "left").join(unique(right, "right"), keys)
+
+
 def keep_one(df: DataFrame, keys: list[str], order: list[Column | str], newest: bool = True) -> DataFrame:
     """One row a key: the last (or first) by `order`. An order column is required, since a table has no order of its own."""
     by = [c.desc() if newest else c.asc() for c in (F.col(c) if isinstance(c, str) else c for c in order)]

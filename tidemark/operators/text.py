@@ -113,15 +113,47 @@ def tags(x: Column, aliases: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def any_of(x: Column, words: list[str]) -> Column:
+    """Whether any of the words, as they are, stands in the text."""
+    out = x.contains(words[0])
+    for w in words[1:]:
+        out = out | x.contains(w)
+    return out
+
+
 def first_match(x: Column, keywords: dict[str, list[str]], otherwise: str = "none") -> Column:
+    """The first name of `keywords` one of whose words stands in the text."""
     out = F.lit(otherwise)
     for name, words in reversed(keywords.items()):
-        out = F.when(x.rlike("|".join(words)), name).otherwise(out)
+        out = F.when(any_of(x, words), name).otherwise(out)
     return out
 
 
 def occurrences(x: Column, words: list[str]) -> Column:
-    return sum((F.regexp_count(x, F.lit(w)) for w in words), F.lit(0))
+    """How often the words stand in the text: what replacing each by nothing takes away, over its length."""
+    return sum(((F.length(x) - F.length(F.replace(x, F.lit(w)))) / len(w) for w in words), F.lit(0.0))
+
+
+def whole_words(x: Column, words: list[str]) -> Column:
+    """The distinct words of the list that stand in the text with no letter, digit or underscore beside them; one pass."""
+    names = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({names})(?![\p{{L}}\p{{N}}_])"), 1))
+
+
+def keyword_extraction(df: DataFrame, text: str, rules) -> DataFrame:
+    """Adds event_type, entities, themes, sentiment, severity and is_rumor by fixed keyword rules over the lower-case text.
+
+    A null text is an empty one: no event, no entities, theme none.
+    """
+    t = F.col("_t")
+    kind = first_match(t, rules.EVENTS)
+    names = F.create_map(*(F.lit(v) for pair in rules.TICKERS.items() for v in pair))
+    found = F.sort_array(F.array_distinct(F.transform(whole_words(t, list(rules.TICKERS)), lambda w: F.try_element_at(names, w))))
+    themes = F.array_compact(F.array(*(F.when(any_of(t, words), name) for name, words in sorted(rules.THEMES.items()))))
+    mood = F.least(F.greatest(0.15 * (occurrences(t, rules.GOOD) - occurrences(t, rules.BAD)), F.lit(-1.0)), F.lit(1.0))
+    out = df.withColumn("_t", F.coalesce(F.lower(text), F.lit(""))).withColumns({"event_type": kind, "entities": found, "themes": themes, "sentiment": mood, "is_rumor": any_of(t, rules.RUMOUR)})
+    severity = F.when(F.col("event_type").isin(*rules.SEVERE), 0.7).when(F.col("event_type") != "none", 0.4).otherwise(0.1)
+    return out.withColumns({"severity": severity, "themes": F.when(F.size("themes") > 0, F.col("themes")).otherwise(F.array(F.lit("none")))}).drop("_t")
 
 
 def coerced(df: DataFrame, kinds: list[str]) -> DataFrame:

@@ -135,14 +135,22 @@ def market_4h_features(s, d):
     return r6(market_features(s, d).select("symbol", "ts", "decision_time", *FEATURES), *FEATURES)
 
 
-@query("short_horizon_1h", f"""WITH {S.F1}, x AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret_1h FROM f1)
-SELECT symbol, ts, round(ret_1h, 6) AS ret_1h, round(CASE WHEN count(ret_1h) OVER w >= 6 THEN stddev_samp(ret_1h) OVER w END, 6) AS vol_24h,
-  round(CASE WHEN count(volume) OVER w >= 6 THEN sum(volume) OVER w END, 6) AS volume_24h, round(CASE WHEN count(high) OVER w >= 6 THEN max(high) OVER w END, 6) AS high_24h,
-  round({_z('volume', 'w', 6)}, 6) AS volume_z FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING)""")
+SHORT_1H = ["ret_1h", "ret_3h", "ret_6h", "ret_12h", "ret_24h_1h", "vol_24h", "volume_z_24h", "range_6h", "net_taker_1h", "net_taker_6h", "net_taker_z_24h"]
+
+
+@query("short_horizon_1h", f"""WITH {S.F1}, x AS (SELECT *, 2 * taker_buy_vol - volume AS net, (high - low) / nullif(close, 0) AS span, close / nullif(lag(close) OVER o, 0) - 1 AS ret_1h, close / nullif(lag(close, 3) OVER o, 0) - 1 AS ret_3h, close / nullif(lag(close, 6) OVER o, 0) - 1 AS ret_6h, close / nullif(lag(close, 12) OVER o, 0) - 1 AS ret_12h,
+  close / nullif(lag(close, 24) OVER o, 0) - 1 AS ret_24h_1h FROM f1 WINDOW o AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, ts + INTERVAL 1 HOUR + INTERVAL 30 SECOND AS available, round(ret_1h, 6) AS ret_1h, round(ret_3h, 6) AS ret_3h, round(ret_6h, 6) AS ret_6h, round(ret_12h, 6) AS ret_12h, round(ret_24h_1h, 6) AS ret_24h_1h, round(CASE WHEN count(ret_1h) OVER w >= 6 THEN stddev_samp(ret_1h) OVER w END, 6) AS vol_24h,
+  round({_z('volume', 'w', 6)}, 6) AS volume_z_24h, round(CASE WHEN count(span) OVER v >= 6 THEN avg(span) OVER v END, 6) AS range_6h, round(net, 6) AS net_taker_1h, round(CASE WHEN count(net) OVER v >= 2 THEN sum(net) OVER v END, 6) AS net_taker_6h, round({_z('net', 'w', 6)}, 6) AS net_taker_z_24h
+FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING), v AS (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING)""")
 def short_horizon_1h(s, d):
-    x = M.clean_1h(s, d).withColumn("ret_1h", R.pct_change("close", by_symbol()))
-    out = x.select("symbol", "ts", "ret_1h", R.roll(F.stddev_samp, "ret_1h", by_symbol(), 24, 6).alias("vol_24h"), R.roll(F.sum, "volume", by_symbol(), 24, 6).alias("volume_24h"), R.roll(F.max, "high", by_symbol(), 24, 6).alias("high_24h"), R.zscore("volume", by_symbol(), 24, 6).alias("volume_z"))
-    return r6(out, "ret_1h", "vol_24h", "volume_24h", "high_24h", "volume_z")
+    x = M.clean_1h(s, d).withColumns({"net": 2 * F.col("taker_buy_vol") - F.col("volume"), "span": F.try_divide(F.col("high") - F.col("low"), F.col("close"))})
+    x = x.withColumns({name: R.pct_change("close", by_symbol(), n) for name, n in (("ret_1h", 1), ("ret_3h", 3), ("ret_6h", 6), ("ret_12h", 12), ("ret_24h_1h", 24))})
+    x = x.withColumns({
+        "vol_24h": R.roll(F.stddev_samp, "ret_1h", by_symbol(), 24, 6), "volume_z_24h": R.zscore("volume", by_symbol(), 24, 6), "range_6h": R.roll(F.avg, "span", by_symbol(), 6, 6), "net_taker_1h": F.col("net"),
+        "net_taker_6h": R.roll(F.sum, "net", by_symbol(), 6, 2), "net_taker_z_24h": R.zscore("net", by_symbol(), 24, 6), "available": J.shifted(F.col("ts"), 3630),
+    })
+    return r6(x.select("symbol", "ts", "available", *SHORT_1H), *SHORT_1H)
 
 
 REGIME = ["ret_1d", "ret_3d", "ret_7d", "vol_30d", "ma_gap", "drawdown_30d"]
@@ -320,19 +328,6 @@ def news_ewma(s, d):
     return r6(out, "sent_fast", "sent_slow", "sent_momentum", "log_count")
 
 
-EVENT_COLS = {"alpha": ("a", HL[3]), "risk": ("r", HL[2])}
-
-
-@query("event_factors", f"""WITH RECURSIVE x AS (SELECT lang AS symbol, to_timestamp(1704067200 + doc_id * 420)::TIMESTAMP AS ts, CASE WHEN regexp_matches(text, '(?i)th') THEN 1.0 ELSE 0.0 END AS a, CASE WHEN regexp_matches(text, '!!') THEN 1.0 ELSE 0.0 END AS r FROM documents),
-bn AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts) + INTERVAL 4 HOUR AS bin, avg(a)::DOUBLE AS a, max(r)::DOUBLE AS r FROM x GROUP BY 1, 2), cal AS (SELECT symbol, unnest(generate_series(min(bin), max(bin), INTERVAL 4 HOUR)) AS bin FROM bn GROUP BY 1),
-g AS (SELECT symbol, bin, coalesce(a, 0) AS a, coalesce(r, 0) AS r FROM cal LEFT JOIN bn USING (symbol, bin)), {ewma_sql('g', 'symbol', 'bin', EVENT_COLS)}
-SELECT symbol, bin, round(alpha, 6) AS alpha, round(risk, 6) AS risk FROM ew""")
-def event_factors(s, d):
-    x = M.table(s, d, "documents").select(F.col("lang").alias("symbol"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420).alias("ts"), F.col("text").rlike("(?i)th").cast("double").alias("a"), F.col("text").rlike("!!").cast("double").alias("r"))
-    binned = x.groupBy("symbol", B.right_edge("ts", M.FOUR_HOURS).alias("bin")).agg(F.avg("a").alias("a"), F.max("r").alias("r"))
-    return r6(B.ewma(B.on_grid(binned, "4 hours", ["a", "r"]), "symbol", "bin", EVENT_COLS).select("symbol", "bin", "alpha", "risk"), "alpha", "risk")
-
-
 @query("reconcile", """WITH a AS (SELECT l_partkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.q, 0) AS q_internal, coalesce(b.q, 0) AS q_exchange, abs(coalesce(a.q, 0) - coalesce(b.q, 0)) <= 1e-6 AS matches FROM a FULL JOIN b ON a.k = b.k""")
 def reconcile(s, d):

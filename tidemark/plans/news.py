@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
+from ..operators import rules
 from ..operators import text as T
 from ..sources import market as M
 from .registry import query, r6
@@ -71,15 +72,8 @@ def link_extract(s, d):
     return T.links(pages(s, d), "html", "url", ["page_id"])
 
 
-#: Names of assets, kinds of events and their keywords, as the extraction rules define them.
+#: Names of assets.
 ASSETS = {"BTC": ["BTC", "Bitcoin"], "ETH": ["ETH", "Ether", "Ethereum"], "SOL": ["SOL", "Solana"], "BNB": ["BNB", "Binance Coin"], "XRP": ["XRP", "Ripple"], "LINK": ["LINK", "Chainlink"]}
-EVENTS = {
-    "hack": ["hack", "exploit", "stolen", "breach", "drained"], "delisting": ["delist", "remove", "suspend trading"], "listing": ["list", "debut"],
-    "regulation": ["sec", "regulat", "lawsuit", "ban", "court", "subpoena", "settle"], "etf": ["etf", "exchange-traded fund"], "partnership": ["partner", "integration", "collaborat"],
-    "unlock": ["vesting", "unlock"], "funding": ["raise", "funding round", "series a", "series b", "invest"], "macro": ["fed", "inflation", "cpi", "rate", "macro"],
-}
-GOOD, BAD = ["surge", "rally", "approve", "bullish", "gain", "soar"], ["hack", "ban", "lawsuit", "crash", "plunge", "bearish", "delist"]
-
 
 #: The given articles are invented words, so the tag query also looks for words that they have.
 WORDS = ASSETS | {"THE": ["the"], "QUE": ["que", "qui"], "DER": ["der", "die", "das"]}
@@ -90,16 +84,32 @@ def asset_tags(s, d):
     return M.table(s, d, "documents").select("doc_id", F.array_join(T.tags(F.col("text"), WORDS), ",").alias("tags"))
 
 
-def _count_sql(words: list[str]) -> str:
-    return " + ".join(f"len(regexp_extract_all(t, '{w}'))" for w in words)
+def _any_sql(t: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
+
+
+def _count_sql(t: str, words: list[str]) -> str:
+    return " + ".join(f"(length({t}) - length(replace({t}, '{w}', ''))) / {len(w)}" for w in words)
+
+
+def _kind_sql(t: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_any_sql(t, k)} THEN '{n}'" for n, k in rules.EVENTS.items()) + " ELSE 'none' END"
+
+
+def extraction_sql(source: str, text: str) -> str:
+    """The keyword rules over the column `text` of the table `source`."""
+    names = sorted({(w, n) for w, n in rules.TICKERS.items()})
+    found = "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])') THEN '{n}' END" for w, n in names) + "], lambda x: x IS NOT NULL)))"
+    themes = "list_filter([" + ", ".join(f"CASE WHEN {_any_sql('t', k)} THEN '{n}' END" for n, k in sorted(rules.THEMES.items())) + "], lambda x: x IS NOT NULL)"
+    return f"""SELECT * EXCLUDE (t, th), CASE WHEN len(th) > 0 THEN th ELSE ['none'] END AS themes, CASE WHEN event_type IN ('hack', 'delisting', 'regulation', 'etf') THEN 0.7 WHEN event_type <> 'none' THEN 0.4 ELSE 0.1 END::DOUBLE AS severity FROM (
+  SELECT *, {_kind_sql('t')} AS event_type, {found} AS entities, {themes} AS th, least(greatest(0.15 * (({_count_sql('t', rules.GOOD)}) - ({_count_sql('t', rules.BAD)})), -1), 1)::DOUBLE AS sentiment, {_any_sql('t', rules.RUMOUR)} AS is_rumor
+  FROM (SELECT *, coalesce(lower({text}), '') AS t FROM {source}))"""
 
 
-@query("keyword_events", "WITH x AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{'|'.join(k)}') THEN '{n}'" for n, k in EVENTS.items()) + f" ELSE 'none' END AS event_type, round(least(greatest(0.15 * (({_count_sql(GOOD)}) - ({_count_sql(BAD)})), -1), 1), 6)::DOUBLE AS sentiment, regexp_matches(t, 'rumor|reportedly|sources say|speculation|alleged') AS is_rumor FROM x")
+@query("keyword_events", f"SELECT doc_id, event_type, array_to_string(entities, ',') AS entities, array_to_string(themes, ',') AS themes, round(sentiment, 6) AS sentiment, severity, is_rumor FROM ({extraction_sql('documents', 'text')})")
 def keyword_events(s, d):
-    x = M.table(s, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    t = F.col("t")
-    score = F.least(F.greatest(0.15 * (T.occurrences(t, GOOD) - T.occurrences(t, BAD)), F.lit(-1.0)), F.lit(1.0))
-    return r6(x.select("doc_id", T.first_match(t, EVENTS).alias("event_type"), score.alias("sentiment"), t.rlike("rumor|reportedly|sources say|speculation|alleged").alias("is_rumor")), "sentiment")
+    x = T.keyword_extraction(M.table(s, d, "documents").select("doc_id", "text"), "text", rules)
+    return r6(x.select("doc_id", "event_type", F.array_join("entities", ",").alias("entities"), F.array_join("themes", ",").alias("themes"), "sentiment", "severity", "is_rumor"), "sentiment")
 
 
 @query("consistency_vote", """WITH c AS (SELECT user_id, event_type, count(*) AS c, sum(value) AS s FROM events GROUP BY 1, 2), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id) AS n, sum(s) OVER (PARTITION BY user_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) AS k FROM c)
