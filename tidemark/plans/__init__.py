@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _loaded():
-    from . import book, decisions, learning, market, news, registry, stack, tables  # noqa: F401
+    from . import book, decisions, learning, market, news, registry, stack, streams, tables  # noqa: F401
 
     return registry
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset, a local temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under spark.checkpoint.dir; only where that is unset and all runs in one process, a local temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-stream-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root}/{name}-{uuid.uuid4().hex}"

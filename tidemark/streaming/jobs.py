@@ -27,10 +27,17 @@ def upsert_stream(source: DataFrame, target: str, keys: list[str], order: list[s
         new = batch if old is None else upsert(old, batch, keys, order)
         out = new if old is not None else upsert(batch.limit(0), batch, keys, order)
         out.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        _forget(spark, target, batch_id - 2)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _forget(spark: SparkSession, target: str, version: int) -> None:
+    """Removes a version that no batch can need again: the next one reads only the one before it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={version}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def current(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame | None:
     """Newest version of a table kept by `upsert_stream`."""
     jvm = spark.sparkContext._jvm
