@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 
 def classifier(kind: str, classes: int, label: str, weight: str | None, seed: int = 42, trees: int = 50, depth: int = 4):
     own = {"weightCol": weight} if weight else {}
@@ -27,10 +29,10 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, folds: DataFrame
     """(keys, fold_id, alpha): P(last class) - P(first class) of each test row by a model of its fold's train rows.
 
     label: 0, 1 (, 2). folds: (keys, fold_id, role). A fold with fewer than `least` train rows or one class has alpha 0.
-    The driver plans one fit a fold; rows stay distributed.
+    The driver plans one fit a fold; rows stay distributed. Rows that lack a feature or the label are neither learnt from nor scored.
     """
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.fillna(0.0, features).where(F.col(label).isNotNull()))
-    rows = data.join(folds, keys).persist()  # each fold's fit reads it several times; spills to disk
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[*features, label]))
+    rows = staged(data.join(folds, keys).select(*keys, "fold_id", "role", label, "features", *([weight] if weight else [])))  # each fold's fit reads it several times
     counts = {(r.fold_id, r[label]): r["count"] for r in rows.where("role = 'train'").groupBy("fold_id", label).count().collect()}  # folds x classes rows
     out = []
     for fold in sorted({f for f, _ in counts}):
@@ -60,15 +62,21 @@ def calibrated(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out if "calibrated" in out.columns else out.withColumn("calibrated", F.element_at(vector_to_array("_p"), 2)).drop("_s", "_p", "_r", "_l")
 
 
-def temporal(windows: DataFrame, folds: DataFrame, keys: list[str], targets: list[str], width: int = 4, ridge: float = 1.0) -> DataFrame:
-    """(keys, embedding, forecast_<target>): principal components and ridge forecasts of test rows, fitted on each fold's train rows."""
-    rows = windows.withColumn("features", array_to_vector("window")).join(folds, keys)
+def temporal(windows: DataFrame, folds: DataFrame, keys: list[str], targets: list[str], width: int = 4, ridge: float = 1.0, least: int = 30) -> DataFrame:
+    """(keys, embedding, forecast_<target>): principal components and ridge forecasts of test rows, fitted on each fold's train rows; null where those are fewer than `least`."""
+    rows = staged(windows.withColumn("features", array_to_vector("window")).join(folds, keys))
+    sizes = {r.fold_id: r for r in rows.groupBy("fold_id").agg(F.count_if(F.col("role") == "train").alias("all"), *(F.count_if((F.col("role") == "train") & F.col(t).isNotNull()).alias(t) for t in targets)).collect()}  # k rows
     out = []
-    for (fold,) in sorted(folds.select("fold_id").distinct().collect()):  # k rows
+    for fold in sorted(sizes):
         train, test = (rows.where((F.col("fold_id") == fold) & (F.col("role") == r)) for r in ("train", "test"))
-        pca = PCA(k=width, inputCol="features", outputCol="_e").fit(train)
-        got = pca.transform(test).withColumn("embedding", vector_to_array("_e"))
+        if sizes[fold]["all"] >= least:
+            got = PCA(k=width, inputCol="features", outputCol="_e").fit(train).transform(test).withColumn("embedding", vector_to_array("_e"))
+        else:
+            got = test.withColumn("embedding", F.lit(None).cast("array<double>"))
         for t in targets:
+            if sizes[fold][t] < least:
+                got = got.withColumn(f"forecast_{t}", F.lit(None).cast("double"))
+                continue
             fit = LinearRegression(featuresCol="features", labelCol=t, predictionCol=f"forecast_{t}", regParam=ridge, elasticNetParam=0.0).fit(train.where(F.col(t).isNotNull()))
             got = fit.transform(got)
         out.append(got.select(*keys, "embedding", *(f"forecast_{t}" for t in targets)))

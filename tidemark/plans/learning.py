@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
+from ..operators import asof as J
 from ..operators import labels as L
 from ..operators import models as ML
 from ..operators import portfolio as P
@@ -20,6 +21,8 @@ from .registry import query, r6
 
 KEYS = ["symbol", "decision_time"]
 SHORT = ["ret_4h", "ret_24h", "vol_96h", "volume_z", "taker_z"]
+TREES = 200
+HORIZONS = {"fwd_1": 1, "fwd_3": 3, "fwd_6": 6, "fwd_18": 18}
 
 
 def supervised(s, d):
@@ -28,21 +31,21 @@ def supervised(s, d):
     return staged(market_features(s, d).select(*KEYS, *FEATURES).join(lab, KEYS))
 
 
-def folds(x, k: int = 3):
+def folds(x, k: int = 5):
     return staged(L.purged_folds(x.select(*KEYS, "t0", "t1"), ["symbol"], k))
 
 
 @query("oof_alpha")
 def oof_alpha(s, d):
     x = supervised(s, d)
-    return r6(ML.out_of_fold(x, SHORT, "y", folds(x), KEYS, trees=10), "alpha")
+    return r6(ML.out_of_fold(x, FEATURES, "y", folds(x), KEYS, trees=TREES), "alpha")
 
 
 @query("stage2_meta")
 def stage2_meta(s, d):
     """Probability that the traded side's net return is positive, out of fold."""
     x = supervised(s, d).withColumn("y", (F.col("raw_long") * F.signum("ret_24h") > 0.0016).cast("double")).where("ret_24h is not null and ret_24h <> 0")
-    return r6(ML.out_of_fold(x, SHORT, "y", folds(x), KEYS, kind="logistic"), "alpha").withColumnRenamed("alpha", "edge")
+    return r6(ML.out_of_fold(x, FEATURES, "y", folds(x), KEYS, kind="logistic"), "alpha").withColumnRenamed("alpha", "edge")
 
 
 @query("calibrated_probability")
@@ -51,13 +54,18 @@ def calibrated_probability(s, d):
     return r6(ML.calibrated(ML.calibrator(x, "p", "y"), x).select("doc_id", "calibrated"), "calibrated")
 
 
+def temporal(s, d):
+    """Out of fold: four components of the last 12 closes and a forecast for each horizon."""
+    x = staged(L.windows(M.bars_4h(s, d), "close", 12, HORIZONS)).withColumns({"t0": F.col("ts"), "t1": F.timestamp_seconds(F.unix_timestamp("ts") + 18 * 14400), "decision_time": J.shifted(F.col("ts"), 14460)})
+    f = staged(L.purged_folds(x.select("symbol", "decision_time", "t0", "t1"), ["symbol"]))
+    return ML.temporal(x, f, KEYS, list(HORIZONS))
+
+
 @query("temporal_forecast")
 def temporal_forecast(s, d):
-    bars = M.bars_4h(s, d)
-    x = staged(L.windows(bars, "close", 12, {"fwd_1": 1, "fwd_6": 6})).withColumns({"t0": F.col("ts"), "t1": F.timestamp_seconds(F.unix_timestamp("ts") + 86400), "decision_time": F.col("ts")})
-    f = staged(L.purged_folds(x.select("symbol", "decision_time", "t0", "t1"), ["symbol"], 3))
-    out = ML.temporal(x, f, KEYS, ["fwd_1", "fwd_6"])
-    return r6(out.withColumn("e1", F.abs(F.element_at("embedding", 1))).drop("embedding"), "e1", "forecast_fwd_1", "forecast_fwd_6")
+    """The sign of a component is arbitrary, so its absolute values are returned."""
+    out = temporal(s, d).withColumns({f"e{i}": F.abs(F.element_at("embedding", i)) for i in (1, 2, 3, 4)}).drop("embedding")
+    return r6(out, "e1", "e2", "e3", "e4", *(f"forecast_{h}" for h in HORIZONS))
 
 
 @query("fusion_alpha")
@@ -68,14 +76,22 @@ def fusion_alpha(s, d):
 
 @query("ablation_table")
 def ablation_table(s, d):
-    """Feature sets side by side: information coefficient and number of rows of their out-of-fold scores."""
+    """Feature sets side by side, scored out of fold: information coefficient, and the HAC t, Sharpe ratio with its interval, and deflated Sharpe of trading the score's sign."""
     x = supervised(s, d)
+    t = staged(temporal(s, d)).withColumns({f"e{i}": F.element_at("embedding", i) for i in (1, 2, 3, 4)}).drop("embedding")
+    x = staged(x.join(t, KEYS))
     f = folds(x)
-    parts = None
-    for name, cols in {"price": ["ret_4h", "ret_24h"], "flow": ["volume_z", "taker_z"], "both": SHORT}.items():
-        one = ML.out_of_fold(x, cols, "y", f, KEYS, kind="logistic").join(x.select(*KEYS, "raw_long"), KEYS).withColumn("config", F.lit(name))
+    parts, forecasts, embedding = None, [f"forecast_{h}" for h in HORIZONS], ["e1", "e2", "e3", "e4"]
+    configs = {"tabular": FEATURES, "forecasts": forecasts, "embedding_and_tabular": [*FEATURES, *embedding], "all": [*FEATURES, *embedding, *forecasts]}
+    for name, cols in configs.items():
+        one = ML.out_of_fold(x, cols, "y", f, KEYS, trees=TREES).join(x.select(*KEYS, "raw_long"), KEYS).withColumns({"run_id": F.lit(name), "n_features": F.lit(len(cols))})
         parts = one if parts is None else parts.unionByName(one)
-    return r6(N.rank_ic(parts, ["config"], "alpha", "raw_long"), "ic")
+    parts = staged(parts.where("alpha is not null and raw_long is not null"))
+    own = parts.select("run_id", F.struct("decision_time", "symbol").alias("ts"), (F.signum("alpha") * F.col("raw_long")).alias("ret"))
+    out = N.rank_ic(parts, ["run_id", "n_features"], "alpha", "raw_long")
+    for more in (N.newey_west(own, "run_id", "ts", "ret", 30).select("run_id", "t_stat"), P.metrics(own).select("run_id", "mean_sharpe"), N.bootstrap_sharpe(own, boots=500, block=30), N.deflated_sharpe(own, len(configs)).select("run_id", "dsr")):
+        out = out.join(more, "run_id", "left")
+    return r6(out, "ic", "t_stat", "mean_sharpe", "low", "high", "dsr")
 
 
 @query("acceptance_gates", f"WITH {PIT_SQL} SELECT 'no_look_ahead' AS gate, count(*) FILTER (max_feature_available_time > decision_time)::DOUBLE AS value, count(*) FILTER (max_feature_available_time > decision_time) = 0 AS passed FROM pit2 UNION ALL SELECT 'enough_rows', count(*)::DOUBLE, count(*) >= 100 FROM pit2")
