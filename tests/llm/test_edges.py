@@ -94,3 +94,16 @@ def test_one_of_each_class_stays(odd, spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = sorted(((r.doc_id or 0), (r.text or "")) for r in ngram_join.one_of_each_class(df).collect())
     assert got == sorted([(0, ""), (2, other), (2, PROSE)])
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_stages_take_odd_and_empty_tables(odd, nothing, spark, benchmark, labels, tmp_path, rows):
+    """Every stage on odd rows with odd tables beside them, and on none with empty ones; all but the last keep the columns."""
+    docs, b, lab = (odd, benchmark, labels) if rows == "odd" else (nothing, benchmark.limit(0), labels.limit(0))
+    for table, df in (("benchmark", b), ("labels", lab)):
+        df.withColumns({c: F.lit(0) for c in CLASH}).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for stage, run in corpus_pipeline.STAGES:
+        got = run(spark, docs, str(tmp_path))
+        if stage != "tokens":
+            assert got.columns == odd.columns, stage
+        assert got.count() <= 2 * docs.count(), stage

@@ -113,6 +113,25 @@ def test_media_round_trip(docs, texts):
         assert np.load(io.BytesIO(r.tile)).shape == (16, 16)
 
 
+def test_difference_hash_by_hand():
+    """Means over the areas behind 8 x 9 samples, one cell at a time."""
+    rng = np.random.default_rng(5)
+    for shape in ((8, 9), (5, 64), (37, 64), (64, 64)):
+        a = rng.integers(0, 256, shape).astype(np.uint8)
+
+        def mean(y0, y1, x0, x1):
+            total = 0.0
+            for y in range(int(y0), int(np.ceil(y1 - 1e-12))):
+                for x in range(int(x0), int(np.ceil(x1 - 1e-12))):
+                    total += float(a[y, x]) * (min(y + 1, y1) - max(y, y0)) * (min(x + 1, x1) - max(x, x0))
+            return total / ((y1 - y0) * (x1 - x0))
+
+        h, w = shape
+        cells = [[mean(r * h / 8, (r + 1) * h / 8, c * w / 9, (c + 1) * w / 9) for c in range(9)] for r in range(8)]
+        bits = "".join("1" if round(row[c + 1], 6) > round(row[c], 6) else "0" for row in cells for c in range(8))
+        assert media.difference_hash(a) == f"{int(bits, 2):016x}"
+
+
 def test_media_formats(spark):
     a = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
     assert (media.decode(media.encode_pgm(a)) == a).all()
@@ -218,6 +237,40 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r.t - r.n) <= r.m and r.over <= 0
 
 
+def test_mixing_of_repeated_ids_comes_near_its_targets(spark):
+    same = [(i % 2, "one two three", "s") for i in range(600)] + [(7, f"w{i} x y", "t") for i in range(300)] + [(None, "a b c", "s")] * 100
+    d = spark.createDataFrame(same, "doc_id long, text string, source string").repartition(5)
+    for r in mixing.mix(d).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect():
+        assert abs(r.t - r.n) <= 3
+    rows = mixing.mixture(d)
+    assert rows.columns == d.columns and abs(3 * rows.count() - 1.5 * 3000) <= 6
+    assert mixing.mixture(d.where("source = 't'").withColumn("text", F.lit(""))).count() == 0
+
+
+def test_exchanged_rows_are_the_least_of_all(spark):
+    """Pseudo-labels against a plain selection over all documents, in several ranges of keys."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    known = docs.where("doc_id % 5 = 0").select("doc_id")
+    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text", "source", "lang")
+    rng = np.random.default_rng(1)
+    weights = [rng.normal(0, 3, quality.DIMENSIONS + 1), rng.normal(0, 1, quality.META + 1)]
+    weights[0][-1] -= 2
+    wanted = np.array([6, 9])
+    got = quality._exchanged(spark, every, known, weights, 0.9, wanted, 40 * every.count())
+    out = {(g, label): {} for g in (0, 1) for label in (0, 1)}
+    for r in every.join(known, "doc_id", "left_anti").collect():
+        x = quality._views([(r.text or "").encode()], [r.source], [r.lang])[0]
+        wide = x.astype(np.float32)
+        for g, v in enumerate((wide[: quality.DIMENSIONS], wide[quality.DIMENSIONS :])):
+            p = float(quality._sigmoid(quality.logit(weights[g], v[None, :]))[0])
+            for label, sure in ((0, 1 - p), (1, p)):
+                if sure >= 0.9:
+                    out[g, label][r.key] = x.tobytes()
+    assert any(out.values())
+    for k, rows in out.items():
+        assert got[k] == [rows[i] for i in sorted(rows)[: wanted[k[1]]]], k
+
+
 def test_lm_gradient_and_learning(spark, docs):
     rng = np.random.default_rng(4)
     p = masked_lm.initial(np.ones(masked_lm.CELLS))
@@ -300,6 +353,36 @@ def test_phrases_equal_greedy_parsing():
         assert model.phrases([t])[0].tolist() == [greedy(t, b"the cat sat on the mat"), greedy(t, b"der hund lag im haus")]
 
 
+def test_phrases_of_long_texts_are_one_greedy_parse():
+    known = {"a": b"the cat sat on the mat and ran", "b": b"der hund lag im haus und lief"}
+    model = language_id.Model(known, {})
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.choice(np.frombuffer(b"thecat sonmdrugl", np.uint8), n)) for n in (0, 1, 127, 1023, 1024, 1025, 1152, 3000, 9000)] + [b"the cat sat on the mat and ran " * 120, b"a" * 3000]
+
+    def greedy(text, own):
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in own:
+                j += 1
+            n, i = n + 1, j
+        return n
+
+    assert model.phrases(texts).tolist() == [[greedy(t, known["a"]), greedy(t, known["b"])] for t in texts]
+
+
+def test_language_needs_letters_and_takes_many_languages(spark):
+    rng = np.random.default_rng(6)
+    stems = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(12)] for k in range(100)}
+    rows = [(i, " ".join(rng.choice(w, 60)), lang) for i, (lang, w) in enumerate(list(stems.items()) * 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d.where("doc_id < 200"), table_bytes=1 << 25)
+    got = language_id.predict_languages(d.where("doc_id >= 200"), model).join(d.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = lang_pred").count() >= 95
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2 \u2167 12"), (2, "\u0301\u0301"), (3, "")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in language_id.predict_languages(odd, model).collect()} == {("und", 0.0)}
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
     got = language_id.predict_languages(docs, language_id.fit(docs.where(~language_id.held_out()))).join(docs, "doc_id").where("held_out")

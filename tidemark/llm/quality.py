@@ -46,7 +46,9 @@ def content_features(run: list[bytes]) -> np.ndarray:
     size = np.array([len(b) + 2 for b in run])
     doc = np.repeat(np.arange(len(run), dtype=np.int64), size)
     key = ((low[:-2] * np.uint32(0x9E3779B1)) ^ (low[1:-1] * np.uint32(0x85EBCA77)) ^ (low[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(22)
-    out = np.bincount(doc[:-2] * DIMENSIONS + key, minlength=len(run) * DIMENSIONS).reshape(len(run), DIMENSIONS)
+    own = np.ones(len(raw), bool)  # no trigram begins between two texts
+    own[np.cumsum(size) - 1] = own[np.cumsum(size) - 2] = False
+    out = np.bincount((doc[:-2] * DIMENSIONS + key)[own[:-2]], minlength=len(run) * DIMENSIONS).reshape(len(run), DIMENSIONS)
     out = np.sqrt(out.astype(np.float32))
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-6)
 
@@ -242,3 +244,10 @@ def with_scores(documents: DataFrame, model: Model) -> DataFrame:
     mark = "_" * (1 + max(len(c) for c in kept))  # longer than any name there is
     inputs = documents.select(*kept, *(F.col(c).cast("string").alias(f"{c}{mark}") for c in ("text", "source", "lang")))
     return inputs.mapInArrow(_score(shared), f"{schema}, quality_score double")
+
+
+def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of `documents` (all columns, one named quality_score too) with a score of `least` or more."""
+    aside = "_" * (1 + max(len(c) for c in documents.columns))
+    scored = with_scores(documents.withColumnRenamed("quality_score", aside), model).where(F.col("quality_score") >= least).drop("quality_score")
+    return scored.withColumnRenamed(aside, "quality_score").select(*documents.columns)
