@@ -1,13 +1,14 @@
 """From documents to token files in five stages, each an operator of `tidemark.llm` over all that the one before kept.
 
 Every stage's rows are written as Parquet into the shared folder and read again as the next stage's documents. All but the
-last return the columns of `documents`.
+last return the columns of `documents`, whatever further ones there are and however they are named. Null ids are kept and
+come last; null and empty texts pass every stage but the mix, which takes no empty text; rows that repeat id and text are
+one document from the second stage on. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, ngram_join, quality, token_files
 from tidemark.llm.queries import tokenizer_path
@@ -20,7 +21,7 @@ KEEP_FROM = 0.5
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_scores(docs, model).where(F.col("quality_score") >= KEEP_FROM).drop("quality_score")
+    return quality.accepted(docs, model, KEEP_FROM)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
