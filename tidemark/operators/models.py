@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 from ..sources.stage import staged
 
 
-def classifier(kind: str, classes: int, label: str, weight: str | None, seed: int = 42, trees: int = 50, depth: int = 4):
+def classifier(kind: str, classes: int, label: str, weight: str | None, seed: int = 42, trees: int = 50, depth: int = 4, leaf: int = 1):
     own = {"weightCol": weight} if weight else {}
     if kind == "forest":
-        return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, **own)
+        return RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, **own)
     if kind == "logistic":
         return LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01, **own)
     one = GBTClassifier(labelCol=label, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.05, seed=seed, **own)
     return one if classes == 2 else OneVsRest(classifier=one, labelCol=label, featuresCol="features", **own)
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, folds: DataFrame, keys: list[str], kind: str = "forest", weight: str | None = None, least: int = 30, trees: int = 50) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], label: str, folds: DataFrame, keys: list[str], kind: str = "forest", weight: str | None = None, least: int = 30, trees: int = 50, depth: int = 4, leaf: int = 1) -> DataFrame:
     """(keys, fold_id, alpha): P(last class) - P(first class) of each test row by a model of its fold's train rows.
 
     label: 0, 1 (, 2). folds: (keys, fold_id, role). A fold with fewer than `least` train rows or one class has alpha 0.
@@ -42,7 +42,7 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, folds: DataFrame
             out.append(test.select(*keys, "fold_id", F.lit(0.0).alias("alpha")))
             continue
         train = rows.where((F.col("fold_id") == fold) & (F.col("role") == "train"))
-        model = classifier(kind, int(max(classes)) + 1, label, weight, trees=trees).fit(train)
+        model = classifier(kind, int(max(classes)) + 1, label, weight, trees=trees, depth=depth, leaf=leaf).fit(train)
         p = vector_to_array("probability")
         out.append(model.transform(test).select(*keys, "fold_id", (F.element_at(p, -1) - F.element_at(p, 1)).alias("alpha")))
     return reduce(DataFrame.unionByName, out)

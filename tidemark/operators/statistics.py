@@ -65,13 +65,13 @@ def pair_correlations(returns: DataFrame, period: str) -> DataFrame:
     return a.join(b, [period, "ts"]).where("a < b").groupBy(period, "a", "b").agg(correlation("ra", "rb").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_sharpe(returns: DataFrame, boots: int = 200, block: int = 20, bars: float = 2190, seed: int = 7) -> DataFrame:
+def bootstrap_sharpe(returns: DataFrame, boots: int = 1000, block: int = 20, bars: float = 2190, seed: int = 7) -> DataFrame:
     """(run_id, low, high): 95 % interval of the Sharpe ratio under block resampling; blocks come from prefix sums."""
     w = Window.partitionBy("run_id").orderBy("ts")
     x = returns.withColumns({"i": F.row_number().over(w), "s": F.sum("ret").over(w.rowsBetween(Window.unboundedPreceding, 0)), "q": F.sum(F.col("ret") * F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     n = returns.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("n")).where(f"n >= {2 * block}")
     draw = n.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))))
-    draw = draw.withColumn("i", F.pmod(F.xxhash64("run_id", "boot", "k", F.lit(seed)), F.col("n") - block + 1).cast("int"))
+    draw = draw.withColumn("i", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "run_id", "boot", "k", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long"), F.col("n") - block + 1).cast("int"))
     ends = draw.withColumn("j", F.col("i") + block)
     pre = x.select("run_id", "i", "s", "q").union(n.select("run_id", F.lit(0), F.lit(0.0), F.lit(0.0)))
     got = ends.join(pre, ["run_id", "i"]).join(pre.select("run_id", F.col("i").alias("j"), F.col("s").alias("s2"), F.col("q").alias("q2")), ["run_id", "j"])

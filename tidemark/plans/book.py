@@ -272,9 +272,12 @@ def pair_corr_by_year(s, d):
     return r6(N.pair_correlations(x, "year"), "corr")
 
 
-@query("bootstrap_sharpe")
+@query("bootstrap_sharpe", f"""WITH {S.PNL}, r AS (SELECT run_id, row_number() OVER o AS i, sum(ret) OVER o AS s, sum(ret * ret) OVER o AS q FROM pnl WINDOW o AS (PARTITION BY run_id ORDER BY ts)), n AS (SELECT run_id, count(*) AS n FROM pnl GROUP BY 1 HAVING count(*) >= 40),
+pre AS (SELECT run_id, i, s, q FROM r UNION ALL SELECT run_id, 0, 0, 0 FROM n), dr AS (SELECT n.run_id, b.i AS boot, ('0x' || substr(md5(n.run_id || ':' || b.i || ':' || k.i || ':7'), 1, 8))::BIGINT % (n - 19) AS i FROM n, range(1, 1001) b(i), range(1, 10001) k(i) WHERE k.i <= ceil(n / 20.0)),
+g AS (SELECT dr.run_id, boot, sum(z.s - a.s) AS s, sum(z.q - a.q) AS q, count(*) * 20 AS m FROM dr JOIN pre a ON a.run_id = dr.run_id AND a.i = dr.i JOIN pre z ON z.run_id = dr.run_id AND z.i = dr.i + 20 GROUP BY 1, 2),
+h AS (SELECT run_id, s / m * sqrt(2190.0) / nullif(sqrt(greatest(q / m - (s / m) ** 2, 0)), 0) AS sharpe FROM g) SELECT run_id, round(quantile_cont(sharpe, 0.025), 6) AS low, round(quantile_cont(sharpe, 0.975), 6) AS high FROM h GROUP BY 1""")
 def bootstrap_sharpe(s, d):
-    return N.bootstrap_sharpe(pnl(s, d))
+    return r6(N.bootstrap_sharpe(pnl(s, d)), "low", "high")
 
 
 @query("deflated_sharpe")

@@ -183,21 +183,3 @@ def equity_risk(s, d):
     day = F.floor((F.row_number().over(P.by_run()) - 1) / 6)
     x = pnl(s, d).withColumn("d", day).groupBy("run_id", "d").agg((F.product(1 + F.col("ret")) - 1).alias("daily"))
     return r6(x.groupBy("run_id").agg(F.greatest(F.lit(0.0), -F.max_by("daily", "d")).alias("last_loss"), F.avg(F.abs("daily")).alias("mean_abs_daily"), F.count(F.lit(1)).alias("n_days")), "last_loss", "mean_abs_daily")
-
-
-@query("incremental_ladder")
-def incremental_ladder(s, d):
-    """Steps of a strategy as rows of one table: each step's Sharpe and HAC t, and its mean return over the step before."""
-    bars = M.bars_4h(s, d).withColumn("close", F.col("close") + 1000)
-    price = bars.select("symbol", "ts", "close")
-    sign = w(s, d).where("run_id = 'lag1'").select("symbol", "ts", "close", "w")
-    trend = P.momentum_weights(bars, lookback=24).join(price, ["symbol", "ts"]).select("symbol", "ts", "close", "w")
-    both = sign.join(trend.select("symbol", "ts", F.col("w").alias("v")), ["symbol", "ts"]).select("symbol", "ts", "close", ((F.col("w") + F.col("v")) / 2).alias("w"))
-    steps = None
-    for i, one in enumerate((sign, trend, both)):
-        one = one.withColumn("run_id", F.lit(f"step{i + 1}"))
-        steps = one if steps is None else steps.unionByName(one)
-    p = P.pnl(steps)
-    t = N.newey_west(p, "run_id", "ts", "ret", 6).select("run_id", "t_stat")
-    m = P.metrics(p).select("run_id", "mean_sharpe").join(t, "run_id").join(p.groupBy("run_id").agg(F.avg("ret").alias("mean")), "run_id")
-    return r6(m.withColumn("marginal", F.col("mean") - F.lag("mean").over(Window.partitionBy(F.lit(0)).orderBy("run_id"))), "mean_sharpe", "t_stat", "mean", "marginal")  # one row a step
