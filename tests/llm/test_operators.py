@@ -480,3 +480,15 @@ def test_pipeline_equals_its_stages(spark, docs, texts):
     assert mixed.columns == docs.columns
     rows = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert len(rows) == mixed.count() and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+
+
+def test_items_of_one_template_are_one_form(spark):
+    """Rows grow with the documents, not with documents times items, and the forms' members are known."""
+    text = "A train with {} wagons leaves the station at noon and carries {} sacks of grain to the harbour every day"
+    items = spark.createDataFrame([(i, text.format(3 + i, 500 + i)) for i in range(60)] + [(100, text.format(7, 7)), (101, text.format(9, 9))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "Intro words here. " + text.format(1000 + i, 2 + i) + " and more after that.") for i in range(40)] + [(99, text.format(4, 4))], "doc_id long, text string")
+    rows = decontaminate.leaks(docs, items).collect()
+    assert {r.doc_id for r in rows} == {*range(40), 99} and len(rows) <= 2 * 41
+    assert {(r.item_id, r.n_items) for r in rows} == {(0, 60), (100, 2)}
+    assert {r.doc_id for r in rows if r.item_id == 100} == {99}
+    assert decontaminate.item_forms(items).groupBy("form").count().orderBy("count").select("count").collect() == [(2,), (60,)]

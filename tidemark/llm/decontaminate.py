@@ -11,7 +11,7 @@ positions). Slots must be consistent: within a match, equal item values stand fo
 of all shifts whose slots are consistent in themselves and with each other, so inserted and dropped words do not end it.
 Its coverage is the share of the item's words, among those in any of its windows, that the found windows cover. A match
 of at least `coverage` is a leak; `changed` counts distinct slot values that differ, so 0 is a verbatim copy and more a
-re-parameterised question.
+re-parameterised question. Items that differ in their slots only are matched once, not each by itself.
 
 An item without a window that is half plain has windows of its words as they are, and is found as a copy only. An item of
 fewer than `words` words is one window of its own length, by template and by its words as they are, and is found wherever
@@ -41,8 +41,8 @@ _STOP[[10, 33, 46, 58, 59, 63]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
 _UNIT_HASHES = np.sort(Pieces([" ".join(UNITS).encode()], _BREAK).hash)
 _SLOTS = "array<struct<kind:int,value:long>>"
-_WINDOW = f"item long, at long, size int, total long, hash long, slots {_SLOTS}"
-_ARROW = pa.schema([("item", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("total", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.int64())])))])
+_WINDOW = f"item long, form long, at long, size int, total long, hash long, slots {_SLOTS}"
+_ARROW = pa.schema([("item", pa.int64()), ("form", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("total", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.int64())])))])
 _LITERAL = np.uint64(0x5EED0004)
 
 
@@ -93,9 +93,21 @@ def _hashed(t: _Templates, size: int, literal: bool) -> tuple[np.ndarray, np.nda
     return mix(h + np.uint64(size) * MULTIPLIERS[0] + (_LITERAL if literal else np.uint64(0))), at
 
 
-def _row(t: _Templates, item: int, a: int, size: int, total: int, h: np.uint64, literal: bool) -> dict:
+def _form(t: _Templates, literal: bool) -> int:
+    """Identity of one item's template and of which of its slots are equal; of an item found by its words only, of those."""
+    own = t.value if literal else t.hash
+    slots = np.flatnonzero(t.kind > 0)
+    _, first, again = np.unique(t.value[slots] * np.uint64(4) + t.kind[slots].astype(np.uint64), return_index=True, return_inverse=True)
+    pattern = np.zeros(len(own), np.uint64)
+    if not literal:
+        pattern[slots] = first[again].astype(np.uint64) + np.uint64(1)
+    place = np.arange(1, len(own) + 1, dtype=np.uint64)
+    return int(mix(mix(own + pattern * MULTIPLIERS[1]) * (np.uint64(2) * place + np.uint64(1))).sum().astype(np.int64))
+
+
+def _row(t: _Templates, item: int, form: int, a: int, size: int, total: int, h: np.uint64, literal: bool) -> dict:
     slots = [] if literal else [{"kind": int(t.kind[j]), "value": int(t.value[j].astype(np.int64))} for j in range(a, a + size) if t.kind[j]]
-    return {"item": item, "at": a - int(t.first[t.doc[a]]), "size": size, "total": total, "hash": int(h.astype(np.int64)), "slots": slots}
+    return {"item": item, "form": form, "at": a - int(t.first[t.doc[a]]), "size": size, "total": total, "hash": int(h.astype(np.int64)), "slots": slots}
 
 
 def _item_windows(words: int):
@@ -111,10 +123,11 @@ def _item_windows(words: int):
                     continue
                 size = min(words, n)
                 kinds = [False, True] if n < words else [False] if len(_hashed(t, size, False)[1]) else [True]
+                form = _form(t, not len(_hashed(t, size, False)[1]))
                 for literal in kinds:
                     h, at = _hashed(t, size, literal)
                     total = len(np.unique(at[:, None] + np.arange(size)))
-                    rows += [_row(t, item, a, size, total, h[i], literal) for i, a in enumerate(at.tolist())]
+                    rows += [_row(t, item, form, a, size, total, h[i], literal) for i, a in enumerate(at.tolist())]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
@@ -135,7 +148,7 @@ def _windows(sizes: list[int], filled):
                     for literal in (False, True):
                         h, at = _hashed(t, size, literal)
                         ok = np.flatnonzero(has(wanted, (h & np.uint64(8 * len(wanted) - 1)).astype(np.int64)))
-                        rows += [_row(t, ids[base + int(t.doc[a])], a, size, 0, h[i], literal) for i, a in zip(ok.tolist(), at[ok].tolist())]
+                        rows += [_row(t, ids[base + int(t.doc[a])], 0, a, size, 0, h[i], literal) for i, a in zip(ok.tolist(), at[ok].tolist())]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
@@ -174,33 +187,54 @@ def _matches(coverage: float):
                 if units:
                     words, same, windows, slots = _best(units, r["size"], r["total"])
                     if words >= coverage * r["total"]:
-                        rows.append((r["doc_id"], r["item_id"], windows, words / r["total"], slots, -same))
+                        rows.append((r["doc_id"], r["item_id"], r["n_items"], windows, words / r["total"], slots, -same))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "windows", "coverage", "slots", "changed"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "n_items", "windows", "coverage", "slots", "changed"])
 
     return run
 
 
+def _benchmark_windows(benchmark: DataFrame, words: int, item_col: str, item_text_col: str) -> DataFrame:
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    return items.mapInArrow(_item_windows(words), _WINDOW)
+
+
+def _forms(windows: DataFrame) -> DataFrame:
+    return windows.select("form", "item").distinct()
+
+
+def item_forms(benchmark: DataFrame, words: int = 8, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(form, item_id): which benchmark items share a form."""
+    return _forms(_benchmark_windows(benchmark, words, item_col, item_text_col)).withColumnRenamed("item", "item_id")
+
+
 def leaks(
     documents: DataFrame, benchmark: DataFrame, words: int = 8, coverage: float = 0.5, bits: int = 1 << 24,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, item_id, windows, coverage, slots, changed): a row for each document and benchmark item that it holds."""
+    """(doc_id, item_id, n_items, windows, coverage, slots, changed): a row for each document and form of benchmark item that it holds.
+
+    Items with one template and the same slots equal to each other are one form (`item_forms` has its members); `item_id` is
+    the smallest of them, and `changed` counts against that one.
+    """
     spark = documents.sparkSession
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_item_windows(words), _WINDOW)
+    every = _benchmark_windows(benchmark, words, item_col, item_text_col)
+    members = _forms(every).groupBy("form").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n_items"))
+    # an item's number may be repeated with other texts: a window is its form's and its item's
+    items = every.join(members, ["form", "item"]).dropDuplicates(["form", "item", "at", "hash"])
     sizes = sorted(r.size for r in items.select("size").distinct().collect())
     filled = spark.sparkContext.broadcast(bitmap(items.select("hash"), "hash", bits, hashed=True))
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(_windows(sizes, filled), _WINDOW)
     pairs = docs.select(F.col("item").alias("doc_id"), "at", "hash", F.col("slots").alias("theirs")).join(
-        items.select(F.col("item").alias("item_id"), F.col("at").alias("item_at"), "size", "total", "hash", "slots"), "hash"
+        items.select(F.col("item").alias("item_id"), "form", "n_items", F.col("at").alias("item_at"), "size", "total", "hash", "slots"), "hash"
     )
     bound = F.zip_with("slots", "theirs", lambda s, t: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), t["value"].alias("theirs")))
-    by_shift = pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    by_shift = pairs.groupBy("doc_id", "item_id", "form", "n_items", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.sort_array(F.collect_set("item_at")).alias("windows"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(bound)))).alias("bound"), F.max("total").alias("total"), F.max("size").alias("size"),
     )
-    units = by_shift.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("windows", "bound")).alias("units"), F.max("total").alias("total"), F.max("size").alias("size"))
-    return units.select("doc_id", "item_id", "units", "total", "size").mapInArrow(_matches(coverage), "doc_id long, item_id long, windows long, coverage double, slots long, changed long")
+    units = by_shift.groupBy("doc_id", "item_id", "form", "n_items").agg(F.collect_set(F.struct("windows", "bound")).alias("units"), F.max("total").alias("total"), F.max("size").alias("size"))
+    return units.select("doc_id", "item_id", "n_items", "units", "total", "size").mapInArrow(_matches(coverage), "doc_id long, item_id long, n_items long, windows long, coverage double, slots long, changed long")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
