@@ -65,6 +65,16 @@ def pair_correlations(returns: DataFrame, period: str) -> DataFrame:
     return a.join(b, [period, "ts"]).where("a < b").groupBy(period, "a", "b").agg(correlation("ra", "rb").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
+def rolling_pairs(returns: DataFrame, rows: int) -> DataFrame:
+    """(a, b, ts, corr, cov) of each pair of symbols over its last `rows` common times; null before there are as many."""
+    a, b = (returns.where("ret is not null").select("ts", F.col("symbol").alias(n), F.col("ret").alias(f"r{n}")) for n in "ab")
+    frame = Window.partitionBy("a", "b").orderBy("ts").rowsBetween(-(rows - 1), 0)
+    full = F.count(F.lit(1)).over(frame) == rows
+    cov = F.covar_samp("ra", "rb").over(frame)
+    both = F.nullif(F.stddev_samp("ra").over(frame) * F.stddev_samp("rb").over(frame), F.lit(0.0))
+    return a.join(b, "ts").where("a < b").select("a", "b", "ts", F.when(full, F.try_divide(cov, both)).alias("corr"), F.when(full, cov).alias("cov"))
+
+
 def bootstrap_sharpe(returns: DataFrame, boots: int = 1000, block: int = 20, bars: float = 2190, seed: int = 7) -> DataFrame:
     """(run_id, low, high): 95 % interval of the Sharpe ratio under block resampling; blocks come from prefix sums."""
     w = Window.partitionBy("run_id").orderBy("ts")

@@ -23,10 +23,11 @@ def chart_rows(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
 
 def feed_rows(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """RSS items of XML payloads as (keep, title, link, published)."""
-    items = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?is)<item\b[^>]*>.*?</item>"), 0)).alias("item")
-    parsed = F.from_xml("item", "title string, link string, pubDate string", {"rowTag": "item"})
-    return df.select(*keep, items).select(*keep, parsed.alias("p")).select(*keep, "p.title", "p.link", F.col("p.pubDate").alias("published"))
+    """RSS items and Atom entries of XML payloads as (keep, title, link, published); a link is an element's text or its address."""
+    items = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?is)<(item|entry)\b[^>]*>.*?</\1>"), 0)).alias("item")
+    parsed = F.from_xml("item", "title string, pubDate string, published string, updated string")
+    link = F.coalesce(F.nullif(F.trim(F.regexp_extract("item", r"(?is)<link\b[^>]*>([^<]+)</link>", 1)), F.lit("")), F.nullif(F.regexp_extract("item", r'(?is)<link\b[^>]*\bhref="([^"]*)"', 1), F.lit("")))
+    return df.select(*keep, items).select(*keep, link.alias("link"), parsed.alias("p")).select(*keep, "p.title", "link", F.coalesce("p.pubDate", "p.published", "p.updated").alias("published"))
 
 
 def json_rows(df: DataFrame, column: str, schema: str, numeric: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TIME_NAMES = ("timestamp", "ts", "date", "day", "time", "decision_time")
@@ -57,6 +57,18 @@ def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~bad(c), F.col(c)) for c in columns})
 
 
+def model_inputs(df: DataFrame, keys: list[str], aliases: dict[str, list[str]]) -> DataFrame:
+    """Keys and model columns: each the first known of its names that the table has, infinities as null, incomplete rows dropped."""
+    required(df, keys)
+    chosen = {}
+    for name, names in aliases.items():
+        present = [n for n in names if n in df.columns]
+        if not present:
+            raise ValueError(f"no column for {name}: {names}")
+        chosen[name] = F.coalesce(*(F.col(n).cast("double") for n in present))
+    return finite(df.select(*keys, *(c.alias(n) for n, c in chosen.items())), list(chosen)).dropna(subset=list(chosen))
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replaces only the partitions that `df` has (Parquet, zstandard)."""
     df.repartition(*by).write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
@@ -65,7 +77,3 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 def write_text(df: DataFrame, path: str, kind: str = "json") -> None:
     """CSV with header, or JSON lines."""
     (df.write.mode("overwrite").option("header", True).csv if kind == "csv" else df.write.mode("overwrite").json)(path)
-
-
-def symbols(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("symbol").distinct()
