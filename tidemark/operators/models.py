@@ -48,6 +48,20 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, folds: DataFrame
     return reduce(DataFrame.unionByName, out)
 
 
+def save_bundle(df: DataFrame, features: list[str], label: str, path: str, kind: str = "forest", trees: int = 200) -> None:
+    """Fits assembler and learner on all complete rows and saves them as one pipeline."""
+    rows = df.dropna(subset=[*features, label])
+    classes = int(rows.agg(F.max(label)).first()[0] or 1) + 1
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), classifier(kind, classes, label, None, trees=trees)]
+    Pipeline(stages=stages).fit(rows).write().overwrite().save(path)
+
+
+def bundle_scores(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """(keys, alpha, p_up) of a feature table by a saved pipeline; rows that lack a feature have no score."""
+    p = vector_to_array("probability")
+    return PipelineModel.load(path).transform(df).select(*keys, (F.element_at(p, -1) - F.element_at(p, 1)).alias("alpha"), F.element_at(p, -1).alias("p_up"))
+
+
 def calibrator(df: DataFrame, score: str, y: str, isotonic_from: int = 1000) -> PipelineModel:
     """Isotonic regression from `isotonic_from` rows on, else Platt scaling; its output is in column `calibrated`."""
     if df.where(F.col(score).isNotNull()).count() >= isotonic_from:

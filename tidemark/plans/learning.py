@@ -48,6 +48,23 @@ def stage2_meta(s, d):
     return r6(ML.out_of_fold(x, FEATURES, "y", folds(x), KEYS, kind="logistic"), "alpha").withColumnRenamed("alpha", "edge")
 
 
+@query("batch_scores")
+def batch_scores(s, d):
+    """A model fitted on the labelled decisions, saved, loaded and applied to every decision of the feature table."""
+    from ..sources.stage import folder
+
+    path = folder(s, "bundle")
+    ML.save_bundle(supervised(s, d), FEATURES, "y", path, trees=TREES)
+    return r6(ML.bundle_scores(market_features(s, d).select(*KEYS, *FEATURES), path, KEYS), "alpha", "p_up")
+
+
+@query("confident_share")
+def confident_share(s, d):
+    """Share of names of each time whose out-of-fold probability that the traded side pays is above the threshold."""
+    meta = stage2_meta(s, d).select(F.col("decision_time").alias("ts"), ((F.col("edge") + 1) / 2).alias("p"))
+    return r6(ML.gross_scalar(meta, "p", 0.55), "scalar")
+
+
 @query("calibrated_probability")
 def calibrated_probability(s, d):
     x = M.table(s, d, "labels").select("doc_id", F.col("quality").alias("y"), ((F.col("doc_id") % 100) / 100).alias("p"))
