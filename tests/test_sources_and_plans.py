@@ -104,3 +104,31 @@ def test_fusion_prefers_the_skilled(supervised):
     x = x.withColumn("noise", (F.xxhash64("decision_time") % 7).cast("double"))
     got = ML.fusion(x, folds, ["symbol", "decision_time"], ["f", "noise"], "y").join(x, ["symbol", "decision_time"])
     assert got.agg(F.corr("alpha", "f")).first()[0] > 0.9
+
+
+def test_joined_once_refuses_repeated_keys(spark):
+    from tidemark.operators import cleaning as C
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
+    b = spark.createDataFrame([(1, 1.0), (3, 2.0)], "k int, b double")
+    assert [tuple(r) for r in C.joined_once(a, b, ["k"]).collect()] == [(1, "x", 1.0)]
+    with pytest.raises(Exception, match="repeated key on the right"):
+        C.joined_once(a, b.union(b), ["k"]).collect()
+
+
+def test_model_inputs_by_alias(spark):
+    x = spark.createDataFrame([(1, None, 2.0, 1.0), (2, math.inf, 3.0, 1.0), (3, 5.0, None, None)], "k int, vol_30d double, vol_96h double, m double")
+    got = scan.model_inputs(x, ["k"], {"vol": ["vol_30d", "vol_96h"], "momentum": ["mom_z", "m"]})
+    assert [tuple(r) for r in got.collect()] == [(1, 2.0, 1.0)]
+    with pytest.raises(ValueError):
+        scan.model_inputs(x, ["k"], {"vol": ["nope"]})
+
+
+def test_saved_models_score_what_they_have_not_seen(spark, supervised, tmp_path):
+    x = supervised[0] if isinstance(supervised, tuple) else supervised
+    names = [c for c, kind in x.dtypes if kind == "double" and c not in ("y", "raw_long")][:2]
+    ML.save_bundle(x, names, "y", str(tmp_path / "m"), trees=5)
+    keys = [c for c in x.columns if c in ("symbol", "decision_time")]
+    got = ML.bundle_scores(x.select(*keys, *names), str(tmp_path / "m"), keys)
+    r = got.agg(F.min("p_up").alias("a"), F.max("p_up").alias("b"), F.count("alpha").alias("n")).first()
+    assert 0 <= r.a <= r.b <= 1 and r.n == x.dropna(subset=names).count()
