@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, masked_lm, media, mixing, ngram_join, quality, token_files
+from . import centroids, conversations, decontaminate, language_id, license_scan, line_dedup, main_text, masked_lm, media, mixing, ngram_join, quality, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -70,12 +70,24 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("scanned")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_ngram_jaccard_join, op3_media_columns, op4_benchmark_decontamination, op5_token_files, op6_quality_classifier, op7_source_mixing, op8_lm_scoring, op9_language_id, op10_line_dedup, op10_passage_dedup, pipeline]
+    own = [op1_license_scan, op2_ngram_jaccard_join, op3_media_columns, op4_benchmark_decontamination, op5_token_files, op6_quality_classifier, op7_source_mixing, op8_lm_scoring, op9_language_id, op10_line_dedup, op10_passage_dedup, op11_conversation_repair, op12_main_text, op13_centroid_clustering, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -125,5 +137,24 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every round as a full comparison of all vectors with all centroids."""
+    tables = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v FROM v ORDER BY sha256('1:' || vec_id) LIMIT {k})",
+    ]
+    for n in range(rounds + 1):
+        tables.append(
+            f"a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, cluster := cluster)) AS m FROM (SELECT v.r, c.cluster, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{n} c) GROUP BY r)"
+        )
+        if n < rounds:
+            tables.append(
+                f"""s{n} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT a.m.cluster AS cluster, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS i FROM a{n} a JOIN v USING (r)) GROUP BY 1, 2),
+c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(f.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{n} GROUP BY cluster) f USING (cluster))"""
+            )
+    return "WITH " + ", ".join(tables) + f""" SELECT v.vec_id, a.m.cluster::INTEGER AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.cluster))::BIGINT AS cluster_inertia,
+ (sum(a.m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.cluster = a.m.cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op7_source_mixing": OP7_SQL, "op10_line_dedup": OP10_SQL, "op13_centroid_clustering": _op13_sql()}
