@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+UNFINISHED = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -90,7 +91,7 @@ class Page:
 
         while at < end:
             m = TAG.search(html, at)
-            text(m.start() if m else end)
+            text(m.start() if m else cut.start() if (cut := UNFINISHED.search(html, at)) else end)
             if not m:
                 break
             at = m.end()
