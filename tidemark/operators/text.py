@@ -60,6 +60,7 @@ def json_ld(df: DataFrame, column: str, keys: list[str], fields: list[str]) -> D
     return found.groupBy(*keys).agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("_i"))).alias(f) for f in fields))
 
 
+#: Words that mark a paragraph as boilerplate.
 MARKERS = ("subscribe", "sign up", "cookie", "advertisement")
 
 
@@ -80,7 +81,7 @@ def article_body(page: Column) -> Column:
 
 
 def page_status(text: Column, title: Column) -> Column:
-    """Kind of error page, or ok; `text` and `title` in lower case."""
+    """Kind of error page, or ok; `text` and `title` in lower case. The words and codes are fixed values."""
     has = lambda x, *words: x.rlike("|".join(words))
     short, gateway = F.length(text) < 1500, has(text, "cloudflare", "akamai", "fastly", "nginx", "waf")
     title = F.coalesce(title, F.lit(""))
@@ -97,14 +98,18 @@ def page_status(text: Column, title: Column) -> Column:
     )
 
 
+def absolute(href: Column, base: Column) -> Column:
+    """An address as seen from a page: full ones, paths from the root, else beside the page."""
+    host = F.regexp_extract(base, r"^(\w+://[^/]+)", 1)
+    return F.when(href.rlike(r"^\w+://"), href).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(F.regexp_replace(base, r"[^/]*$", ""), href))
+
+
 def links(df: DataFrame, column: str, url: str, keep: list[str]) -> DataFrame:
     """(keep, place, href, url, title): every anchor, with absolute address and cleaned text."""
     anchors = F.posexplode(F.regexp_extract_all(F.col(column), F.lit(r'(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>'), 0))
     out = df.select(*keep, F.col(url).alias("_base"), anchors.alias("place", "_a"))
     href = F.regexp_extract("_a", r'(?i)href="([^"]*)"', 1)
-    host = F.regexp_extract("_base", r"^(\w+://[^/]+)", 1)
-    absolute = F.when(href.rlike(r"^\w+://"), href).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(F.regexp_replace("_base", r"[^/]*$", ""), href))
-    return out.select(*keep, "place", href.alias("href"), absolute.alias("url"), squeezed(without_markup(F.regexp_extract("_a", r"(?is)<a\b[^>]*>(.*?)</a>", 1))).alias("title"))
+    return out.select(*keep, "place", href.alias("href"), absolute(href, F.col("_base")).alias("url"), squeezed(without_markup(F.regexp_extract("_a", r"(?is)<a\b[^>]*>(.*?)</a>", 1))).alias("title"))
 
 
 def tags(x: Column, aliases: dict[str, list[str]]) -> Column:

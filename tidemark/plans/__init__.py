@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _loaded():
-    from . import book, decisions, ladder, learning, market, news, registry, scans, stack, streams, tables  # noqa: F401
+    from . import articles, book, decisions, ladder, learning, market, news, registry, scans, stack, streams, tables  # noqa: F401
 
     return registry
 
