@@ -10,7 +10,7 @@ from ..functions import rolling as R
 from ..operators import labels as L
 from ..operators import portfolio as P
 from ..operators import statistics as N
-from ..operators.bars import decision_grid, ewma
+from ..operators.bars import decision_grid, ewma, from_ticks
 from ..sources import market as M
 from . import base_sql as S
 from .market import grid, market_features, pit_table, MARKET_SQL, PIT_SQL, ewma_sql
@@ -22,9 +22,9 @@ wd AS (SELECT symbol, ts + INTERVAL 1 HOUR + INTERVAL 30 SECOND AS avail, 1.5 *
 d0 AS (SELECT grid.symbol, decision_time, width FROM grid ASOF LEFT JOIN wd ON grid.symbol = wd.symbol AND grid.decision_time >= wd.avail),
 d1 AS (SELECT d0.symbol, decision_time, width, f1.ts AS entry_time, f1.open AS entry FROM d0 ASOF JOIN f1 ON d0.symbol = f1.symbol AND d0.decision_time < f1.ts WHERE width > 0),
 pa AS (SELECT d1.*, f1.ts, f1.close, high >= entry * (1 + width) AS u, low <= entry * (1 - width) AS dn FROM d1 JOIN f1 ON f1.symbol = d1.symbol AND f1.ts BETWEEN entry_time AND entry_time + INTERVAL 5 DAY),
-ag AS (SELECT symbol, decision_time, entry_time, entry, width, min(struct_pack(ts := ts, u := u, d := dn)) FILTER (u OR dn) AS t, max(ts) AS last_ts, arg_max(close, ts) AS last_close FROM pa GROUP BY ALL),
+ag AS (SELECT symbol, decision_time, entry_time, entry, width, min(struct_pack(ts := ts, u := u, d := dn, close := close)) FILTER (u OR dn) AS t, max(ts) AS last_ts, arg_max(close, ts) AS last_close FROM pa GROUP BY ALL),
 tb AS (SELECT symbol, decision_time, entry_time, entry, width, coalesce(t.ts, last_ts) AS exit_time,
-  CASE WHEN t.u AND t.d THEN last_close WHEN t.u THEN entry * (1 + width) WHEN t.d THEN entry * (1 - width) ELSE last_close END AS exit_price,
+  CASE WHEN t.u AND t.d THEN t.close WHEN t.u THEN entry * (1 + width) WHEN t.d THEN entry * (1 - width) ELSE last_close END AS exit_price,
   CASE WHEN t.u AND t.d THEN 0 WHEN t.u THEN 1 WHEN t.d THEN -1 WHEN last_close / entry - 1 > 0.5 * width THEN 1 WHEN last_close / entry - 1 < -0.5 * width THEN -1 ELSE 0 END AS label,
   CASE WHEN t.u AND t.d THEN 'dual_touch_ambiguous' WHEN t.u THEN 'upper_touch' WHEN t.d THEN 'lower_touch' WHEN abs(last_close / entry - 1) > 0.5 * width THEN 'vertical_directional' ELSE 'vertical_neutral' END AS reason FROM ag),
 tbl AS (SELECT tb.*, exit_price / entry - 1 AS raw_long, coalesce((SELECT sum(funding_rate) FROM funding f WHERE f.symbol = tb.symbol AND f."timestamp" > tb.entry_time AND f."timestamp" <= tb.exit_time), 0) AS rates FROM tb)"""
@@ -40,6 +40,24 @@ def triple_barrier(s, d):
     return r6(barriers(s, d).select("symbol", "decision_time", "entry_time", "exit_time", "label", "reason", "width", "raw_long", "net_long", "net_short"), "width", "raw_long", "net_long", "net_short")
 
 
+FINE_SQL = f"""{BARRIER_SQL}, am AS (SELECT symbol, decision_time, exit_time AS bar, entry * (1 + width) AS up, entry * (1 - width) AS dn FROM tb WHERE reason = 'dual_touch_ambiguous'),
+m1 AS (SELECT symbol, date_trunc('minute', ts) AS ts, max(price) AS high, min(price) AS low FROM ticks GROUP BY 1, 2),
+fh AS (SELECT am.symbol, decision_time, min(struct_pack(ts := ts, u := high >= up, d := low <= dn)) AS f FROM am JOIN m1 ON m1.symbol = am.symbol AND date_trunc('hour', ts) = bar WHERE high >= up OR low <= dn GROUP BY 1, 2),
+tf AS (SELECT tb.* REPLACE (CASE WHEN f.u <> f.d THEN f.ts ELSE exit_time END AS exit_time, CASE WHEN f.u <> f.d THEN CASE WHEN f.u THEN entry * (1 + width) ELSE entry * (1 - width) END ELSE exit_price END AS exit_price,
+  CASE WHEN f.u <> f.d THEN CASE WHEN f.u THEN 1 ELSE -1 END ELSE label END AS label, CASE WHEN f.u <> f.d THEN CASE WHEN f.u THEN 'upper_touch' ELSE 'lower_touch' END ELSE reason END AS reason) FROM tb LEFT JOIN fh ON fh.symbol = tb.symbol AND fh.decision_time = tb.decision_time),
+tfl AS (SELECT tf.*, exit_price / entry - 1 AS raw_long, coalesce((SELECT sum(funding_rate) FROM funding f WHERE f.symbol = tf.symbol AND f."timestamp" > tf.entry_time AND f."timestamp" <= tf.exit_time), 0) AS rates FROM tf)"""
+
+
+@query("triple_barrier_fine", f"WITH {FINE_SQL} SELECT symbol, decision_time, entry_time, exit_time, label, reason, round(raw_long, 6) AS raw_long, round(raw_long - rates - 0.0016, 6) AS net_long FROM tfl")
+def triple_barrier_fine(s, d):
+    """Ambiguous hours settled by bars of a minute, made only of the ticks of those hours."""
+    hour = F.date_trunc("hour", "ts")
+    finer = lambda bars: from_ticks(M.ticks(s, d).withColumn("bar", hour).join(bars, ["symbol", "bar"], "left_semi").drop("bar"), 60)
+    bars = decision_grid(M.clean_1h(s, d), M.HOUR).drop("decision_time")
+    x = L.triple_barrier(bars, grid(s, d), M.funding(s, d), finer=finer)
+    return r6(x.select("symbol", "decision_time", "entry_time", "exit_time", "label", "reason", "raw_long", "net_long"), "raw_long", "net_long")
+
+
 @query("meta_label", f"""WITH {BARRIER_SQL}, sg AS (SELECT symbol, ts + INTERVAL 4 HOUR + INTERVAL 1 MINUTE AS decision_time, sign(close / nullif(CASE WHEN count(close) OVER w >= 20 THEN avg(close) OVER w END, 0) - 1) AS direction FROM b4 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))
 SELECT symbol, decision_time, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side, (CASE WHEN direction > 0 THEN raw_long - rates - 0.0016 ELSE -raw_long + rates - 0.0016 END > 0)::INT AS meta FROM tbl JOIN sg USING (symbol, decision_time) WHERE direction <> 0""")
 def meta_label(s, d):
@@ -58,12 +76,21 @@ def intervals(s, d):
 
 @query("avg_uniqueness", f"""WITH {LABELS_SQL}, ev AS (SELECT symbol, t, sum(e) AS e FROM (SELECT symbol, t0 AS t, 1 AS e FROM lb UNION ALL SELECT symbol, t1, -1 FROM lb) GROUP BY 1, 2),
 st AS (SELECT symbol, unnest(generate_series(min(t0), max(t1), INTERVAL 1 HOUR)) AS t FROM lb GROUP BY symbol), cc AS (SELECT symbol, t, greatest(1, sum(coalesce(e, 0)) OVER (PARTITION BY symbol ORDER BY t)) AS c FROM st LEFT JOIN ev USING (symbol, t)),
-pp AS (SELECT symbol, t, coalesce(sum(1.0::DOUBLE / c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM cc)
-SELECT lb.symbol, lb.event_id, round(CASE WHEN t1 > t0 THEN (b.p - a.p) / date_diff('hour', t0, t1) ELSE 1 END, 6)::DOUBLE AS uniqueness FROM lb JOIN pp a ON a.symbol = lb.symbol AND a.t = t0 JOIN pp b ON b.symbol = lb.symbol AND b.t = t1""")
+pp AS (SELECT symbol, t, coalesce(sum(1000000000000 // c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM cc)
+SELECT lb.symbol, lb.event_id, round(CASE WHEN t1 > t0 THEN (b.p - a.p)::DOUBLE / date_diff('hour', t0, t1) / 1e12 ELSE 1 END, 6)::DOUBLE AS uniqueness FROM lb JOIN pp a ON a.symbol = lb.symbol AND a.t = t0 JOIN pp b ON b.symbol = lb.symbol AND b.t = t1""")
 def avg_uniqueness(s, d):
     return r6(L.uniqueness(intervals(s, d), "symbol", "t0", "t1").select("symbol", "event_id", "uniqueness"), "uniqueness")
 
 
+@query("pooled_uniqueness", f"""WITH {LABELS_SQL}, ev AS (SELECT t, sum(e) AS e FROM (SELECT t0 AS t, 1 AS e FROM lb UNION ALL SELECT t1, -1 FROM lb) GROUP BY 1),
+st AS (SELECT unnest(generate_series((SELECT min(t0) FROM lb), (SELECT max(t1) FROM lb), INTERVAL 1 HOUR)) AS t), cc AS (SELECT t, greatest(1, sum(coalesce(e, 0)) OVER (ORDER BY t)) AS c FROM st LEFT JOIN ev USING (t)),
+pp AS (SELECT t, coalesce(sum(1000000000000 // c) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM cc),
+u AS (SELECT lb.symbol, lb.event_id, CASE WHEN t1 > t0 THEN (b.p - a.p)::DOUBLE / date_diff('hour', t0, t1) / 1e12 ELSE 1 END * count(*) OVER () / ((SELECT count(DISTINCT symbol) FROM lb) * count(*) OVER (PARTITION BY lb.symbol)) AS w FROM lb JOIN pp a ON a.t = t0 JOIN pp b ON b.t = t1)
+SELECT symbol, event_id, round(w / avg(w) OVER (), 5) AS uniqueness FROM u""")
+def pooled_uniqueness(s, d):
+    return L.pooled_uniqueness(intervals(s, d), "symbol", "t0", "t1").select("symbol", "event_id", F.round("uniqueness", 5).alias("uniqueness"))
+
+
 @query("purged_folds", f"""WITH {LABELS_SQL}, tm AS (SELECT decision_time, ntile(5) OVER (ORDER BY decision_time) AS block FROM (SELECT DISTINCT decision_time FROM lb)), x AS (SELECT * FROM lb JOIN tm USING (decision_time)),
 fo AS (SELECT block AS fold_id, min(t0) AS lo, max(t1) AS hi FROM x GROUP BY 1)
 SELECT fold_id::INT AS fold_id, CASE WHEN block = fold_id THEN 'test' WHEN t0 < hi AND t1 > lo THEN 'purged' WHEN decision_time > hi AND decision_time <= hi + INTERVAL 132 HOUR THEN 'embargo' ELSE 'train' END AS role, event_id, decision_time FROM x, fo""")
@@ -78,6 +105,28 @@ def temporal_windows(s, d):
     return r6(x.select("symbol", "ts", F.element_at("window", 1).alias("first_value"), F.element_at("window", -1).alias("last_value"), F.size("window").alias("n"), "fwd_1", "fwd_6"), "first_value", "last_value", "fwd_1", "fwd_6")
 
 
+CHANNELS, AHEAD = ["close", "volume", "taker_buy_vol", "high"], {"fwd_1": 1, "fwd_3": 3, "fwd_6": 6, "fwd_18": 18}
+_ROWS = 12
+
+
+@query("channel_windows", f"""WITH {S.B4}, x AS (SELECT symbol, ts, {', '.join(f'list({c}) OVER w AS v{i}, avg({c}) OVER w AS m{i}, stddev_pop({c}) OVER w AS s{i}' for i, c in enumerate(CHANNELS))}, count(*) OVER w AS n, {', '.join(f'lead(close, {n}) OVER o / nullif(close, 0) - 1 AS {a}' for a, n in AHEAD.items())}
+ FROM b4 WINDOW o AS (PARTITION BY symbol ORDER BY ts), w AS (PARTITION BY symbol ORDER BY ts ROWS {_ROWS - 1} PRECEDING)), y AS (SELECT * FROM x WHERE n = {_ROWS} AND {' AND '.join(f'{a} IS NOT NULL' for a in AHEAD)})
+SELECT symbol, ts, {len(CHANNELS) * _ROWS}::INT AS n, {', '.join(f'round((v{i}[1] - m{i}) / (s{i} + 1e-9), 5) AS first_{c}, round((v{i}[{_ROWS}] - m{i}) / (s{i} + 1e-9), 5) AS last_{c}' for i, c in enumerate(CHANNELS))}, {', '.join(f'round({a}, 6) AS {a}' for a in AHEAD)} FROM y""")
+def channel_windows(s, d):
+    """Windows of four channels and twelve bars with four horizons."""
+    x = L.channel_windows(M.bars_4h(s, d), CHANNELS, _ROWS, AHEAD)
+    at = lambda i: F.round(F.element_at("window", i), 5)
+    ends = [e for i, c in enumerate(CHANNELS) for e in (at(i + 1).alias(f"first_{c}"), at((_ROWS - 1) * len(CHANNELS) + i + 1).alias(f"last_{c}"))]
+    return r6(x.select("symbol", "ts", F.size("window").alias("n"), *ends, *AHEAD), *AHEAD)
+
+
+@query("ece_uniform", """WITH x AS (SELECT quality AS y, (doc_id % 100) / 100.0::DOUBLE AS p FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL), b AS (SELECT greatest(1, len([i FOR i IN range(0, 11) IF i / 10.0 < p])) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM x GROUP BY 1)
+SELECT round(sum(n * gap) / sum(n), 6) AS ece, sum(n)::BIGINT AS n_rows, count(*) AS n_bins FROM b""")
+def ece_uniform(s, d):
+    x = M.table(s, d, "labels").select(F.col("quality").alias("y"), ((F.col("doc_id") % 100) / 100).alias("p"))
+    return r6(L.calibration_error(x, "y", "p", strategy="uniform"), "ece")
+
+
 @query("ece", """WITH x AS (SELECT quality AS y, (doc_id % 100) / 100.0::DOUBLE AS p FROM labels), e AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM x),
 b AS (SELECT greatest(1, len([v FOR v IN edges IF v < p])) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM x, e GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece, sum(n)::BIGINT AS n_rows, count(*) AS n_bins FROM b""")
 def ece(s, d):

@@ -13,6 +13,7 @@ from ..operators import labels as L
 from ..operators import rules
 from ..operators import text as T
 from ..sources import market as M
+from ..sources.stage import staged
 from . import market as K
 from .book import BARRIER_SQL, barriers
 from .news import _kind_sql, extraction_sql
@@ -131,14 +132,14 @@ def data_set(s, d):
     decision has one label: a repeated key on either side is an error.
     """
     x = with_relative(full_table(s, d)).fillna(0.0, [*CHAIN, *SENT, *FACTORS]).dropna(subset=_COMPLETE)
-    y = barriers(s, d).select("symbol", "decision_time", F.col("entry_time").alias("t0"), F.col("exit_time").alias("t1"), "label", "raw_long", "net_long", "net_short")
+    y = staged(barriers(s, d).select("symbol", "decision_time", F.col("entry_time").alias("t0"), F.col("exit_time").alias("t1"), "label", "raw_long", "net_long", "net_short"))  # read several times
     return C.joined_once(x, L.uniqueness(y, "symbol", "t0", "t1"), ["symbol", "decision_time"])
 
 
 @query("market_data_set", f"""WITH {_full_sql()}, {_relative_sql('fullt')}, lab AS MATERIALIZED (SELECT symbol, decision_time, entry_time AS t0, exit_time AS t1, label, raw_long, raw_long - rates - 0.0016 AS net_long FROM (WITH {BARRIER_SQL} SELECT * FROM tbl)),
 ev AS (SELECT symbol, t, sum(e) AS e FROM (SELECT symbol, t0 AS t, 1 AS e FROM lab UNION ALL SELECT symbol, t1, -1 FROM lab) GROUP BY 1, 2), st AS (SELECT symbol, unnest(generate_series(min(t0), max(t1), INTERVAL 1 HOUR)) AS t FROM lab GROUP BY symbol),
-cc AS (SELECT symbol, t, greatest(1, sum(coalesce(e, 0)) OVER (PARTITION BY symbol ORDER BY t)) AS c FROM st LEFT JOIN ev USING (symbol, t)), pp AS MATERIALIZED (SELECT symbol, t, coalesce(sum(1.0::DOUBLE / c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM cc),
-wt AS MATERIALIZED (SELECT lab.*, CASE WHEN t1 > t0 THEN (b.p - a.p) / date_diff('hour', t0, t1) ELSE 1 END AS weight FROM lab JOIN pp a ON a.symbol = lab.symbol AND a.t = t0 JOIN pp b ON b.symbol = lab.symbol AND b.t = t1)
+cc AS (SELECT symbol, t, greatest(1, sum(coalesce(e, 0)) OVER (PARTITION BY symbol ORDER BY t)) AS c FROM st LEFT JOIN ev USING (symbol, t)), pp AS MATERIALIZED (SELECT symbol, t, coalesce(sum(1000000000000 // c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM cc),
+wt AS MATERIALIZED (SELECT lab.*, CASE WHEN t1 > t0 THEN (b.p - a.p)::DOUBLE / date_diff('hour', t0, t1) / 1e12 ELSE 1 END AS weight FROM lab JOIN pp a ON a.symbol = lab.symbol AND a.t = t0 JOIN pp b ON b.symbol = lab.symbol AND b.t = t1)
 SELECT rel.symbol, rel.decision_time, {', '.join(f'coalesce({c}, 0) AS {c}' if c in [*CHAIN, 'sent_fast', 'event_alpha'] else c for c in _KEPT)}, label, round(raw_long, 6) AS raw_long, round(net_long, 6) AS net_long, round(weight, 6)::DOUBLE AS weight
 FROM rel JOIN wt ON wt.symbol = rel.symbol AND wt.decision_time = rel.decision_time WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _COMPLETE)}""")
 def market_data_set(s, d):
