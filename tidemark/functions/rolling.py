@@ -71,3 +71,12 @@ def fraction_rank(x: str, w: WindowSpec, rows: int, least: int) -> Column:
     below = F.size(F.filter(values, lambda v: v < F.col(x)))
     equal = F.size(F.filter(values, lambda v: v == F.col(x)))
     return F.when((F.count(F.col(x)).over(frame) >= least) & F.col(x).isNotNull(), (below + (equal + 1) / 2) / F.size(values))
+
+
+def daily_factors(df, ts: str, columns: list[str] | None = None):
+    """Level, change over one and seven rows and 30-row z-score of every numeric column (or of `columns`) of a table with a row a day."""
+    numeric = ("double", "float", "bigint", "int", "smallint", "tinyint", "decimal")
+    names = columns or [c for c, kind in df.dtypes if c != ts and kind.split("(")[0] in numeric]
+    w = Window.partitionBy(F.lit(0)).orderBy(ts)
+    change_ = lambda c, n: pct_change(F.nullif(F.col(c).cast("double"), F.lit(0.0)), w, n)
+    return df.select(ts, *(e for c in names for e in (F.col(c), change_(c, 1).alias(f"{c}_chg_1d"), change_(c, 7).alias(f"{c}_chg_7d"), zscore(F.col(c).cast("double"), w, 30, 10).alias(f"{c}_z_30d"))))

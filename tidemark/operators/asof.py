@@ -27,8 +27,17 @@ def asof_many(left: DataFrame, keys: list[str], left_ts: str, sources: list[tupl
         order = F.struct(*([seq] if seq else values))
         part = right.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_side"), body.alias(f"_r{i}"), order.alias(f"_o{i}")).where("_t is not null")
         rows = rows.unionByName(part, allowMissingColumns=True)
+    found = _newest(rows, keys, len(sources), bucket_s)
+    outputs = []
+    for i, (_, ts, values, _) in enumerate(sources):
+        outputs += [F.col(f"_r{i}.{v}").alias(v) for v in dict.fromkeys([*values, ts])]
+    return found.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in kept), *outputs)
+
+
+def _newest(rows: DataFrame, keys: list[str], n: int, bucket_s: int | None) -> DataFrame:
+    """Left rows (_side 1) with the newest non-null _r0 ... of right rows (_side 0) at or before their time _t; ties by _o0 ... ."""
     # the newest of a source may not be hidden by rows of another one: one last-value column for each source
-    lasts, orders = [f"_r{i}" for i in range(len(sources))], [f"_o{i}" for i in range(len(sources))]
+    lasts, orders = [f"_r{i}" for i in range(n)], [f"_o{i}" for i in range(n)]
     by = list(keys)
     if bucket_s:
         rows = rows.withColumn("_b", F.floor(F.unix_timestamp("_t") / bucket_s))
@@ -39,11 +48,24 @@ def asof_many(left: DataFrame, keys: list[str], left_ts: str, sources: list[tupl
         rows = rows.unionByName(carried, allowMissingColumns=True)
         by.append("_b")
     w = Window.partitionBy(*by).orderBy(F.col("_side") >= 0, "_t", "_side", *orders).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.select(*keys, "_side", "_l", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in lasts)).where("_side = 1")
-    outputs = []
-    for i, (_, ts, values, _) in enumerate(sources):
-        outputs += [F.col(f"_r{i}.{v}").alias(v) for v in dict.fromkeys([*values, ts])]
-    return found.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in kept), *outputs)
+    return rows.select(*keys, "_side", "_l", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in lasts)).where("_side = 1")
+
+
+def carried(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, lags: dict[str, int], bucket_s: int | None = None) -> DataFrame:
+    """Every left row with, for each column of `lags`, the newest non-null value that was available: column c of a right row is so `lags[c]` seconds after its time.
+
+    Each column is carried by itself, over right rows where it is null; c_at is the time at which its value became available. One scan of the right side, one
+    union and one window, whatever the number of columns and of different lags. Without keys, `bucket_s` is what splits the work.
+    """
+    names = list(lags)
+    kept = [c for c in left.columns if c not in keys]
+    cells = F.array(*(F.struct(F.lit(i).alias("m"), (F.col(right_ts) + F.make_dt_interval(secs=F.lit(lags[c]))).alias("t"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)))
+    events = right.select(*keys, F.explode(F.filter(cells, lambda e: e["v"].isNotNull() & e["t"].isNotNull())).alias("e"))
+    value = lambda i: F.when(F.col("e.m") == i, F.struct(F.col("e.v").alias("v"), F.col("e.t").alias("at")))
+    events = events.select(*keys, F.col("e.t").alias("_t"), F.lit(0).alias("_side"), *(value(i).alias(f"_r{i}") for i in range(len(names))), *(F.when(F.col("e.m") == i, F.struct("e.v")).alias(f"_o{i}") for i in range(len(names))))
+    rows = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_l")).unionByName(events, allowMissingColumns=True)
+    found = _newest(rows, keys, len(names), bucket_s)
+    return found.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in kept), *(e for i, c in enumerate(names) for e in (F.col(f"_r{i}.v").alias(c), F.col(f"_r{i}.at").alias(f"{c}_at"))))
 
 
 def asof_global(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import pandas as pd
@@ -40,18 +41,29 @@ def cross_sectional_ic(df: DataFrame, key: str, ts: str, a: str, b: str) -> Data
     return by_time.groupBy(key).agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("n_periods"), F.try_divide(F.avg("ic") * F.sqrt(F.count(F.lit(1))), F.stddev_samp("ic")).alias("t_stat"))
 
 
-def overfit_probability(returns: DataFrame, blocks: int = 8) -> DataFrame:
+Measure = Callable[[Column, Column, Column], Column]
+
+
+def sharpe_of_blocks(n: Column, s: Column, q: Column) -> Column:
+    """Mean over population deviation, from the counts, sums and sums of squares of blocks."""
+    mean = F.sum(s) / F.sum(n)
+    return F.try_divide(mean, F.sqrt(F.greatest(F.sum(q) / F.sum(n) - mean * mean, F.lit(0.0))))
+
+
+def overfit_probability(returns: DataFrame, blocks: int = 8, measure: Measure = sharpe_of_blocks) -> DataFrame:
     """One row (pbo, n_splits): share of half-half splits of time blocks whose in-sample best run ranks in the lower half out of sample.
 
-    Runs and blocks are reduced to count, sum and sum of squares first; all splits then work on those few rows.
+    Runs and blocks are reduced to count, sum and sum of squares first; all splits then work on those few rows. `measure` is the
+    user's: an aggregate of the columns (n, s, q) of a run's blocks in one half, null for blocks of the other half, as built-in
+    functions or as a grouped pandas function that drops nulls. No value counts as 0.
     """
     spark = returns.sparkSession
     times = returns.select("ts").distinct().withColumn("block", F.ntile(blocks).over(Window.partitionBy(F.lit(0)).orderBy("ts")))
     parts = returns.join(times, "ts").groupBy("run_id", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     splits = spark.createDataFrame([(i, list(c)) for i, c in enumerate(combinations(range(1, blocks + 1), blocks // 2))], "split int, inside array<int>")
     cells = parts.crossJoin(F.broadcast(splits)).withColumn("is", F.array_contains("inside", F.col("block")))  # C(blocks, blocks / 2) rows
-    sharpe = lambda c: (lambda n, s, q: F.try_divide(s / n, F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))))(*(F.sum(F.when(c, F.col(v))) for v in "nsq"))
-    perf = cells.groupBy("split", "run_id").agg(F.coalesce(sharpe(F.col("is")), F.lit(0.0)).alias("inn"), F.coalesce(sharpe(~F.col("is")), F.lit(0.0)).alias("out"))
+    half = lambda inside: [F.when(F.col("is") == inside, F.col(v)) for v in "nsq"]
+    perf = cells.groupBy("split", "run_id").agg(measure(*half(True)).alias("inn"), measure(*half(False)).alias("out")).fillna(0.0, ["inn", "out"])
     by = Window.partitionBy("split")
     ranked = perf.withColumns({"best": F.row_number().over(by.orderBy(F.desc("inn"), "run_id")), "r": F.row_number().over(by.orderBy("out", "run_id")), "n": F.count(F.lit(1)).over(by)}).where("best = 1")
     w = F.col("r") / (F.col("n") + 1)

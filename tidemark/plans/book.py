@@ -14,7 +14,7 @@ from ..operators.bars import decision_grid, ewma, from_ticks
 from ..sources import market as M
 from . import base_sql as S
 from .market import grid, market_features, pit_table, MARKET_SQL, PIT_SQL, ewma_sql
-from .registry import query, r6
+from .registry import SQL, query, r6
 
 BARRIER_SQL = f"""{S.B4}, {S.FUNDING}, grid AS (SELECT symbol, ts + INTERVAL 4 HOUR + INTERVAL 1 MINUTE AS decision_time FROM b4),
 tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) AS tr FROM f1 WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
@@ -315,6 +315,13 @@ def pbo(s, d):
     return r6(N.overfit_probability(x, 6), "pbo")
 
 
+@query("pbo_worst_block", SQL["pbo"].replace("SELECT split, run_id, coalesce(s1 / n1", "SELECT split, run_id, coalesce(m1, 0) AS inn, coalesce(m0, 0) AS out FROM (SELECT split, run_id, min(s / n) FILTER (list_contains(ins, block)) AS m1, min(s / n) FILTER (NOT list_contains(ins, block)) AS m0 FROM p, sp GROUP BY 1, 2)), unused AS (SELECT coalesce(s1 / n1"))
+def pbo_worst_block(s, d):
+    """The same by another measure of the user: the mean return of a run's worst block."""
+    x = M.bars_4h(s, d).select(F.col("symbol").alias("run_id"), "ts", R.pct_change("close", R.series("symbol", "ts")).alias("ret")).where("ret is not null")
+    return r6(N.overfit_probability(x, 6, lambda n, s, q: F.min(F.try_divide(s, n))), "pbo")
+
+
 @query("pair_corr_by_year", f"""WITH {S.B4}, x AS (SELECT symbol, ts, year(ts)::INT AS "year", close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM b4) SELECT x."year", x.symbol AS a, y.symbol AS b, round(corr(x.ret, y.ret), 6) AS corr, count(*) AS n FROM x JOIN x y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2, 3""")
 def pair_corr_by_year(s, d):
     x = M.bars_4h(s, d).select("symbol", "ts", F.year("ts").alias("year"), R.pct_change("close", R.series("symbol", "ts")).alias("ret")).where("ret is not null")
