@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from . import portfolio as P
+from .bars import ewma
 
 
 def action(before: Column, after: Column) -> Column:
@@ -26,6 +27,67 @@ def reference_decisions(scores: DataFrame, enter: float = 0.005, leave: float =
                       F.concat_ws("-", "symbol", F.date_format("ts", "yyyyMMddHH"), F.lit("v1")).alias("audit_id"))
 
 
+def deployed(alpha: DataFrame, mode: str, closes: DataFrame | None = None, smooth: int = 6, deadband: float = 0.0, cap: float = 0.20, threshold: float = 0.55, most: float = 0.25, gross: float = 1.0, allow_flat: bool = False, band: float = 0.0) -> DataFrame:
+    """(ts, symbol, w) of scores (symbol, ts, alpha; meta optional): conviction, its dead band and meta gate, smoothing, then one of three books.
+
+    parity: inverse volatility and a target of the book's (`closes`: symbol, ts, close); simple: conviction times `most`; neutral: demeaned, scaled to
+    `gross` (with `allow_flat` times the mean conviction of the time), smoothed again. `band` holds weights until they move by more.
+    """
+    if mode not in ("parity", "simple", "neutral"):
+        raise ValueError(f"unknown mode: {mode}")
+    c = risk.conviction(F.coalesce("alpha", F.lit(0.0)), cap)
+    c = F.when(F.abs(F.coalesce("alpha", F.lit(0.0))) >= deadband, c).otherwise(0.0)
+    if "meta" in alpha.columns:
+        c = F.when(F.coalesce("meta", F.lit(0.0)) > threshold, c).otherwise(0.0)
+    smoothed = lambda x, name: ewma(x, "symbol", "ts", {name: ("x", 2 / (smooth + 1))}) if smooth > 1 else x.withColumnRenamed("x", name)
+    x = smoothed(alpha.select("symbol", "ts", c.alias("x")), "c")
+    at = Window.partitionBy("ts")
+    if mode == "simple":
+        out = x.select("ts", "symbol", (F.col("c") * most).alias("w"))
+    elif mode == "parity":
+        out = P.signal_weights(closes, x.select("symbol", "ts", F.col("c").alias("signal")), gross=gross)
+    else:
+        full = risk.clip(F.avg(F.abs("c")).over(at), 0, 1) if allow_flat else F.lit(1.0)
+        out = smoothed(P.neutral(x.withColumns({"full": full, "w": F.col("c")}), "w", gross).select("symbol", "ts", (F.col("w") * F.col("full")).alias("x")), "w").select("ts", "symbol", "w")
+    if band > 0:
+        out = P.no_trade_band(out.select(F.lit("one").alias("run_id"), "symbol", "ts", "w"), band).select("ts", "symbol", "w")
+    return out.withColumn("w", F.col("w") - F.avg("w").over(at)) if mode == "neutral" else out
+
+
+def audit_id(symbol: Column, ts: Column, model: str, data: str, code: str, config: dict) -> Column:
+    """A name for a decision that changes with anything it was made of: symbol, time, versions of model, data and code, and the settings."""
+    settings = ",".join(f"{k}={config[k]}" for k in sorted(config))
+    return F.substring(F.sha2(F.concat_ws("|", symbol, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(model), F.lit(data), F.lit(code), F.lit(settings)), 256), 1, 16)
+
+
+def gated_funnel(decided: DataFrame) -> DataFrame:
+    """One row of counters of `risk.decided` rows: why decisions ended where they did, and at how many times anything is held."""
+    why = lambda *names: F.count_if(F.col("reason").isin(*names))
+    return decided.agg(
+        F.count(F.lit(1)).alias("n_rows"), why("flat", "flat_or_no_meta").alias("flat_or_no_meta"), why("below_threshold").alias("meta_gated"), F.count_if(F.col("reason").startswith("blocked")).alias("zero_size"),
+        F.count_if("approved").alias("approved_intents"), F.count_distinct("decision_time").alias("times"), F.count_distinct(F.when(F.col("approved"), F.col("decision_time"))).alias("times_held"),
+    )
+
+
+STANDARD = ("decision_time", "symbol", "agent_name", "action", "target_position", "signal_score", "confidence", "risk_approved", "reason", "audit_log", "created_at")
+
+
+def validated(decisions: DataFrame) -> DataFrame:
+    """The standard columns of a decision table in their types: unknown numbers are 0, confidence is within [0, 1]. A missing column raises."""
+    if missing := [c for c in STANDARD if c not in decisions.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    kinds = {"decision_time": F.col("decision_time").try_cast("timestamp"), "created_at": F.col("created_at").try_cast("timestamp"), "target_position": number("target_position"), "signal_score": number("signal_score"),
+             "confidence": risk.clip(number("confidence"), 0, 1), "risk_approved": F.coalesce(F.col("risk_approved").try_cast("boolean"), F.lit(False))}
+    return decisions.select(*(kinds.get(c, F.col(c).cast("string")).alias(c) for c in STANDARD))
+
+
+def loaded(decisions: DataFrame, approved_only: bool = True) -> DataFrame:
+    """Decisions to be traded: only approved ones, if wanted, and only those with a key."""
+    out = decisions.where("symbol is not null and decision_time is not null")
+    return out.where("risk_approved") if approved_only else out
+
+
 def approved(decisions: DataFrame) -> DataFrame:
     """Positions that count: null is 0, and what risk did not approve is 0 rather than gone, so that nothing is held on."""
     return decisions.withColumn("target_position", F.when(F.col("risk_approved"), F.coalesce("target_position", F.lit(0.0))).otherwise(0.0))

@@ -124,23 +124,48 @@ def ex_ante_vol(w: DataFrame, returns: DataFrame, rows: int = 30, bars: float =
     return days.groupBy("run_id", "ts").agg((F.sqrt(F.var_samp("x") * bars)).alias("pv"), F.count(F.lit(1)).alias("n_bars"))
 
 
-def momentum_weights(bars_: DataFrame, lookback: int = 90, vol_rows: int = 30, target: float = 0.30, most_scale: float = 3.0, gross: float = 1.0, bars: float = 2190) -> DataFrame:
-    """(ts, symbol, w): sign of the trailing return, inverse volatility, scaled to a target volatility of the book, then capped."""
+def parity_weights(x: DataFrame, vol_rows: int = 30, target: float = 0.30, most_scale: float = 3.0, gross: float = 1.0, bars: float = 2190) -> DataFrame:
+    """(ts, symbol, w) of (ts, symbol, close, dir): direction in [-1, 1] over volatility, scaled to a target volatility of the book, then capped. A null direction holds nothing."""
     by = series("symbol", "ts")
-    x = bars_.select("ts", "symbol", "close", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")).alias("own")).withColumn("ret", F.try_divide("close", F.lag("close").over(by)) - 1)
+    x = x.withColumn("ret", F.try_divide("close", F.lag("close").over(by)) - 1)
     times = x.select("ts").distinct().withColumn("bar", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts")))  # one row a time
     x = x.join(times, "ts")
     frame = trailing(by, vol_rows)
-    x = x.withColumns({"dir": F.signum(F.try_divide("close", F.lag("close", lookback).over(by)) - 1), "vol": F.when(F.count("ret").over(frame) >= vol_rows, F.stddev_samp("ret").over(frame))})
+    x = x.withColumn("vol", F.when(F.count("ret").over(frame) >= vol_rows, F.stddev_samp("ret").over(frame)))
     at = Window.partitionBy("ts")
     inv = F.when((F.col("vol") > 1e-12) & F.col("dir").isNotNull(), 1 / F.col("vol"))
-    raw = x.withColumn("inv", inv).withColumn("w", F.coalesce(F.col("dir") * F.col("inv") / F.sum("inv").over(at), F.lit(0.0))).withColumn("run_id", F.lit("tsmom"))
+    raw = x.withColumn("inv", inv).withColumn("w", F.coalesce(F.col("dir") * F.col("inv") / F.sum("inv").over(at), F.lit(0.0))).withColumn("run_id", F.lit("parity"))
     pv = ex_ante_vol(raw.where("w <> 0").select("run_id", "ts", "bar", "symbol", "w"), x.select("symbol", "ts", "bar", "ret"), vol_rows, bars)
     out = raw.join(pv, ["run_id", "ts"], "left").withColumn("scale", F.when(F.col("pv") > 1e-12, F.least(F.lit(target) / F.col("pv"), F.lit(most_scale))).otherwise(0.0))
     out = out.withColumn("w", F.col("w") * F.col("scale")).withColumn("gross", F.sum(F.abs("w")).over(at))
     return out.select("ts", "symbol", (F.col("w") / F.greatest(F.lit(1.0), F.col("gross") / gross)).alias("w"))
 
 
+def momentum_weights(bars_: DataFrame, lookback: int = 90, vol_rows: int = 30, band: float = 0.0, **limits) -> DataFrame:
+    """`parity_weights` of the sign of the trailing return, 0 within `band` of it."""
+    moved = F.try_divide("close", F.lag("close", lookback).over(series("symbol", "ts"))) - 1
+    return parity_weights(bars_.select("ts", "symbol", "close", direction(moved, band).alias("dir")), vol_rows, **limits)
+
+
+def direction(moved: Column, band: float = 0.0) -> Column:
+    return F.signum(moved) if band <= 0 else F.when(moved > band, 1.0).when(moved < -band, -1.0).otherwise(0.0)
+
+
+def multiscale_weights(bars_: DataFrame, lookbacks: tuple[int, ...] = (180, 540, 1080), vol_rows: int = 30, band: float = 0.0, **limits) -> DataFrame:
+    """`parity_weights` of the mean sign over several lookbacks; one whose history is too short counts as 0."""
+    if not lookbacks or min(lookbacks) < 1:
+        raise ValueError("lookbacks have to be positive")
+    by = series("symbol", "ts")
+    signs = (F.coalesce(direction(F.try_divide("close", F.lag("close", n).over(by)) - 1, band), F.lit(0.0)) for n in lookbacks)
+    return parity_weights(bars_.select("ts", "symbol", "close", (sum(signs, F.lit(0.0)) / len(lookbacks)).alias("dir")), vol_rows, **limits)
+
+
+def signal_weights(bars_: DataFrame, signal: DataFrame, vol_rows: int = 30, **limits) -> DataFrame:
+    """`parity_weights` of any signal (symbol, ts, signal), clipped to [-1, 1]; bars without one hold nothing."""
+    x = bars_.select("symbol", "ts", "close").join(signal.select("symbol", "ts", risk.clip(F.col("signal"), -1, 1).alias("dir")), ["symbol", "ts"], "left")
+    return parity_weights(x.select("ts", "symbol", "close", F.coalesce("dir", F.lit(0.0)).alias("dir")), vol_rows, **limits)
+
+
 def neutral(df: DataFrame, column: str, gross: float = 1.0) -> DataFrame:
     """Demeaned by time and divided by its gross: sums to 0, absolute values to `gross` (0 where all are equal)."""
     at = Window.partitionBy("ts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions import rolling as R
+from ..operators import decisions as D
 from ..operators import labels as L
 from ..operators import portfolio as P
 from ..operators import statistics as N
@@ -210,11 +211,27 @@ def trading_metrics(s, d):
     return r6(out, "mean_turnover", "total_cost", "mean_gross", "mean_net")
 
 
-@query("tsmom_weights", f"""WITH {S.B4}, x AS (SELECT symbol, ts, close, close / nullif(lag(close) OVER o, 0) - 1 AS ret, sign(close / nullif(lag(close, 24) OVER o, 0) - 1) AS dir FROM b4 WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
-tm AS (SELECT ts, row_number() OVER (ORDER BY ts) AS bar FROM (SELECT DISTINCT ts FROM b4)), y AS (SELECT x.*, bar, CASE WHEN count(ret) OVER w >= 30 THEN stddev_samp(ret) OVER w END AS vol FROM x JOIN tm USING (ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING)),
+def parity_sql(x: str) -> str:
+    """Weights pw(ts, symbol, w) of the bars and directions (symbol, ts, close, ret, dir) that `x` selects."""
+    return f"""x AS ({x}), tm AS (SELECT ts, row_number() OVER (ORDER BY ts) AS bar FROM (SELECT DISTINCT ts FROM b4)), y AS (SELECT x.*, bar, CASE WHEN count(ret) OVER w >= 30 THEN stddev_samp(ret) OVER w END AS vol FROM x JOIN tm USING (ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING)),
 i AS (SELECT *, CASE WHEN vol > 1e-12 AND dir IS NOT NULL THEN 1 / vol END AS inv FROM y), r AS (SELECT *, coalesce(dir * inv / sum(inv) OVER (PARTITION BY ts), 0) AS w FROM i),
 q AS (SELECT r.ts, y.bar, sum(r.w * y.ret) AS v, count(*) FILTER (y.ret IS NULL) AS holes FROM r JOIN y ON y.symbol = r.symbol AND y.bar BETWEEN r.bar - 29 AND r.bar WHERE r.w <> 0 GROUP BY 1, 2), pv AS (SELECT ts, sqrt(var_samp(v) * 2190) AS pv FROM q WHERE holes = 0 GROUP BY 1),
-z AS (SELECT r.ts, symbol, w * CASE WHEN pv > 1e-12 THEN least(0.3 / pv, 3) ELSE 0 END AS w FROM r LEFT JOIN pv USING (ts)) SELECT ts, symbol, round(w / greatest(1, sum(abs(w)) OVER (PARTITION BY ts)), 6) AS w FROM z""")
+z AS (SELECT r.ts, symbol, w * CASE WHEN pv > 1e-12 THEN least(0.3 / pv, 3) ELSE 0 END AS w FROM r LEFT JOIN pv USING (ts)), pw AS (SELECT ts, symbol, w / greatest(1, sum(abs(w)) OVER (PARTITION BY ts)) AS w FROM z)"""
+
+
+def _moved(*lookbacks: int) -> str:
+    signs = [f"sign(close / nullif(lag(close, {n}) OVER o, 0) - 1)" for n in lookbacks]
+    d = signs[0] if len(signs) == 1 else f"({' + '.join(f'coalesce({x}, 0)' for x in signs)}) / {len(signs)}.0::DOUBLE"
+    return f"SELECT symbol, ts, close, close / nullif(lag(close) OVER o, 0) - 1 AS ret, {d} AS dir FROM b4 WINDOW o AS (PARTITION BY symbol ORDER BY ts)"
+
+
+@query("multiscale_weights", f"WITH {S.B4}, {parity_sql(_moved(6, 18, 54))} SELECT ts, symbol, round(w, 6) AS w FROM pw")
+def multiscale_weights(s, d):
+    """Three lookbacks of a day, three days and nine, as these tables hold a month."""
+    return r6(P.multiscale_weights(M.bars_4h(s, d), (6, 18, 54)), "w")
+
+
+@query("tsmom_weights", f"WITH {S.B4}, {parity_sql(_moved(24))} SELECT ts, symbol, round(w, 6) AS w FROM pw")
 def tsmom_weights(s, d):
     return r6(P.momentum_weights(M.bars_4h(s, d), lookback=24), "w")
 
@@ -229,6 +246,22 @@ def xs_neutral_weights(s, d):
     return r6(P.neutral(ewma(c, "symbol", "ts", {"w": ("c", A)}), "w").select("symbol", "ts", "w"), "w")
 
 
+A7 = 2 / (6 + 1)
+_META = "1 / (1 + exp(-8 * abs(coalesce(alpha, 0))))"
+
+
+@query("deployed_books", f"""WITH RECURSIVE {S.SIGNALS}, cv AS (SELECT symbol, ts, CASE WHEN abs(coalesce(alpha, 0)) >= 0.02 AND {_META} > 0.55 THEN sign(alpha) * least(abs(alpha) / 0.2, 1) ELSE 0 END::DOUBLE AS c FROM signals), {ewma_sql('cv', 'symbol', 'ts', {'e': ('c', A7)})},
+n1 AS (SELECT symbol, ts, e - avg(e) OVER t AS x, least(avg(abs(e)) OVER t, 1) AS full_ FROM ew WINDOW t AS (PARTITION BY ts)), n2 AS (SELECT symbol, ts, CASE WHEN sum(abs(x)) OVER t > 1e-12 THEN x / sum(abs(x)) OVER t ELSE 0 END * full_ AS x FROM n1 WINDOW t AS (PARTITION BY ts)),
+rn2 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM n2), ew2 AS (SELECT symbol, ts, i, x AS e FROM rn2 WHERE i = 1 UNION ALL SELECT r.symbol, r.ts, r.i, (1 - {A7!r}) * e.e + {A7!r} * r.x FROM ew2 e JOIN rn2 r ON r.symbol = e.symbol AND r.i = e.i + 1),
+{parity_sql("SELECT b4.symbol, b4.ts, close, close / nullif(lag(close) OVER (PARTITION BY b4.symbol ORDER BY b4.ts), 0) - 1 AS ret, coalesce(e, 0) AS dir FROM b4 LEFT JOIN ew ON ew.symbol = b4.symbol AND ew.ts = b4.ts")}
+SELECT 'simple' AS mode, symbol, ts, round(e * 0.25, 5) AS w FROM ew UNION ALL SELECT 'parity', symbol, ts, round(w, 5) FROM pw UNION ALL SELECT 'neutral', symbol, ts, round(e - avg(e) OVER (PARTITION BY ts), 5) FROM ew2""")
+def deployed_books(s, d):
+    """One score with a dead band and a meta gate as three books."""
+    x = M.signals(s, d).select("symbol", "ts", "close", "alpha", (1 / (1 + F.exp(-8 * F.abs(F.coalesce("alpha", F.lit(0.0)))))).alias("meta"))
+    books = [D.deployed(x, mode, x.select("symbol", "ts", "close"), deadband=0.02, allow_flat=True).select(F.lit(mode).alias("mode"), "symbol", "ts", F.round("w", 5).alias("w")) for mode in ("simple", "parity", "neutral")]
+    return books[0].unionByName(books[1]).unionByName(books[2])
+
+
 @query("no_trade_band", f"""WITH RECURSIVE {S.WEIGHTS}, rn AS (SELECT *, row_number() OVER (PARTITION BY run_id, symbol ORDER BY ts) AS i FROM weights), b AS (SELECT run_id, symbol, ts, i, w FROM rn WHERE i = 1
   UNION ALL SELECT r.run_id, r.symbol, r.ts, r.i, CASE WHEN abs(r.w - b.w) > 0.3 THEN r.w ELSE b.w END FROM b JOIN rn r ON r.run_id = b.run_id AND r.symbol = b.symbol AND r.i = b.i + 1) SELECT run_id, symbol, ts, w FROM b""")
 def no_trade_band(s, d):

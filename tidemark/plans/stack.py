@@ -14,7 +14,7 @@ from ..sources import market as M
 from . import base_sql as S
 from .book import BARRIER_SQL, barriers, pnl, w
 from .market import PIT_SQL, ewma_sql, pit_table
-from .registry import query, r6
+from .registry import SQL, query, r6
 
 SOFT = "greatest(0.02, coalesce(1.5 * typical, 0))"
 CLUSTERS = {"click": "majors", "view": "majors", "error": "rest", "purchase": "rest", "signup": "rest"}
@@ -107,6 +107,28 @@ def risk_decisions(s, d):
     return r6(out.select("symbol", "decision_time", "x.*"), "position", "stop_loss", "take_profit")
 
 
+@query("gated_funnel", f"""WITH rd AS ({SQL['risk_decisions']}) SELECT count(*) AS n_rows, count(*) FILTER (reason = 'flat_or_no_meta') AS flat_or_no_meta, count(*) FILTER (reason = 'below_threshold') AS meta_gated, count(*) FILTER (reason LIKE 'blocked%') AS zero_size,
+ count(*) FILTER (approved) AS approved_intents, count(DISTINCT decision_time) AS times, count(DISTINCT decision_time) FILTER (approved) AS times_held FROM rd""")
+def gated_funnel(s, d):
+    return D.gated_funnel(risk_decisions(s, d))
+
+
+@query("decision_contract", f"""WITH rd AS ({SQL['risk_decisions']}), x AS (SELECT CASE WHEN day(decision_time) <> 8 THEN symbol END AS symbol, decision_time, coalesce(CASE WHEN day(decision_time) = 5 THEN 1.5 WHEN day(decision_time) <> 6 THEN position END, 0) AS p, CASE WHEN day(decision_time) = 7 THEN 'sell everything' WHEN position > 0 THEN 'open_long' WHEN position < 0 THEN 'open_short' ELSE 'flat' END AS action, approved FROM rd),
+y AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE day(decision_time) = 9) SELECT 'position' AS "check", count(*) FILTER (abs(p) > 1) AS violations FROM y UNION ALL SELECT 'action', count(*) FILTER (action = 'sell everything') FROM y UNION ALL SELECT 'key', count(*) FILTER (symbol IS NULL) FROM y
+UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM y GROUP BY symbol, decision_time HAVING count(*) > 1) UNION ALL SELECT 'loaded', count(*) FILTER (approved AND symbol IS NOT NULL) FROM y""")
+def decision_contract(s, d):
+    """Decisions as an agent would hand them in (as text, some damaged), validated, checked, and those that load."""
+    day = F.dayofmonth("decision_time")
+    x = risk_decisions(s, d).select(
+        F.when(day != 8, F.col("symbol")).alias("symbol"), F.col("decision_time").cast("string").alias("decision_time"), F.lit("agent").alias("agent_name"),
+        F.when(day == 7, "sell everything").when(F.col("position") > 0, "open_long").when(F.col("position") < 0, "open_short").otherwise("flat").alias("action"),
+        F.when(day == 5, "1.5").when(day == 6, "none").otherwise(F.col("position").cast("string")).alias("target_position"), F.lit("x").alias("signal_score"), F.lit("7").alias("confidence"), F.col("approved").cast("string").alias("risk_approved"),
+        "reason", F.lit("{}").alias("audit_log"), F.col("decision_time").cast("string").alias("created_at"),
+    )
+    x = D.validated(x.unionByName(x.where(F.dayofmonth(F.col("decision_time").cast("timestamp")) == 9)))
+    return D.violations(x).union(D.loaded(x).agg(F.lit("loaded").alias("check"), F.count(F.lit(1)).alias("n")))
+
+
 @query("regime_flags", f"""WITH {PIT_SQL}, z AS (SELECT symbol, decision_time, vol_96h AS v, CASE WHEN count(ret_24h) OVER w >= 6 THEN (ret_24h - avg(ret_24h) OVER w) / (stddev_samp(ret_24h) OVER w + 1e-12) END AS m, CASE WHEN count(funding_rate) OVER w >= 10 THEN (funding_rate - avg(funding_rate) OVER w) / (stddev_samp(funding_rate) OVER w + 1e-12) END AS f FROM pit2 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING))
 SELECT symbol, decision_time, CASE WHEN abs(f) > 2 THEN 'funding_overheated' WHEN v IS NULL OR m IS NULL THEN 'range_bound' WHEN v > 1.0 AND m > 0.5 THEN 'high_volatility_uptrend' WHEN v > 1.0 AND m < -0.5 THEN 'panic_selloff' WHEN m > 0.5 THEN 'low_volatility_uptrend' WHEN m < -0.5 THEN 'low_volatility_downtrend' ELSE 'range_bound' END AS regime FROM z""")
 def regime_flags(s, d):
@@ -116,6 +138,30 @@ def regime_flags(s, d):
     return x.select("symbol", "decision_time", risk.regime(F.col("vol_96h"), F.col("m"), F.col("f"), high=1.0).alias("regime"))
 
 
+_OVERLAY = SQL["full_overlay"].replace("x AS (SELECT run_id, symbol, ts, w * 2 AS w,", "x AS (SELECT 'lag1' AS run_id, symbol, decision_time - INTERVAL 241 MINUTE AS ts, position AS w,").replace("ELSE 'rest' END AS cluster FROM weights)", "ELSE 'rest' END AS cluster FROM rd)")
+SETTINGS = {"target_vol": 0.3, "threshold": 0.55, "most": 0.25}
+
+
+@query("portfolio_decisions", f"""WITH rd AS MATERIALIZED ({SQL['risk_decisions']}), ov AS MATERIALIZED ({_OVERLAY}), rg AS MATERIALIZED ({SQL['regime_flags']}), la AS (SELECT * FROM rd QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY decision_time DESC) = 1)
+SELECT la.symbol, la.decision_time, rg.regime, CASE WHEN approved AND abs(ov.w) > 1e-9 THEN CASE WHEN ov.w > 0 THEN 'long' ELSE 'short' END ELSE 'flat' END AS action, round(CASE WHEN approved THEN ov.w ELSE 0 END, 4)::DOUBLE AS target_position, round(position, 4) AS target_position_pre_portfolio,
+ round(stop_loss, 4) AS stop_loss, round(take_profit, 4) AS take_profit, risk_level, reason, substr(sha256(la.symbol || '|' || strftime(la.decision_time, '%Y-%m-%dT%H:%M:%S') || '|oof|bars|v1|most=0.25,target_vol=0.3,threshold=0.55'), 1, 16) AS audit_id
+FROM la JOIN ov ON ov.symbol = la.symbol AND ov.ts = la.decision_time - INTERVAL 241 MINUTE JOIN rg ON rg.symbol = la.symbol AND rg.decision_time = la.decision_time""")
+def portfolio_decisions(s, d):
+    """The current book: the newest decision of each symbol, sized, gated, after the overlay, as structured rows."""
+    x = risk_decisions(s, d).withColumn("ts", F.col("decision_time") - F.expr("interval 241 minutes"))
+    newest = x.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("decision_time")))).where("n = 1").drop("n")
+    # the overlay of a time needs all its positions, so whole times are taken
+    at = x.join(newest.select("ts").distinct(), "ts", "left_semi").select(F.lit("lag1").alias("run_id"), "ts", "symbol", F.lit(None).cast("double").alias("close"), F.col("position").alias("w"))
+    after = P.full_overlay(at, clusters(s), returns(s, d), known_drawdowns(s, d)).select("symbol", "ts", F.round("w", 5).alias("w"))
+    out = newest.join(after, ["symbol", "ts"]).join(regime_flags(s, d), ["symbol", "decision_time"])
+    held = F.col("approved") & (F.abs("w") > 1e-9)
+    return out.select(
+        "symbol", "decision_time", "regime", F.when(held, F.when(F.col("w") > 0, "long").otherwise("short")).otherwise("flat").alias("action"), F.round(F.when(F.col("approved"), F.col("w")).otherwise(0.0), 4).alias("target_position"),
+        F.round("position", 4).alias("target_position_pre_portfolio"), F.round("stop_loss", 4).alias("stop_loss"), F.round("take_profit", 4).alias("take_profit"), "risk_level", "reason",
+        D.audit_id(F.col("symbol"), F.col("decision_time"), "oof", "bars", "v1", SETTINGS).alias("audit_id"),
+    )
+
+
 @query("depth_slippage", f"""WITH {S.B4}, x AS (SELECT symbol, ts, close, volume, quantile_cont(volume, 0.5) OVER w AS med, count(volume) OVER w AS n, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM b4 WINDOW w AS (PARTITION BY symbol, hour(ts) ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 SECOND PRECEDING)),
 y AS (SELECT *, CASE WHEN n >= 10 THEN 0.1 * med END AS depth, CASE WHEN count(ret) OVER f >= 6 THEN stddev_samp(ret) OVER f * 1e4 END AS fast, CASE WHEN count(ret) OVER g >= 42 THEN stddev_samp(ret) OVER g * 1e4 END AS slow FROM x WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING), g AS (PARTITION BY symbol ORDER BY ts ROWS 41 PRECEDING)),
 z AS (SELECT *, 3 + coalesce(CASE WHEN slow > 0 THEN 2 * greatest(0, (fast - slow) / slow) ELSE 0 END, 0) + 10 * CASE WHEN depth > 0 THEN volume * 0.01 / depth ELSE 1 END AS bps FROM y)
