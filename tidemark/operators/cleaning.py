@@ -35,6 +35,21 @@ def fill_gaps(bars: DataFrame, step: str, key: str = "symbol", ts: str = "ts") -
     return calendar.join(bars, [key, ts], "left")
 
 
+def panel(df: DataFrame, key: str, ts: str, columns: list[str], complete: bool = True) -> DataFrame:
+    """Every key at every time of the table, columns carried forward by key; with `complete`, only times at which every key knows all of them.
+
+    The result has keys x times rows, which is what a panel is; the lists of both are small, its rows are dealt by key and time.
+    """
+    times, keys = df.select(ts).distinct(), df.select(key).distinct()
+    full = times.crossJoin(F.broadcast(keys)).join(df.select(key, ts, *columns), [key, ts], "left")  # keys: one row a symbol
+    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    out = full.select(key, ts, *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns))
+    if not complete:
+        return out
+    holes = F.sum(F.greatest(*(F.col(c).isNull().cast("int") for c in columns)) if len(columns) > 1 else F.col(columns[0]).isNull().cast("int")).over(Window.partitionBy(ts))
+    return out.withColumn("_holes", holes).where("_holes = 0").drop("_holes")
+
+
 def impute(bars: DataFrame, volumes: list[str]) -> DataFrame:
     """Close is carried forward (a null head takes the first close); open, high and low take the close; volumes are 0."""
     w = series("symbol", "ts")
@@ -76,8 +91,26 @@ def look_ahead_audit(df: DataFrame, decision: str, available: list[str], keys: l
     return counts.crossJoin(repeated)  # one row each
 
 
-def row_quality(columns: list[str]) -> Column:
-    """1 - share of nulls."""
+def long_report(df: DataFrame, keys: list[str], values: list[str], arrival: str) -> DataFrame:
+    """(check, violations) of a long table whose keys end with a time: rows, nulls, non-finite values, times that do not rise in order of `arrival` within the other keys, repeated keys."""
+    *own, ts = keys
+    x = df.withColumn("_before", F.lag(ts).over(Window.partitionBy(*own).orderBy(arrival)))
+    bad = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    one = x.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in [*keys, *values]), *(F.count_if(bad(c)).alias(f"not_finite_{c}") for c in values), F.count_if(F.col(ts) <= F.col("_before")).alias("not_in_order"))
+    repeated = df.groupBy(*keys).count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).select(F.lit("repeated_key").alias("check"), F.col("n").alias("violations"))
+    return one.unpivot([], one.columns, "check", "violations").union(repeated)
+
+
+def row_quality(columns: list[str], found: Column | None = None, late: Column | None = None) -> Column:
+    """1 - share of nulls; 0 where the row was not `found`, or where a feature is `late` (newer than the decision)."""
+    share = _known_share(columns)
+    for bad in ((~found) if found is not None else None, late):
+        if bad is not None:
+            share = F.when(F.coalesce(bad, F.lit(False)), 0.0).otherwise(share)
+    return share
+
+
+def _known_share(columns: list[str]) -> Column:
     return 1 - F.aggregate(F.array(*(F.col(c).isNull().cast("int") for c in columns)), F.lit(0), lambda a, x: a + x) / len(columns)
 
 

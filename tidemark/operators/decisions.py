@@ -101,6 +101,21 @@ def violations(decisions: DataFrame) -> DataFrame:
     return one.unpivot([], one.columns, "check", "violations").union(twice.select(F.lit("repeated"), "n"))
 
 
+def acceptance(audit: DataFrame, ece: DataFrame, ladder: DataFrame, ablation: DataFrame, pbo: DataFrame, baseline: str, plain: str, enriched: list[str]) -> DataFrame:
+    """(gate, value, passed): no look-ahead, calibration error of 0.05 at most, a step with a significant increment, a gain by the enriched feature sets, overfitting under one half, better than the baseline.
+
+    audit: n_look_ahead; ece: ece; ladder: run_id, mean_sharpe, included; ablation: run_id, t_stat; pbo: pbo. A value that is not known passes no gate.
+    """
+    steps = ladder.agg(
+        F.count_if(F.col("included") & (F.col("run_id") != baseline)).cast("double").alias("steps"),
+        (F.max(F.when(F.col("run_id") != baseline, F.col("mean_sharpe"))) - F.max(F.when(F.col("run_id") == baseline, F.col("mean_sharpe")))).alias("over"),
+    )
+    gain = ablation.agg((F.max(F.when(F.col("run_id").isin(enriched), F.col("t_stat"))) - F.max(F.when(F.col("run_id") == plain, F.col("t_stat")))).alias("gain"))
+    one = audit.select(F.col("n_look_ahead").cast("double").alias("late")).crossJoin(ece.select("ece")).crossJoin(steps).crossJoin(gain).crossJoin(pbo.select("pbo"))  # one row each
+    gates = [("no_look_ahead", "late", F.col("late") == 0), ("calibration", "ece", F.col("ece") <= 0.05), ("increment", "steps", F.col("steps") > 0), ("enriched_features", "gain", F.col("gain") > 0), ("overfitting", "pbo", F.col("pbo") < 0.5), ("beats_baseline", "over", F.col("over") > 0)]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("gate"), F.col(c).alias("value"), F.coalesce(p, F.lit(False)).alias("passed")) for n, c, p in gates))).alias("g")).select("g.*")
+
+
 def directional(w: DataFrame, most: float = 0.25, net_cap: float = 1.5, gross_cap: float = 1.0, target_vol: float = 0.25, most_scale: float = 3.0, bars: float = 2190) -> DataFrame:
     """Limits for a book with net exposure, on (run_id, ts, symbol, close, w): per symbol, net (only its common part shrinks), gross, and one volatility scalar a run from its full sample (`uses_full_sample`)."""
     at = Window.partitionBy("run_id", "ts")

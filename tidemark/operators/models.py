@@ -108,6 +108,27 @@ def fusion(df: DataFrame, folds: DataFrame, keys: list[str], modalities: list[st
     return long.where("role = 'test'").join(F.broadcast(w), ["fold_id", "modality"]).groupBy(*keys, "fold_id").agg(F.sum(F.col("w") * z).alias("alpha"))  # folds x modalities rows
 
 
+def calibrated_out_of_fold(df: DataFrame, folds: DataFrame, keys: list[str], score: str, y: str, isotonic_from: int = 1000) -> DataFrame:
+    """Adds `calibrated`: each test row's score through a calibrator fitted on its fold's train rows only."""
+    rows = staged(df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).join(folds, keys).where("role in ('train', 'test')"))
+    out = []
+    for fold in sorted(r.fold_id for r in rows.select("fold_id").distinct().collect()):  # k folds
+        own = rows.where(F.col("fold_id") == fold)
+        model = calibrator(own.where("role = 'train'"), score, y, isotonic_from)
+        out.append(calibrated(model, own.where("role = 'test'")).select(*keys, score, y, "calibrated"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def diagnostics(df: DataFrame, y: str, raw: str, better: str, bins: int = 10) -> DataFrame:
+    """One row: n, base rate, and calibration error and Brier score of two probabilities of one outcome."""
+    from .labels import calibration_error
+
+    brier = lambda c: F.avg((F.col(c) - F.col(y)) * (F.col(c) - F.col(y)))
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("base_rate"), brier(raw).alias("brier_raw"), brier(better).alias("brier_calibrated"))
+    ece = lambda c, name: calibration_error(df, y, c, bins).select(F.col("ece").alias(name))
+    return one.crossJoin(ece(raw, "ece_raw")).crossJoin(ece(better, "ece_calibrated"))  # one row each
+
+
 def gross_scalar(df: DataFrame, p: str, threshold: float = 0.55) -> DataFrame:
     """(ts, scalar): share of rows of a time whose calibrated probability is above the threshold."""
     return df.groupBy("ts").agg(F.avg((F.col(p) > threshold).cast("double")).alias("scalar"))

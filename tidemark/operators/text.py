@@ -171,6 +171,42 @@ def coerced(df: DataFrame, kinds: list[str]) -> DataFrame:
     return df.withColumns({"event_type": F.when(kind.isin(kinds), kind).otherwise("none"), "sentiment": number("sentiment", -1, 1, 0.0), "severity": number("severity", 0, 1, 0.0), "confidence": number("confidence", 0, 1, 0.5)})
 
 
+HORIZONS = ("intraday", "days", "weeks")
+
+
+def coerced_extraction(df: DataFrame, rules, allowed: list[str] | None = None) -> DataFrame:
+    """Every field of an extraction in range: event_type, entities, themes, sentiment, severity, is_rumor, source_credibility, horizon, confidence.
+
+    Unknown kinds are none, names outside the universe go, no known theme is `none`, lists are sorted and without repeats, numbers are clamped, and what is
+    null or no number takes its default (0, 0, 0.5, 0.5; not a rumour; days).
+    """
+    universe = F.array(*(F.lit(x) for x in sorted(allowed or set(rules.TICKERS.values()))))
+    kinds, themes = [*rules.EVENTS, "none"], F.array(*(F.lit(t) for t in sorted(rules.THEMES)))
+    upper, lower = (lambda c, f: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), f))("entities", F.upper), F.transform(F.coalesce(F.col("themes"), F.array().cast("array<string>")), F.lower)
+    known = F.sort_array(F.array_intersect(lower, themes))
+    def number(c: str, lo: float, default: float) -> Column:
+        x = F.col(c).try_cast("double")
+        return F.when(x.isNull() | F.isnan(x), default).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(1.0)))
+
+    kind = F.lower("event_type")
+    return df.withColumns({
+        "event_type": F.when(kind.isin(kinds), kind).otherwise("none"), "entities": F.sort_array(F.array_intersect(upper, universe)), "themes": F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("none"))),
+        "sentiment": number("sentiment", -1.0, 0.0), "severity": number("severity", 0.0, 0.0), "is_rumor": F.coalesce(F.col("is_rumor").try_cast("boolean"), F.lit(False)),
+        "source_credibility": number("source_credibility", 0.0, 0.5), "horizon": F.when(F.col("horizon").isin(*HORIZONS), F.col("horizon")).otherwise("days"), "confidence": number("confidence", 0.0, 0.5),
+    })
+
+
+def in_dates(df: DataFrame, start: str | None, end: str | None, *times: str) -> DataFrame:
+    """Rows whose first known time of `times` is within [start, end]; rows without any are kept."""
+    t = F.coalesce(*(F.col(c).cast("timestamp") for c in times))
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (t >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        inside = inside & (t <= F.lit(end).cast("timestamp"))
+    return df.where(t.isNull() | inside)
+
+
 def consensus(df: DataFrame, key: str, kind: str, score: str) -> DataFrame:
     """(key, kind, agreement, score, n): most frequent kind (first in order of ties), its share, and the mean score of repeated extractions."""
     counts = df.groupBy(key, kind).agg(F.count(F.lit(1)).alias("c"), F.sum(score).alias("s"))

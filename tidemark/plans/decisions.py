@@ -10,6 +10,7 @@ from ..functions import rolling as R
 from ..operators import cleaning as C
 from ..operators import decisions as D
 from ..operators import portfolio as P
+from ..operators import rules
 from ..operators import statistics as N
 from ..operators import text as T
 from ..operators.bars import floor_to, right_edge
@@ -17,8 +18,8 @@ from ..sources import market as M
 from ..sources import scan
 from . import base_sql as S
 from .book import IC_SQL, forward, intervals, pnl, w, LABELS_SQL
-from .market import MARKET_SQL, market_features
-from .registry import query, r6
+from .market import MARKET_SQL, METRICS, METRICS_SQL, chain_metrics, market_features
+from .registry import SQL, query, r6
 
 DEC_SQL = f"""{S.SIGNALS}, rn AS (SELECT symbol, ts, alpha AS s, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM signals),
 h AS (SELECT symbol, ts, i, CASE WHEN s > 0.005 THEN 1 WHEN s < -0.005 THEN -1 ELSE 0 END AS p FROM rn WHERE i = 1 UNION ALL SELECT r.symbol, r.ts, r.i,
@@ -183,3 +184,90 @@ def equity_risk(s, d):
     day = F.floor((F.row_number().over(P.by_run()) - 1) / 6)
     x = pnl(s, d).withColumn("d", day).groupBy("run_id", "d").agg((F.product(1 + F.col("ret")) - 1).alias("daily"))
     return r6(x.groupBy("run_id").agg(F.greatest(F.lit(0.0), -F.max_by("daily", "d")).alias("last_loss"), F.avg(F.abs("daily")).alias("mean_abs_daily"), F.count(F.lit(1)).alias("n_days")), "last_loss", "mean_abs_daily")
+
+
+_EXTRACTED = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Hack' WHEN event_id % 3 = 1 THEN event_type END AS event_type, ['btc', 'ETH', 'zzz', 'btc'] AS entities, CASE WHEN event_id % 2 = 0 THEN ['L2', 'etf', 'zoo'] ELSE ['zoo'] END AS themes, value / 50 - 1 AS sentiment, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS severity FROM events"""
+
+
+@query("coerced_extraction_full", f"""WITH x AS ({_EXTRACTED}) SELECT event_id, CASE WHEN event_type = 'Hack' THEN 'hack' ELSE 'none' END AS event_type, 'BTC,ETH' AS entities, CASE WHEN event_id % 2 = 0 THEN 'etf,l2' ELSE 'none' END AS themes, least(greatest(sentiment, -1), 1) AS sentiment, coalesce(least(greatest(severity, 0), 1), 0) AS severity,
+ event_id % 4 = 0 AS is_rumor, 0.5::DOUBLE AS source_credibility, CASE WHEN event_id % 2 = 0 THEN 'weeks' ELSE 'days' END AS horizon, 1.0::DOUBLE AS confidence FROM x""")
+def coerced_extraction_full(s, d):
+    """Extractions as a model would return them: kinds and names in any case or unknown, numbers out of range, missing or no numbers."""
+    i = F.col("event_id")
+    x = M.table(s, d, "events").select(
+        "event_id", F.when(i % 3 == 0, "Hack").when(i % 3 == 1, F.col("event_type")).alias("event_type"), F.array(*map(F.lit, ("btc", "ETH", "zzz", "btc"))).alias("entities"),
+        F.when(i % 2 == 0, F.array(*map(F.lit, ("L2", "etf", "zoo")))).otherwise(F.array(F.lit("zoo"))).alias("themes"), (F.col("value") / 50 - 1).cast("string").alias("sentiment"), F.when(i % 5 != 0, F.col("value").cast("string")).alias("severity"),
+        F.when(i % 4 == 0, "true").alias("is_rumor"), F.lit("unsure").alias("source_credibility"), F.when(i % 2 == 0, "weeks").otherwise("years").alias("horizon"), F.lit("7").alias("confidence"),
+    )
+    out = T.coerced_extraction(x, rules)
+    return out.withColumns({"entities": F.array_join("entities", ","), "themes": F.array_join("themes", ",")})
+
+
+@query("articles_of_unknown_date", """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN to_timestamp(1704067200 + doc_id * 420)::TIMESTAMP END AS published, CASE WHEN doc_id % 3 < 2 THEN date_trunc('day', to_timestamp(1704067200 + doc_id * 420)::TIMESTAMP) END AS day FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, published, day FROM x WHERE coalesce(published, day) IS NULL OR coalesce(published, day) BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-03 12:00:00'""")
+def articles_of_unknown_date(s, d):
+    """A third of the articles has a time, a third only a day, a third neither: those are kept."""
+    t, i = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420), F.col("doc_id") % 3
+    x = M.table(s, d, "documents").where("doc_id is not null").select("doc_id", F.when(i == 0, t).alias("published"), F.when(i < 2, F.date_trunc("day", t)).alias("day"))
+    return T.in_dates(x, "2024-01-02", "2024-01-03 12:00:00", "published", "day")
+
+
+@query("carried_panel", f"""WITH {S.B4}, h AS (SELECT * FROM b4 WHERE (hour(ts) + length(symbol)) % 3 <> 0), g AS (SELECT t.ts, k.symbol FROM (SELECT DISTINCT ts FROM h) t, (SELECT DISTINCT symbol FROM h) k),
+c AS (SELECT g.symbol, g.ts, last_value(close IGNORE NULLS) OVER w AS close, last_value(volume IGNORE NULLS) OVER w AS volume FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.ts = g.ts WINDOW w AS (PARTITION BY g.symbol ORDER BY g.ts ROWS UNBOUNDED PRECEDING))
+SELECT symbol, ts, close, volume FROM c QUALIFY count(*) FILTER (close IS NULL OR volume IS NULL) OVER (PARTITION BY ts) = 0""")
+def carried_panel(s, d):
+    """Bars of which a third is missing, on all times, carried forward, from where every symbol is known."""
+    x = M.bars_4h(s, d).where((F.hour("ts") + F.length("symbol")) % 3 != 0)
+    return C.panel(x, "symbol", "ts", ["close", "volume"])
+
+
+@query("chain_coverage", f"WITH {METRICS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS n, round(count({c}) / count(*), 6)::DOUBLE AS share, min(ts) FILTER ({c} IS NOT NULL) AS first_time, max(ts) FILTER ({c} IS NOT NULL) AS last_time FROM m" for c in METRICS))
+def chain_coverage(s, d):
+    """Rows, share, first and last day of each chain metric."""
+    x = chain_metrics(s, d).unpivot(["ts"], list(METRICS), "metric", "value")
+    known = F.when(F.col("value").isNotNull(), F.col("ts"))
+    return r6(x.groupBy("metric").agg(F.count("value").alias("n"), F.try_divide(F.count("value").cast("double"), F.count(F.lit(1)).cast("double")).alias("share"), F.min(known).alias("first_time"), F.max(known).alias("last_time")), "share")
+
+
+@query("compact_features", f"""WITH {S.B4}, x AS (SELECT symbol, ts, close / nullif(lag(close, 1) OVER o, 0) - 1 AS ret_1, close / nullif(lag(close, 6) OVER o, 0) - 1 AS ret_6, close / nullif(lag(close, 12) OVER o, 0) - 1 AS m FROM b4 WINDOW o AS (PARTITION BY symbol ORDER BY ts))
+SELECT symbol, ts, round(ret_1, 6) AS ret_1, round(ret_6, 6) AS ret_6, round(CASE WHEN count(ret_1) OVER v >= 24 THEN stddev_samp(ret_1) OVER v END, 6) AS vol_24, round(CASE WHEN count(m) OVER z >= 48 THEN (m - avg(m) OVER z) / (stddev_samp(m) OVER z + 1e-9) END, 6) AS mom_z FROM x WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING), z AS (PARTITION BY symbol ORDER BY ts ROWS 47 PRECEDING)""")
+def compact_features(s, d):
+    """The small set: returns over one and six bars, volatility, momentum as a z-score."""
+    by = R.series("symbol", "ts")
+    x = M.bars_4h(s, d).select("symbol", "ts", *(R.pct_change("close", by, n).alias(c) for c, n in (("ret_1", 1), ("ret_6", 6), ("m", 12))))
+    return r6(x.select("symbol", "ts", "ret_1", "ret_6", R.roll(F.stddev_samp, "ret_1", by, 24).alias("vol_24"), R.zscore("m", by, 48, 48, 1e-9).alias("mom_z")), "ret_1", "ret_6", "vol_24", "mom_z")
+
+
+_DIFF = SQL["newey_west"].replace("FROM pnl)", "FROM (SELECT 'lag2' AS run_id, b.ts, b.ret - a.ret AS ret FROM pnl a JOIN pnl b USING (ts) WHERE a.run_id = 'lag1' AND b.run_id = 'lag2'))")
+
+
+@query("acceptance_table", f"""WITH au AS ({SQL['pit_audit']}), ec AS ({SQL['ece']}), sh AS ({SQL['run_metrics']}), df AS ({_DIFF}), ic AS ({SQL['xs_ic']}), pb AS ({SQL['pbo']})
+SELECT 'no_look_ahead' AS gate, n_look_ahead::DOUBLE AS value, n_look_ahead = 0 AS passed FROM au UNION ALL SELECT 'calibration', ece, ece <= 0.05 FROM ec UNION ALL SELECT 'increment', count(*) FILTER (t_stat > 2)::DOUBLE, count(*) FILTER (t_stat > 2) > 0 FROM df
+UNION ALL SELECT 'enriched_features', -2 * t_stat, -2 * t_stat > 0 FROM ic UNION ALL SELECT 'overfitting', pbo, pbo < 0.5 FROM pb UNION ALL SELECT 'beats_baseline', round(b.mean_sharpe - a.mean_sharpe, 6), b.mean_sharpe > a.mean_sharpe FROM sh a, sh b WHERE a.run_id = 'lag1' AND b.run_id = 'lag2'""")
+def acceptance_table(s, d):
+    """All six gates from their tables: the later run against the earlier one as ladder, a score and its reverse as feature sets."""
+    from ..plans.registry import QUERIES
+
+    q = lambda name: QUERIES[name](s, d)
+    p = pnl(s, d).select("run_id", "ts", "ret")
+    diff = p.where("run_id = 'lag2'").join(p.where("run_id = 'lag1'").select("ts", F.col("ret").alias("base")), "ts").select("run_id", "ts", (F.col("ret") - F.col("base")).alias("ret"))
+    t = r6(N.newey_west(diff, "run_id", "ts", "ret", 6), "t_stat").select("run_id", (F.col("t_stat") > 2).alias("included"))
+    ladder = q("run_metrics").select("run_id", "mean_sharpe").join(t, "run_id", "left").fillna(False, ["included"])
+    ic = q("xs_ic").select("t_stat")
+    ablation = ic.select(F.lit("score").alias("run_id"), "t_stat").unionByName(ic.select(F.lit("reversed").alias("run_id"), -F.col("t_stat").alias("t_stat")).toDF("run_id", "t_stat"))
+    out = D.acceptance(q("pit_audit"), q("ece"), ladder, ablation, q("pbo"), "lag1", "score", ["reversed"])
+    return r6(out, "value")
+
+
+@query("run_deltas", f"""WITH {S.PNL}, n AS (SELECT ts FROM pnl GROUP BY 1 HAVING count(*) = 2), x AS (SELECT run_id, exp(sum(ln(1 + ret))) - 1 AS total, exp(sum(ln(1 + ret))) ** (2190.0 / count(*)) - 1 AS annual, stddev_samp(ret) * sqrt(2190.0) AS vol, avg(ret) * sqrt(2190.0) / nullif(stddev_samp(ret), 0) AS sharpe FROM pnl JOIN n USING (ts) GROUP BY 1)
+SELECT run_id, {', '.join(f"round({c}, 6) AS {c}, round({c} - max({c}) FILTER (run_id = 'lag1') OVER (), 6) AS d_{c}" for c in ('total', 'annual', 'vol', 'sharpe'))} FROM x""")
+def run_deltas(s, d):
+    """Runs over their common times: compounded total, annual return, volatility, Sharpe, and the difference of each to the first run."""
+    p = pnl(s, d).select("run_id", "ts", "ret")
+    runs = p.agg(F.count_distinct("run_id").alias("k"))  # one row
+    x = p.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ts"))).crossJoin(F.broadcast(runs)).where("n = k")
+    root, growth = F.sqrt(F.lit(2190.0)), F.product(1 + F.col("ret"))
+    g = x.groupBy("run_id").agg((growth - 1).alias("total"), (F.pow(growth, F.lit(2190.0) / F.count("ret")) - 1).alias("annual"), (F.stddev_samp("ret") * root).alias("vol"), F.try_divide(F.avg("ret") * root, F.stddev_samp("ret")).alias("sharpe"))
+    names = ("total", "annual", "vol", "sharpe")
+    first = lambda c: F.max(F.when(F.col("run_id") == "lag1", F.col(c))).over(Window.partitionBy())  # one row a run
+    return r6(g.select("run_id", *names, *((F.col(c) - first(c)).alias(f"d_{c}") for c in names)), *names, *(f"d_{c}" for c in names))

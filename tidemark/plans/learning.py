@@ -48,6 +48,28 @@ def stage2_meta(s, d):
     return r6(ML.out_of_fold(x, FEATURES, "y", folds(x), KEYS, kind="logistic"), "alpha").withColumnRenamed("alpha", "edge")
 
 
+def weighted(s, d):
+    """`supervised` with each row's pooled uniqueness as its weight."""
+    x = supervised(s, d)
+    return staged(L.pooled_uniqueness(x, "symbol", "t0", "t1").withColumnRenamed("uniqueness", "weight"))
+
+
+@query("weighted_alpha")
+def weighted_alpha(s, d):
+    """Out-of-fold scores learnt with sample weights: overlapping labels and dense symbols count less."""
+    x = weighted(s, d)
+    return r6(ML.out_of_fold(x, FEATURES, "y", folds(x), KEYS, weight="weight", trees=TREES), "alpha")
+
+
+@query("meta_diagnostics")
+def meta_diagnostics(s, d):
+    """Second stage, weighted, then calibrated out of fold: one row of rates and errors before and after."""
+    x = weighted(s, d).withColumn("y", (F.col("raw_long") * F.signum("ret_24h") > 0.0016).cast("double")).where("ret_24h is not null and ret_24h <> 0")
+    f = folds(x)
+    p = ML.out_of_fold(x, FEATURES, "y", f, KEYS, kind="logistic", weight="weight").select(*KEYS, ((F.col("alpha") + 1) / 2).alias("p")).join(x.select(*KEYS, "y"), KEYS)
+    return r6(ML.diagnostics(ML.calibrated_out_of_fold(staged(p), f, KEYS, "p", "y"), "y", "p", "calibrated"), "base_rate", "ece_raw", "ece_calibrated", "brier_raw", "brier_calibrated")
+
+
 @query("batch_scores")
 def batch_scores(s, d):
     """A model fitted on the labelled decisions, saved, loaded and applied to every decision of the feature table."""

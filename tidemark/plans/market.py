@@ -229,7 +229,7 @@ def onchain_factors(s, d):
 
 
 METRICS = {"active_address": 3600, "tx_count": 86400, "transfer_volume": 3 * 86400}  #: metrics and after how many seconds each is known
-_METRICS_SQL = """m AS (SELECT date_trunc('day', l_shipdate) AS ts, CASE WHEN count(*) % 3 <> 0 THEN count(DISTINCT l_suppkey)::DOUBLE END AS active_address, CASE WHEN count(*) % 4 <> 0 THEN count(*)::DOUBLE END AS tx_count, sum(l_quantity)::DOUBLE AS transfer_volume FROM lineitem GROUP BY 1)"""
+METRICS_SQL = """m AS (SELECT date_trunc('day', l_shipdate) AS ts, CASE WHEN count(*) % 3 <> 0 THEN count(DISTINCT l_suppkey)::DOUBLE END AS active_address, CASE WHEN count(*) % 4 <> 0 THEN count(*)::DOUBLE END AS tx_count, sum(l_quantity)::DOUBLE AS transfer_volume FROM lineitem GROUP BY 1)"""
 
 
 def chain_metrics(s, d) -> DataFrame:
@@ -239,7 +239,7 @@ def chain_metrics(s, d) -> DataFrame:
     return x.select("ts", F.when(F.col("n") % 3 != 0, F.col("active_address")).alias("active_address"), F.when(F.col("n") % 4 != 0, F.col("n").cast("double")).alias("tx_count"), "transfer_volume")
 
 
-@query("chain_factor_table", f"""WITH {_METRICS_SQL} SELECT ts, {', '.join(f"round({c}, 6) AS {c}, round({c} / nullif(lag({c}, 1) OVER o, 0) - 1, 6) AS {c}_chg_1d, round({c} / nullif(lag({c}, 7) OVER o, 0) - 1, 6) AS {c}_chg_7d, round({_z(c, 'w', 10)}, 6) AS {c}_z_30d" for c in METRICS)}
+@query("chain_factor_table", f"""WITH {METRICS_SQL} SELECT ts, {', '.join(f"round({c}, 6) AS {c}, round({c} / nullif(lag({c}, 1) OVER o, 0) - 1, 6) AS {c}_chg_1d, round({c} / nullif(lag({c}, 7) OVER o, 0) - 1, 6) AS {c}_chg_7d, round({_z(c, 'w', 10)}, 6) AS {c}_z_30d" for c in METRICS)}
 FROM m WINDOW o AS (ORDER BY ts), w AS (ORDER BY ts ROWS 29 PRECEDING)""")
 def chain_factor_table(s, d):
     """Level, changes over a day and a week and z-score of every numeric column of a daily table."""
@@ -249,7 +249,7 @@ def chain_factor_table(s, d):
 _LAGGED = {f"{c}_{k}": n for c, n in METRICS.items() for k in ("z", "growth")}
 
 
-@query("chain_lagged_factors", f"""WITH {_METRICS_SQL}, f AS (SELECT ts, {', '.join(f"{_z(c, 'w', 5)} AS {c}_z, {c} / nullif(lag({c}) OVER o, 0) - 1 AS {c}_growth" for c in METRICS)} FROM m WINDOW o AS (ORDER BY ts), w AS (ORDER BY ts ROWS 29 PRECEDING)),
+@query("chain_lagged_factors", f"""WITH {METRICS_SQL}, f AS (SELECT ts, {', '.join(f"{_z(c, 'w', 5)} AS {c}_z, {c} / nullif(lag({c}) OVER o, 0) - 1 AS {c}_growth" for c in METRICS)} FROM m WINDOW o AS (ORDER BY ts), w AS (ORDER BY ts ROWS 29 PRECEDING)),
 g AS (SELECT DISTINCT o_orderdate + INTERVAL 10 HOUR AS decision_time FROM orders), {', '.join(f"e{i} AS (SELECT ts + INTERVAL {n} SECOND AS at, {c} AS v FROM f WHERE {c} IS NOT NULL)" for i, (c, n) in enumerate(_LAGGED.items()))}
 SELECT g.decision_time, {', '.join(f"round(e{i}.v, 6) AS {c}" for i, c in enumerate(_LAGGED))}, greatest({', '.join(f"e{i}.at" for i in range(len(_LAGGED)))}) AS available FROM g {' '.join(f"ASOF LEFT JOIN e{i} ON g.decision_time >= e{i}.at" for i in range(len(_LAGGED)))}""")
 def chain_lagged_factors(s, d):

@@ -9,7 +9,9 @@ from ..functions import rolling as R
 from ..operators import statistics as N
 from ..operators.bars import right_edge
 from ..sources import market as M
-from ..sources import payloads, scan
+from ..operators import cleaning as C
+from ..sources import commit, contract, payloads, scan
+from ..sources.stage import folder
 from . import base_sql as S
 from .market import PIT_SQL, pit_table
 from .registry import QUERIES, SQL, query, r6
@@ -77,3 +79,72 @@ def news_volatility(s, d):
     ahead = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(1, 6)  # one row a time
     x = risk.join(a.select("ts", R.gated(F.avg("a").over(ahead), "a", ahead, 6).alias("vol")), "ts").withColumn("k", F.lit(0))
     return r6(N.rank_ic(x, ["k"], "risk", "vol").select("ic", "n"), "ic")
+
+
+@query("committed_table", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS price FROM orders")
+def committed_table(s, d):
+    """Orders by status: written, one status replaced, a write that dies half way, and what readers see then."""
+    root = folder(s, "orders")
+    x = M.table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    commit.commit(x, root, by=("o_orderstatus",))
+    commit.commit(x.where("o_orderstatus = 'F'").withColumn("price", F.round(F.col("price") * 2, 2)), root, by=("o_orderstatus",))
+    try:
+        commit.commit(commit.failing(x.withColumn("price", F.lit(-1.0)), F.col("o_orderstatus") == "O"), root, by=("o_orderstatus",))
+    except Exception as e:  # the drill's own error
+        if "stopped half way" not in str(e):
+            raise
+    return commit.table(s, root)
+
+
+@query("detected_time_scan", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
+def detected_time_scan(s, d):
+    """A table whose time column has no usual name: found by its type."""
+    return scan.scan_long(M.table(s, d, "orders"), start="1997-01-01", end="1998-01-01", columns=["o_orderkey", "o_orderdate", "o_totalprice"])
+
+
+@query("feature_view", f"WITH {PIT_SQL} SELECT symbol, decision_time, round(ret_4h, 6) AS ret_4h, funding_rate FROM pit2 WHERE symbol IN ('click', 'view') AND decision_time >= TIMESTAMP '2024-01-05' AND decision_time <= TIMESTAMP '2024-01-20'")
+def feature_view(s, d):
+    return r6(contract.feature_view(pit_table(s, d), ["click", "view"], "2024-01-05", "2024-01-20", ["ret_4h", "funding_rate"]), "ret_4h")
+
+
+@query("strict_features", f"WITH {PIT_SQL} SELECT symbol, decision_time, max_feature_available_time FROM pit2")
+def strict_features(s, d):
+    """The feature table under its contract: no label among the columns, no row newer than its decision."""
+    x = contract.features(pit_table(s, d).drop("max_feature_available_time"))
+    return contract.strict(x).select("symbol", "decision_time", "max_feature_available_time")
+
+
+_SAMPLED = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query("column_samples", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{k}' AS dtype, count(*) AS n_rows, count({c}) AS n_non_null, round(100 * (1 - count({c}) / count(*)), 6)::DOUBLE AS missing_pct, min({c}::VARCHAR) AS sample FROM events""" for c, k in _SAMPLED.items() if k not in ("double", "timestamp_ntz")))
+def column_samples(s, d):
+    """Every column but times and doubles, whose text differs between engines."""
+    return r6(contract.described(M.table(s, d, "events").select(*(c for c, k in _SAMPLED.items() if k not in ("double", "timestamp_ntz")))), "missing_pct")
+
+
+@query("market_names", """WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN upper(event_type) || '/USDT' WHEN 2 THEN event_type || '-usdt' ELSE upper(event_type) || 'USDT' END AS name FROM events), y AS (SELECT event_id, name, upper(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS p FROM x), z AS (SELECT *, CASE WHEN p LIKE '_%USDT' THEN p ELSE p || 'USDT' END AS pair FROM y)
+SELECT event_id, pair, regexp_replace(pair, 'USDT$', '') AS base, regexp_replace(pair, 'USDT$', '') || '/USDT' AS slashed, regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM z""")
+def market_names(s, d):
+    """Names of markets in four spellings, and all of them back in each form."""
+    t, up = F.col("event_type"), F.upper("event_type")
+    name = F.get(F.array(t, F.concat(up, F.lit("/USDT")), F.concat(t, F.lit("-usdt")), F.concat(up, F.lit("USDT"))), (F.col("event_id") % 4).cast("int"))
+    x = M.table(s, d, "events").select("event_id", name.alias("name"))
+    return x.select("event_id", contract.pair(F.col("name")).alias("pair"), contract.base(F.col("name")).alias("base"), contract.slashed(F.col("name")).alias("slashed"), contract.slug(F.col("name")).alias("slug"))
+
+
+@query("row_quality_pit", f"WITH {PIT_SQL}, x AS (SELECT symbol, decision_time, ret_4h, vol_96h, CASE WHEN hour(ts) = 8 THEN decision_time + INTERVAL 1 SECOND ELSE max_feature_available_time END AS seen FROM pit2) SELECT g.symbol, g.decision_time, CASE WHEN x.symbol IS NULL OR seen > x.decision_time THEN 0 ELSE round(1 - ((ret_4h IS NULL)::INT + (vol_96h IS NULL)::INT) / 2.0, 6) END::DOUBLE AS data_quality FROM (SELECT symbol, decision_time FROM pit2 UNION ALL SELECT 'missing', decision_time FROM pit2 WHERE symbol = 'click') g LEFT JOIN x ON x.symbol = g.symbol AND x.decision_time = g.decision_time")
+def row_quality_pit(s, d):
+    """Quality of the rows asked for: 0 for those that are missing or have a feature newer than the decision (made so at one hour)."""
+    x = pit_table(s, d).select("symbol", "decision_time", "ret_4h", "vol_96h", F.when(F.hour("ts") == 8, F.col("decision_time") + F.expr("interval 1 second")).otherwise(F.col("max_feature_available_time")).alias("at"))
+    asked = x.select("symbol", "decision_time").unionByName(x.where("symbol = 'click'").select(F.lit("missing").alias("symbol"), "decision_time"))
+    out = asked.join(x.withColumn("found", F.lit(True)), ["symbol", "decision_time"], "left")
+    return r6(out.select("symbol", "decision_time", C.row_quality(["ret_4h", "vol_96h"], F.col("found").isNotNull(), F.col("at") > F.col("decision_time")).alias("data_quality")), "data_quality")
+
+
+@query("funding_report", """WITH f AS (SELECT event_type AS symbol, ts, (value - 50) / 1e5 AS rate, event_id FROM events), l AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY event_id) AS before FROM f)
+SELECT 'rows' AS "check", count(*) AS violations FROM f UNION ALL SELECT 'null_symbol', count(*) FILTER (symbol IS NULL) FROM f UNION ALL SELECT 'null_timestamp', count(*) FILTER (ts IS NULL) FROM f UNION ALL SELECT 'null_funding_rate', count(*) FILTER (rate IS NULL) FROM f
+UNION ALL SELECT 'not_finite_funding_rate', count(*) FILTER (NOT isfinite(rate)) FROM f UNION ALL SELECT 'not_in_order', count(*) FILTER (ts <= before) FROM l UNION ALL SELECT 'repeated_key', coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM f GROUP BY symbol, ts HAVING count(*) > 1)""")
+def funding_report(s, d):
+    """Checks of a long table: nulls, infinities, repeated keys, and times that do not rise in the order of arrival."""
+    return C.long_report(M.funding(s, d), ["symbol", "timestamp"], ["funding_rate"], "seq")

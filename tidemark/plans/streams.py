@@ -15,7 +15,7 @@ from ..streaming import jobs
 from . import base_sql as S
 from .book import pnl
 from .market import GRID_SQL, grid
-from .registry import query
+from .registry import SQL, query
 from .stack import SOFT
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,6 +80,14 @@ def stream_positions(s, d):
         return drained(jobs.hysteresis_stream(spooled(M.signals(s, d).select("symbol", "ts", F.col("alpha").alias("score")).coalesce(1), path), 0.02, 0.005), path)
 
 
+@query("stream_band", SQL["no_trade_band"])
+def stream_band(s, d):
+    """The no-trade band, the weight last traded kept by the stream."""
+    path = folder(s, "band")
+    with state_store(s):
+        return drained(jobs.band_stream(spooled(M.weights(s, d).select("run_id", "symbol", "ts", "w").coalesce(1), path), 0.3), path)
+
+
 @query("stream_breaker", f"""WITH RECURSIVE {S.WEIGHTS}, {S.pnl_of('weights')}, {S.breaker_of('', SOFT)}, rn AS (SELECT run_id, ts, level, hour(ts) = 12 AS recovered, row_number() OVER (PARTITION BY run_id ORDER BY ts) AS i FROM cb),
 h AS (SELECT run_id, ts, i, level, level >= 3 AS halted, 0 AS was, 0 AS rest FROM rn WHERE i = 1
   UNION ALL SELECT r.run_id, r.ts, r.i, r.level, r.level >= 3 OR (halted AND NOT recovered), CASE WHEN r.level < 3 AND halted AND recovered THEN 5 WHEN r.level >= 3 OR halted THEN 0 ELSE rest END, CASE WHEN r.level < 3 AND halted AND recovered THEN 4 WHEN r.level >= 3 OR halted THEN 0 ELSE greatest(0, rest - 1) END FROM h JOIN rn r ON r.run_id = h.run_id AND r.i = h.i + 1)

@@ -120,6 +120,35 @@ def hysteresis_stream(scores: DataFrame, enter: float, leave: float) -> DataFram
     return scores.groupBy("symbol").transformWithStateInPandas(HysteresisState(enter, leave), "symbol string, ts timestamp, position int", "append", "none")
 
 
+class BandState(StatefulProcessor):
+    """The weight last traded, held until the target has moved by more than `band` from it; carried over batches by (run, symbol)."""
+
+    def __init__(self, band: float):
+        self.band = band
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("traded", "w double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = float(self.state.get()[0]) if self.state.exists() else None
+        batch = pd.concat(list(rows)).sort_values("ts")
+        out = []
+        for x in batch["w"].fillna(0.0):
+            if last is None or abs(x - last) > self.band:
+                last = float(x)
+            out.append(last)
+        self.state.update((last,))
+        yield pd.DataFrame({"run_id": batch["run_id"], "symbol": batch["symbol"], "ts": batch["ts"], "w": out})
+
+    def close(self) -> None:
+        pass
+
+
+def band_stream(weights: DataFrame, band: float) -> DataFrame:
+    """`operators.portfolio.no_trade_band` of a stream of (run_id, symbol, ts, w), whose batches come in order of time."""
+    return weights.groupBy("run_id", "symbol").transformWithStateInPandas(BandState(band), "run_id string, symbol string, ts timestamp, w double", "append", "none")
+
+
 class BreakerState(StatefulProcessor):
     """Halts at level 3 until a confirmed recovery, then trades at half size for `periods` rows."""
 
