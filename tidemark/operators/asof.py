@@ -89,12 +89,13 @@ def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     rows = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_l")).unionByName(
         right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.struct(right_ts, *values).alias("_r")), allowMissingColumns=True
     ).withColumn("_b", F.floor(F.unix_timestamp("_t") / bucket_s))
-    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("_n", F.first("_r", ignorenulls=True).over(w)).where("_side = 1")
+    # backwards in time, so that the frame grows row by row (one that looks ahead to the end is evaluated anew for each row)
+    w = Window.partitionBy(*keys, "_b").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_n", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     # the least row of each bucket, and for each bucket that of the next one
     heads = rows.groupBy(*keys, "_b").agg(F.min_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_h"))
-    after = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.select(*keys, "_b", F.first("_h", ignorenulls=True).over(after).alias("_h"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*keys, "_b", F.last("_h", ignorenulls=True).over(after).alias("_h"))
     found = found.join(heads, [*keys, "_b"], "left").withColumn("_n", F.coalesce("_n", "_h"))
     return found.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in kept), *(F.col(f"_n.{v}").alias(v) for v in [right_ts, *values]))
 

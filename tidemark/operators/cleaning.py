@@ -53,8 +53,8 @@ def panel(df: DataFrame, key: str, ts: str, columns: list[str], complete: bool =
 def impute(bars: DataFrame, volumes: list[str]) -> DataFrame:
     """Close is carried forward (a null head takes the first close); open, high and low take the close; volumes are 0."""
     w = series("symbol", "ts")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    close = F.coalesce(carried("close", w), F.first("close", ignorenulls=True).over(ahead))
+    head = F.min_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).over(Window.partitionBy("symbol"))  # once a key; frames that look ahead to the end are quadratic
+    close = F.coalesce(carried("close", w), head)
     out = bars.withColumn("close", close)
     return out.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {c: F.coalesce(F.col(c), F.lit(0.0)) for c in volumes})
 

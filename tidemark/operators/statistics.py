@@ -24,6 +24,21 @@ def rank_ic(df: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> D
     return x.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= least, correlation("_ra", "_rb")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
+def linear_ic(df: DataFrame, keys: list[str], a: str, b: str, least: int = 3) -> DataFrame:
+    """Pearson correlation of a and b by key, over rows where both are known."""
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return x.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= least, correlation(a, b)).alias("ic"), F.count(F.lit(1)).alias("n"))
+
+
+def hac_ic(df: DataFrame, key: str, order: str, a: str, b: str, lags: int) -> DataFrame:
+    """(key, ic, n, t_stat): rank correlation as the mean of products of standardised ranks, with the HAC t of that mean over `order`."""
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_ra": average_rank(a, [key]), "_rb": average_rank(b, [key])})
+    own = Window.partitionBy(key)
+    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(own), F.stddev_pop(c).over(own))
+    out = newey_west(x.select(key, order, (z("_ra") * z("_rb")).alias("_p")), key, order, "_p", lags)
+    return out.select(key, F.col("mean").alias("ic"), "n", "t_stat")
+
+
 def newey_west(df: DataFrame, key: str, order: str, x: str, lags: int) -> DataFrame:
     """(key, mean, t): t of the mean with Bartlett weights; lagged pairs meet by row number, not by a theta join."""
     w = Window.partitionBy(key).orderBy(order)

@@ -330,6 +330,11 @@ def newey_west(s, d):
     return r6(N.newey_west(pnl(s, d), "run_id", "ts", "ret", 6).withColumn("mean", F.round("mean", 8)), "t_stat")
 
 
+@query("pearson_ic", f"WITH {IC_SQL} SELECT symbol, round(corr(alpha, fwd), 6) AS ic, count(*) AS n FROM fx WHERE alpha IS NOT NULL AND fwd IS NOT NULL GROUP BY 1")
+def pearson_ic(s, d):
+    return r6(N.linear_ic(forward(s, d), ["symbol"], "alpha", "fwd").select("symbol", "ic", "n"), "ic")
+
+
 @query("xs_ic", f"""WITH {IC_SQL}, r AS (SELECT ts, {rank_sql('alpha', 'ts')} AS a, {rank_sql('fwd', 'ts')} AS b FROM fx WHERE alpha IS NOT NULL AND fwd IS NOT NULL), c AS (SELECT ts, corr(a, b) AS ic FROM r GROUP BY 1 HAVING count(*) >= 2 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0)
 SELECT 'all' AS k, round(avg(ic), 6) AS mean_ic, count(*) AS n_periods, round(avg(ic) * sqrt(count(*)) / nullif(stddev_samp(ic), 0), 6) AS t_stat FROM c""")
 def xs_ic(s, d):

@@ -76,6 +76,14 @@ def incremental_ladder(s, d):
     return r6(out.withColumn("included", F.coalesce(F.col("t_marginal") > 2, F.lit(False))), "mean_sharpe", "t_stat", "turnover_a_year", "cost_a_year", "t_marginal", "t_vs_baseline")
 
 
+def overfit_of(x: DataFrame, scores: dict[str, DataFrame], blocks: int = 8) -> DataFrame:
+    """One row: overfitting over scored variants (name -> keys, alpha) that trade the sign of their score, and the spread of their edges in basis points."""
+    runs = [a.join(x.select(*KEYS, "raw_long"), KEYS).groupBy(F.lit(n).alias("run_id"), F.col("decision_time").alias("ts")).agg(F.avg(F.signum("alpha") * F.col("raw_long")).alias("ret")) for n, a in scores.items()]
+    r = staged(reduce(DataFrame.unionByName, runs).where("ret is not null"))
+    edge = r.groupBy("run_id").agg((F.avg("ret") * 1e4).alias("edge")).agg((F.max("edge") - F.min("edge")).alias("edge_spread_bps"), F.count(F.lit(1)).alias("n_runs"))
+    return r6(N.overfit_probability(r, blocks).crossJoin(F.broadcast(edge)), "pbo", "edge_spread_bps")  # one row each
+
+
 @query("pbo_over_configurations")
 def pbo_over_configurations(s, d):
     """Overfitting over twelve model settings of one feature set: probability, and the spread of their edges in basis points."""
@@ -84,10 +92,15 @@ def pbo_over_configurations(s, d):
     x = supervised(s, d)
     f = folds(x)
     settings = [(trees, depth, least) for trees in (20, 50) for depth in (2, 4, 6) for least in (1, 10)]
-    runs = []
-    for trees, depth, least in settings:
-        one = ML.out_of_fold(x, SHORT, "y", f, KEYS, trees=trees, depth=depth, leaf=least).join(x.select(*KEYS, "raw_long"), KEYS)
-        runs.append(one.groupBy(F.lit(f"{trees}/{depth}/{least}").alias("run_id"), F.col("decision_time").alias("ts")).agg(F.avg(F.signum("alpha") * F.col("raw_long")).alias("ret")))
-    r = staged(reduce(DataFrame.unionByName, runs).where("ret is not null"))
-    edge = r.groupBy("run_id").agg((F.avg("ret") * 1e4).alias("edge")).agg((F.max("edge") - F.min("edge")).alias("edge_spread_bps"), F.count(F.lit(1)).alias("n_runs"))
-    return r6(N.overfit_probability(r, 8).crossJoin(F.broadcast(edge)), "pbo", "edge_spread_bps")  # one row each
+    return overfit_of(x, {f"{t}/{depth}/{least}": ML.out_of_fold(x, SHORT, "y", f, KEYS, trees=t, depth=depth, leaf=least) for t, depth, least in settings})
+
+
+@query("pbo_over_feature_sets")
+def pbo_over_feature_sets(s, d):
+    """The same over four sets of features, each of one model."""
+    from .learning import FEATURES, SHORT, folds, supervised
+
+    x = supervised(s, d)
+    f = folds(x)
+    sets = {"all": FEATURES, "short": SHORT, "rest": [c for c in FEATURES if c not in SHORT], "returns": [c for c in FEATURES if c.startswith("ret_")]}
+    return overfit_of(x, {n: ML.out_of_fold(x, cols, "y", f, KEYS, trees=TREES) for n, cols in sets.items()})

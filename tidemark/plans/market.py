@@ -261,6 +261,31 @@ def chain_lagged_factors(s, d):
     return r6(out.select("decision_time", *_LAGGED, F.greatest(*(f"{c}_at" for c in _LAGGED)).alias("available")), *_LAGGED)
 
 
+@query("onchain_daily_full", """WITH t AS (SELECT date_trunc('day', o_orderdate) AS day, sum(o_totalprice) AS total_tvl FROM orders GROUP BY 1), l AS (SELECT date_trunc('day', l_shipdate) AS day, sum((l_extendedprice * l_tax)::DECIMAL(20, 4)) AS fees, sum(l_extendedprice) AS base_metric FROM lineitem GROUP BY 1),
+r AS (SELECT date_trunc('day', l_shipdate) AS day, sum((l_extendedprice * l_discount)::DECIMAL(20, 4)) AS revenue FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), d AS (SELECT day FROM t UNION SELECT day FROM l UNION SELECT day FROM r)
+SELECT d.day, round(total_tvl, 2) AS total_tvl, round(fees, 2)::DOUBLE AS fees_usd, round(revenue, 2)::DOUBLE AS revenue_usd, round(fees - coalesce(revenue, 0), 2)::DOUBLE AS supply_side_usd, round(base_metric, 2) AS base_metric FROM d LEFT JOIN t ON t.day = d.day LEFT JOIN l ON l.day = d.day LEFT JOIN r ON r.day = d.day""")
+def onchain_daily_full(s, d):
+    """Four sources of a row a day under their canonical names, one grouping: value locked, fees, revenue (not of returned items), base metric."""
+    day = F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("day")
+    exact = lambda c: c.cast("decimal(20,4)")  # noqa: E731  # sums of it do not depend on their order
+    items = M.table(s, d, "lineitem").select(day, exact(F.col("l_extendedprice") * F.col("l_tax")).alias("fees_usd"), F.when(F.col("l_returnflag") != "R", exact(F.col("l_extendedprice") * F.col("l_discount"))).alias("revenue_usd"), F.col("l_extendedprice").alias("base_metric"))
+    both = M.chain_tvl(s, d).select("day", F.col("tvl_usd").alias("total_tvl")).unionByName(items, allowMissingColumns=True)
+    x = both.groupBy("day").agg(*(F.sum(c).alias(c) for c in ("total_tvl", "fees_usd", "revenue_usd", "base_metric")))
+    two = lambda c, n: F.round(c, 2).cast("double").alias(n)
+    return x.select("day", *(two(F.col(c), c) for c in ("total_tvl", "fees_usd", "revenue_usd")), two(F.col("fees_usd") - F.coalesce(F.col("revenue_usd"), F.lit(0).cast("decimal(20,4)")), "supply_side_usd"), two(F.col("base_metric"), "base_metric"))
+
+
+@query("spot_bars", f"""WITH {S.TICKS}, sp AS (SELECT * FROM ticks WHERE seq % 2 = 0), m AS (SELECT symbol, date_trunc('minute', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(qty) AS volume FROM sp GROUP BY 1, 2),
+cal AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) AS ts FROM m GROUP BY symbol), c AS (SELECT cal.symbol, cal.ts, m.open, m.high, m.low, last_value(m.close IGNORE NULLS) OVER (PARTITION BY cal.symbol ORDER BY cal.ts ROWS UNBOUNDED PRECEDING) AS close, coalesce(m.volume, 0) AS volume FROM cal LEFT JOIN m ON m.symbol = cal.symbol AND m.ts = cal.ts),
+f AS (SELECT symbol, ts, coalesce(open, close) AS open, coalesce(high, close) AS high, coalesce(low, close) AS low, close, volume FROM c), h AS (SELECT symbol, date_trunc('hour', ts) AS bin, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM f GROUP BY 1, 2)
+SELECT symbol, bin AS ts, open, high, low, close, volume FROM h QUALIFY bin < max(bin) OVER (PARTITION BY symbol)""")
+def spot_bars(s, d):
+    """The spot market (ticks of even number): minutes, their gaps filled, rolled up to hours without the newest."""
+    spot = M.ticks(s, d).where("seq % 2 = 0")
+    minutes = C.clean_bars(B.from_ticks(spot, 60).select("symbol", "ts", "open", "high", "low", "close", "volume"), "1 minute", ["volume"]).withColumn("taker_buy_vol", F.lit(0.0))
+    return B.roll_up(minutes, M.HOUR).select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
 GRID_SQL = f"{S.B4}, {S.FUNDING}, grid AS (SELECT symbol, ts, close, ts + INTERVAL 4 HOUR + INTERVAL 1 MINUTE AS decision_time FROM b4)"
 
 

@@ -74,11 +74,25 @@ v AS (SELECT ts, CASE WHEN count(a) OVER w = 6 THEN avg(a) OVER w END AS vol FRO
 k AS (SELECT rank() OVER (ORDER BY risk) + (count(*) OVER (PARTITION BY risk) - 1) / 2.0 AS a, rank() OVER (ORDER BY vol) + (count(*) OVER (PARTITION BY vol) - 1) / 2.0 AS b FROM x) SELECT round(corr(a, b), 6) AS ic, count(*) AS n FROM k""")
 def news_volatility(s, d):
     """Whether much news (mean length of a bin's articles) goes before volatile markets: rank correlation with the next day's mean absolute return."""
+    return r6(N.rank_ic(news_and_volatility(s, d), ["k"], "risk", "vol").select("ic", "n"), "ic")
+
+
+def news_and_volatility(s, d):
     risk = M.news(s, d).groupBy(right_edge("published_at", M.FOUR_HOURS).alias("ts")).agg(F.avg(F.length("body")).alias("risk"))
     a = M.bars_4h(s, d).select("ts", R.pct_change("close", R.series("symbol", "ts")).alias("ret")).groupBy("ts").agg(F.avg(F.abs("ret")).alias("a"))
     ahead = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(1, 6)  # one row a time
-    x = risk.join(a.select("ts", R.gated(F.avg("a").over(ahead), "a", ahead, 6).alias("vol")), "ts").withColumn("k", F.lit(0))
-    return r6(N.rank_ic(x, ["k"], "risk", "vol").select("ic", "n"), "ic")
+    return risk.join(a.select("ts", R.gated(F.avg("a").over(ahead), "a", ahead, 6).alias("vol")), "ts").withColumn("k", F.lit(0))
+
+
+_RISK_SQL = SQL["news_volatility"].split("SELECT round(corr(a, b)")[0]
+
+
+@query("news_volatility_hac", f"""{_RISK_SQL.replace('k AS (SELECT rank()', 'k AS (SELECT ts, rank()')}, z AS (SELECT row_number() OVER (ORDER BY ts) AS i, (a - avg(a) OVER ()) / stddev_pop(a) OVER () * (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS p FROM k), e AS (SELECT i, p, p - avg(p) OVER () AS e FROM z)
+SELECT round(m, 6) AS ic, n, round(m / sqrt(greatest((g0 + 2 * gl) / n, 1e-18) / n), 5) AS t_stat FROM (SELECT avg(p) AS m, count(*) AS n, sum(e * e) AS g0 FROM e), (SELECT sum((1 - (x.i - y.i) / 7.0) * x.e * y.e) AS gl FROM e x JOIN e y ON x.i - y.i BETWEEN 1 AND 6)""")
+def news_volatility_hac(s, d):
+    """The same diagnostic with the HAC t of its rank correlation."""
+    x = news_and_volatility(s, d)
+    return N.hac_ic(x, "k", "ts", "risk", "vol", 6).select(F.round("ic", 6).alias("ic"), "n", F.round("t_stat", 5).alias("t_stat"))
 
 
 @query("committed_table", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS price FROM orders")

@@ -136,6 +136,36 @@ def data_set(s, d):
     return C.joined_once(x, L.uniqueness(y, "symbol", "t0", "t1"), ["symbol", "decision_time"])
 
 
+def modal_data_set(s, d):
+    """(data set with the temporal embedding and forecasts, columns by modality that it has); decisions before the first window have zeros there."""
+    from .learning import HORIZONS, temporal
+
+    names = [f"forecast_{h}" for h in HORIZONS]
+    t = temporal(s, d).select("symbol", "decision_time", *names, *(F.element_at("embedding", i).alias(f"e{i}") for i in (1, 2, 3, 4)))
+    extra = [*names, "e1", "e2", "e3", "e4"]
+    x = data_set(s, d).join(t, ["symbol", "decision_time"], "left").fillna(0.0, extra)
+    return x, {m: [c for c in cols if c in x.columns] for m, cols in (MODALITIES | {"temporal": extra}).items()}
+
+
+@query("modal_rows")
+def modal_rows(s, d):
+    """Each decision with its modalities as vectors, as learners take them; the temporal model has no SQL."""
+    x, lists = modal_data_set(s, d)
+    return x.select("symbol", "decision_time", "label", *(F.array(*(F.round(F.abs(F.col(c).cast("double")), 6) for c in cols)).alias(m) for m, cols in lists.items()))
+
+
+_MODAL = {m: [c for c in cols if c not in XS] for m, cols in MODALITIES.items()}
+
+
+@query("modality_coverage", f"WITH {_full_sql()} " + " UNION ALL ".join(f"SELECT '{m}' AS modality, {len(cols)}::INT AS n_columns, count(*) FILTER ({' AND '.join(f'{c} IS NOT NULL' for c in cols)}) AS complete_rows, count(*) AS n_rows FROM fullt" for m, cols in _MODAL.items()))
+def modality_coverage(s, d):
+    """How many decisions know all columns of a modality."""
+    x = full_table(s, d)
+    whole = lambda cols: ~F.exists(F.array(*(F.col(c).isNull() for c in cols)), lambda v: v)
+    one = x.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(len(cols)).alias("n_columns"), F.count_if(whole(cols)).alias("complete_rows")) for m, cols in _MODAL.items())).alias("m"))
+    return one.select("n_rows", F.explode("m").alias("m")).select("m.modality", "m.n_columns", "m.complete_rows", "n_rows")
+
+
 @query("market_data_set", f"""WITH {_full_sql()}, {_relative_sql('fullt')}, lab AS MATERIALIZED (SELECT symbol, decision_time, entry_time AS t0, exit_time AS t1, label, raw_long, raw_long - rates - 0.0016 AS net_long FROM (WITH {BARRIER_SQL} SELECT * FROM tbl)),
 ev AS (SELECT symbol, t, sum(e) AS e FROM (SELECT symbol, t0 AS t, 1 AS e FROM lab UNION ALL SELECT symbol, t1, -1 FROM lab) GROUP BY 1, 2), st AS (SELECT symbol, unnest(generate_series(min(t0), max(t1), INTERVAL 1 HOUR)) AS t FROM lab GROUP BY symbol),
 cc AS (SELECT symbol, t, greatest(1, sum(coalesce(e, 0)) OVER (PARTITION BY symbol ORDER BY t)) AS c FROM st LEFT JOIN ev USING (symbol, t)), pp AS MATERIALIZED (SELECT symbol, t, coalesce(sum(1000000000000 // c) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM cc),
