@@ -275,3 +275,64 @@ def test_odd_vectors(spark):
     assert centroids.clustered(df.limit(0)).collect() == []
     ties = spark.createDataFrame([(i, [float(i % 2)] * 64) for i in range(40)], "vec_id long, embedding array<double>")
     assert {r.vec_id: tuple(r)[1:6] for r in centroids.clustered(ties).collect()} == brute_clusters([(i, [float(i % 2)] * 64) for i in range(40)])
+
+
+def test_licenses_by_reduction_equal_all_templates_on_all_blocks(spark):
+    """No ranking, no threshold: every template against every block gives the same rows."""
+    import zstandard
+
+    from tidemark.llm import license_scan as LS
+
+    known, plain = [LS.Template(n, *t) for n, t in LS.TEMPLATES.items()], zstandard.ZstdCompressor(level=6)
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    got = [tuple(r)[:4] for r in LS.license_blocks(docs).collect()]
+    around, want = max(len(t.words) for t in known), []
+    for r in docs.where(F.col("text").rlike(LS.CUES)).collect():
+        for block in LS.blocks(r.text, re.compile(LS.CUES), around):
+            want += [(r.doc_id, *row[:3]) for row in LS.found_in(r.text, block, known, plain, 0.8, -1e9)]
+    assert sorted(got) == sorted(want) and len(got) > 10
+
+
+def test_licenses_are_ranked_by_what_their_dictionary_takes_off():
+    import zstandard
+
+    from tidemark.llm import license_scan as LS
+
+    known, plain = [LS.Template(n, *t) for n, t in LS.TEMPLATES.items()], zstandard.ZstdCompressor(level=6)
+    filler = [f"w{i}" for i in range(150)]
+    for name in ("MIT", "GPL-3.0", "BSD-3-Clause", "MPL-2.0", "ISC", "MIT-line", "Apache-2.0-line", "GPL-3.0-or-later-spdx"):
+        words = filler + next(t for t in known if t.name == name).words + filler
+        order = LS.ranked(words, known, plain, 0.25)
+        sizes = [s for s, _ in order]
+        assert sizes == sorted(sizes, reverse=True) and name in [t.name for s, t in order if s >= sizes[0] - 12], name
+    twins = [LS.Template(n, "Released under the Acme License.", "acme") for n in ("B", "A")]
+    text = "Released under the Acme License."
+    block = next(LS.blocks(text, re.compile(LS.CUES), 10))
+    assert [t.name for _, t in LS.ranked([w for _, _, w in block], twins, plain, 0.25)] == ["A", "B"]
+    assert [r[2] for r in LS.found_in(text, block, twins, plain, 0.8, 0.25)] == ["A"]  # a tie goes to the name
+
+
+def test_statements_identifiers_and_very_long_texts(spark):
+    import time
+
+    from tidemark.llm import license_scan as LS
+
+    notice = LS.TEMPLATES["MIT"][0]
+    long = " ".join(f"license {i} warranty copyright" for i in range(30_000)) + " " + notice + " end " * 1000
+    rows = [(1, "// SPDX-License-Identifier: MIT"), (2, "# SPDX-License-Identifier: GPL-3.0-or-later"), (3, "Distributed under GPL-3.0."), (4, "This project is MIT licensed."), (5, "We like gpl-3 and the mit"), (6, long)]
+    start = time.time()
+    got = {r.doc_id: r.license for r in LS.license_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    assert got == {1: "MIT-spdx", 2: "GPL-3.0-or-later-spdx", 3: "GPL-3.0-statement", 4: "MIT-licensed", 6: "MIT"} and len(long) > 900_000
+    assert time.time() - start < 30
+
+
+def test_lines_are_removed_in_linear_time(spark):
+    import time
+
+    from tidemark.llm import line_dedup
+
+    text = "\n".join(f"line {i % 30_000} of the text" for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: (r.text.count("\n") + 1 if r.text else 0, r.n_removed) for r in line_dedup.without_repeats(df).collect()}
+    assert got == {1: (30_000, 30_000), 2: (0, 60_000)} and time.time() - start < 20

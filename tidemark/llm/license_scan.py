@@ -1,14 +1,15 @@
 """License scan by conditional compression.
 
-Every cue and the words around it, as many as the longest template has, make a block; blocks that meet are one, so line
-ends and blank lines never cut a notice. In a block each template whose key words (names and version numbers) all occur is
-aligned where it shares the longest run of words: it must be matched to at least `share`, with every key word; what
-differs is reported. The match's own text is compressed by zstandard alone and with the template as a raw-content
-dictionary, and must get smaller by it. All matches of all templates are found; those whose key words all belong to a
-match of more words (a line within the full notice) are left out.
-
-All by row: a regular expression in the JVM keeps most texts from Python, and there is no shuffle. Null and empty texts
-and texts without cues give no rows. Each match gives a row, repeated rows of the table each give theirs.
+The words around every cue, as many as the longest template has, make a block; blocks that meet are one, so line ends and blank
+lines never cut a notice. Blocks are cut into windows that overlap by more than any match is long. Each window is compressed by
+zstandard alone and with every template as a raw-content dictionary; templates are ranked by what their dictionary takes off.
+From the largest reduction down to `least` of what the template takes off its own text, each is confirmed by wording: it is
+aligned where it shares the longest run of words, must be matched to at least `share` with every key word (names and version
+numbers), and its exact differences are reported. Of matches whose key words all belong to another one (a line within the full
+notice), only the one that its template's dictionary makes smaller stays; ties go to fewer differences, then to the name.
+
+All by row, and linear in a text's length: a regular expression in the JVM keeps most texts from Python, and there is no shuffle.
+Null and empty texts and texts without cues give no rows. Each match gives a row, repeated rows of the table each give theirs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUES = r"(?i)licen[sc]e|copyright|permission\s+is|redistribut|warrant|spdx|public\s+domain|creative\s+commons|unencumbered|\bcc[ -]?(?:by|0|zero)\b"
+CUES = r"(?i)licen[sc]e|copyright|permission\s+is|redistribut|warrant|spdx|public\s+domain|creative\s+commons|unencumbered|\bcc[ -]?(?:by|0|zero)\b|\b[al]?gpl-?\d|\bmpl-?\d|\bbsd-\d|apache-\d"
 
 #: Wording of common notices, and the words that tell them from their kin.
 TEMPLATES = {
@@ -48,6 +49,12 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "by-nd 4.0"),
 }
 
+#: Identifiers of the machine-readable form, and the short statements that name a license.
+IDENTIFIERS = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+TEMPLATES |= {f"{i}-spdx": (f"SPDX-License-Identifier: {i}", f"spdx-license-identifier {i.lower()}") for i in IDENTIFIERS}
+TEMPLATES |= {f"{i}-statement": (f"Distributed under {i}.", i.lower()) for i in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause")}
+TEMPLATES |= {f"{n}-licensed": (f"This project is {n} licensed.", f"{n.lower()} licensed") for n in ("MIT", "Apache-2.0", "BSD-3-Clause")}
+
 _WORDS = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 _SCHEMA = "doc_id long, block_start long, block_end long, license string, saved_bytes long, reduction double, share double, n_differences long, differences string"
 
@@ -113,39 +120,67 @@ def matches(words: list[str], template: list[str], keys: set[str], share: float)
             left[k] = None
 
 
-def _scan(templates: dict[str, tuple[str, str]], share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Template:
+    """A notice as words, key words and a compressor that knows it; `worth` is what it takes off its own text."""
+
+    def __init__(self, name: str, text: str, keys: str):
         import zstandard
 
-        cue = re.compile(CUES)
+        self.name, self.words, self.keys = name, _WORDS.findall(text.lower()), set(keys.split())
+        self.own = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.raw = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(" ".join(text.split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         plain = zstandard.ZstdCompressor(level=6)
-        known = []
-        for name, (text, keys) in templates.items():
-            data = " ".join(text.split()).encode()
-            own = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            known.append((name, own, _WORDS.findall(text.lower()), set(keys.split())))
-        around = max((len(k[2]) for k in known), default=0)
+        self.worth = len(plain.compress(" ".join(self.words).encode())) - len(self.own.compress(" ".join(self.words).encode()))
+
+
+def windows(block: list, longest: int) -> Iterator[tuple[int, list]]:
+    """(first word, words) of stretches of a block that overlap by more than a match and its surroundings can have."""
+    overlap = 2 * longest + 32
+    size = 2 * overlap
+    for low in range(0, max(1, len(block) - overlap), size - overlap):
+        yield low, block[low : low + size]
+
+
+def ranked(words: list[str], templates: list[Template], plain, least: float) -> list[tuple[int, Template]]:
+    """(bytes taken off, template) of a window, largest first, down to `least` of each template's own worth."""
+    data = " ".join(words).encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(data))
+    sizes = ((alone - len(t.own.compress(data)), t) for t in templates)
+    return sorted((x for x in sizes if x[0] >= least * x[1].worth), key=lambda x: (-x[0], x[1].name))
+
+
+def found_in(text: str, block: list, templates: list[Template], plain, share: float, least: float) -> list[tuple]:
+    """Confirmed matches of a block, each key word counted for one of them: (start, end, name, saved, reduction, share, differences)."""
+    found: dict[tuple, tuple] = {}
+    for low, part in windows(block, max((len(t.words) for t in templates), default=0)):
+        words = [w for _, _, w in part]
+        for _, t in ranked(words, templates, plain, least):
+            for got, differ, places in matches(words, t.words, t.keys, share):
+                a, b = part[places[0]][0], part[places[-1]][1]
+                raw = " ".join(text[a:b].split()).encode("utf-8", "surrogatepass")
+                alone = len(plain.compress(raw))
+                saved = alone - len(t.raw.compress(raw))
+                at = {low + k for k in places}
+                if saved > 0:
+                    found[a, b, t.name] = (-saved, len(differ), t.name, at, {k for k in at if words[k - low] in t.keys}, (a, b, t.name, saved, saved / alone, got, len(differ), " ".join(differ)))
+    taken: set[int] = set()
+    out = []
+    for _, _, _, places, at, row in sorted(found.values(), key=lambda x: (*x[:3], x[5][:2])):
+        if not at <= taken:
+            taken.update(places)
+            out.append(row)
+    return sorted(out, key=lambda r: r[:3])
+
+
+def _scan(templates: dict[str, tuple[str, str]], share: float, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        cue, plain = re.compile(CUES), zstandard.ZstdCompressor(level=6)
+        known = [Template(name, text, keys) for name, (text, keys) in templates.items()]
+        around = max((len(t.words) for t in known), default=0)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for block in blocks(text, cue, around):
-                    words = [w for _, _, w in block]
-                    found = []
-                    for name, own, template, keys in known:
-                        for got, differ, places in matches(words, template, keys, share):
-                            a, b = block[places[0]][0], block[places[-1]][1]
-                            raw = " ".join(text[a:b].split()).encode("utf-8", "surrogatepass")
-                            alone = len(plain.compress(raw))
-                            saved = alone - len(own.compress(raw))
-                            if saved > 0:
-                                found.append((-len(places), len(differ), name, places, {k for k in places if words[k] in keys}, (doc, a, b, name, saved, saved / alone, got, len(differ), " ".join(differ))))
-                    taken: set[int] = set()
-                    own_rows = []
-                    for _, _, _, places, at, row in sorted(found, key=lambda x: x[:3]):
-                        if not at <= taken:
-                            taken.update(places)
-                            own_rows.append(row)
-                    rows += sorted(own_rows, key=lambda r: r[1:4])
+            rows = [(doc, *row) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for block in blocks(text, cue, around) for row in found_in(text, block, known, plain, share, least)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "block_start", "block_end", "license", "saved_bytes", "reduction", "share", "n_differences", "differences"])
@@ -154,12 +189,12 @@ def _scan(templates: dict[str, tuple[str, str]], share: float):
 
 
 def license_blocks(
-    documents: DataFrame, templates: dict[str, tuple[str, str]] | None = None, share: float = 0.8,
+    documents: DataFrame, templates: dict[str, tuple[str, str]] | None = None, share: float = 0.8, least: float = 0.25,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """A row for each confirmed match of a template: its character range, license, bytes saved, share of the template matched, differences.
 
-    templates: name -> (wording, key words).
+    templates: name -> (wording, key words). least: part of a template's own worth that a window must get smaller by.
     """
     docs = documents.where(F.col(text_col).rlike(CUES)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_scan(templates or TEMPLATES, share), _SCHEMA)
+    return docs.mapInArrow(_scan(templates or TEMPLATES, share, least), _SCHEMA)
