@@ -149,9 +149,10 @@ def modal_data_set(s, d):
 
 @query("modal_rows")
 def modal_rows(s, d):
-    """Each decision with its modalities as vectors, as learners take them; the temporal model has no SQL."""
+    """Each decision with its modalities as vectors, as learners take them; the temporal model has no SQL. The sign of an embedding's component is arbitrary, so its absolute value is returned."""
     x, lists = modal_data_set(s, d)
-    return x.select("symbol", "decision_time", "label", *(F.array(*(F.round(F.abs(F.col(c).cast("double")), 6) for c in cols)).alias(m) for m, cols in lists.items()))
+    value = lambda c: F.round(F.abs(F.col(c)) if c in ("e1", "e2", "e3", "e4") else F.col(c).cast("double"), 6)
+    return x.select("symbol", "decision_time", "label", *(F.array(*map(value, cols)).alias(m) for m, cols in lists.items()))
 
 
 _MODAL = {m: [c for c in cols if c not in XS] for m, cols in MODALITIES.items()}
