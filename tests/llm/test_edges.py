@@ -51,14 +51,15 @@ def jobs(benchmark, labels):
         "lm": lambda d: masked_lm.scores(d),
         "language": lambda d: language_id.predict_languages(d, language_id.fit(d)),
         "lines": lambda d: line_dedup.without_repeats(d),
+        "passages": lambda d: line_dedup.without_passages(d),
         "mix_stage": lambda d: corpus_pipeline.mix_sources(d.sparkSession, d, ""),
     }
 
 
-ONE_A_ROW = ("join", "media", "tokens", "quality", "mix", "lm", "language", "lines")
+ONE_A_ROW = ("join", "media", "tokens", "quality", "mix", "lm", "language", "lines", "passages")
 
 
-@pytest.mark.parametrize("name", ["license", "join", "one_each", "media", "leaks", "clean", "tokens", "quality", "mix", "lm", "language", "lines", "mix_stage"])
+@pytest.mark.parametrize("name", ["license", "join", "one_each", "media", "leaks", "clean", "tokens", "quality", "mix", "lm", "language", "lines", "passages", "mix_stage"])
 def test_odd_rows_and_no_rows(odd, nothing, benchmark, labels, name):
     run = jobs(benchmark, labels)[name]
     rows = run(odd).collect()

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import struct
 import zlib
@@ -492,3 +493,27 @@ def test_items_of_one_template_are_one_form(spark):
     assert {(r.item_id, r.n_items) for r in rows} == {(0, 60), (100, 2)}
     assert {r.doc_id for r in rows if r.item_id == 100} == {99}
     assert decontaminate.item_forms(items).groupBy("form").count().orderBy("count").select("count").collect() == [(2,), (60,)]
+
+
+def test_passages_that_overlap_repeat_themselves_and_share_anchors(spark):
+    """Edited copies, periods within a text, ranges that begin and end anywhere: equal to brute force, also with bitmaps that are full."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(400)}" for _ in range(900)]
+    texts = {0: "tick tock " * 90, 1: " ".join(base), 2: "tock tick " * 40 + " ".join(base[100:260])}
+    for i in range(3, 40):
+        a = rng.randrange(700)
+        part = base[a : a + rng.randrange(40, 200)]
+        for _ in range(rng.randrange(3)):
+            part[rng.randrange(len(part))] = f"edit{i}"
+        texts[i] = " ".join([f"own{i}"] * rng.randrange(3) + part + part[: rng.randrange(120)] + base[5:70] * rng.randrange(2))
+    seen, want = set(), {}
+    for i in sorted(texts):
+        w, gone = texts[i].split(), set()
+        for a in range(len(w) - 49):
+            gone |= set(range(a, a + 50)) if tuple(w[a : a + 50]) in seen else set()
+            seen.add(tuple(w[a : a + 50]))
+        want[i] = (len(gone), [x for k, x in enumerate(w) if k not in gone])
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
+    for bits in (1 << 20, 64):
+        got = {r.doc_id: (r.n_removed, r.text.split()) for r in line_dedup.without_passages(df, bits=bits).collect()}
+        assert got == want

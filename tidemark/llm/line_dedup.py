@@ -10,8 +10,12 @@ lines nor as breaks, and stay. A line repeated in a row keeps its first. Rows th
 occurrence. Null ids come first.
 
 `without_passages` also finds runs of `words` words wherever they begin and end, whatever the white space between them. The
-least hash of the shorter runs inside such a run is its anchor: equal runs have equal anchors, so only runs whose anchor
-occurs again (by a bitmap of fixed size without false negatives) are shuffled, and no repeat is lost.
+least hash of the shorter runs inside such a run is its anchor; runs in a row of one anchor make a segment, about one for 18
+words. Equal runs have equal anchors, so a run is repeated only in equal segments, or where one anchor has different segments
+(or occurs twice in one). Segments are compared first, by one hash each; single runs are compared only within the first
+occurrences of the segments whose anchors have several. Nothing is left out by that: a run's first place lies in its segment's
+first place. Three bitmaps of fixed size without false negatives say in the second pass which segments these are; where they
+fill up, more rows are compared, at most one for each run of words, and the result is the same.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .bytewords import NEWLINE, SPACE, Pieces, chunks, mix
-from .shared import bitmap, has
+from .shared import bitmap, forget, has, stored
 
 _RATE = 0x9E3779B97F4A7C15
 _BACK = pow(_RATE, -1, 2**64)
+#: What a null id counts as, since null ids come first.
+_FIRST = -(2**63)
 
 
 def _windows(lines: int):
@@ -89,47 +95,89 @@ def _sliding(pick, x: np.ndarray, width: int) -> np.ndarray:
     return pick(out[: len(x) - width + 1], out[width - size :])
 
 
-def _word_runs(p: Pieces, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each run of `words` words is in one document, its anchor's hash, and the hashes of all places that are anchors."""
-    short = max(1, words // 3)
-    grams, width = _runs(p.hash, short), words - short + 1
-    if len(p.hash) < words:
-        return np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    own = p.doc[: len(p.doc) - words + 1] == p.doc[words - 1 :]
-    least = np.where(own, _sliding(np.minimum, grams, width), np.uint64(0))
-    none = np.zeros(width - 1, np.uint64)
-    return own, least, grams[grams == _sliding(np.maximum, np.concatenate([none, least, none]), width)]
+class _Segments:
+    """The runs of `words` words in some texts, by segments: of each, its first run (`at`) and last, its hash, its anchor's, and whether the anchor occurs twice in it."""
+
+    def __init__(self, p: Pieces, words: int):
+        short = max(1, words // 3)
+        width, n = words - short + 1, max(0, len(p.hash) - words + 1)
+        own = np.flatnonzero(p.doc[:n] == p.doc[len(p.doc) - n :])
+        if not len(own):
+            self.at = self.last = np.zeros(0, np.int64)
+            self.hash = self.anchor = np.zeros(0, np.uint64)
+            self.twice = np.zeros(0, bool)
+            return
+        grams = _runs(p.hash, short)
+        inside = np.zeros(n, bool)
+        inside[own] = True
+        least = _sliding(np.minimum, grams, width)
+        new = np.append(True, (np.diff(own) > 1) | (least[own[1:]] != least[own[:-1]]) | (p.doc[own[1:]] != p.doc[own[:-1]]))
+        begin = np.flatnonzero(new)
+        self.at, self.last = own[begin], own[np.append(begin[1:], len(own)) - 1]
+        self.anchor = least[self.at]
+        up, down = (np.cumprod(np.full(len(p.hash), x, np.uint64)) for x in (_RATE, _BACK))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(p.hash * up)])
+        end = self.last + words
+        self.hash = mix(mix((total[end] - total[self.at]) * down[self.at]) + (end - self.at).astype(np.uint64))
+        none = np.zeros(width - 1, np.uint64)
+        place = np.flatnonzero(grams == _sliding(np.maximum, np.concatenate([none, np.where(inside, least, np.uint64(0)), none]), width))
+        low, high = np.searchsorted(place, self.at), np.searchsorted(place, self.last + width)
+        size = high - low
+        i = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        same = grams[place[i]] == np.repeat(self.anchor, size)
+        self.twice = np.bincount(np.repeat(np.arange(len(size)), size), same, len(size)) > 1
+
+
+def _line_ranges(w: Pieces, run: list[bytes], lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word and number of words of every run of lines that has words."""
+    p = Pieces(run, NEWLINE, None)
+    h, _, first = p.windows(lines, short=False)
+    begin = np.searchsorted(w.start, p.start[first])
+    size = np.searchsorted(w.start, p.end[first + lines - 1]) - begin
+    full = size > 0
+    return mix(h[full] + np.uint64(_RATE)), begin[full], size[full]
+
+
+def _outlines(words: int, lines: int):
+    """A row for each segment and, without an anchor, for each run of lines."""
 
-
-def _anchors(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([pa.array(_word_runs(Pieces(texts, SPACE, None), words)[2].astype(np.int64))], ["hash"])
+            for base, texts in chunks(batch.column(1)):
+                w = Pieces(texts, SPACE, None)
+                s = _Segments(w, words)
+                h, at, _ = _line_ranges(w, texts, lines)
+                ids = batch.column(0).take(pa.array(np.concatenate([w.doc[s.at], w.doc[at]]) + base))
+                anchors = pa.array(np.concatenate([s.anchor, np.zeros(len(h), np.uint64)]).astype(np.int64), mask=np.arange(len(s.at) + len(h)) >= len(s.at))
+                twice = np.concatenate([s.twice, np.zeros(len(h), bool)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([s.hash, h]).astype(np.int64)), anchors, pa.array(twice)], ["id", "hash", "anchor", "twice"])
 
     return run
 
 
-def _places(words: int, lines: int, repeated):
-    """Word ranges (at, size) of runs of lines, and of runs of words with a repeated anchor."""
+def _places(words: int, lines: int, repeated, shared, first):
+    """Word ranges (at, size) of repeated segments and runs of lines, and of single runs in the first of segments that share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = repeated.value
+        again, anchors, firsts = repeated.value, shared.value, first.value
+        found = lambda bits, h: has(bits, (h & np.uint64(8 * len(bits) - 1)).astype(np.int64))
         for batch in batches:
             for base, texts in chunks(batch.column(2)):
-                w, p = Pieces(texts, SPACE, None), Pieces(texts, NEWLINE, None)
-                own, least, _ = _word_runs(w, words)
-                i = np.flatnonzero(own)
-                i = i[has(wanted, (least[i] & np.uint64(8 * len(wanted) - 1)).astype(np.int64))]
-                line_hash, doc, first = p.windows(lines, short=False)
-                begin = np.searchsorted(w.start, p.start[first])
-                size = np.searchsorted(w.start, p.end[first + lines - 1]) - begin
-                full = size > 0
-                h = np.concatenate([_runs(w.hash, words)[i], mix(line_hash[full] + np.uint64(_RATE))])
-                at = np.concatenate([i - w.first[w.doc[i]], begin[full] - w.first[doc[full]]])
-                rows = pa.array(np.concatenate([w.doc[i], doc[full]]) + base)
+                w = Pieces(texts, SPACE, None)
+                s = _Segments(w, words)
+                ids = batch.column(0).slice(base, len(texts)).fill_null(_FIRST).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                opened = np.flatnonzero(found(anchors, s.anchor) & found(firsts, s.hash ^ ids[w.doc[s.at]]))
+                n = s.last[opened] - s.at[opened] + 1
+                runs = np.repeat(s.at[opened] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                run_hash = mix(_runs(w.hash, words)[runs] + np.uint64(_BACK)) if len(runs) else np.zeros(0, np.uint64)
+                whole = np.flatnonzero(found(again, s.hash))
+                h, at, size = _line_ranges(w, texts, lines)
+                full = found(again, h)
+                begin = np.concatenate([s.at[whole], runs, at[full]])
+                size = np.concatenate([s.last[whole] - s.at[whole] + words, np.full(len(runs), words), size[full]])
+                rows = pa.array(w.doc[begin] + base)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(np.concatenate([np.full(len(i), words), size[full]]).astype(np.int32))],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([s.hash[whole], run_hash, h[full]]).astype(np.int64)), pa.array((begin - w.first[w.doc[begin]]).astype(np.int32)), pa.array(size.astype(np.int32))],
                     ["id", "key", "hash", "at", "size"],
                 )
 
@@ -138,47 +186,62 @@ def _places(words: int, lines: int, repeated):
 
 def _cut(raw: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
     """The text without some words; where words go, the white space with more line ends on either side of them stays."""
-    keep = np.flatnonzero(~gone)
-    if not len(keep):
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]])))
+    if not len(edge):
         return b""
     out, before = [], -1
-    for k in keep.tolist():
+    for first, last in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()):
         left = raw[end[before] if before >= 0 else 0 : start[before + 1]]
-        right = raw[end[k - 1] : start[k]] if k else left
-        out += [right if before >= 0 and right.count(b"\n") > left.count(b"\n") else left, raw[start[k] : end[k]]]
-        before = k
+        right = raw[end[first - 1] : start[first]] if first else left
+        out += [right if before >= 0 and right.count(b"\n") > left.count(b"\n") else left, raw[start[first] : end[last]]]
+        before = last
     return b"".join([*out, raw[end[-1] :]])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, removed = [], [], []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-            p = Pieces([raw], SPACE, None)
-            n = len(p.start)
-            step = np.zeros(n + 1, np.int64)
-            for g in gone or []:
-                step[g["at"]] += 1
-                step[g["at"] + g["size"]] -= 1
-            covered = np.cumsum(step)[:n] > 0
-            texts.append(_cut(raw, p.start, p.end, covered).decode("utf-8", "surrogatepass") if covered.any() else text)
-            counts.append(n), removed.append(int(covered.sum()))
+        for base, run in chunks(batch.column(1)):
+            raw = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
+            inside = ~SPACE[raw]
+            before = np.append(False, inside[:-1])
+            starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+            size = np.array([len(b) + 1 for b in run])
+            doc_start = np.cumsum(size) - size
+            edge = np.searchsorted(starts, np.append(doc_start, len(raw)))
+            for j, (value, gone) in enumerate(zip(batch.column(1).slice(base, len(run)).to_pylist(), batch.column(2).slice(base, len(run)).to_pylist())):
+                n, hidden = int(edge[j + 1] - edge[j]), 0
+                if gone:
+                    step = np.zeros(n + 1, np.int64)
+                    np.add.at(step, [g["at"] for g in gone], 1)
+                    np.add.at(step, [g["at"] + g["size"] for g in gone], -1)
+                    covered = np.cumsum(step)[:n] > 0
+                    own = slice(edge[j], edge[j + 1])
+                    value = _cut(run[j], starts[own] - doc_start[j], ends[own] - doc_start[j], covered).decode("utf-8", "surrogatepass")
+                    hidden = int(covered.sum())
+                texts.append(value), counts.append(n), removed.append(hidden)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_words", "n_removed"])
 
 
-def without_passages(documents: DataFrame, words: int = 50, lines: int = 3, bits: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_passages(documents: DataFrame, words: int = 50, lines: int = 3, bits: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `documents`, `text_col` without later occurrences of runs of lines or words, and `n_words` and `n_removed` (words; they replace columns of these names)."""
     docs = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    again = docs.mapInArrow(_anchors(words), "hash long").groupBy("hash").count().where("count > 1")
-    repeated = documents.sparkSession.sparkContext.broadcast(bitmap(again, "hash", bits, hashed=True))
-    places = docs.mapInArrow(_places(words, lines, repeated), "id long, key long, hash long, at int, size int")
+    outlines = docs.select("id", "text").mapInArrow(_outlines(words, lines), "id long, hash long, anchor long, twice int")
+    seen = stored(outlines.groupBy("hash", "anchor").agg(F.count("*").alias("n"), F.min(F.coalesce("id", F.lit(_FIRST))).alias("id"), F.max("twice").alias("twice")), "segments")
+    several = seen.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice > 0")
+    flags = [bitmap(seen.where("n > 1"), "hash", bits, hashed=True), bitmap(several, "anchor", bits, hashed=True), bitmap(seen.where("anchor is not null").selectExpr("hash ^ id as place"), "place", bits, hashed=True)]
+    forget(seen)
+    shared = [documents.sparkSession.sparkContext.broadcast(f) for f in flags]
+    places = stored(docs.mapInArrow(_places(words, lines, *shared), "id long, key long, hash long, at int, size int"), "places")
+    for b in shared:
+        b.unpersist()
     place = F.struct("id", "key", "at")
     first = places.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = places.join(first, "hash").where(place > F.col("first"))
     covered = later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
-    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_key"), F.col(text_col).cast("string").alias("own_text"))
+    # input columns travel in one struct, so no name of theirs can clash
+    own = [c for c in documents.columns if c not in ("n_words", "n_removed")]
+    rows = documents.select(F.struct(*(c for c in own if c != text_col)).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_key"), F.col(text_col).cast("string").alias("own_text"))
     joined = rows.join(covered, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left").select("row", "own_text", "gone")
     out = joined.mapInArrow(_without, StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]))
-    own = [c for c in documents.columns if c not in ("n_words", "n_removed")]
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own), "n_words", "n_removed")
