@@ -52,10 +52,10 @@ def bitmap(ids: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = Fals
     at = f"pmod({column if hashed else f'xxhash64({column})'}, {bits})"
     words = (
         ids.select(F.expr(f"shiftright({at}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        .groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     )
     out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy()
     return out.view(np.uint8)
 
 
