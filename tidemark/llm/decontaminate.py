@@ -1,9 +1,12 @@
 """Benchmark decontamination by template windows.
 
-Texts become templates: words are runs of letters and digits; a word that begins with a digit is a number (numbers in a
-row are one), a fixed unit name after a number is a unit, a capitalised word that does not begin a sentence is a name.
-Numbers, units and names are typed placeholders (slots), all other words count in lower case. Windows of `words`
-template words, at least half of them plain, are hashed in benchmark and documents, and joined on the hash.
+Texts become templates: words are runs of letters and digits; a word that begins with a digit or spells a number is a
+number (numbers in a row are one), a fixed unit name after a number is a unit, a capitalised word (of any script whose
+capitals UTF-8 writes in at most two bytes) is a name. Numbers, units and names are typed placeholders (slots), all other
+words count in lower case. Windows of `words` template words, at least half of them plain, are hashed in benchmark and
+documents, and joined on the hash. A capitalised word that begins a sentence may be a name or not: a window with such words
+is hashed with them as plain words, and with them as names, and found by either; the windows
+of each kind have to be consistent by themselves, so an opening word that is no name takes nothing from the others.
 
 Benchmark hashes make a bitmap of fixed size; documents send only windows that pass it to the join, so texts are never
 shuffled and the benchmark may be of any size. Joined windows are gathered by (document, item, shift between their
@@ -33,41 +36,50 @@ from .shared import bitmap, has
 
 #: Units that count as slots after a number.
 UNITS = "kg g mg lb oz t km m cm mm mi ft in yd l ml gal h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months year years percent dollar dollars euro euros usd eur gbp cent cents mph kmh hz khz mhz ghz kb mb gb tb w kw v a k c f".split()
+#: Words that spell numbers. "one" is left out, since it mostly is none.
+NUMBERS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 59, 63]] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
-_UNIT_HASHES = np.sort(Pieces([" ".join(UNITS).encode()], _BREAK).hash)
+_UNIT_HASHES, _NUMBER_HASHES = (np.sort(Pieces([" ".join(x).encode()], _BREAK).hash) for x in (UNITS, NUMBERS))
+_CAPITAL = np.array([chr(c).isupper() for c in range(0x800)])
 _SLOTS = "array<struct<kind:int,value:long>>"
-_WINDOW = f"item long, form long, at long, size int, total long, hash long, slots {_SLOTS}"
-_ARROW = pa.schema([("item", pa.int64()), ("form", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("total", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.int64())])))])
+_WINDOW = f"item long, form long, at long, size int, total long, hash long, open boolean, slots {_SLOTS}"
+_ARROW = pa.schema([("item", pa.int64()), ("form", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("total", pa.int64()), ("hash", pa.int64()), ("open", pa.bool_()), ("slots", pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.int64())])))])
 _LITERAL = np.uint64(0x5EED0004)
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 class _Templates(Pieces):
-    """Words of a run with `kind` (0 plain, 1 number, 2 name, 3 unit), `hash` (of the template word) and `value`."""
+    """Words of a run with `kind` (0 plain, 1 number, 2 name, 3 unit), `hash` (of the template word), `value`, and `opening`: plain words that may be names."""
 
     def __init__(self, run: list[bytes]):
         super().__init__(run, _BREAK, LOWER)
         if not len(self.start):
             self.kind = np.zeros(0, np.int64)
             self.value = np.zeros(0, np.uint64)
+            self.opening = np.zeros(0, bool)
             return
-        first = self.raw[self.start]
-        second = self.raw[np.minimum(self.start + 1, len(self.raw) - 1)]
-        number = (first >= 48) & (first < 58)
-        capital = (first >= 65) & (first < 91) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+        first = self.raw[self.start].astype(np.int64)
+        second = self.raw[np.minimum(self.start + 1, len(self.raw) - 1)].astype(np.int64)
+        number = (first >= 48) & (first < 58) | _among(self.hash, _NUMBER_HASHES)
+        two = (first >= 0xC2) & (first < 0xE0)
+        capital = _CAPITAL[np.where(two, (first & 0x1F) << 6 | second & 0x3F, np.where(first < 128, first, 0))]
         stops = np.cumsum(_STOP[self.raw])
         begins = np.ones(len(self.start), bool)
         begins[1:] = (stops[self.start[1:]] > stops[self.end[:-1] - 1]) | (self.doc[1:] != self.doc[:-1])
         follows = np.zeros(len(self.start), bool)
         follows[1:] = number[:-1] & (self.doc[1:] == self.doc[:-1])
-        near = np.minimum(np.searchsorted(_UNIT_HASHES, self.hash), len(_UNIT_HASHES) - 1)
-        unit = follows & (_UNIT_HASHES[near] == self.hash)
+        unit = follows & _among(self.hash, _UNIT_HASHES)
         kind = np.where(number, 1, np.where(unit, 3, np.where(capital & ~begins, 2, 0)))
         keep = np.flatnonzero(~(number & follows))
+        self.opening = (capital & begins & (kind == 0))[keep]
         self.start, self.end, self.doc, kind = self.start[keep], self.end[keep], self.doc[keep], kind[keep]
         # the value of numbers in a row ("3.50", "1,000,000") is that of all their pieces in order
         place = np.arange(len(number)) - np.repeat(keep, np.diff(np.append(keep, len(number))))
@@ -79,20 +91,31 @@ class _Templates(Pieces):
         self.hash = np.select([kind == 1, kind == 2, kind == 3], [_NUMBER, _NAME, _UNIT], self.value)
 
 
-def _hashed(t: _Templates, size: int, literal: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of each window of `size` words: by template if at least half plain, or of the words as they are."""
-    own = t.hash
+_CLOSED, _OPEN, _WORDS = 0, 1, 2
+
+
+def _hashed(t: _Templates, size: int, how: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of each window of `size` words: by template if at least half plain, with opening words as names where it has some (_OPEN), or of the words as they are (_WORDS)."""
+    own, literal = t.hash, how == _WORDS
     if literal:
         t.hash = t.value
+    elif how == _OPEN:
+        t.hash = np.where(t.opening, _NAME, own)
     h, _, at = t.windows(size, short=False)
     t.hash = own
     if not literal:
-        plain = np.concatenate([[0], np.cumsum(t.kind == 0)])
+        plain, opening = (np.concatenate([[0], np.cumsum(x)]) for x in (_kinds(t, how) == 0, t.opening))
         ok = 2 * (plain[at + size] - plain[at]) >= size
+        if how == _OPEN:
+            ok &= opening[at + size] > opening[at]
         h, at = h[ok], at[ok]
     return mix(h + np.uint64(size) * MULTIPLIERS[0] + (_LITERAL if literal else np.uint64(0))), at
 
 
+def _kinds(t: _Templates, how: int) -> np.ndarray:
+    return np.where(t.opening, 2, t.kind) if how == _OPEN else t.kind
+
+
 def _form(t: _Templates, literal: bool) -> int:
     """Identity of one item's template and of which of its slots are equal; of an item found by its words only, of those."""
     own = t.value if literal else t.hash
@@ -105,9 +128,9 @@ def _form(t: _Templates, literal: bool) -> int:
     return int(mix(mix(own + pattern * MULTIPLIERS[1]) * (np.uint64(2) * place + np.uint64(1))).sum().astype(np.int64))
 
 
-def _row(t: _Templates, item: int, form: int, a: int, size: int, total: int, h: np.uint64, literal: bool) -> dict:
-    slots = [] if literal else [{"kind": int(t.kind[j]), "value": int(t.value[j].astype(np.int64))} for j in range(a, a + size) if t.kind[j]]
-    return {"item": item, "form": form, "at": a - int(t.first[t.doc[a]]), "size": size, "total": total, "hash": int(h.astype(np.int64)), "slots": slots}
+def _row(t: _Templates, item: int, form: int, a: int, size: int, total: int, h: np.uint64, how: int, kinds: np.ndarray) -> dict:
+    slots = [] if how == _WORDS else [{"kind": int(kinds[j]), "value": int(t.value[j].astype(np.int64))} for j in range(a, a + size) if kinds[j]]
+    return {"item": item, "form": form, "at": a - int(t.first[t.doc[a]]), "size": size, "total": total, "hash": int(h.astype(np.int64)), "open": how == _OPEN, "slots": slots}
 
 
 def _item_windows(words: int):
@@ -122,12 +145,14 @@ def _item_windows(words: int):
                 if not n:
                     continue
                 size = min(words, n)
-                kinds = [False, True] if n < words else [False] if len(_hashed(t, size, False)[1]) else [True]
-                form = _form(t, not len(_hashed(t, size, False)[1]))
-                for literal in kinds:
-                    h, at = _hashed(t, size, literal)
-                    total = len(np.unique(at[:, None] + np.arange(size)))
-                    rows += [_row(t, item, form, a, size, total, h[i], literal) for i, a in enumerate(at.tolist())]
+                literal = not len(_hashed(t, size, _CLOSED)[1])
+                # short items have too few plain words to spare one
+                found = [(how, *_hashed(t, size, how)) for how in ((_CLOSED, _WORDS) if n < words else (_WORDS,) if literal else (_CLOSED, _OPEN))]
+                total = len(np.unique(np.concatenate([at for _, _, at in found])[:, None] + np.arange(size)))
+                form = _form(t, literal)
+                for how, h, at in found:
+                    kinds = _kinds(t, how)
+                    rows += [_row(t, item, form, a, size, total, h[i], how, kinds) for i, a in enumerate(at.tolist())]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
@@ -145,10 +170,11 @@ def _windows(sizes: list[int], filled):
                 t = _Templates(texts)
                 rows = []
                 for size in sizes:
-                    for literal in (False, True):
-                        h, at = _hashed(t, size, literal)
+                    for how in (_CLOSED, _OPEN, _WORDS):
+                        h, at = _hashed(t, size, how)
+                        kinds = _kinds(t, how)
                         ok = np.flatnonzero(has(wanted, (h & np.uint64(8 * len(wanted) - 1)).astype(np.int64)))
-                        rows += [_row(t, ids[base + int(t.doc[a])], 0, a, size, 0, h[i], literal) for i, a in zip(ok.tolist(), at[ok].tolist())]
+                        rows += [_row(t, ids[base + int(t.doc[a])], 0, a, size, 0, h[i], how, kinds) for i, a in zip(ok.tolist(), at[ok].tolist())]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
@@ -227,10 +253,10 @@ def leaks(
     filled = spark.sparkContext.broadcast(bitmap(items.select("hash"), "hash", bits, hashed=True))
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(_windows(sizes, filled), _WINDOW)
     pairs = docs.select(F.col("item").alias("doc_id"), "at", "hash", F.col("slots").alias("theirs")).join(
-        items.select(F.col("item").alias("item_id"), "form", "n_items", F.col("at").alias("item_at"), "size", "total", "hash", "slots"), "hash"
+        items.select(F.col("item").alias("item_id"), "form", "n_items", F.col("at").alias("item_at"), "size", "total", "hash", "open", "slots"), "hash"
     )
     bound = F.zip_with("slots", "theirs", lambda s, t: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), t["value"].alias("theirs")))
-    by_shift = pairs.groupBy("doc_id", "item_id", "form", "n_items", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    by_shift = pairs.groupBy("doc_id", "item_id", "form", "n_items", (F.col("at") - F.col("item_at")).alias("shift"), "open").agg(
         F.sort_array(F.collect_set("item_at")).alias("windows"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(bound)))).alias("bound"), F.max("total").alias("total"), F.max("size").alias("size"),
     )
     units = by_shift.groupBy("doc_id", "item_id", "form", "n_items").agg(F.collect_set(F.struct("windows", "bound")).alias("units"), F.max("total").alias("total"), F.max("size").alias("size"))
