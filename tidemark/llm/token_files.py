@@ -17,7 +17,7 @@ the part, counts, ids, content) of a Parquet table in a shared folder: any store
 simply run again, and nobody opens local files. A file knows its start within its part; those of parts are prefix sums
 in one small window (a row for each part), broadcast to the readers.
 
-Null and empty texts give the end id alone. A null id comes first. Rows that repeat an id follow each other, by text.
+Null and empty texts give the end id alone. A null id comes first. Rows that repeat an id follow each other, by a hash of the text, then by text.
 """
 
 from __future__ import annotations
@@ -286,7 +286,9 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int = 0, fil
     """Encodes every text, appends `end_id`, and writes the files; returns them, read from the shared folder (`FILE_SCHEMA`)."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one null or repeated id are dealt by their texts, so that no id is one task's
+    by_text = F.xxhash64("text")
+    ordered = docs.repartitionByRange(n, F.col("doc_id"), by_text).sortWithinPartitions(F.col("doc_id"), by_text, F.col("text"))
     return stored(ordered.mapInArrow(_encode(tokenizer_path, end_id, file_ids), FILE_SCHEMA), "tokens", "uncompressed")
 
 
