@@ -96,7 +96,7 @@ def _sliding(pick, x: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Segments:
-    """The runs of `words` words in some texts, by segments: of each, its first run (`at`) and last, its hash, its anchor's, and whether the anchor occurs twice in it."""
+    """The runs of `words` words in some texts, by segments: of each, its first run (`at`) and last, its hash, and its anchor's."""
 
     def __init__(self, p: Pieces, words: int):
         short = max(1, words // 3)
@@ -105,7 +105,6 @@ class _Segments:
         if not len(own):
             self.at = self.last = np.zeros(0, np.int64)
             self.hash = self.anchor = np.zeros(0, np.uint64)
-            self.twice = np.zeros(0, bool)
             return
         grams = _runs(p.hash, short)
         inside = np.zeros(n, bool)
@@ -119,13 +118,20 @@ class _Segments:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(p.hash * up)])
         end = self.last + words
         self.hash = mix(mix((total[end] - total[self.at]) * down[self.at]) + (end - self.at).astype(np.uint64))
+        self.parts = grams, least, inside, width
+
+    def twice(self) -> np.ndarray:
+        """Whether the anchor occurs more than once in each segment."""
+        if not len(self.at):
+            return np.zeros(0, bool)
+        grams, least, inside, width = self.parts
         none = np.zeros(width - 1, np.uint64)
         place = np.flatnonzero(grams == _sliding(np.maximum, np.concatenate([none, np.where(inside, least, np.uint64(0)), none]), width))
         low, high = np.searchsorted(place, self.at), np.searchsorted(place, self.last + width)
         size = high - low
         i = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
         same = grams[place[i]] == np.repeat(self.anchor, size)
-        self.twice = np.bincount(np.repeat(np.arange(len(size)), size), same, len(size)) > 1
+        return np.bincount(np.repeat(np.arange(len(size)), size), same, len(size)) > 1
 
 
 def _line_ranges(w: Pieces, run: list[bytes], lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +155,14 @@ def _outlines(words: int, lines: int):
                 h, at, _ = _line_ranges(w, texts, lines)
                 ids = batch.column(0).take(pa.array(np.concatenate([w.doc[s.at], w.doc[at]]) + base))
                 anchors = pa.array(np.concatenate([s.anchor, np.zeros(len(h), np.uint64)]).astype(np.int64), mask=np.arange(len(s.at) + len(h)) >= len(s.at))
-                twice = np.concatenate([s.twice, np.zeros(len(h), bool)]).astype(np.int32)
+                twice = np.concatenate([s.twice(), np.zeros(len(h), bool)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([s.hash, h]).astype(np.int64)), anchors, pa.array(twice)], ["id", "hash", "anchor", "twice"])
 
     return run
 
 
 def _places(words: int, lines: int, repeated, shared, first):
-    """Word ranges (at, size) of repeated segments and runs of lines, and of single runs in the first of segments that share an anchor."""
+    """Word ranges (`span`: first word times 2^32, plus size) of repeated segments and runs of lines, and of single runs in the first of segments that share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, anchors, firsts = repeated.value, shared.value, first.value
@@ -177,8 +183,8 @@ def _places(words: int, lines: int, repeated, shared, first):
                 size = np.concatenate([s.last[whole] - s.at[whole] + words, np.full(len(runs), words), size[full]])
                 rows = pa.array(w.doc[begin] + base)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([s.hash[whole], run_hash, h[full]]).astype(np.int64)), pa.array((begin - w.first[w.doc[begin]]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                    ["id", "key", "hash", "at", "size"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([s.hash[whole], run_hash, h[full]]).astype(np.int64)), pa.array((begin - w.first[w.doc[begin]]) * 2**32 + size)],
+                    ["id", "key", "hash", "span"],
                 )
 
     return run
@@ -209,13 +215,13 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(b) + 1 for b in run])
             doc_start = np.cumsum(size) - size
             edge = np.searchsorted(starts, np.append(doc_start, len(raw)))
-            for j, (value, gone) in enumerate(zip(batch.column(1).slice(base, len(run)).to_pylist(), batch.column(2).slice(base, len(run)).to_pylist())):
+            spans = batch.column(2).slice(base, len(run))
+            gone, bound = spans.flatten().to_numpy(), np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy()))
+            for j, value in enumerate(batch.column(1).slice(base, len(run)).to_pylist()):
                 n, hidden = int(edge[j + 1] - edge[j]), 0
-                if gone:
-                    step = np.zeros(n + 1, np.int64)
-                    np.add.at(step, [g["at"] for g in gone], 1)
-                    np.add.at(step, [g["at"] + g["size"] for g in gone], -1)
-                    covered = np.cumsum(step)[:n] > 0
+                if bound[j] < bound[j + 1]:
+                    at, width = np.divmod(gone[bound[j] : bound[j + 1]], 2**32)
+                    covered = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + width, minlength=n + 1))[:n] > 0
                     own = slice(edge[j], edge[j + 1])
                     value = _cut(run[j], starts[own] - doc_start[j], ends[own] - doc_start[j], covered).decode("utf-8", "surrogatepass")
                     hidden = int(covered.sum())
@@ -232,13 +238,14 @@ def without_passages(documents: DataFrame, words: int = 50, lines: int = 3, bits
     flags = [bitmap(seen.where("n > 1"), "hash", bits, hashed=True), bitmap(several, "anchor", bits, hashed=True), bitmap(seen.where("anchor is not null").selectExpr("hash ^ id as place"), "place", bits, hashed=True)]
     forget(seen)
     shared = [documents.sparkSession.sparkContext.broadcast(f) for f in flags]
-    places = stored(docs.mapInArrow(_places(words, lines, *shared), "id long, key long, hash long, at int, size int"), "places")
+    places = stored(docs.mapInArrow(_places(words, lines, *shared), "id long, key long, hash long, span long"), "places")
     for b in shared:
         b.unpersist()
-    place = F.struct("id", "key", "at")
-    first = places.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    place = F.struct("id", "key", "span")
+    # stored, so that both sides of the join come straight from a shuffle and Spark can split a hash that very many documents hold
+    first = stored(places.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = places.join(first, "hash").where(place > F.col("first"))
-    covered = later.groupBy("id", "key").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
+    covered = later.groupBy("id", "key").agg(F.collect_set("span").alias("gone"))
     # input columns travel in one struct, so no name of theirs can clash
     own = [c for c in documents.columns if c not in ("n_words", "n_removed")]
     rows = documents.select(F.struct(*(c for c in own if c != text_col)).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_key"), F.col(text_col).cast("string").alias("own_text"))
