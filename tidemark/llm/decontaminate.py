@@ -2,7 +2,7 @@
 
 Texts become templates: words are runs of letters and digits; a word that begins with a digit or spells a number is a
 number (numbers in a row are one), a fixed unit name after a number is a unit, a capitalised word (of any script whose
-capitals UTF-8 writes in at most two bytes) is a name. Numbers, units and names are typed placeholders (slots), all other
+capitals UTF-8 writes in at most two bytes) is a name, unless its second letter is a capital of A-Z too. Numbers, units and names are typed placeholders (slots), all other
 words count in lower case. Windows of `words` template words, at least half of them plain, are hashed in benchmark and
 documents, and joined on the hash. A capitalised word that begins a sentence may be a name or not: a window with such words
 is hashed with them as plain words, and with them as names, and found by either; the windows
@@ -71,6 +71,7 @@ class _Templates(Pieces):
         number = (first >= 48) & (first < 58) | _among(self.hash, _NUMBER_HASHES)
         two = (first >= 0xC2) & (first < 0xE0)
         capital = _CAPITAL[np.where(two, (first & 0x1F) << 6 | second & 0x3F, np.where(first < 128, first, 0))]
+        capital &= (second < 65) | (second > 90)  # words written in capitals are no names: whole texts may be
         stops = np.cumsum(_STOP[self.raw])
         begins = np.ones(len(self.start), bool)
         begins[1:] = (stops[self.start[1:]] > stops[self.end[:-1] - 1]) | (self.doc[1:] != self.doc[:-1])
