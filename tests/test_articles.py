@@ -22,6 +22,7 @@ def one(spark, value, expr):
     [
         ("2024-03-05T12:30:00Z", NOON), ("2024-03-05T14:30:00+02:00", NOON), ("2024-03-05 12:30:00", NOON), ("2024-03-05", dt.datetime(2024, 3, 5)), ("Tue, 05 Mar 2024 12:30:00 +0000", NOON), ("5 March 2024 12:30", NOON),
         ("Mar. 5, 2024 at 12:30 pm UTC", NOON), ("march 5, 2024 at 12:30PM", NOON), ("MARCH 5, 2024", dt.datetime(2024, 3, 5)), ("Sept. 5, 2024", dt.datetime(2024, 9, 5)), ("2024/3/5", dt.datetime(2024, 3, 5)), ("20240305T123000Z", NOON),
+        ("may. 5, 2024 1:07am", dt.datetime(2024, 5, 5, 1, 7)), ("MAY. 5, 2024 at 1:07 AM UTC", dt.datetime(2024, 5, 5, 1, 7)), ("May 5, 2024", dt.datetime(2024, 5, 5)),
         ("2024-02-30", None), ("13/45/2024", None), ("soon", None), ("", None), (None, None),
     ],
 )

@@ -91,7 +91,7 @@ def parse_time(x: Column) -> Column:
     def read(x: Column) -> Column:
         iso = F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), x.try_cast("timestamp"))
         words = T.squeezed(F.regexp_replace(F.regexp_replace(x, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"(?i)\s+at\s+", " "))
-        words = F.regexp_replace(F.initcap(F.regexp_replace(words, r"(?i)\b(jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)(?:t?)\.", "$1")), r"\bSept\b", "Sep")
+        words = F.regexp_replace(F.initcap(F.regexp_replace(words, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:t?)\.", "$1")), r"\bSept\b", "Sep")
         words = F.replace(F.replace(words, F.lit("Gmt"), F.lit("GMT")), F.lit("Utc"), F.lit("UTC"))
         words = F.regexp_replace(F.regexp_replace(words, r"(?i)(\d)\s*am\b", "$1 AM"), r"(?i)(\d)\s*pm\b", "$1 PM")
         return F.coalesce(iso, bound(words, lambda w: F.coalesce(*(F.try_to_timestamp(w, F.lit(f)) for f in FORMS))))
