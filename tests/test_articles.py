@@ -104,3 +104,18 @@ def test_extractions_in_range(spark):
     a, b = (tuple(r) for r in T.coerced_extraction(spark.createDataFrame(rows, schema), rules).collect())
     assert a == ("etf", ["BTC", "ETH"], ["defi"], -1.0, 1.0, True, 0.2, "weeks", 0.0)
     assert b == ("none", [], ["none"], 0.0, 0.0, False, 0.5, "days", 0.5)
+
+
+def test_links_are_passed_on_in_bounded_batches(spark, monkeypatch):
+    """One Arrow batch of many pages is not one batch of all their links, whose surroundings are much longer than the pages."""
+    import pyarrow as pa
+
+    html = "".join(f'<p><a href="/{i}">Story {i}</a></p>' for i in range(100))
+    df = spark.createDataFrame([(1, html, "https://x.example/")], "id long, html string, url string")
+    seen, whole = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda x, f, schema: seen.append(f) or whole(x, f, schema))
+    A.link_context(df, "html", "url", "id")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["https://x.example/"] * 200), pa.array([html] * 200)], ["id", "url", "html"])
+    out = list(seen[0](iter([batch])))
+    assert len(out) > 1 and max(b.nbytes for b in out) < 6e6
+    assert [(i, n) for b in out for i, n in zip(b["id"].to_pylist(), b["place"].to_pylist())] == [(i, n) for i in range(200) for n in range(100)]

@@ -209,6 +209,8 @@ def bodies(df: DataFrame, page: str, keep: list[str], status: str | None = None,
 
 
 ANCHOR = re.compile(r"<a\b([^>]*)>(.*?)</a>", re.I | re.S)
+#: A worker of `link_context` passes on what it cut at this many characters; only memory depends on it.
+HELD = 1 << 22
 HREF = re.compile(r"""href\s*=\s*["']([^"']+)["']""", re.I)
 
 
@@ -220,16 +222,25 @@ def link_context(df: DataFrame, page: str, url: str, key: str, around: int = 500
     """
     kind = df.schema[key].dataType.simpleString()
 
+    def links(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [key, "base", "place", "href", "inner", "context"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for k, base, html in zip(*(c.to_pylist() for c in batch.columns)):
+            kinds = [batch.schema.types[0], pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            rows: list[tuple] = []
+            held = 0
+            for i in range(batch.num_rows):
+                k, base, html = (c[i].as_py() for c in batch.columns)
                 for n, m in enumerate(ANCHOR.finditer(html or "")):
                     if h := HREF.search(m.group(1)):
-                        for column, v in zip(out, (k, base, n, h.group(1), m.group(2), html[max(0, m.start() - around) : m.end() + around])):
-                            column.append(v)
-            kinds = [batch.schema.types[0], pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [key, "base", "place", "href", "inner", "context"])
+                        rows.append((k, base, n, h.group(1), m.group(2), html[max(0, m.start() - around) : m.end() + around]))
+                        held += len(m.group(2)) + len(rows[-1][-1])
+                        if held >= HELD:
+                            yield links(rows, kinds)
+                            rows, held = [], 0
+            if rows:
+                yield links(rows, kinds)
 
     rows = df.select(key, F.col(url).cast("string"), F.col(page).cast("string")).mapInArrow(cut, f"{key} {kind}, base string, place int, href string, inner string, context string")
     rows = rows.withColumns({"href": F.trim(T.unescape(F.col("href"))), "title": T.clean_text(F.col("inner")), "context": T.squeezed(T.unescape(T.without_markup(F.col("context"))))})
