@@ -119,3 +119,14 @@ def test_links_are_passed_on_in_bounded_batches(spark, monkeypatch):
     out = list(seen[0](iter([batch])))
     assert len(out) > 1 and max(b.nbytes for b in out) < 6e6
     assert [(i, n) for b in out for i, n in zip(b["id"].to_pylist(), b["place"].to_pylist())] == [(i, n) for i in range(200) for n in range(100)]
+
+
+def test_rules_by_literal_search_equal_those_of_columns(spark):
+    """One pass over Arrow batches gives what a search of the whole text for each word gives: overlaps, counts of repeats, order of kinds."""
+    texts = ["", "banbanban surge surges rally", "the fed may list a token unlock", "hackhack sec ban ai agent", "xbtc btc_ (eth) reportedly delisted", "yield tvl l2 layer 2", "ünban \U0001f600 gain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    want = df.select("i", T.first_match(t, rules.EVENTS).alias("kind"), F.array_compact(F.array(*(F.when(T.any_of(t, w), n) for n, w in sorted(rules.THEMES.items())))).alias("themes"), T.occurrences(t, rules.GOOD).cast("long").alias("good"), T.occurrences(t, rules.BAD).cast("long").alias("bad"), T.any_of(t, rules.RUMOUR).alias("rumour"))
+    got = df.select("i", T.literal_rules(t, rules).alias("r"), T.first_kind(t, rules.EVENTS).alias("k"))
+    assert got.select("i", "r.*").orderBy("i").collect() == want.orderBy("i").collect()
+    assert [r.k for r in got.orderBy("i").collect()] == [r.kind for r in want.orderBy("i").collect()]

@@ -37,7 +37,7 @@ cal AS (SELECT symbol, unnest(generate_series(min(bin), max(bin), INTERVAL 4 HOU
 def event_factors(s, d):
     """Eight smoothed factors by market from keyword extractions; consistency is 1 where title and whole text give one kind of event, else one half."""
     x = T.keyword_extraction(M.news(s, d).where("doc_id is not null"), "body", rules)
-    same = F.when(T.first_match(F.coalesce(F.lower("title"), F.lit("")), rules.EVENTS) == F.col("event_type"), 1.0).otherwise(0.5)
+    same = F.when(T.first_kind(F.coalesce(F.lower("title"), F.lit("")), rules.EVENTS) == F.col("event_type"), 1.0).otherwise(0.5)
     own = F.create_map(*(F.lit(v) for pair in MARKETS.items() for v in pair))
     x = x.select(
         F.explode(F.array_distinct(F.array_compact(F.concat("entities", F.array(F.try_element_at(own, F.col("lang"))))))).alias("symbol"), B.right_edge("published_at", M.FOUR_HOURS).alias("bin"),
