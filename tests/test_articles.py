@@ -130,3 +130,14 @@ def test_rules_by_literal_search_equal_those_of_columns(spark):
     got = df.select("i", T.literal_rules(t, rules).alias("r"), T.first_kind(t, rules.EVENTS).alias("k"))
     assert got.select("i", "r.*").orderBy("i").collect() == want.orderBy("i").collect()
     assert [r.k for r in got.orderBy("i").collect()] == [r.kind for r in want.orderBy("i").collect()]
+
+
+def test_merged_articles_read_pages_that_are_written_once(spark, tmp_path):
+    """No filter or projection of the four readers writes the pages anew: all that makes them stands before the staged table."""
+    from tidemark import plans
+
+    spark.sql("SELECT id * 8 + 5 AS doc_id, repeat('word ', 30) AS text FROM range(4)").write.parquet(f"{tmp_path}/documents.parquet")
+    out = plans.queries()["merged_articles"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" not in plan and "documents.parquet" not in "".join(out.inputFiles())
+    assert sorted(r.doc_id for r in out.collect()) == [5, 13, 21, 29]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import articles as A
 from ..operators import text as T
 from ..sources import market as M
+from ..sources.stage import staged
 from .registry import query
 
 T0 = 1704067200
@@ -157,7 +158,7 @@ def tag_lists(s, d):
 SELECT source, doc_id, title, CASE WHEN k = 5 THEN date_trunc('minute', published_at) ELSE published_at END AS published_at, n::INT AS chars FROM m WHERE n IS NOT NULL""")
 def merged_articles(s, d):
     """Details and bodies of two sources, only those that are ok, joined one to one, united and made a corpus by its milliseconds."""
-    x = written(s, d)
+    x = staged(written(s, d))  # read four times; a filter on the status would else write each page anew for every pattern of the time
     details, texts = A.metadata(x, "html", "url", ["doc_id", "url"]), A.bodies(x, "html", ["doc_id", "url"])
     first = F.col("doc_id") % 8 < 5
     sources = [A.joined_source(details.where(part), texts, name, "doc_id") for name, part in (("a", first), ("b", ~first))]
