@@ -566,3 +566,21 @@ def test_names_that_open_sentences_number_words_and_other_scripts(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4)}
     assert {r.doc_id: r.coverage for r in got}[1] == 1.0
     assert {r.doc_id: r.changed > 0 for r in got} == {1: True, 2: True, 3: True, 4: False}  # of 4, the part after "rest" is as it was
+
+
+def test_encoder_looks_at_each_character_only_where_rare_white_space_is():
+    """Texts are searched for plain strings; the pattern runs only where white space other than space and line feed stands."""
+    import re
+
+    import numpy as np
+
+    e = token_files.CachedEncoder(queries.tokenizer_path())
+    tried = []
+    pair, e.white_pair = e.white_pair, lambda text: tried.append(text) or pair(text)
+    apart = ["a  b", "a\n\nb", "a \nb", "a\n b", "a<|endoftext|>b", "a\t b", "a\u3000\u2009b", "é\xa0\n"]
+    for text in [*apart, "plain words, and\nlines", "a\tb", "é\xa0b", "日\u3000b", "", " ", "\n", "a\x1c b"]:
+        assert e.whole(text) == (text in apart), text
+        assert e(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert set(tried) == {"a\t b", "a\u3000\u2009b", "é\xa0\n", "a\tb", "é\xa0b", "日\u3000b"}
+    long = re.sub("x", "\u0251\u0252", "x" * 200)  # more ids than there are ready-made packers
+    assert e(long) == np.array(e.tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()

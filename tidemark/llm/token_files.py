@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,9 @@ def read_file(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+_ID = attrgetter("id")
+
+
 class CachedEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer of the `tokenizers` library, with a bounded memory of pieces.
 
@@ -171,15 +175,31 @@ class CachedEncoder:
         self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([f"[{self.WHITE}]{{2}}", *added])).search
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.white_pair = re.compile(f"[{self.WHITE}]{{2}}").search
+        self.apart = ["  ", "\n\n", " \n", "\n ", *added]
+        # other white space, by itself: in a text of ASCII alone, and in any
+        self.rare = {True: "\t\x0b\x0c\r", False: "".join(re.findall(f"[{self.WHITE}]", "".join(map(chr, range(0x3001))))).translate({32: None, 10: None})}
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(64)]
         # the library's printable stand-ins of the 256 bytes
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
         hidden = [c for c in range(256) if c not in shown]
         self.stand_in = {c: c for c in shown} | {c: 256 + i for i, c in enumerate(hidden)}
 
+    def whole(self, text: str) -> bool:
+        """Whether a text has an added token's string or two white space characters in a row; plain searches, as a pattern looks at each character."""
+        for x in self.apart:
+            if x in text:
+                return True
+        for c in self.rare[text.isascii()]:
+            if c in text:
+                return self.white_pair(text) is not None
+        return False
+
     def _model(self, mapped: str) -> bytes:
-        return struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(mapped)) else b""
+        t = self.model.tokenize(mapped)
+        pack = self.packs[len(t)] if len(t) < len(self.packs) else struct.Struct(f"<{len(t)}I").pack
+        return pack(*map(_ID, t))
 
     def _word(self, word: str) -> bytes:
         """A pre-token, given as text."""
