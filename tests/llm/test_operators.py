@@ -584,3 +584,19 @@ def test_encoder_looks_at_each_character_only_where_rare_white_space_is():
     assert set(tried) == {"a\t b", "a\u3000\u2009b", "é\xa0\n", "a\tb", "é\xa0b", "日\u3000b"}
     long = re.sub("x", "\u0251\u0252", "x" * 200)  # more ids than there are ready-made packers
     assert e(long) == np.array(e.tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_quality_views_are_fitted_in_tasks(spark, monkeypatch):
+    """The driver fits nothing; weights and scales are those of a plain fit of all labelled rows."""
+    docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))
+    plain, here = quality.logistic, []
+    monkeypatch.setattr(quality, "logistic", lambda *a: here.append(1) or plain(*a))  # tasks have a list of their own
+    model = quality.fit(docs, labels, rounds=0)
+    assert not here
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y")).where("doc_id is not null")
+    rows = docs.join(known, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)), "doc_id").collect()
+    x = np.concatenate([quality._views([(r.text or "").encode()], [r.source], [r.lang]) for r in rows]).astype(np.float32)
+    y, held = np.array([float(r.y) for r in rows]), np.arange(len(rows)) % 5 == 4
+    for got, scale, v in zip((model.content, model.metadata), model.scales, (x[:, : quality.DIMENSIONS], x[:, quality.DIMENSIONS :])):
+        w = plain(v, y, ~held)
+        assert np.abs(got - w).max() < 1e-4 and np.abs(np.array(scale) - quality.platt(quality.logit(w, v[held]), y[held])).max() < 1e-3

@@ -141,13 +141,13 @@ def token_counts(docs: DataFrame, spec: SetSpec) -> tuple[np.ndarray, np.ndarray
     for r in merged.select("bucket", "seen").toLocalIterator():
         seen[r[0] * step : (r[0] + 1) * step] = np.frombuffer(r[1], np.uint8)
     if least is None:
-        frequent = pairs.limit(0).toPandas()
+        frequent = pairs.limit(0).toArrow()
     else:
-        frequent = pairs.where(F.expr(f"cast(floor(log2(df) * 4) as int) >= {least}")).toPandas()
-    key = (frequent["bucket"].to_numpy(np.int64).astype(np.uint64) << _U(32)) | frequent["keys"].to_numpy(np.int64).astype(np.uint64)
+        frequent = pairs.where(F.expr(f"cast(floor(log2(df) * 4) as int) >= {least}")).toArrow()
+    key = (frequent["bucket"].to_numpy().astype(np.uint64) << _U(32)) | frequent["keys"].to_numpy().astype(np.uint64)
     order = np.argsort(key)
     forget(merged)
-    return seen, key[order], frequent["df"].to_numpy(np.int64)[order], bits
+    return seen, key[order], frequent["df"].to_numpy()[order], bits
 
 
 def signatures(h: np.ndarray, df: np.ndarray, repeated: np.ndarray, percent: int) -> np.ndarray:

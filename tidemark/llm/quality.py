@@ -10,9 +10,10 @@ pseudo-labels, in the classes' proportions: of all documents that it is at least
 smallest hashes, an even sample of them. Then both are fitted again. At the end each view's output is calibrated (Platt)
 on labelled rows kept out of fitting, and the mean of the calibrated log-odds scores every document.
 
-The labelled rows that are fitted on are a bounded sample, those with the `fit_rows` smallest hashes of their id; features
-(about 2 KB a row) of these and of the exchanged rows reach the driver, nothing else. Rounds and scoring are by row, without
-a shuffle of texts.
+The labelled rows that are fitted on are a bounded sample, those with the `fit_rows` smallest hashes of their id; their
+features (about 2 KB a row) are a table in the shared folder, and each view is fitted on it in a task of its own. The driver
+has ids and labels of these rows, features of the exchanged ones (4 * `exchange` rows at most) and the weights, nothing else.
+Rounds and scoring are by row, without a shuffle of texts.
 
 Null and empty texts have the features of an empty page. A null label is no label. Without labels of both classes every
 score is the share of good labels (1 without any). Rows with repeated ids are each scored; of those with a label, one is
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, NEWLINE, Pieces, chunks
+from .shared import stored
 
 DIMENSIONS = 1024
 SOURCES, LANGUAGES = 16, 8
@@ -161,6 +163,42 @@ def _confident(weights, confidence: float, kinds: list[tuple[int, int]]):
     return run
 
 
+def _fitted(given, platt_too: bool):
+    """One view's labelled rows (place, doc_id, label, held, features) and the pseudo-labels `given` to it to its weights, and, if asked for, its scale and shift.
+
+    Rows of the other view's pseudo-labels weigh nothing, so that both views have the same steps as in one table of all rows.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        view = key[0].as_py()
+        size = META if view else DIMENSIONS
+        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+        taken, pseudo, features = given.value
+        n = table.num_rows
+        x = np.empty((n + len(taken), size), np.float32)
+        for i, b in enumerate(table.column("features")):
+            x[i] = np.frombuffer(b.as_buffer(), np.float16)
+        x[n:] = features[:, DIMENSIONS:] if view else features[:, :DIMENSIONS]
+        held = table.column("held").to_numpy()
+        y = np.concatenate([table.column("label").to_numpy(), pseudo]).astype(np.float64)
+        w = logistic(x, y, np.concatenate([~held, taken == view]))
+        scale = platt(logit(w, x[:n][held]), y[:n][held]) if platt_too else (1.0, 0.0)
+        return pa.table({"view": pa.array([view], pa.int32()), "weights": pa.array([w.tolist()], pa.list_(pa.float64())), "scale": pa.array([scale[0]], pa.float64()), "shift": pa.array([scale[1]], pa.float64())})
+
+    return run
+
+
+def _fits(spark, rows: DataFrame, given: tuple[np.ndarray, np.ndarray, np.ndarray], platt_too: bool) -> tuple[list[np.ndarray], tuple]:
+    """Weights, and scales and shifts, of both views, each fitted in a task of its own; only these reach the driver."""
+    shared = spark.sparkContext.broadcast(given)
+    own = F.when(F.col("view") == 0, F.substring("features", 1, 2 * DIMENSIONS)).otherwise(F.substring("features", 2 * DIMENSIONS + 1, 2 * META))
+    views = rows.withColumn("view", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("features", own)
+    got = views.groupBy("view").applyInArrow(_fitted(shared, platt_too), "view int, weights array<double>, scale double, shift double").collect()
+    shared.destroy()
+    got = sorted(got, key=lambda r: r.view)
+    return [np.array(r.weights) for r in got], tuple((r.scale, r["shift"]) for r in got)
+
+
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, rounds: int = 2, exchange: int = 600, confidence: float = 0.95, label_col: str = "quality") -> Model:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null")
@@ -168,36 +206,29 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = 6000, rounds: i
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)  # bounded by a parameter, so it may be broadcast
     rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_features, "key long, features binary")
     rows = rows.groupBy(F.col("key").alias("doc_id")).agg(F.min("features").alias("features")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select(F.xxhash64("doc_id", F.lit(5)).alias("place"), "doc_id", "label", "features").toPandas().sort_values(["place", "doc_id"])
-    n = len(got)
-    x = np.zeros((n + 2 * rounds * exchange, DIMENSIONS + META), np.float32)
-    for i, b in enumerate(got["features"]):
-        x[i] = np.frombuffer(b, np.float16)
-    y = np.zeros(len(x))
-    y[:n] = got["label"]
-    del got
-    views = (x[:, :DIMENSIONS], x[:, DIMENSIONS:])
-    held = np.arange(n) % 5 == 4
-    if len(np.unique(y[:n][~held])) < 2 or len(np.unique(y[:n][held])) < 2:
-        p = float(y[:n].mean()) if n else 1.0
+    rows = stored(rows.select(F.xxhash64("doc_id", F.lit(5)).alias("place"), "doc_id", "label", "features"), "labelled")
+    got = rows.select("place", "doc_id", "label").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    y = got.column("label").to_numpy()
+    held = np.arange(len(y)) % 5 == 4
+    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
+        p = float(y.mean()) if len(y) else 1.0
         z = float(np.log((p + 1e-6) / (1 - p + 1e-6)))
         return Model(np.append(np.zeros(DIMENSIONS), z), np.append(np.zeros(META), z), ((1.0, 0.0), (1.0, 0.0)))
-    use = np.zeros((2, len(x)), bool)  # the rows that each view is fitted on
-    use[:, :n] = ~held
-    good = y[:n][~held].mean()
+    good = y[~held].mean()
     wanted = np.array([round(exchange * (1 - good)), round(exchange * good)])
+    apart = spark.createDataFrame(pa.table({"doc_id": got.column("doc_id"), "held": pa.array(held)}))
+    rows = rows.join(F.broadcast(apart), "doc_id")
     every = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", "source", "lang")
     size = every.count()
+    taken, pseudo, features = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, DIMENSIONS + META), np.float16)
     for r in range(rounds + 1):
-        weights = [logistic(v, y, u) for v, u in zip(views, use)]
+        weights, scales = _fits(spark, rows, (taken, pseudo, features), r == rounds)
         if r == rounds:
-            break
-        for (giver, label), rows in _exchanged(spark, every, known, weights, confidence, wanted, size).items():
-            for features in rows:
-                x[n], y[n], use[1 - giver, n] = np.frombuffer(features, np.float16), label, True
-                n += 1
-    scales = tuple(platt(logit(w, v[: len(held)][held]), y[: len(held)][held]) for w, v in zip(weights, views))
-    return Model(weights[0], weights[1], scales)
+            return Model(weights[0], weights[1], scales)
+        for (giver, label), fresh in _exchanged(spark, every, known, weights, confidence, wanted, size).items():
+            taken = np.append(taken, np.full(len(fresh), 1 - giver, np.int32))
+            pseudo = np.append(pseudo, np.full(len(fresh), label, np.int32))
+            features = np.concatenate([features, np.frombuffer(b"".join(fresh), np.float16).reshape(len(fresh), -1)]) if fresh else features
 
 
 def _exchanged(spark, every: DataFrame, known: DataFrame, weights: list[np.ndarray], confidence: float, wanted: np.ndarray, size: int) -> dict[tuple[int, int], list[bytes]]:
@@ -215,8 +246,8 @@ def _exchanged(spark, every: DataFrame, known: DataFrame, weights: list[np.ndarr
         sure = part.mapInArrow(_confident(shared, confidence, kinds), "giver int, label int, doc_id long, key long, features binary").join(known.select("doc_id"), "doc_id", "left_anti")
         first = sure.groupBy("giver", "label", "key").agg(F.min("features").alias("features"))
         ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("giver", "label").orderBy("key"))).where("rank <= " + str(int(wanted.max())))
-        for r in ranked.toPandas().itertuples():  # four times the wanted number at most
-            found[r.giver, r.label].setdefault(r.key, r.features)
+        for r in ranked.drop("rank").toArrow().to_pylist():  # four times the wanted number at most
+            found[r["giver"], r["label"]].setdefault(r["key"], r["features"])
         if high >= 1:
             break
         low, high = high, min(1.0, 8 * high)
