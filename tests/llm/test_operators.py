@@ -586,6 +586,13 @@ def test_encoder_looks_at_each_character_only_where_rare_white_space_is():
     assert e(long) == np.array(e.tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_new_words_are_kept_without_the_marks_that_follow_them():
+    e = token_files.CachedEncoder(queries.tokenizer_path())
+    for text, kept in (("see ntherings, now", {"ntherings"}), ("see ntherings, now", {"ntherings", "ntherings,"}), ("x éàthrow. y", {"éàthrow"}), ("a\nThering, b", {"\nThering,"})):
+        assert e(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert kept <= set(e.young) and (len(kept) > 1 or not {k + c for k in kept for c in ",."} & set(e.young)), text
+
+
 def test_quality_views_are_fitted_in_tasks(spark, monkeypatch):
     """The driver fits nothing; weights and scales are those of a plain fit of all labelled rows."""
     docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))

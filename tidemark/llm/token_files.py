@@ -22,6 +22,7 @@ Null and empty texts give the end id alone. A null id comes first. Rows that rep
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -212,12 +213,15 @@ class CachedEncoder:
         """A piece not in the young generation; " " stands before it unless it begins with a line feed."""
         got = self.old.get(piece)
         if got is None:
+            if piece.isalpha():
+                got = self._model("\u0120" + piece) if piece.isascii() else self._word(" " + piece)
+                return self._keep(piece, got)
             core = piece.rstrip(self.TAIL)
             if core.isalpha():
-                if len(core) == len(piece):
-                    got = self._word(" " + piece)
-                else:
-                    got = self._known(core) + self._known(piece[len(core) :], " ")
+                got = self.young.get(core)
+                if got is None:  # a new or rare word: it is kept by itself, not with each mark that may follow it
+                    return self._piece(core) + self._known(piece[len(core) :], " ")
+                got += self._known(piece[len(core) :], " ")
             elif core[:1] == "\n" and core[1:].isalpha():
                 got = self._word("\n") + self._word(core[1:])
                 if len(core) < len(piece):
@@ -288,16 +292,22 @@ def _encode(path: str, end_id: int, file_ids: int):
             row = {"part": part, "file": file, "part_start": before, "n_docs": len(docs), "n_ids": size, "doc_ids": docs, "content": blob}
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("file", pa.int32()), ("part_start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("content", pa.binary())]))
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append((encode(t) if (t := text.as_py()) else b"") + end)
-                docs.append(doc)
-                size += len(ids[-1]) // 4
-                if size >= file_ids:
-                    yield cut()
-                    ids, docs, size, file, before = [], [], 0, file + 1, before + size
-        if docs:
-            yield cut()
+        collecting = gc.isenabled()
+        gc.disable()  # pieces and ids hold no cycles; looking for some took a seventh of the encoding
+        try:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids.append((encode(t) if (t := text.as_py()) else b"") + end)
+                    docs.append(doc)
+                    size += len(ids[-1]) // 4
+                    if size >= file_ids:
+                        yield cut()
+                        ids, docs, size, file, before = [], [], 0, file + 1, before + size
+            if docs:
+                yield cut()
+        finally:
+            if collecting:
+                gc.enable()
 
     return run
 
